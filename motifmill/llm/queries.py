@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, packing, simhash, suffix_dedup
+from . import bpe, packing, simhash, spotsigs, suffix_dedup
 from .common import table
 
 
@@ -33,11 +33,17 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = spotsigs.edited_likeness(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op4_packing": op4_packing,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_spotsigs": op9_spotsigs,
 }
 
 ORACLE_SQL: dict[str, str] = {}
