@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, packing, simhash, spotsigs, suffix_dedup
+from . import bpe, packing, simhash, spotsigs, suffix_dedup, toxicity
 from .common import table
 
 
@@ -38,12 +38,20 @@ def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    got = toxicity.score(docs, model)
+    return got.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op4_packing": op4_packing,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_spotsigs": op9_spotsigs,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
