@@ -2,18 +2,44 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from motifmill.llm import simhash
+from motifmill.llm import packing, quality, simhash, suffix_dedup, toxicity
 from motifmill.llm.common import stored, table
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity is beyond their language's trusted quantile go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier predicts to be toxic go; rows kept from learning are as in its query."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    return toxicity.keep_clean(docs, model)
+
+
+def merge_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose fingerprints chain up, the one with the least id stays."""
     return simhash.keep_one_per_group(docs)
 
 
-STAGES = [("simhash", near_duplicates)]
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes in 50-byte strings that an earlier document has go; texts and their lengths change, rows stay."""
+    return suffix_dedup.texts_without_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 ids."""
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [("quality", reject_poor), ("toxicity", reject_toxic), ("simhash", merge_near_copies), ("suffix", cut_repeats), ("packing", pack)]
 
+#: No stage of models and fingerprints can be said in SQL; the tests hold each against brute force or held-out labels.
 ORACLE_SQL = None
 
 

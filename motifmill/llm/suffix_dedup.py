@@ -383,3 +383,22 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     taken = {c.lower() for c in docs.columns}
     named = {c: c if c not in taken else f"_{c}" for c in ("kept", "n_bytes", "n_removed", "spans")}
     return made.select(*[F.col("row")[c].alias(c) for c in docs.columns], *[F.col(c).alias(n) for c, n in named.items()])
+
+
+def texts_without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
+    """docs with the same columns and rows, the text being what is left, its length in code points in chars_col.
+
+    A cut inside a UTF-8 character drops the rest of it. Null texts stay null."""
+    got = without_repeats(docs, id_col, text_col, length)
+    names, kept = docs.columns, got.columns[len(docs.columns)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, kept):
+            was_null = batch.column(text_col).is_null().to_pylist()
+            text = [None if null else (data or b"").decode("utf-8", "ignore") for null, data in zip(was_null, batch.column(kept).to_pylist(), strict=True)]
+            new = {text_col: pa.array(text, pa.string())}
+            if chars_col in names:
+                new[chars_col] = pa.array([None if t is None else len(t) for t in text], pa.int64()).cast(batch.column(chars_col).type)
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names)
+
+    return got.select(*[f"`{c}`" for c in names], f"`{kept}`").mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))

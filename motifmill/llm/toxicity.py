@@ -226,3 +226,9 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col
 def held_out(id_col: str = "doc_id", modulus: int = 4, remainder: int = 2) -> Column:
     """Whether a row's id is kept from learning; null ids are not."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus == remainder, F.lit(False))
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", cut: float = CUT) -> DataFrame:
+    """The rows of docs, all columns, that score below the cut."""
+    scored = score(docs, model, text_col)
+    return scored.where(F.col(f"`{scored.columns[-1]}`") < cut).select(*[f"`{c}`" for c in docs.columns])
