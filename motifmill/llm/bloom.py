@@ -32,24 +32,30 @@ def bit_positions(keys: np.ndarray, probes: int, bits: int = SHARD_BITS) -> Iter
             yield ((one + np.uint64(i) * two) & mask).astype(np.int64)
 
 
-def insert(filter_bits: np.ndarray, keys: np.ndarray, probes: int) -> None:
-    """Sets the keys' bits; filter_bits: one byte for eight bits."""
-    for at in bit_positions(keys, probes, 8 * len(filter_bits)):
-        np.bitwise_or.at(filter_bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+def filled(keys: np.ndarray, probes: int, bits: int = SHARD_BITS) -> bytes:
+    """A filter that holds the keys, eight bits a byte."""
+    field = np.zeros(bits, bool)
+    for at in bit_positions(keys, probes, bits):
+        field[at] = True
+    return np.packbits(field, bitorder="little").tobytes()
 
 
 def contains(filter_bits: np.ndarray, keys: np.ndarray, probes: int) -> np.ndarray:
+    if not len(filter_bits):
+        return np.zeros(len(keys), bool)
     found = np.ones(len(keys), bool)
     for at in bit_positions(keys, probes, 8 * len(filter_bits)):
         found &= (filter_bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
     return found
 
 
-def broadcast_rows(df: DataFrame) -> list[Broadcast]:
-    """A broadcast for each row of (shard, bits), in the shards' order; the driver holds one partition at a time."""
+def broadcast_rows(df: DataFrame, shards: int) -> list[Broadcast]:
+    """A broadcast for each shard of (shard, bits), in order (empty bits where a shard has no row).
+
+    The driver holds one row at a time; the rows should be stored, as partitions are fetched one after the other."""
     sc = df.sparkSession.sparkContext
     found = {row[0]: sc.broadcast(bytes(row[1])) for row in df.toLocalIterator()}
-    return [found[k] for k in sorted(found)]
+    return [found.get(k) or sc.broadcast(b"") for k in range(shards)]
 
 
 def one_by_one(shards: Iterable[Broadcast]) -> Iterator[bytes]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -13,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step handles at a time; a longer text is a step of its own.
-STEP_BYTES = 6 << 20
+STEP_BYTES = 3 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +53,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def hand_back() -> None:
+    """Returns freed memory to the system: Python workers are reused, and what one task freed should not add up."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def steps(batches: Iterable[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of at most `limit` bytes of text (or one row)."""
     for batch in batches:
@@ -62,6 +71,7 @@ def steps(batches: Iterable[pa.RecordBatch], column: str, limit: int = STEP_BYTE
             to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    hand_back()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

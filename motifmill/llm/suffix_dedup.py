@@ -1,9 +1,9 @@
 """Removal of byte strings that an earlier document has: candidate contexts by content-defined anchors, sorted as
 suffixes by deep-shallow sorting.
 
-Every string of `length` bytes picks an anchor from its own bytes alone: the least hash of its 16-byte grams. Equal
-strings have equal anchors, so only anchors that occur in two documents matter; a run of windows with one anchor is
-sent as one context. Contexts of an anchor are sorted (multikey quicksort on 8-byte digits to a shallow depth, blind
+Every string of `length` bytes picks an anchor from its own bytes alone: the least hash of its 20-byte grams. Equal
+strings have equal anchors, so only anchors that occur in two different texts matter (exact copies are found by their
+texts' hashes); a run of windows with one anchor is sent as one context. Contexts of an anchor are sorted (multikey quicksort on 8-byte digits to a shallow depth, blind
 tries below), equal ones collapse to the least document, and what differs is compared window by window the same way."""
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bloom import SHARD_BITS, SHARD_LOAD, broadcast_rows, contains, insert, one_by_one, shard_of
+from .bloom import SHARD_LOAD, broadcast_rows, contains, filled, one_by_one, shard_of
 from .common import flat_ranges, mix64, steps, stored
 
 LENGTH = 50
-GRAM = 16
+GRAM = 20
 #: Bytes that the multikey quicksort sorts by before blind tries take over.
 SHALLOW = 24
 #: Documents that share an anchor beyond which its windows are compared by aggregation instead of in one task.
@@ -50,7 +50,8 @@ def runs_of(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> tuple[
         return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
     word = words8(data)
     with np.errstate(over="ignore"):
-        gram = mix64(word[: n - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15) + mix64(word[8 : n - GRAM + 9]))
+        gram = word[: n - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15) + mix64(word[8 : n - GRAM + 9])
+        gram = mix64(gram + word[GRAM - 8 : n - 7] * np.uint64(0xD6E8FEB86659FD93))
     least, span, wide = gram, 1, length - GRAM + 1
     while 2 * span <= wide:
         least = np.minimum(least[:-span], least[span:])
@@ -167,6 +168,9 @@ def deep_shallow_sort(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, g
         at, to = int(first[b]), int(first[b] + crowd[b])
         rows = order[at:to].copy()
         strings = [raw[s : s + k] for s, k in zip(starts[rows].tolist(), sizes[rows].tolist(), strict=True)]
+        if strings.count(strings[0]) == len(strings):
+            new[at + 1 : to] = False
+            continue
         for same in blind_trie_order(strings):
             order[at : at + len(same)] = rows[same]
             new[at] = True
@@ -175,17 +179,15 @@ def deep_shallow_sort(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, g
     return order, new
 
 
-def covered_runs(anchor: np.ndarray, doc: np.ndarray, ctx: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def covered_runs(anchor: np.ndarray, doc: np.ndarray, data: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, offset, bytes): parts of contexts that lie in a `length`-byte string of a context of the same anchor from a
-    smaller document. Rows of an anchor must be together; ids are compared as integers."""
-    sizes = np.fromiter(map(len, ctx), np.int64, len(ctx))
-    data = np.frombuffer(b"".join(ctx), np.uint8)
+    smaller document. data, sizes: the contexts' bytes in a row, and how many each has."""
     starts = np.cumsum(sizes) - sizes
     _, group = np.unique(anchor, return_inverse=True)
     order, new = deep_shallow_sort(data, starts, sizes, group)
     first = np.flatnonzero(new)
     least = np.minimum.reduceat(doc[order], first)
-    kind = np.empty(len(ctx), np.int64)
+    kind = np.empty(len(sizes), np.int64)
     kind[order] = np.cumsum(new) - 1
     whole = np.flatnonzero(doc > least[kind])
     # one context of each kind; anchors whose kinds have different least documents are compared window by window
@@ -231,41 +233,46 @@ def _bytes_of(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarra
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, row key and text: rows that repeat an id are told apart by their text."""
+    """doc, tag and text: rows that repeat an id are told apart by their text's hash."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text, F.length(text)).alias("tag"), text.alias("text"))
 
 
 def repeated_anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(anchor, n): the anchors that occur in two documents or more, n rows having them. docs: doc, text."""
+    """(anchor, n): the anchors that occur in two different texts or more, n times. docs: doc, tag, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text", STEP):
             anchor, doc, _, _ = runs_of(*_bytes_of(batch, "text"), length)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), batch.column("doc").take(pa.array(doc))], ["anchor", "doc"])
+            tag = batch.column("tag").to_numpy() & 0xFFFFFFFFFFFF
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(tag[doc])], ["anchor", "tag"])
+
+    found = docs.where("doc is not null").select("tag", "text").mapInArrow(run, "anchor long, tag long")
+    return found.groupBy("anchor").agg(F.min("tag").alias("a"), F.max("tag").alias("b"), F.count("*").alias("n")).where("a < b").select("anchor", "n")
+
 
-    found = docs.where("doc is not null").select("doc", "text").mapInArrow(run, "anchor long, doc long")
-    return found.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).where("a < b").select("anchor", "n")
+def copies(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc, tag, start, size): the whole texts that a row with a smaller id has too. docs: doc, tag, text."""
+    text = docs.where("doc is not null").select("doc", "tag", F.hash("text").alias("other"), F.octet_length("text").cast("long").alias("size")).where(f"size >= {length}")
+    least = text.groupBy("tag", "other", "size").agg(F.min("doc").alias("least"))
+    return text.join(least, ["tag", "other", "size"]).where("doc > least").select("doc", "tag", F.lit(0).cast("long").alias("start"), "size").distinct()
 
 
 def anchor_filter(anchors: DataFrame, shards: int) -> list[Broadcast]:
     """Bloom filter shards of the anchors, each of SHARD_BITS bits."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, np.ndarray] = {}
-        for batch in batches:
-            keys, shard = batch.column("anchor").to_numpy().view(np.uint64), batch.column("shard").to_numpy()
-            for k in np.unique(shard).tolist():
-                insert(made.setdefault(k, np.zeros(SHARD_BITS // 8, np.uint8)), keys[shard == k], PROBES)
-        for k, bits in made.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([bits.tobytes()])], ["shard", "bits"])
+        got = [(b.column("anchor").to_numpy().view(np.uint64), b.column("shard").to_numpy()) for b in batches if b.num_rows]
+        if got:
+            keys, shard = np.concatenate([x[0] for x in got]), got[0][1][:1]
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array([filled(keys, PROBES)])], ["shard", "bits"])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("anchor"), pa.array(shard_of(batch.column("anchor").to_numpy().view(np.uint64), shards))], ["anchor", "shard"])
 
-    split = anchors.select("anchor").mapInArrow(number, "anchor long, shard int").repartition(shards, "shard")
-    return broadcast_rows(split.mapInArrow(build, "shard int, bits binary"))
+    split = anchors.select("anchor").mapInArrow(number, "anchor long, shard int").repartitionById(shards, F.col("shard"))
+    return broadcast_rows(stored(split.mapInArrow(build, "shard int, bits binary"), "anchor-filter"), shards)
 
 
 def contexts(docs: DataFrame, shards: list[Broadcast], length: int = LENGTH) -> DataFrame:
@@ -298,7 +305,8 @@ def spans_by_sorting(found: DataFrame, length: int = LENGTH) -> DataFrame:
 
         def done(table: pa.Table) -> pa.RecordBatch:
             anchor, doc = table["anchor"].to_numpy(), table["doc"].to_numpy()
-            row, offset, size = covered_runs(anchor, doc, table["ctx"].to_pylist(), length)
+            data, sizes = _bytes_of(table.select(["ctx"]).combine_chunks().to_batches()[0], "ctx")
+            row, offset, size = covered_runs(anchor, doc, data, sizes, length)
             which = pa.array(row)
             start = table["start"].to_numpy()[row] + offset
             return pa.RecordBatch.from_arrays([table["doc"].combine_chunks().take(which), table["tag"].combine_chunks().take(which), pa.array(start), pa.array(size)], ["doc", "tag", "start", "size"])
@@ -336,14 +344,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot_docs: int = HOT_DO
     n, hot = anchors.agg(F.count("*"), F.coalesce(F.sum((F.col("n") > hot_docs).cast("long")), F.lit(0))).first()
     shards = max(1, -(-n * PROBES // SHARD_LOAD))
     filters = anchor_filter(anchors, shards) if n else []
+    whole = copies(docs, length)
     if not filters:
-        return docs.sparkSession.createDataFrame([], "doc long, tag long, `start` long, size long")
+        return whole
     found = contexts(docs, filters, length)
     if not hot:
-        return spans_by_sorting(found, length)
+        return spans_by_sorting(found, length).unionByName(whole)
     found = stored(found, "contexts")
     very = anchors.where(F.col("n") > hot_docs).select("anchor")
-    return spans_by_sorting(found.join(very, "anchor", "left_anti"), length).unionByName(spans_by_counting(found.join(very, "anchor", "left_semi"), length))
+    return whole.unionByName(spans_by_sorting(found.join(very, "anchor", "left_anti"), length)).unionByName(spans_by_counting(found.join(very, "anchor", "left_semi"), length))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot_docs: int = HOT_DOCS) -> DataFrame:
@@ -356,16 +365,17 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a huge document may have many spans: they are merged per document, bounded by its own length
     spans = repeated_spans(keyed, length, hot_docs).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    left = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), text.alias("text"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(text, F.length(text)).alias("tag"))
-    joined = left.join(spans, ["doc", "tag"], "left").select("row", "text", "spans")
+    left = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(text, F.length(text)).alias("tag"))
+    joined = left.join(spans, ["doc", "tag"], "left").select("row", "spans")
     schema = joined.schema["row"].dataType
     out = f"row {schema.simpleString()}, kept binary, n_bytes long, n_removed long, spans array<struct<`start`:long,`end`:long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in steps(batches, "text"):
+        for batch in batches:
             kept, total, removed, runs = [], [], [], []
-            for data, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            column = batch.column("row").field(text_col).cast(pa.binary())
+            for data, spans in zip((x.as_py() or b"" for x in column), batch.column("spans").to_pylist(), strict=True):
                 merged: list[list[int]] = []
                 for s, k in sorted((x["start"], x["size"]) for x in spans or ()):
                     if merged and s <= merged[-1][1]:
