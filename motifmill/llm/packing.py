@@ -26,9 +26,9 @@ END_ID = 1
 #: What a cut costs, in padded tokens: at a sentence end, inside a sentence. At a document's end it is free.
 SENTENCE_CUT, INNER_CUT = 3, 48
 #: Ids of documents that are packed together; a longer document is a block of its own.
-BLOCK_IDS = 2_000_000
+BLOCK_IDS = 1_000_000
 #: Bytes of text whose distinct words are encoded together.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 #: The pre-token pattern of the word vocabulary (fixed value).
 WORD_PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
