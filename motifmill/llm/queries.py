@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, packing, quality, simhash, spotsigs, suffix_dedup, toxicity
+from . import bpe, hnsw, ngram_filter, packing, paragraph_minhash, quality, simhash, spotsigs, suffix_dedup, toxicity
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
+def op3_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -32,6 +36,18 @@ def op5_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
 
 
+def op6_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rest = ngram_filter.remainder()
+    model = ngram_filter.train(docs, rest != 2, rest == 3)
+    got = ngram_filter.score(docs, model)
+    return got.select("doc_id", (ngram_filter.remainder() == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op7_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_minhash.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -52,8 +68,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_hnsw_near_dedup": op3_hnsw_near_dedup,
     "op4_packing": op4_packing,
     "op5_kneser_ney_quality": op5_kneser_ney_quality,
+    "op6_log_frequency_bloom": op6_log_frequency_bloom,
+    "op7_paragraph_minhash": op7_paragraph_minhash,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_spotsigs": op9_spotsigs,
     "op10_toxicity": op10_toxicity,
