@@ -35,7 +35,8 @@ def strand_join(seq: Column) -> Column:
 def color_code(seq: Column) -> Column:
     """A digit for each pair of neighbouring bases (0 equal, up to 3), a dot where one is no base; short texts are empty."""
     chars = F.split(seq, "")
-    digit = lambda a, b: F.when((F.locate(a, F.lit(BASES)) > 0) & (F.locate(b, F.lit(BASES)) > 0), (F.instr(F.lit(BASES), a) - 1).bitwiseXOR(F.instr(F.lit(BASES), b) - 1).cast("string")).otherwise(".")
+    place = lambda c: F.position(c, F.lit(BASES)) - 1
+    digit = lambda a, b: F.when((place(a) >= 0) & (place(b) >= 0), place(a).bitwiseXOR(place(b)).cast("string")).otherwise(".")
     pairs = F.zip_with(F.slice(chars, 1, F.size(chars) - 1), F.slice(chars, 2, F.size(chars) - 1), digit)
     return F.when(F.length(seq) < 2, "").otherwise(F.array_join(pairs, ""))
 

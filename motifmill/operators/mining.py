@@ -90,10 +90,10 @@ def mine(sequences: DataFrame, options: MiningOptions) -> DataFrame:
     return kept.join(freqs, "path").select("path", "n_samples", "total_freq", "entropy", "freqs")
 
 
-def row_text(mined: DataFrame) -> DataFrame:
-    """(path, line): 'path entropy sample:freq ...' with six decimals."""
+def row_text(mined: DataFrame, decimals: int = 6) -> DataFrame:
+    """(path, line): 'path entropy sample:freq ...'."""
     pairs = F.array_join(F.transform("freqs", lambda x: F.concat(x["sample"], F.lit(":"), x["freq"].cast("string"))), " ")
-    return mined.select("path", F.concat_ws(" ", "path", F.format_string("%.6f", "entropy"), pairs).alias("line"))
+    return mined.select("path", F.concat_ws(" ", "path", F.format_string(f"%.{decimals}f", F.round("entropy", decimals)), pairs).alias("line"))
 
 
 def parse_rows(lines: DataFrame, column: str = "line") -> DataFrame:
