@@ -412,3 +412,52 @@ def text_chunks(spark: SparkSession, d: str) -> DataFrame:
 def fasta_records(spark: SparkSession, d: str) -> DataFrame:
     head = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit(" "), "role", F.lit("\n"))
     return parse_fasta(table(spark, d, "conversations").select(F.concat(head, F.regexp_replace("text", ">", "")).alias("value")))
+
+
+@query
+def norm_matrices(spark: SparkSession, d: str) -> DataFrame:
+    sizes = table(spark, d, "events").groupBy(F.col("event_type").alias("sample")).agg(F.avg("value").alias("size"))
+    rows = matrices.size_normalised(_counts(spark, d), sizes)
+    got = matrices.pair_matrices(rows, _entropies(spark, d), list(LIMITS), _dims(spark, d))
+    return got.select("max_entropy", "s", "t", F.round("log_d", 6).alias("log_d"), F.round("sqrt_d", 6).alias("sqrt_d"))
+
+
+@query
+def incremental_nodes(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("sample"), seq.dense(F.col("text")).alias("seq"))
+    parts = [mining.nodes(docs.where(F.col("doc_id") % 2 == k).select("sample", "seq"), 1, DEPTH) for k in (0, 1)]
+    return mining.add_up(parts[0].unionByName(parts[1]), FMIN)
+
+
+@query
+def value_before(spark: SparkSession, d: str) -> DataFrame:
+    got = ranks.value_before(stored(_bits(spark, d).select("pos", "bit", "rank1"), "bits"))
+    return got.select("pos", F.coalesce("last_one", F.lit(-1)).alias("last_one"))
+
+
+@query
+def largest_up_to(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").distinct()
+    rows = rows.groupBy("l_orderkey", "l_partkey").agg(F.max("l_linenumber").alias("l_linenumber"))
+    got = ranks.largest_up_to(rows, ["l_orderkey"], "l_partkey", "l_linenumber", 4)
+    return got.select("l_orderkey", "l_partkey", F.coalesce("largest", F.lit(-1)).alias("largest"))
+
+
+@query
+def inverse_suffix_array(spark: SparkSession, d: str) -> DataFrame:
+    ranked = _ranked(spark, d).select("p_partkey", "pos", "sa_rank", "suffix")
+    numbered = with_running(ranked.select("p_partkey", "pos", "sa_rank"), ["p_partkey", "pos"], "value")
+    return ranks.inverse(stored(numbered.select("sa_rank", "value"), "permutation"), "sa_rank", "value")
+
+
+@query
+def sized_parts(spark: SparkSession, d: str) -> DataFrame:
+    size = table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("size"))
+    got = with_running(size, ["doc_id"], "nth", {"upto": F.col("size")})
+    return got.select("doc_id", F.floor((F.col("upto") - F.col("size")) / 100_000).alias("part"))
+
+
+@query
+def top_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The hundred most frequent mined substrings."""
+    return _mined(spark, d).orderBy(F.desc("total_freq"), "path").limit(100).select("path", "total_freq")

@@ -99,7 +99,7 @@ ORACLE_SQL: dict[str, str] = {
     "freq_histogram": f"WITH {MERGED} SELECT n_samples, count(*) AS n_paths FROM br WHERE right_branching AND left_branching AND n_samples >= 2 GROUP BY 1",
     "mine_summary": f"""WITH {MERGED} SELECT count(*) AS total_paths, CAST(count(*) FILTER (WHERE right_branching AND left_branching AND n_samples >= 2) AS BIGINT) AS outputs,
         CAST(sum(n_samples) FILTER (WHERE right_branching AND left_branching AND n_samples >= 2) AS BIGINT) AS occs, round(min(entropy) FILTER (WHERE n_samples > 1), 6) AS min_entropy, round(max(entropy) FILTER (WHERE n_samples > 1), 6) AS max_entropy FROM br""",
-    "row_format": f"""WITH {MERGED}, o AS ({MINED} AND n_samples >= 2), l AS (SELECT path, string_agg(sample || ':' || freq, ' ' ORDER BY sample) AS pairs FROM nodes GROUP BY path)
+    "row_format": f"""WITH {MERGED}, o AS (SELECT path, entropy FROM br WHERE right_branching AND left_branching AND n_samples >= 2), l AS (SELECT path, string_agg(sample || ':' || freq, ' ' ORDER BY sample) AS pairs FROM nodes GROUP BY path)
         SELECT path, path || ' ' || format('{{:.4f}}', round(entropy, 4)) || ' ' || pairs AS line FROM o JOIN l USING (path)""",
     "row_parse": f"WITH {MERGED}, o AS ({MINED} AND n_samples >= 2) SELECT n.path, n.sample, n.freq FROM nodes n JOIN o ON o.path = n.path",
     "run_to_sample": """WITH runs AS (SELECT user_id AS row_id, event_type AS sample, event_id % 2 AS half, count(*) AS freq FROM events GROUP BY 1, 2, 3)
@@ -143,4 +143,15 @@ ORACLE_SQL: dict[str, str] = {
     "page_tags": "SELECT page_id, len(t) AS n, t[1] AS first FROM (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS t FROM pages)",
     "text_chunks": "SELECT doc_id, k AS chunk, substr(text, k * 1000 + 1, 1000) AS part FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil(length(text) / 1000.0) AS BIGINT)))) AS k FROM documents)",
     "fasta_records": "SELECT CAST(conv_id AS VARCHAR) || '/' || turn AS name, replace(replace(text, chr(10), ''), '>', '') AS seq FROM conversations",
+    "norm_matrices": f"""WITH {BUCKETS}, sizes AS (SELECT event_type AS sample, avg(value) AS size FROM events GROUP BY 1), n AS (SELECT row_id, sample, f / size AS f FROM dense JOIN sizes USING (sample)),
+        cells AS (SELECT CAST(l.max_entropy AS DOUBLE) AS max_entropy, a.sample AS s, b.sample AS t, sum(CASE WHEN a.sample < b.sample THEN (ln(1 + a.f) - ln(1 + b.f)) ** 2 ELSE 0 END) AS log_d, sum(CASE WHEN a.sample < b.sample THEN (sqrt(a.f) - sqrt(b.f)) ** 2 ELSE 0 END) AS sqrt_d
+          FROM limits l JOIN bucketed k ON k.max_entropy <= l.max_entropy JOIN n a ON a.row_id = k.row_id JOIN n b ON b.row_id = k.row_id AND a.sample <= b.sample GROUP BY 1, 2, 3),
+        grid AS (SELECT CAST(max_entropy AS DOUBLE) AS max_entropy, a.sample AS s, b.sample AS t FROM limits, dims a, dims b WHERE a.sample <= b.sample)
+        SELECT g.max_entropy, g.s, g.t, round(coalesce(log_d, 0), 6) AS log_d, round(coalesce(sqrt_d, 0), 6) AS sqrt_d FROM grid g LEFT JOIN cells c ON c.max_entropy = g.max_entropy AND c.s = g.s AND c.t = g.t""",
+    "incremental_nodes": f"WITH {NODES} SELECT sample, path, freq, left_char FROM nodes",
+    "value_before": f"WITH {BITS} SELECT pos, coalesce(max(CASE WHEN bit = 1 THEN pos END) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING), -1) AS last_one FROM ranked",
+    "largest_up_to": "WITH r AS (SELECT l_orderkey, l_partkey, max(l_linenumber) AS l_linenumber FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, l_partkey, coalesce(max(CASE WHEN l_linenumber <= 4 THEN l_linenumber END) OVER (PARTITION BY l_orderkey ORDER BY l_partkey ROWS UNBOUNDED PRECEDING), -1) AS largest FROM r",
+    "inverse_suffix_array": f"WITH {SUFFIXES} SELECT row_number() OVER (ORDER BY p_partkey, pos) - 1 AS sa_rank, sa_rank AS value FROM ranked",
+    "sized_parts": "SELECT doc_id, CAST(floor((sum(length(text)) OVER (ORDER BY doc_id) - length(text)) / 100000) AS BIGINT) AS part FROM documents",
+    "top_paths": f"WITH {MERGED} SELECT path, total_freq FROM br WHERE right_branching AND left_branching AND n_samples >= 2 ORDER BY total_freq DESC, path LIMIT 100",
 }

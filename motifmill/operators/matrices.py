@@ -43,6 +43,11 @@ def bucket(entropy: Column, limits: list[float]) -> Column:
     return out
 
 
+def size_normalised(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rows with freq / size in place of freq."""
+    return rows.join(sizes, "sample").select("row_id", "sample", (F.col("freq") / F.col("size")).alias("freq"))
+
+
 def pair_matrices(rows: DataFrame, entropies: DataFrame, limits: list[float], samples: DataFrame) -> DataFrame:
     """(max_entropy, s, t, cnt, log_d, sqrt_d, lgamma_d) for all s <= t and thresholds, cumulative over thresholds.
 

@@ -122,3 +122,9 @@ def mine_deep(sequences: DataFrame, options: MiningOptions, store) -> DataFrame:
         found = level if found is None else found.unionByName(level)
         at = store(path.join(level.select("sample", "path"), ["sample", "path"], "left_semi").drop("path"), "frontier")
         depth += 1
+
+
+def add_up(parts: DataFrame, fmin: int) -> DataFrame:
+    """nodes of a collection from the nodes (fmin 1) of its parts: counts add up before the frequency filter."""
+    got = parts.groupBy("sample", "path").agg(F.sum("freq").alias("freq"), F.min("left_char").alias("low"), F.max("left_char").alias("high"))
+    return got.where(F.col("freq") >= fmin).select("sample", "path", "freq", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("N").alias("left_char"))

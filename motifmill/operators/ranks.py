@@ -59,3 +59,20 @@ def greedy_samples(rows: DataFrame, rate: int, share: float) -> DataFrame:
     left = max(0, want - regular.count())
     heavy = rows.where((F.col("pos") % step != 0) & (F.col("weight") > 0)).orderBy(F.desc("weight"), F.desc("pos")).limit(left)
     return regular.withColumn("regular", F.lit(True)).unionByName(heavy.withColumn("regular", F.lit(False)))
+
+
+def value_before(ranked: DataFrame) -> DataFrame:
+    """(pos, last_one): the last one at or before each position, null if there is none: a join on the one's number."""
+    ones = select_bits(ranked).withColumnRenamed("pos", "last_one")
+    return ranked.select("pos", F.col("rank1").alias("k")).join(ones, "k", "left").select("pos", "last_one")
+
+
+def largest_up_to(rows: DataFrame, group: list[str], order: str, symbol: str, most: int) -> DataFrame:
+    """rows plus largest: the largest symbol <= most among the rows of the group up to this one, null if there is none."""
+    upto = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("largest", F.max(F.when(F.col(symbol) <= most, F.col(symbol))).over(upto))
+
+
+def inverse(permutation: DataFrame, index: str, value: str) -> DataFrame:
+    """(value, index): the inverse of a permutation is its columns' exchange."""
+    return permutation.select(F.col(value).alias(index), F.col(index).alias(value))

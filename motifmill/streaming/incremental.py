@@ -6,10 +6,9 @@ Counts before the frequency filter add up, so each micro-batch appends its own p
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.mining import nodes
+from ..operators.mining import add_up, nodes
 
 
 def follow(sequences: DataFrame, folder: str, checkpoint: str, depth: int) -> StreamingQuery:
@@ -23,6 +22,4 @@ def follow(sequences: DataFrame, folder: str, checkpoint: str, depth: int) -> St
 
 def current(spark: SparkSession, folder: str, fmin: int) -> DataFrame:
     """(sample, path, freq, left_char) of all batches so far."""
-    parts = spark.read.parquet(folder)
-    got = parts.groupBy("sample", "path").agg(F.sum("freq").alias("freq"), F.min("left_char").alias("low"), F.max("left_char").alias("high"))
-    return got.where(F.col("freq") >= fmin).select("sample", "path", "freq", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("N").alias("left_char"))
+    return add_up(spark.read.parquet(folder), fmin)
