@@ -12,7 +12,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, steps, stored, texts
@@ -49,15 +49,21 @@ def simhash(text: str | None, width: int = 3) -> int:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp): one row per row of docs, fp the fingerprint as a signed long. Null text counts as empty."""
+    """(id, tag, fp): one row per row of docs; fp is the fingerprint as a signed long, tag a hash of the text, which
+    tells rows with equal ids apart. Null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, text_col):
             prints = np.array([simhash(t, width) for t in texts(batch, text_col).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(prints.view(np.int64))], [id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("tag"), pa.array(prints.view(np.int64))], [id_col, "tag", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return docs.select(id_col, text_tag(text_col).alias("tag"), text_col).mapInArrow(run, f"`{id_col}` {kind}, tag long, fp long")
+
+
+def text_tag(text_col: str) -> Column:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.xxhash64(text, F.length(text))
 
 
 def ball(radius: int) -> list[int]:
@@ -81,7 +87,7 @@ def fingerprint_links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2) -> DataFrame:
-    """(id, fingerprint, component_id) for every row of docs.
+    """(id, fingerprint, component_id, tag, root) for every row of docs; root names the component by a fingerprint.
 
     component_id is the least id that links within max_bits reach. Null texts count as empty; empty texts have
     fingerprint zero and link like others; rows with a null id get a component but never name it unless the whole
@@ -91,22 +97,24 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prints = rows.groupBy("fp").agg(F.min(id_col).alias("least_id"))
     roots = connected_components(fingerprint_links(prints.select("fp")), "a", "b", "simhash-links")
     rooted = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "tag", "root")
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2) -> DataFrame:
-    """docs without the near copies: of each component the row with the least id stays (one of them, if ids repeat).
-
-    Rows with a null id cannot be named by a component and stay. All columns are kept as they are."""
-    got = simhash_components(docs, id_col, text_col, width, max_bits)
-    gone = got.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    left = docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
-    repeated = docs.groupBy(id_col).agg(F.count("*").alias("__n")).where(f"__n > 1 and `{id_col}` is not null").select(F.col(id_col).alias("__again"))
+    """docs without the near copies: of each component one row stays, that with the least id (and text hash).
+
+    Of rows that repeat both id and text one stays. Rows with a null id cannot be ordered and stay. All columns are kept
+    as they are. Only the rows to leave out are joined with the texts."""
+    got = stored(simhash_components(docs, id_col, text_col, width, max_bits).where(F.col(id_col).isNotNull()), "simhash-groups")
+    first = got.groupBy("root").agg(F.min(F.struct(F.col(id_col).alias("id"), "tag")).alias("first"))
+    gone = got.join(first, "root").where((F.col(id_col) != F.col("first.id")) | (F.col("tag") != F.col("first.tag"))).select(F.col(id_col).alias("__id"), F.col("tag").alias("__tag")).distinct()
+    left = docs.join(gone, (docs[id_col] == F.col("__id")) & (text_tag(text_col) == F.col("__tag")), "left_anti")
+    repeated = stored(got.groupBy(F.col(id_col).alias("__id"), F.col("tag").alias("__tag")).agg(F.count("*").alias("n")).where("n > 1").select("__id", "__tag"), "simhash-repeats")
     if repeated.isEmpty():
         return left
+    same = (left[id_col] == F.col("__id")) & (text_tag(text_col) == F.col("__tag"))
     nth = fresh(docs, "nth")
-    order = Window.partitionBy(id_col).orderBy(text_col)
-    alone = left.join(repeated, left[id_col] == F.col("__again"), "left_anti")
-    again = left.join(repeated, left[id_col] == F.col("__again"), "left_semi").withColumn(nth, F.row_number().over(order)).where(f"`{nth}` = 1").drop(nth)
-    return alone.unionByName(again)
+    order = Window.partitionBy(id_col, text_tag(text_col)).orderBy(text_col)
+    again = left.join(repeated, same, "left_semi").withColumn(nth, F.row_number().over(order)).where(f"`{nth}` = 1").drop(nth)
+    return left.join(repeated, same, "left_anti").unionByName(again)
