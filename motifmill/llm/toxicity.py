@@ -25,7 +25,7 @@ TRAIN_ROWS, LEXICON = 24_000, 300
 #: Lengths of word beginnings in the lexicon; 0 stands for whole words.
 KINDS = (0, 4, 5, 6, 7)
 #: A lexicon entry is in the toxic texts this many times as often (as a logarithm) and in so many groups of texts.
-LEAST_ODDS, LEAST_GROUPS = 1.2, 5
+LEAST_ODDS, LEAST_GROUPS = 1.2, 3
 TIERS = (3.0, 1.2)
 THRESHOLDS = (1, 2, 3, 5)
 CUT = 0.3
