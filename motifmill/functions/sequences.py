@@ -79,3 +79,26 @@ def mismatches(a: Column, b: Column) -> Column:
     pairs = F.arrays_zip(F.split(a, "").alias("a"), F.split(b, "").alias("b"))
     listed = F.filter(F.transform(pairs, lambda x, i: F.when(x["a"] != x["b"], F.concat(i.cast("string"), F.lit(" "), x["b"]))), lambda x: x.isNotNull())
     return F.when(F.length(a) == F.length(b), F.array_join(listed, " "))
+
+
+def bit_length(n: Column) -> Column:
+    """Binary digits of a non-negative integer; one for 0."""
+    return F.length(F.bin(n))
+
+
+def floor_log2(n: Column) -> Column:
+    return F.when(n < 1, 0).otherwise(bit_length(n) - 1)
+
+
+def ceil_log2(n: Column) -> Column:
+    return F.when(n <= 1, 0).otherwise(bit_length(n - 1))
+
+
+def next_multiple(n: Column, of: int) -> Column:
+    """The least multiple that is strictly greater."""
+    return (F.floor(n / of) + 1) * of
+
+
+def trimmed(text: Column, n: int) -> Column:
+    """A pattern without n characters on either side; empty if nothing is left."""
+    return F.when(F.length(text) <= 2 * n, "").otherwise(F.substring(text, F.lit(n + 1), F.length(text) - 2 * n))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as seq
@@ -461,3 +461,47 @@ def sized_parts(spark: SparkSession, d: str) -> DataFrame:
 def top_paths(spark: SparkSession, d: str) -> DataFrame:
     """The hundred most frequent mined substrings."""
     return _mined(spark, d).orderBy(F.desc("total_freq"), "path").limit(100).select("path", "total_freq")
+
+
+@query
+def integer_logs(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n_chars")
+    return table(spark, d, "documents").select("doc_id", seq.bit_length(n).alias("bits"), seq.floor_log2(n).alias("low"), seq.ceil_log2(n).alias("high"), seq.next_multiple(n, 16).alias("multiple"))
+
+
+@query
+def pattern_trim(spark: SparkSession, d: str) -> DataFrame:
+    cut = seq.trimmed(seq.normalize(F.col("text")), 20)
+    return table(spark, d, "benchmark").select("item_id", cut.alias("pattern"), seq.reverse_complement(cut).alias("reversed"))
+
+
+@query
+def tab_rows(spark: SparkSession, d: str) -> DataFrame:
+    found = pattern_locate(spark, d).select("pattern", "conv_id", "turn", "pos", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("ref"))
+    found = found.withColumn("width", F.lit(GRAM)).withColumn("strand", F.lit("F"))
+    return found.select("pattern", "ref", "pos", alignment.tab_line("pattern", "ref", "pos", "width", "strand").alias("line"))
+
+
+@query
+def sam_rows(spark: SparkSession, d: str) -> DataFrame:
+    found = pattern_locate(spark, d).select("pattern", "pos", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("ref"))
+    found = found.withColumn("cigar", F.lit(f"{GRAM}M")).withColumn("reverse", F.lit(False))
+    return found.select("pattern", "ref", "pos", alignment.sam_line("pattern", "ref", "pos", "cigar", "pattern", "reverse").alias("line"))
+
+
+@query
+def symbol_select(spark: SparkSession, d: str) -> DataFrame:
+    return symbol_rank(spark, d).select("l_orderkey", "l_returnflag", F.col("sym_rank").alias("k"), "l_linenumber")
+
+
+@query
+def sequence_suffixes(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("text"))
+    own = Window.partitionBy("p_partkey").orderBy("suffix")
+    return text.suffixes(names, "p_partkey").select("p_partkey", F.col("pos").cast("long").alias("pos"), (F.row_number().over(own) - 1).cast("long").alias("own_rank"))
+
+
+@query
+def weighted_positions(spark: SparkSession, d: str) -> DataFrame:
+    weights = table(spark, d, "documents").select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("weight"))
+    return ranks.systematic_positions(weights, ["doc_id"], "weight", 100)

@@ -154,4 +154,12 @@ ORACLE_SQL: dict[str, str] = {
     "inverse_suffix_array": f"WITH {SUFFIXES} SELECT row_number() OVER (ORDER BY p_partkey, pos) - 1 AS sa_rank, sa_rank AS value FROM ranked",
     "sized_parts": "SELECT doc_id, CAST(floor((sum(length(text)) OVER (ORDER BY doc_id) - length(text)) / 100000) AS BIGINT) AS part FROM documents",
     "top_paths": f"WITH {MERGED} SELECT path, total_freq FROM br WHERE right_branching AND left_branching AND n_samples >= 2 ORDER BY total_freq DESC, path LIMIT 100",
+    "integer_logs": "SELECT doc_id, CAST(length(bin(n_chars)) AS INTEGER) AS bits, CAST(CASE WHEN n_chars < 1 THEN 0 ELSE length(bin(n_chars)) - 1 END AS INTEGER) AS low, CAST(CASE WHEN n_chars <= 1 THEN 0 ELSE length(bin(n_chars - 1)) END AS INTEGER) AS high, (n_chars // 16 + 1) * 16 AS multiple FROM documents",
+    "pattern_trim": f"WITH p AS (SELECT item_id, CASE WHEN length(text) <= 40 THEN '' ELSE substr({NORMAL}, 21, length({NORMAL}) - 40) END AS pattern FROM benchmark) SELECT item_id, pattern, translate(reverse(pattern), 'ACGT', 'TGCA') AS reversed FROM p",
+    "tab_rows": f"WITH {OCCURRENCES} SELECT pattern, conv_id || '/' || turn AS ref, pos, concat_ws(chr(9), pattern, conv_id || '/' || turn, pos + 1, pos + {GRAM}, 'F') AS line FROM occ",
+    "sam_rows": f"WITH {OCCURRENCES} SELECT pattern, conv_id || '/' || turn AS ref, pos, concat_ws(chr(9), pattern, '0', conv_id || '/' || turn, pos + 1, '255', '{GRAM}M', '*', '0', '0', pattern, '*') AS line FROM occ",
+    "symbol_select": "SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS k, l_linenumber FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem)",
+    "sequence_suffixes": f"WITH {SUFFIXES} SELECT p_partkey, pos, row_number() OVER (PARTITION BY p_partkey ORDER BY suffix) - 1 AS own_rank FROM suf",
+    "weighted_positions": """WITH w AS (SELECT doc_id, coalesce(n_chars, 0) AS weight FROM documents), c AS (SELECT doc_id, weight, sum(weight) OVER (ORDER BY doc_id) AS upto FROM w), k AS (SELECT unnest(range(0, 100)) AS draw)
+        SELECT draw, doc_id FROM k JOIN c ON (2 * draw + 1) * (SELECT sum(weight) FROM w) > 200 * (upto - weight) AND (2 * draw + 1) * (SELECT sum(weight) FROM w) <= 200 * upto""",
 }
