@@ -11,6 +11,7 @@ import public_tokenizers
 
 from . import bpe, hnsw, ngram_filter, packing, paragraph_minhash, quality, simhash, spotsigs, suffix_dedup, toxicity
 from .common import table
+from .sql import OP3, OP8
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_hnsw_near_dedup": OP3, "op8_suffix_dedup": OP8}
