@@ -19,7 +19,7 @@ from .components import connected_components
 
 THRESHOLD = 0.95
 #: Vectors in a shard, about; links of a node (twice as many on the ground level); beams of building and searching.
-SHARD_ROWS, LINKS, BUILD_BEAM, SEARCH_BEAM, WIDEST_BEAM = 16_384, 16, 40, 24, 192
+SHARD_ROWS, LINKS, BUILD_BEAM, SEARCH_BEAM, WIDEST_BEAM = 65_536, 16, 40, 24, 192
 #: Queries that walk together, of which AUDITED are held against brute force, and the recall they must reach.
 BLOCK, AUDITED, RECALL = 512, 24, 0.99
 
