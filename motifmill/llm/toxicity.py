@@ -55,7 +55,8 @@ def with_groups(docs: DataFrame, label: str) -> DataFrame:
                 shingle = mix64(mix64(mix64(code[index[:-2]]) + code[index[1:-1]]) + code[index[2:]]) if len(index) > 2 else np.zeros(0, np.uint64)
             inside = doc[:-2] == doc[2:] if len(doc) > 2 else np.zeros(0, bool)
             least = np.full(batch.num_rows, np.iinfo(np.uint64).max, np.uint64)
-            np.minimum.at(least, doc[:-2][inside], shingle[inside]) if len(shingle) else None
+            if inside.any():
+                np.minimum.at(least, doc[:-2][inside], shingle[inside])
             yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column(label), pa.array(least.view(np.int64))], ["text", "label", "grp"])
 
     return docs.select("text", label).mapInArrow(run, "text string, label int, grp long")
