@@ -4,7 +4,8 @@ A text's paragraphs are its lines and, within lines, blocks of sentences. Blocks
 hash lowest among the sentences nearby and end at the first sentence end BLOCK_WORDS words on: both depend on the words
 there alone, so a passage set into other text has the same blocks in all its places. Equal paragraphs are one unit. Units collide
 in bands of minima over five-word shingles, colliding units are verified by exact Jaccard, linked units make classes,
-and of each class only the first occurrence is kept."""
+and of each class only the first occurrence is kept. In a crowded bucket neighbours are verified first; what they leave
+in different classes is then verified in pieces of bounded size, block of units against block, until no pair is open."""
 
 from __future__ import annotations
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import SHARD_LOAD, broadcast_rows, contains, filled, one_by_one, shard_of
-from .common import flat_ranges, mix64, starts_of, steps, stored, texts, word_ids
+from .common import flat_ranges, hand_back, mix64, starts_of, steps, stored, texts, word_ids
 from .components import connected_components
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -28,8 +29,10 @@ ROWS, RECALL = 2, 0.99
 #: Words of the smallest paragraph, least and most words of a block that its line does not cut short, and the distance in
 #: words within which a sentence must hash lowest to start one. Blocks that overlap stay under the threshold by these.
 LEAST_WORDS, BLOCK_WORDS, MOST_WORDS, NEARBY = 8, 12, 24, 5
-#: A unit is compared with so many neighbours before it in its bucket (smaller buckets: with all), and with the first.
+#: A unit is first compared with so many neighbours before it in its bucket (smaller buckets: with all), and with the first.
 NEIGHBOURS = 8
+#: Shingles of a block of a crowded bucket, and pairs of equal shingles that are counted at a time.
+BLOCK_SHINGLES, COUNTED = 1 << 17, 1 << 22
 PROBES = 6
 BREAK = "\x1e"
 BASE = 0x9E3779B97F4A7C15
@@ -125,7 +128,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def collisions(docs: DataFrame, bands: int) -> DataFrame:
-    """(a, b): units that share a band, each with its neighbours and with the first of the bucket. docs: text.
+    """(a, b, band): units that share a band, each with its neighbours and with the first of the bucket (band null), and
+    the units a of every bucket that holds more than those (b null). docs: text.
 
     A unit is one row a step and band; buckets are read in order with a window of NEIGHBOURS units, so a bucket's rows
     and pairs grow with its units, never with their square."""
@@ -142,7 +146,7 @@ def collisions(docs: DataFrame, bands: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[:, band].view(np.int64)), pa.array(unit.view(np.int64))], ["band", "unit"])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band, unit, leader = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        band, unit, leader, rank = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             old = len(band)
             band, unit = np.append(band, batch.column("band").to_numpy()), np.append(unit, batch.column("unit").to_numpy())
@@ -153,8 +157,9 @@ def collisions(docs: DataFrame, bands: int) -> DataFrame:
             head = np.ones(len(band), bool)
             head[1:] = band[1:] != band[:-1]
             first = np.maximum.accumulate(np.where(head, np.arange(len(band)), 0))
-            lead = unit[first]
+            lead, gone, rank = unit[first], rank, np.arange(len(band)) - first
             if old:  # the first bucket may go on from before
+                rank[first == first[0]] += gone[0]
                 lead[first == first[0]] = np.where(band[first == first[0]] == band[0], leader[0], lead[first == first[0]])
                 lead[:old] = leader
             fresh_ = np.arange(len(band)) >= old
@@ -164,11 +169,15 @@ def collisions(docs: DataFrame, bands: int) -> DataFrame:
                 a.append(unit[same])
                 b.append(unit[same + k])
             a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-            band, unit, leader = band[-NEIGHBOURS:], unit[-NEIGHBOURS:], lead[-NEIGHBOURS:]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], ["a", "b", "band"])
+            over = np.flatnonzero(fresh_ & (rank > NEIGHBOURS))
+            full = np.flatnonzero(fresh_ & (rank == NEIGHBOURS + 1))  # the first row past the window: those before it belong to the bucket too
+            a = np.concatenate((unit[over], lead[full], *(unit[full - k] for k in range(1, NEIGHBOURS + 1))))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(np.append(band[over], np.tile(band[full], NEIGHBOURS + 1)))], ["a", "b", "band"])
+            band, unit, leader, rank = band[-NEIGHBOURS:], unit[-NEIGHBOURS:], lead[-NEIGHBOURS:], rank[-NEIGHBOURS:]
 
     rows = docs.select("text").mapInArrow(run, "band long, unit long")
-    return rows.repartition("band").sortWithinPartitions("band", "unit").mapInArrow(pair, "a long, b long").where("a <> b").distinct()
+    return rows.repartition("band").sortWithinPartitions("band", "unit").mapInArrow(pair, "a long, b long, band long").distinct()
 
 
 def unit_filter(units: DataFrame, n: int) -> list[Broadcast]:
@@ -215,17 +224,123 @@ def shingle_sets(docs: DataFrame, wanted: list[Broadcast]) -> DataFrame:
     return rows.dropDuplicates(["unit"]).select("unit", F.array_distinct("shingles").alias("shingles"))
 
 
-def similar_units(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): different units that collide and have at least this Jaccard similarity of shingle sets. docs: text."""
-    pairs = stored(collisions(docs, bands_for(threshold)), "collisions")
+def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label (each entry's least known peer) after linking the labels a with the labels b."""
+    a, b = label[a], label[b]
+    while (a != b).any():
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+        a, b = label[a], label[b]
+    return label
+
+
+def _joined(group: np.ndarray, comp: np.ndarray, size: np.ndarray, shingles: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): links between the components of rows of one group that have at least this Jaccard similarity.
+
+    Every pair of a group is looked at unless its rows are linked already; shared shingles are counted along the lists
+    of rows that have the same shingle, COUNTED pairs at a time. Rows of a group stand together."""
+    n, row = len(group), np.repeat(np.arange(len(group)), size)
+    names, own = np.unique(comp, return_inverse=True)
+    label = np.arange(len(names))
+    heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    of = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, n)))
+    with np.errstate(over="ignore"):
+        code = mix64(shingles.view(np.uint64) + mix64(of.astype(np.uint64) + np.uint64(1))[row])
+    order = np.argsort(code, kind="stable")
+    last = np.flatnonzero(np.append(code[order][1:] != code[order][:-1], True))
+    after = np.empty(len(code), np.int64)
+    place = np.empty(len(code), np.int64)
+    after[order] = np.repeat(last, np.diff(np.append(-1, last))) - np.arange(len(code))
+    place[order] = np.arange(len(code))
+    ends, entries = np.cumsum(np.bincount(row, weights=after, minlength=n)), np.append(0, np.cumsum(size))
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COUNTED, side="right")))
+        now = label[own]
+        alive = np.minimum.reduceat(now, heads) < np.maximum.reduceat(now, heads)
+        e = np.arange(entries[at], entries[to])
+        e = e[(after[e] > 0) & alive[of[row[e]]]]
+        if len(e):
+            left = np.repeat(row[e], after[e])
+            right = row[order[flat_ranges(place[e] + 1, after[e])]]
+            width = int((right - left).max()) + 1
+            cell = (left - at) * width + right - left
+            if (to - at) * width <= 4 * COUNTED:
+                shared = np.bincount(cell)
+                cell = np.flatnonzero(shared)
+                shared = shared[cell]
+            else:
+                cell, shared = np.unique(cell, return_counts=True)
+            left, right = cell // width + at, cell // width + at + cell % width
+            alike = (now[left] != now[right]) & (shared >= (size[left] + size[right] - shared) * threshold - 1e-9)
+            label = _merged(label, own[left[alike]], own[right[alike]])
+        at = to
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return names[moved], names[label[moved]]
+
+
+def crowded_links(crowded: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(a, b): components to link, from all pairs of units that share a bucket and not yet a component.
+
+    crowded: band, unit, comp; sets: unit, shingles. A bucket of several components is dealt by the units' hashes into
+    blocks of about so many shingles, and each two blocks are joined by themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(rows: pa.Table) -> pa.RecordBatch:
+            key = np.stack([rows.column(c).to_numpy() for c in ("band", "lo", "hi")])
+            group = np.cumsum(np.append(0, (key[:, 1:] != key[:, :-1]).any(0)))
+            lists = rows.column("shingles").combine_chunks()
+            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            found = _joined(group, rows.column("comp").to_numpy(), size, lists.flatten().to_numpy(), threshold)
+            return pa.RecordBatch.from_arrays([*map(pa.array, found)], ["a", "b"])
+
+        held, load = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            load += len(batch.column("shingles").flatten())
+            if load >= 2 * block_shingles:
+                rows = pa.Table.from_batches(held)
+                key = np.stack([rows.column(c).to_numpy() for c in ("band", "lo", "hi")])
+                cut = int(np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0)))[-1])  # the last piece may go on
+                if cut:
+                    yield done(rows.slice(0, cut))
+                    held = rows.slice(cut).to_batches()
+                    load = sum(len(x.column("shingles").flatten()) for x in held)
+        if held:
+            yield done(pa.Table.from_batches(held))
+        hand_back()
+
+    sized = crowded.join(sets.select("unit", F.size("shingles").cast("long").alias("n")), "unit")
+    several = sized.groupBy("band").agg(F.sum("n").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
+    blocks = several.select("band", F.ceil(F.col("n") / block_shingles).cast("int").alias("blocks"))
+    dealt = crowded.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("unit"), "blocks").cast("int"))
+    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
+    pieces = dealt.withColumn("other", F.explode(other)).select("unit", "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "comp")
+    rows = pieces.join(sets, "unit").select("band", "lo", "hi", "comp", "shingles")
+    return rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(run, "a long, b long")
+
+
+def unit_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, root): units linked, at one or more removes, by sharing a band and having at least this Jaccard similarity
+    of shingle sets. docs: text."""
+    found = stored(collisions(docs, bands_for(threshold)), "collisions")
+    pairs, crowded = found.where("b is not null").select("a", "b"), found.where("b is null").select("band", F.col("a").alias("unit"))
     units = stored(pairs.select(F.explode(F.array("a", "b")).alias("unit")).distinct(), "colliding")
     n = units.count()
     if not n:
-        return pairs
+        return connected_components(pairs, "a", "b", "paragraphs")
     sets = stored(shingle_sets(docs, unit_filter(units, n)), "shingles")
     both = pairs.join(sets.select(F.col("unit").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("unit").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared >= (F.size("sa") + F.size("sb") - shared) * threshold - 1e-9).select("a", "b")
+    roots = connected_components(both.where(shared >= (F.size("sa") + F.size("sb") - shared) * threshold - 1e-9).select("a", "b"), "a", "b", "paragraphs")
+    named = stored(crowded.join(roots, crowded.unit == roots.node, "left").select("band", "unit", F.coalesce("root", "unit").alias("comp")), "crowded")
+    later = connected_components(crowded_links(named, sets, threshold), "a", "b", "crowded-links").select(F.col("node").alias("comp"), F.col("root").alias("last"))
+    # units that were alone until now have no root yet
+    alone = later.join(roots, later.comp == roots.node, "left_anti").select(F.col("comp").alias("node"), F.col("last").alias("root"))
+    return roots.join(later, roots.root == later.comp, "left").select("node", F.coalesce("last", "root").alias("root")).unionByName(alone)
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -234,9 +349,9 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind is line or block, start and size count words (runs without ASCII white space) of the document, class_id names
     the class of linked paragraphs and class_size its occurrences; the one in the least id (null ids last), at the least
     place, is kept. Paragraphs under LEAST_WORDS words and null or empty texts have no rows; repeated rows repeat each
-    other. Buckets larger than NEIGHBOURS link through neighbours and their first unit, not through all pairs."""
+    other. All units that share a bucket are compared, unless they are in one class already."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    roots = connected_components(similar_units(rows, threshold), "a", "b", "paragraphs")
+    roots = unit_classes(rows, threshold)
     found = stored(occurrences(rows), "paragraphs")
     # one row a unit, then a class; both are summed before they are joined, so a frequent paragraph is no burden
     place = F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), F.col("start"), F.col("kind"))

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -162,6 +163,39 @@ def test_paragraphs_find_planted_passages(spark):
     assert paragraph_minhash.repeated_paragraphs(docs.limit(0)).count() == 0
 
 
+def test_variants_of_a_line_are_linked_to_their_original(spark):
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(60)]
+    lines = [" ".join(words), *(" ".join([*words[: (at := 4 + k % 50)], f"changed{k}", *words[at + 1 :]]) for k in range(400))]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = [r for r in paragraph_minhash.repeated_paragraphs(docs).collect() if r["kind"] == "line"]
+    # a variant is found if it shares a band with the original: all but one in a hundred at 0.8
+    code, _, at, to, kind, _, _, _ = paragraph_minhash._paragraphs(pa.array(lines))
+    keys = paragraph_minhash._band_keys(code, at[kind == 0], to[kind == 0], kind[kind == 0], paragraph_minhash.bands_for())
+    near = {0} | set(np.flatnonzero((keys == keys[0]).any(1)).tolist())
+    assert len(near) >= 390
+    classes = {r["doc_id"]: r["class_id"] for r in got}
+    assert near <= set(classes) and len({classes[d] for d in near}) == 1
+
+
+@pytest.mark.parametrize("block", [40, 1 << 17])
+def test_crowded_buckets_are_joined_wholly(spark, block):
+    rnd = random.Random(12)
+    sets, crowded = {}, []
+    for band in range(6):
+        base = [rnd.getrandbits(40) for _ in range(30)]
+        for k in range(40):
+            unit = band * 100 + k
+            sets[unit] = [*rnd.sample(base, rnd.randint(24, 30)), *(rnd.getrandbits(40) for _ in range(rnd.randint(0, 2)))]
+            crowded.append((band, unit, unit))
+    links = paragraph_minhash.crowded_links(spark.createDataFrame(crowded, "band long, unit long, comp long"), spark.createDataFrame(list(sets.items()), "unit long, shingles array<long>"), block_shingles=block)
+    alike = lambda a, b: len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b)) - 1e-9
+    want = union([(a, b) for a in sets for b in sets if a < b and a // 100 == b // 100 and alike(sets[a], sets[b])], sets)
+    assert len(set(want.values())) > 6
+    got = union([(r["a"], r["b"]) for r in links.collect()], sets)
+    assert got == want
+
+
 def test_bands_are_tuned_for_recall():
     bands = paragraph_minhash.bands_for(0.8, 2, 0.99)
     assert 1 - (1 - 0.8**2) ** bands >= 0.99 > 1 - (1 - 0.8**2) ** (bands - 1)
