@@ -1,8 +1,10 @@
 """Repeated passages by MinHash banding of paragraphs.
 
-A text's paragraphs are its lines and, within lines, blocks of sentences. Blocks start at sentences whose first words
-hash lowest among the sentences nearby and end at the first sentence end BLOCK_WORDS words on: both depend on the words
-there alone, so a passage set into other text has the same blocks in all its places. Equal paragraphs are one unit. Units collide
+A text's paragraphs are its lines and, within lines, blocks of sentences. Blocks start with the line, at sentences whose
+first words hash lowest among the sentences nearby and, far from any sentence's start, at words that hash lowest among the
+words nearby; they end at the first sentence end BLOCK_WORDS words on, or after MOST_WORDS, and further blocks fill what
+is left up to the next start. All this depends on the words there alone, so a passage set into other text has the same
+blocks in all its places, and the blocks of a line hold all its words. Equal paragraphs are one unit. Units collide
 in bands of minima over five-word shingles, colliding units are verified by exact Jaccard, linked units make classes,
 and of each class only the first occurrence is kept. In a crowded bucket neighbours are verified first; what they leave
 in different classes is then verified in pieces of bounded size, block of units against block, until no pair is open."""
@@ -20,15 +22,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import SHARD_LOAD, broadcast_rows, contains, filled, one_by_one, shard_of
-from .common import flat_ranges, hand_back, mix64, starts_of, steps, stored, texts, word_ids
+from .common import discard, flat_ranges, hand_back, mix64, starts_of, steps, stored, texts, word_ids
 from .components import connected_components
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Minima in a band, and the chance that a pair at the threshold shares a band.
 ROWS, RECALL = 2, 0.99
-#: Words of the smallest paragraph, least and most words of a block that its line does not cut short, and the distance in
-#: words within which a sentence must hash lowest to start one. Blocks that overlap stay under the threshold by these.
-LEAST_WORDS, BLOCK_WORDS, MOST_WORDS, NEARBY = 8, 12, 24, 5
+#: Words of the smallest block (a rest of fewer goes to the block before it), least and most words of a block that its line
+#: or the next start does not cut short, and the distance in words within which a sentence must hash lowest to start one.
+#: Blocks that overlap stay under the threshold by these.
+LEAST_WORDS, BLOCK_WORDS, MOST_WORDS, NEARBY = WIDTH, 12, 24, 5
+#: The distance in words within which no sentence starts and a word must hash lowest to start a block.
+INSIDE = 8
+#: The end of a sentence's last word: a stop, and quotes or brackets that close after it.
+STOP = "[.!?][\"'\u201d\u2019\u00bb)\\]}*_]*$"
 #: A unit is first compared with so many neighbours before it in its bucket (smaller buckets: with all), and with the first.
 NEIGHBOURS = 8
 #: Shingles of a block of a crowded bucket, and pairs of equal shingles that are counted at a time.
@@ -43,6 +50,51 @@ def bands_for(threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RE
     return int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**rows)))
 
 
+def _block_starts(begins: np.ndarray, heads: np.ndarray, line_end: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Where blocks start: at lines' heads, sentences (begins) of least rank nearby, and words of least rank far from these."""
+    n, at = len(rank), np.arange(len(rank))
+    own, line = np.where(heads[begins], np.uint64(0), rank[begins]), line_end[begins]
+    lowest = np.ones(len(begins), bool)
+    for k in range(1, NEARBY + 1):  # sentences have a word at least
+        near = (begins[k:] - begins[:-k] <= NEARBY) & (line[k:] == line[:-k])
+        lowest[:-k] &= ~near | (own[:-k] < own[k:])
+        lowest[k:] &= ~near | (own[k:] <= own[:-k])
+    room = line - begins + 1 >= LEAST_WORDS
+    is_begin = np.zeros(n, bool)
+    is_begin[begins] = True
+    since = at - np.maximum.accumulate(np.where(is_begin, at, -1))
+    until = np.minimum.accumulate(np.where(is_begin, at, n + INSIDE)[::-1])[::-1] - at
+    far = np.flatnonzero((since > INSIDE) & (until > INSIDE) & (line_end - at + 1 >= LEAST_WORDS))
+    least = np.ones(len(far), bool)
+    for k in range(1, INSIDE + 1):
+        least &= (far + k > line_end[far]) | (rank[far] < rank[np.minimum(far + k, n - 1)])
+        least &= rank[far] <= rank[far - k]
+    return np.sort(np.concatenate((begins[lowest & (room | heads[begins])], far[least])))
+
+
+def _tiles(starts: np.ndarray, line_end: np.ndarray, any_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last token + 1) of the blocks from each start up to the next one or the line's end, in order."""
+
+    def ends(at: np.ndarray) -> np.ndarray:
+        return np.minimum(any_end[np.minimum(at + BLOCK_WORDS - 1, line_end[at])] + 1, at + MOST_WORDS)
+
+    at = starts
+    limit = np.minimum(np.append(starts[1:], len(line_end))[: len(starts)], line_end[starts] + 1)
+    to, found = ends(at), []
+    while len(at):
+        rest = limit - to
+        to = np.where((rest > 0) & (rest < LEAST_WORDS), limit, to)
+        found.append((at, to))
+        open_ = to < limit
+        at, limit = to[open_], limit[open_]
+        to = np.minimum(ends(at), limit)
+    if not found:
+        return starts, starts
+    at, to = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(at, kind="stable")
+    return at[order], to[order]
+
+
 def _paragraphs(text: pa.Array) -> tuple[np.ndarray, ...]:
     """(code of each token, document, first and last token + 1, kind, words before it) of lines (0) and blocks (1).
 
@@ -55,31 +107,26 @@ def _paragraphs(text: pa.Array) -> tuple[np.ndarray, ...]:
         none = np.zeros(0, np.int64)
         return code, none, none, none, none, none, words, index
     is_break = pc.equal(words, BREAK).to_numpy(zero_copy_only=False)[index]
-    stop = pc.match_substring_regex(words, "[.!?]$").to_numpy(zero_copy_only=False)[index]
+    stop = pc.match_substring_regex(words, STOP).to_numpy(zero_copy_only=False)[index]
     ends_doc = np.append(doc[1:] != doc[:-1], True)
     ends_line = ends_doc | np.append(is_break[1:], True) | is_break
     at = np.arange(n)
     after = lambda ends: np.minimum.accumulate(np.where(ends, at, n)[::-1])[::-1]  # noqa: E731  the first end from each token on
     line_end, any_end = after(ends_line), after(ends_line | stop)
-    begins = np.flatnonzero(np.append(True, (ends_line | stop)[:-1]) & ~is_break)
+    heads = np.append(True, ends_line[:-1])
+    begins = np.flatnonzero((heads | np.append(True, stop[:-1])) & ~is_break)
     with np.errstate(over="ignore"):
-        rank = mix64(code * np.uint64(3) + np.append(code[1:], np.uint64(0)))[begins]
-    lowest = np.ones(len(begins), bool)
-    for k in range(1, NEARBY + 1):  # sentences have a word at least
-        near = begins[k:] - begins[:-k] <= NEARBY
-        lowest[:-k] &= ~near | (rank[:-k] < rank[k:])
-        lowest[k:] &= ~near | (rank[k:] <= rank[:-k])
-    begins = begins[lowest]
+        rank = mix64(code * np.uint64(3) + np.append(code[1:], np.uint64(0)))
+    starts = _block_starts(begins, heads, line_end, rank)
     lines = np.flatnonzero(ends_line) + 1
-    sentence = any_end[np.minimum(begins + BLOCK_WORDS - 1, line_end[begins])] + 1
-    spans = ((np.append(0, lines[:-1]), lines), (begins, np.minimum(sentence, begins + MOST_WORDS)))
+    spans = ((np.append(0, lines[:-1]), lines), _tiles(starts, line_end, any_end))
     plain = np.cumsum(~is_break)
     doc_start = starts_of(doc, len(text))[:-1]
     found = []
     for kind, (at, to) in enumerate(spans):
-        keep = ~is_break[at] & (to - at >= LEAST_WORDS)
+        keep = ~is_break[at]
         if kind:  # a block that is its whole line is there already
-            keep &= ~(ends_line[to - 1] & np.append(True, ends_line)[at])
+            keep &= (to - at >= LEAST_WORDS) & ~(ends_line[to - 1] & heads[at])
         at, to = at[keep], to[keep]
         found.append((doc[at].astype(np.int64), at, to, np.full(len(at), kind), plain[at] - 1 - np.where(doc_start[doc[at]] > 0, plain[doc_start[doc[at]] - 1], 0)))
     return code, *(np.concatenate(x) for x in zip(*found)), words, index
@@ -137,6 +184,7 @@ def collisions(docs: DataFrame, bands: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
             code, _, at, to, kind, _, _, _ = _paragraphs(texts(batch))
+            at, to, kind = (x[to - at >= WIDTH] for x in (at, to, kind))  # shorter ones have no shingles: only equal ones are alike
             if not len(at):
                 continue
             unit = _unit_hashes(code, at, to)
@@ -203,6 +251,7 @@ def shingle_sets(docs: DataFrame, wanted: list[Broadcast]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
             code, _, at, to, _, _, _, _ = _paragraphs(texts(batch))
+            at, to = (x[to - at >= WIDTH] for x in (at, to))
             if not len(at):
                 continue
             unit, first = np.unique(_unit_hashes(code, at, to), return_index=True)
@@ -338,6 +387,8 @@ def unit_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     roots = connected_components(both.where(shared >= (F.size("sa") + F.size("sb") - shared) * threshold - 1e-9).select("a", "b"), "a", "b", "paragraphs")
     named = stored(crowded.join(roots, crowded.unit == roots.node, "left").select("band", "unit", F.coalesce("root", "unit").alias("comp")), "crowded")
     later = connected_components(crowded_links(named, sets, threshold), "a", "b", "crowded-links").select(F.col("node").alias("comp"), F.col("root").alias("last"))
+    for read in (found, units, sets, named):
+        discard(docs.sparkSession, read)
     # units that were alone until now have no root yet
     alone = later.join(roots, later.comp == roots.node, "left_anti").select(F.col("comp").alias("node"), F.col("last").alias("root"))
     return roots.join(later, roots.root == later.comp, "left").select("node", F.coalesce("last", "root").alias("root")).unionByName(alone)
@@ -348,8 +399,8 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     kind is line or block, start and size count words (runs without ASCII white space) of the document, class_id names
     the class of linked paragraphs and class_size its occurrences; the one in the least id (null ids last), at the least
-    place, is kept. Paragraphs under LEAST_WORDS words and null or empty texts have no rows; repeated rows repeat each
-    other. All units that share a bucket are compared, unless they are in one class already."""
+    place, is kept. Lines under WIDTH words repeat only as equal ones; null or empty texts have no rows; repeated rows repeat
+    each other. All units that share a bucket are compared, unless they are in one class already."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     roots = unit_classes(rows, threshold)
     found = stored(occurrences(rows), "paragraphs")

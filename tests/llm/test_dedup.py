@@ -163,6 +163,32 @@ def test_paragraphs_find_planted_passages(spark):
     assert paragraph_minhash.repeated_paragraphs(docs.limit(0)).count() == 0
 
 
+def test_blocks_hold_all_words_of_their_line():
+    rnd = random.Random(13)
+    word = lambda: rnd.choice("abcdefgh") * rnd.randint(1, 9) + rnd.choice(["", "", "", "", ".", '."', "!)"]) * rnd.randint(0, 1)
+    made = [" ".join(word() if k % 2 else word().strip('.")!') for _ in range(rnd.randint(1, 200))) for k in range(300)]
+    made += ["a " * 500, "", "\n\n", "x", "\n".join(made[:20])]
+    code, doc, at, to, kind, _, _, _ = paragraph_minhash._paragraphs(pa.array(made))
+    covered = np.zeros(len(code) + 1, int)
+    for a, b in zip(at[kind == 1].tolist(), to[kind == 1].tolist()):
+        assert 5 <= b - a < 24 + 5
+        covered[a:b] += 1
+    for a, b in zip(at[kind == 0].tolist(), to[kind == 0].tolist()):
+        assert b - a < 29 or covered[a:b].all()  # a block that is its whole line is there as the line
+
+
+def test_passages_without_stops_and_short_lines_are_found(spark):
+    rnd = random.Random(14)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    inset, menu = words(90), words(5)
+    quoted = " ".join(f'"{words(8)}."' for _ in range(10))
+    rows = [(1, f"{words(41)} {inset} {words(33)}"), (2, f"{words(70)} {inset} {words(50)}"), (3, f"{menu}\n{words(30)}\nthe end"), (4, f"{words(20)}\n{menu}\nThe End"), (5, f"{words(37)}. {quoted} {words(30)}"), (6, f"{words(18)}. {quoted} {words(44)}")]
+    got = paragraph_minhash.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    size = lambda d, k: sum(r["size"] for r in got if (r["doc_id"], r["kind"]) == (d, k))
+    assert all(size(d, "block") >= 40 for d in (1, 2, 5, 6))
+    assert all(sorted(r["size"] for r in got if r["doc_id"] == d) == [2, 5] for d in (3, 4))
+
+
 def test_variants_of_a_line_are_linked_to_their_original(spark):
     rnd = random.Random(11)
     words = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(60)]
