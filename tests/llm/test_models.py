@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from motifmill.llm import bpe, ngram_filter, packing, quality, toxicity
+from motifmill.llm import bpe, ngram_filter, packing, quality, queries, toxicity
 
 from ..conftest import DATA
 from .test_dedup import odd_docs
@@ -125,6 +125,16 @@ def test_ngram_model_on_odd_and_empty_tables(spark):
     assert ngram_filter.score(none, ngram_filter.train(none, rest != 2, rest == 3)).count() == 0
 
 
+def test_op6_finds_its_weights_on_all_training_texts(spark, tmp_path):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 3]
+    rnd = random.Random(15)
+    docs = spark.createDataFrame([(i, " ".join(f"left{k} right{k}" for k in rnd.choices(range(50), k=20))) for i in ids], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_log_frequency_bloom(spark, str(tmp_path)).where("held_out").agg(F.sum("base_score").alias("base"), F.sum("score").alias("score"), F.sum("n_tokens").alias("n")).first()
+    # every other word follows from the one before it: some 2 digits of about 2 are saved there
+    assert got["score"] - got["base"] >= 0.6 * got["n"]
+
+
 def test_quantised_counts_are_lower_levels(spark):
     text = "a b " * 37 + "c d"
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
