@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import flat_ranges, steps, texts
+from .common import flat_ranges, fresh, steps, texts
 
 #: Bytes of text whose distinct pre-tokens are merged together.
 BATCH_BYTES = 8 << 20
@@ -257,8 +257,9 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
 
 
 def decode(encoded: DataFrame, vocab_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """encoded plus the decoded text; ids as encode() gives them (null: empty). Bytes that are no UTF-8 become U+FFFD."""
-    kept = [c for c in encoded.columns if c.lower() != out_col.lower()]
+    """encoded (all columns) plus the decoded text; ids as encode() gives them (null: empty). Bytes that are no UTF-8 become
+    U+FFFD. Where a column has the new one's name already, the new one gets a leading underscore."""
+    kept, out_col = encoded.columns, fresh(encoded, out_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = vocabulary(vocab_path).pieces
@@ -266,5 +267,5 @@ def decode(encoded: DataFrame, vocab_path: str, ids_col: str = "ids", out_col: s
             made = [b"".join([pieces[i] for i in np.frombuffer(x or b"", "<u4").tolist()]).decode("utf-8", "replace") for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(made, pa.string())], [*kept, out_col])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*[f"`{c}`" for c in kept]).schema)
-    return encoded.select(*[f"`{c}`" for c in kept]).mapInArrow(run, f"{schema}, `{out_col}` string")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    return encoded.mapInArrow(run, f"{schema}, `{out_col}` string")

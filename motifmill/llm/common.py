@@ -23,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set where the session names none (tests)."""
+    """The folder named by spark.checkpoint.dir. A local session that names none (tests) gets a temporary one; on a cluster,
+    whose machines share no temporary folder, that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="motifmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -45,9 +48,9 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """name, or a variant of it that no column of df has (Spark's names ignore case)."""
-    taken = {c.lower() for c in df.columns}
+def fresh(df: DataFrame, name: str, *others: str) -> str:
+    """name, or a variant of it that neither a column of df nor one of the others has (Spark's names ignore case)."""
+    taken = {c.lower() for c in (*df.columns, *others)}
     while name.lower() in taken:
         name = f"_{name}"
     return name

@@ -1,8 +1,8 @@
 """Packing of documents into sequences of bounded length by order-preserving dynamic programming.
 
 Documents are laid end to end in stored order, an end-of-document id after each. A window of the stream is cut only at
-document ends and sentence ends (and inside overlong sentences), so that padding plus truncation penalties are least.
-The cost of a window is linear in its start, so its best start is the head of a monotone queue."""
+document ends and sentence ends (and inside overlong sentences), so that sequences, padding and truncation penalties
+together cost least. The cost of a window is linear in its start, so its best start is the head of a monotone queue."""
 
 from __future__ import annotations
 
@@ -24,7 +24,9 @@ from .common import cpu_quiet, flat_ranges, steps, texts
 SEQUENCE = 2048
 END_ID = 1
 #: What a cut costs, in padded tokens: at a sentence end, inside a sentence. At a document's end it is free.
-SENTENCE_CUT, INNER_CUT = 3, 48
+SENTENCE_CUT, INNER_CUT = 3, 12
+#: A sentence of over 1 / LONG of a sequence may be cut inside, at steps of half of that.
+LONG = 64
 #: Ids of documents that are packed together; a longer document is a block of its own.
 BLOCK_IDS = 1_000_000
 #: Bytes of text whose distinct words are encoded together.
@@ -109,16 +111,18 @@ def word_coder(path: str) -> WordCoder:
 def best_cuts(ends: np.ndarray, sentence_ends: np.ndarray, size: int = SEQUENCE) -> list[int]:
     """Where a stream is cut: positions from 0 to the stream's end, at most `size` apart, of least total cost.
 
-    ends: the documents' ends, rising, the last one the stream's. sentence_ends: further places to cut. A window of
-    length n costs size - n, nothing at a power of two, and what its end's cut costs."""
+    ends: the documents' ends, rising, the last one the stream's. sentence_ends: further places to cut. A window costs
+    `size` for being a sequence, its padding (size - n at length n, none at a power of two) and what its end's cut costs:
+    short windows without padding are taken only where they save a sequence's worth of it."""
     total = int(ends[-1]) if len(ends) else 0
     if not total:
         return [0]
     at = np.union1d(np.concatenate(([0], ends)), sentence_ends)
-    wide = np.flatnonzero(np.diff(at) > size // 2)
+    step = max(1, size // (2 * LONG))
+    wide = np.flatnonzero(np.diff(at) > max(2 * step, size // LONG))
     if len(wide):
-        inner = [np.arange(at[i] + size // 4, at[i + 1], size // 4) for i in wide]
-        at = np.union1d(at, np.concatenate(inner))
+        inner = (np.diff(at)[wide] - 1) // step
+        at = np.union1d(at, flat_ranges(np.zeros(len(wide), np.int64), inner) * step + np.repeat(at[wide] + step, inner))
     penalty = np.full(len(at), INNER_CUT)
     penalty[np.isin(at, sentence_ends)] = SENTENCE_CUT
     penalty[np.isin(at, ends)] = 0
@@ -151,7 +155,7 @@ def best_cuts(ends: np.ndarray, sentence_ends: np.ndarray, size: int = SEQUENCE)
             nth += 1
             if cost[k] < best:
                 best, i = cost[k], k
-        best += extra[j]
+        best += extra[j] + size
         cost[j], came[j] = best, i
         key = best + x
         while queue and queue[-1][0] >= key:

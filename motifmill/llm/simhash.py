@@ -62,7 +62,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def text_tag(text_col: str) -> Column:
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     return F.xxhash64(text, F.length(text))
 
 
@@ -104,17 +104,20 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2) -> DataFrame:
     """docs without the near copies: of each component one row stays, that with the least id (and text hash).
 
-    Of rows that repeat both id and text one stays. Rows with a null id cannot be ordered and stay. All columns are kept
-    as they are. Only the rows to leave out are joined with the texts."""
+    Of rows that repeat both id and text the one stays whose JSON form of all columns is least. Rows with a null id cannot
+    be ordered and stay; null texts count as empty. All columns are kept as they are, whatever their names. An empty table
+    stays empty. Only the rows to leave out are joined with the texts."""
     got = stored(simhash_components(docs, id_col, text_col, width, max_bits).where(F.col(id_col).isNotNull()), "simhash-groups")
-    first = got.groupBy("root").agg(F.min(F.struct(F.col(id_col).alias("id"), "tag")).alias("first"))
-    gone = got.join(first, "root").where((F.col(id_col) != F.col("first.id")) | (F.col("tag") != F.col("first.tag"))).select(F.col(id_col).alias("__id"), F.col("tag").alias("__tag")).distinct()
-    left = docs.join(gone, (docs[id_col] == F.col("__id")) & (text_tag(text_col) == F.col("__tag")), "left_anti")
-    repeated = stored(got.groupBy(F.col(id_col).alias("__id"), F.col("tag").alias("__tag")).agg(F.count("*").alias("n")).where("n > 1").select("__id", "__tag"), "simhash-repeats")
+    own, tag, nth = fresh(docs, "id_"), fresh(docs, "tag_"), fresh(docs, "nth")
+    got = got.select(F.col(f"`{id_col}`").alias(own), F.col("tag").alias(tag), "root")
+    # stored, so that the join with the rows of a huge group is one that Spark can split
+    first = stored(got.groupBy("root").agg(F.min(F.struct(F.col(own).alias("id"), F.col(tag).alias("tag"))).alias("first")), "simhash-first")
+    gone = got.join(first, "root").where((F.col(own) != F.col("first.id")) | (F.col(tag) != F.col("first.tag"))).select(own, tag).distinct()
+    left = docs.join(gone, (F.col(f"`{id_col}`") == F.col(own)) & (text_tag(text_col) == F.col(tag)), "left_anti")
+    repeated = stored(got.groupBy(own, tag).agg(F.count("*").alias(nth)).where(f"`{nth}` > 1").select(own, tag), "simhash-repeats")
     if repeated.isEmpty():
         return left
-    same = (left[id_col] == F.col("__id")) & (text_tag(text_col) == F.col("__tag"))
-    nth = fresh(docs, "nth")
-    order = Window.partitionBy(id_col, text_tag(text_col)).orderBy(text_col)
+    same = (F.col(f"`{id_col}`") == F.col(own)) & (text_tag(text_col) == F.col(tag))
+    order = Window.partitionBy(f"`{id_col}`", text_tag(text_col)).orderBy(F.to_json(F.struct(*[f"`{c}`" for c in docs.columns])))
     again = left.join(repeated, same, "left_semi").withColumn(nth, F.row_number().over(order)).where(f"`{nth}` = 1").drop(nth)
     return left.join(repeated, same, "left_anti").unionByName(again)

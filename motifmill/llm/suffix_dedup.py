@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import SHARD_LOAD, broadcast_rows, contains, filled, one_by_one, shard_of
-from .common import flat_ranges, mix64, steps, stored
+from .common import flat_ranges, fresh, mix64, steps, stored
 
 LENGTH = 50
 GRAM = 20
@@ -390,8 +390,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.binary()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, kind)], ["row", "kept", "n_bytes", "n_removed", "spans"])
 
     made = joined.mapInArrow(run, out)
-    taken = {c.lower() for c in docs.columns}
-    named = {c: c if c not in taken else f"_{c}" for c in ("kept", "n_bytes", "n_removed", "spans")}
+    named = {c: fresh(docs, c) for c in ("kept", "n_bytes", "n_removed", "spans")}
     return made.select(*[F.col("row")[c].alias(c) for c in docs.columns], *[F.col(c).alias(n) for c, n in named.items()])
 
 
