@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written once to the folder named by spark.checkpoint.dir (a temporary one where it is unset) and read back."""
+    """df written once to the folder named by spark.checkpoint.dir and read back.
+
+    A local session that names none (tests) gets a temporary folder; on a cluster that is an error."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="motifmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/motifmill/{what}-{uuid.uuid4().hex}"
