@@ -1,9 +1,11 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs, one for each shard of bounded size.
 
-Equal vectors collapse first. Every distinct vector queries every shard: shards' nodes and queries meet in one
-partition for each shard and slice of the queries. Blocks of queries walk a graph in step; the beam is widened until an
-audit against brute force passes, queries whose whole beam is similar are scanned exactly, and every link is verified
-in double precision. A task hands on a spanning forest of its links, so dense groups do not send all their pairs."""
+Equal vectors collapse first. Every distinct vector meets every shard: each two shards are looked at once, the vectors of
+one querying the graph of the other, and a link counts for both its ends. Queries are streamed past a shard's graph; a graph
+is sent once for each SLICE shards' worth of queries, so that copies of graphs are a small part of what is sent. Blocks of
+queries walk a graph in step; the beam is widened until audits pass (on planted neighbours, and on each block against
+brute force), queries whose whole beam is similar are scanned exactly, and every link is verified in double precision.
+A task hands on a spanning forest of its links, so dense groups do not send all their pairs."""
 
 from __future__ import annotations
 
@@ -19,9 +21,13 @@ from .components import connected_components
 
 THRESHOLD = 0.95
 #: Vectors in a shard, about; links of a node (twice as many on the ground level); beams of building and searching.
-SHARD_ROWS, LINKS, BUILD_BEAM, SEARCH_BEAM, WIDEST_BEAM = 65_536, 16, 40, 24, 192
+SHARD_ROWS, LINKS, BUILD_BEAM, SEARCH_BEAM, WIDEST_BEAM = 16_384, 16, 40, 24, 192
 #: Queries that walk together, of which AUDITED are held against brute force, and the recall they must reach.
 BLOCK, AUDITED, RECALL = 512, 24, 0.99
+#: Neighbours that are planted at the threshold to find a graph's first beam.
+PLANTED = 256
+#: So many shards' worth of queries are streamed past one copy of a graph.
+SLICE = 8
 
 
 class Graph:
@@ -35,6 +41,7 @@ class Graph:
         self.level = np.minimum((-np.log(np.maximum(chance, 1e-12)) / np.log(LINKS)).astype(np.int64), 4)
         self.links = [np.full((n, 2 * LINKS if level == 0 else LINKS), -1, np.int32) for level in range(int(self.level.max(initial=0)) + 1)]
         self.top: int | None = None
+        self.beam = 0
         order = np.argsort(-self.level, kind="stable")  # the upper levels first
         at = 0
         while at < n:
@@ -142,12 +149,31 @@ class Graph:
             entry = self.walk(q, entry, level, 1)[0][:, 0]
         return self.walk(q, entry, 0, beam)
 
+    def planted_beam(self, low: float) -> int:
+        """The first beam with which nodes are found from places whose similarity to them is just at the threshold.
+
+        Shards may hold no link to the queries at all; planted neighbours audit the graph all the same."""
+        own = np.unique(np.linspace(0, len(self.x) - 1, min(PLANTED, len(self.x))).astype(int))
+        x, rnd = self.x[own].astype(np.float64), np.random.default_rng(len(self.x))
+        aside = rnd.normal(size=x.shape)
+        aside -= (aside * x).sum(1)[:, None] * x
+        aside /= np.maximum(np.linalg.norm(aside, axis=1), 1e-9)[:, None]
+        at = low + (1 - low) / 20
+        q = (at * x + np.sqrt(1 - at * at) * aside).astype(np.float32)
+        beam = SEARCH_BEAM
+        while beam < WIDEST_BEAM:
+            ids, sims = self.search(q, beam)
+            if ((ids == own[:, None]).any(1) | (sims >= low).all(1)).mean() >= RECALL:
+                break
+            beam *= 2
+        return beam
+
     def similar(self, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) of all found pairs at or just below the threshold; see the module's words on beams and audits."""
         low = threshold - 1e-4
         audited = np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int)
         true = self.x @ q[audited].T >= low
-        beam = SEARCH_BEAM
+        beam = self.beam = self.beam or self.planted_beam(low)
         while True:
             ids, sims = self.search(q, beam)
             hit = (sims >= low) & (ids >= 0)
@@ -214,7 +240,7 @@ def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: st
     total = points.count()
     shards = max(1, -(-total // shard_rows))
     if total:
-        found = stored(_links(points, total, shards, threshold), "vector-links")
+        found = stored(_links(points, total, shards, shard_rows, threshold), "vector-links")
         counts = found.where("root is null").groupBy("key").agg(F.sum("n").alias("linked"))
         roots = connected_components(found.where("root is not null"), "key", "root", "vector-components")
         named = points.select("key", "n").join(counts, "key", "left").join(roots, points.key == roots.node, "left")
@@ -228,7 +254,7 @@ def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: st
     return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_links", F.col("component_id"), F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _links(points: DataFrame, total: int, shards: int, threshold: float) -> DataFrame:
+def _links(points: DataFrame, total: int, shards: int, shard_rows: int, threshold: float) -> DataFrame:
     """(key, root, n): rows with root are edges that span a task's links, rows without it counts of linked rows."""
     kinds = "shard int, idx int, key long, n long, dim int, v array<float>, level int, links array<array<int>>"
 
@@ -248,18 +274,27 @@ def _links(points: DataFrame, total: int, shards: int, threshold: float) -> Data
             for at in range(0, n, 2048):
                 yield made.slice(at, 2048)
 
+    spark = points.sparkSession
     home = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(shards)).cast("int")
     split = points.withColumn("shard", home).select("shard", "key", "n", "dim", "v").repartitionById(shards, F.col("shard"))
     nodes = stored(split.mapInArrow(build, kinds), "hnsw")
-    slices = max(1, total // (4 * BLOCK * 8))
+    # as many slices as keep copies of graphs rare, but work for all cores
+    slices = max(1, -(-total // (SLICE * shard_rows)), min(-(-2 * spark.sparkContext.defaultParallelism // shards), total // (4 * BLOCK)))
     slice_of = F.pmod(F.xxhash64("key", F.lit(11)), F.lit(slices)).cast("int")
-    sent = nodes.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumn("kind", F.lit(0))
-    asked = nodes.withColumn("slice", slice_of).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("kind", F.lit(1)).withColumn("links", F.lit(None).cast("array<array<int>>"))
-    both = sent.unionByName(asked).withColumn("at", F.col("shard") * slices + F.col("slice")).repartitionById(shards * slices, F.col("at")).sortWithinPartitions("kind", "dim", "idx")
+    none = F.lit(None).cast("array<array<int>>")
+    sent = nodes.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumn("own", F.lit(True)).withColumn("kind", F.lit(0))
+    # shards in a ring: each asks itself and the half of the others that follows it
+    step = F.explode(F.sequence(F.lit(0), F.lit(shards // 2)))
+    asked = nodes.withColumn("slice", slice_of).withColumn("step", step)
+    if shards % 2 == 0:
+        asked = asked.where((F.col("step") < shards // 2) | (F.col("shard") < shards // 2))
+    asked = asked.withColumn("shard", (F.col("shard") + F.col("step")) % shards).withColumn("own", F.col("step") == 0).drop("step").withColumn("kind", F.lit(1)).withColumn("links", none)
+    both = sent.unionByName(asked).withColumn("at", F.col("shard") * slices + F.col("slice")).repartitionById(shards * slices, F.col("at")).sortWithinPartitions("kind", "dim", "own", "idx")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes_: list[pa.Table] = []
         graphs: dict[int, tuple[Graph, np.ndarray, np.ndarray, np.ndarray]] | None = None
+        back: dict[int, np.ndarray] = {}  # rows linked to each node from other shards
         edges: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             kind = batch.column("kind").to_numpy()
@@ -277,6 +312,7 @@ def _links(points: DataFrame, total: int, shards: int, threshold: float) -> Data
                 graph, raw, keys, weights = graphs[dim]
                 part = ask.filter(pa.array(ask.column("dim").to_numpy() == dim))
                 q, own = _vectors(part.column("v")).astype(np.float64), part.column("key").to_numpy()
+                rows, foreign = part.column("n").to_numpy(), ~part.column("own").to_numpy(zero_copy_only=False)
                 q /= np.linalg.norm(q, axis=1)[:, None]
                 for at in range(0, len(q), BLOCK):
                     block = q[at : at + BLOCK]
@@ -288,12 +324,17 @@ def _links(points: DataFrame, total: int, shards: int, threshold: float) -> Data
                         sums = np.bincount(row, weights=weights[node], minlength=len(block)).astype(np.int64)
                         some = np.flatnonzero(sums)
                         yield pa.RecordBatch.from_arrays([pa.array(own[at : at + BLOCK][some]), pa.nulls(len(some), pa.int64()), pa.array(sums[some])], ["key", "root", "n"])
+                        far = foreign[at + row]
+                        back[dim] = back.get(dim, 0) + np.bincount(node[far], weights=rows[at + row[far]], minlength=len(keys)).astype(np.int64)
                         edges.append(spanning(own[at + row], keys[node]))
+        for dim, sums in back.items():
+            some = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(graphs[dim][2][some]), pa.nulls(len(some), pa.int64()), pa.array(sums[some])], ["key", "root", "n"])
         if edges:
             vertex, root = spanning(np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges]))
             yield pa.RecordBatch.from_arrays([pa.array(vertex), pa.array(root), pa.array(np.zeros(len(vertex), np.int64))], ["key", "root", "n"])
 
-    return both.select("kind", "idx", "key", "n", "dim", "v", "level", "links").mapInArrow(search, "key long, root long, n long")
+    return both.select("kind", "idx", "own", "key", "n", "dim", "v", "level", "links").mapInArrow(search, "key long, root long, n long")
 
 
 def _graphs(tables: list[pa.Table]) -> dict[int, tuple[Graph, np.ndarray, np.ndarray, np.ndarray]]:
@@ -320,6 +361,6 @@ def _graphs(tables: list[pa.Table]) -> dict[int, tuple[Graph, np.ndarray, np.nda
             table_ = np.full((len(x), width), -1, np.int32)
             table_[here] = values[begin[first[here] + level][:, None] + np.arange(width)]
             graph.links.append(table_)
-        graph.top = int(np.argmax(graph.level))
+        graph.top, graph.beam = int(np.argmax(graph.level)), 0
         made[dim] = (graph, x, part["key"].to_numpy(), part["n"].to_numpy())
     return made

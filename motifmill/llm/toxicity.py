@@ -1,9 +1,10 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
 Lexicons (words and word beginnings that toxic training texts favour) are mined by distributed counts. Voters are
-thresholds on how often a lexicon or a pattern hits a text. An EM label model estimates each voter's accuracy by class
-and the voters' correlations given the class, the given label being one voter among them; a logistic regression is
-trained on the posterior labels."""
+thresholds on how often a lexicon or a pattern hits a text; a text's voters use lexicons that were mined on the other half
+of the texts, so that no vote depends on the text's own label. An EM label model starts from the voters alone, estimates
+each one's accuracy by class and the voters' correlations given the class, and takes the given label as one more witness
+of estimated accuracy; a logistic regression is trained on the posterior labels."""
 
 from __future__ import annotations
 
@@ -29,6 +30,8 @@ LEAST_ODDS, LEAST_GROUPS = 1.2, 3
 TIERS = (3.0, 1.2)
 THRESHOLDS = (1, 2, 3, 5)
 CUT = 0.3
+#: Texts of either half by label.
+CELLS = ("toxic0", "other0", "toxic1", "other1")
 PATTERNS = 4
 
 
@@ -45,46 +48,47 @@ def _starts(bare: pa.Array, kind: int) -> pa.Array:
 
 
 def with_groups(docs: DataFrame, label: str) -> DataFrame:
-    """(text, label, group): near copies mostly share a group, the least hash of their three-word shingles."""
+    """(text, label, grp): near copies mostly share a group, the least hash of their three-word shingles; a text of fewer
+    words has the group of its equals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
-            doc, bare, index = _words(texts(batch))
+            text = texts(batch)
+            doc, bare, index = _words(text)
             code = np.array([xxhash.xxh64_intdigest(w) for w in bare.to_pylist()], np.uint64)
             with np.errstate(over="ignore"):
                 shingle = mix64(mix64(mix64(code[index[:-2]]) + code[index[1:-1]]) + code[index[2:]]) if len(index) > 2 else np.zeros(0, np.uint64)
             inside = doc[:-2] == doc[2:] if len(doc) > 2 else np.zeros(0, bool)
-            least = np.full(batch.num_rows, np.iinfo(np.uint64).max, np.uint64)
-            if inside.any():
-                np.minimum.at(least, doc[:-2][inside], shingle[inside])
-            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column(label), pa.array(least.view(np.int64))], ["text", "label", "grp"])
+            group = np.full(batch.num_rows, np.iinfo(np.uint64).max, np.uint64)
+            np.minimum.at(group, doc[:-2][inside], shingle[inside])
+            for k in np.flatnonzero(starts_of(doc, batch.num_rows)[1:] - starts_of(doc, batch.num_rows)[:-1] < 3).tolist():
+                group[k] = xxhash.xxh64_intdigest(text[k].as_py(), 1)
+            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column(label), pa.array(group.view(np.int64))], ["text", "label", "grp"])
 
     return docs.select("text", label).mapInArrow(run, "text string, label int, grp long")
 
 
 def feature_counts(train: DataFrame) -> DataFrame:
-    """(kind, feature, toxic, other): in how many toxic and other texts a word or word beginning is. train: text, label."""
+    """(kind, feature, toxic0, other0, toxic1, other1): the weight of the toxic and other texts that have a word or word
+    beginning, in either half. train: text, label, half, weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
             doc, bare, index = _words(texts(batch))
-            label = batch.column("label").to_numpy(zero_copy_only=False)
+            cell = 2 * batch.column("half").to_numpy(zero_copy_only=False) + (batch.column("label").to_numpy(zero_copy_only=False) != 1)
+            weight = batch.column("weight").to_numpy(zero_copy_only=False)
             for kind in KINDS:
                 coded = _starts(bare, kind).dictionary_encode()
                 of_word = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
                 got = of_word[index]
-                keep = got >= 0
-                pairs = np.unique(doc[keep].astype(np.int64) * max(1, len(coded.dictionary)) + got[keep])
-                toxic = label[pairs // max(1, len(coded.dictionary))] == 1
-                feature = pairs % max(1, len(coded.dictionary))
-                n = len(coded.dictionary)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, kind, np.int32)), coded.dictionary, pa.array(np.bincount(feature[toxic], minlength=n)), pa.array(np.bincount(feature[~toxic], minlength=n))],
-                    ["kind", "feature", "toxic", "other"],
-                )
+                keep, n = got >= 0, len(coded.dictionary)
+                pairs = np.unique(doc[keep].astype(np.int64) * max(1, n) + got[keep])
+                of, feature = pairs // max(1, n), pairs % max(1, n)
+                sums = np.bincount(cell[of] * n + feature, weights=weight[of], minlength=4 * n).astype(np.float64).reshape(4, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), coded.dictionary, *map(pa.array, sums)], ["kind", "feature", *CELLS])
 
-    made = train.select("text", "label").mapInArrow(run, "kind int, feature string, toxic long, other long")
-    return made.groupBy("kind", "feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    made = train.select("text", "label", "half", "weight").mapInArrow(run, f"kind int, feature string, {', '.join(f'{c} double' for c in CELLS)}")
+    return made.groupBy("kind", "feature").agg(*(F.sum(c).alias(c) for c in CELLS))
 
 
 class ToxicityModel:
@@ -135,82 +139,109 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip((self.features(self.counts(text)) / self.scale) @ self.weights, -40, 40)))
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 100, joint: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of label 1, each voter's vote probabilities by class, the voters' correlations given the class).
 
-    votes: -1, 0, 1. The given labels are a further voter, of estimated accuracy. A voter counts for less the more it
-    is correlated with others within a class, so that many thresholds on one lexicon aren't many witnesses."""
-    post = np.where(given == 1, 0.95, 0.05)
+    votes: -1, 0, 1. It starts from the share of each text's voters that say 1, against the mean share, and runs on votes
+    alone for `rounds` rounds; then the given labels come in as one more witness for `joint` rounds, their rates of error
+    estimated like the voters'. A voter counts for less the more it is correlated with others within a class, so that
+    many thresholds on one lexicon aren't many witnesses."""
+    said = (votes == 1).sum(1) / np.maximum(1, (votes != 0).sum(1))
+    post = np.where(said > max(said.mean(), 1e-9), 0.9, 0.1)
     onehot = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(np.float64)
-    for _ in range(rounds):
+    for nth in range(rounds + joint):
         share = np.stack((1 - post, post))
         prob = (np.einsum("cn,nvk->cvk", share, onehot) + 0.5) / (share.sum(1)[:, None, None] + 1.5)
         rest = votes - np.einsum("cvk,k->cv", prob, np.array([-1.0, 0, 1]))[(post > 0.5).astype(int)]
         dev = rest.std(0) + 1e-9
         corr = (rest / dev).T @ (rest / dev) / len(rest)
         weight = 1 / np.maximum(1, np.abs(corr).sum(1))
-        right = np.array([(share[c] * (given == c)).sum() / max(share[c].sum(), 1e-9) for c in (0, 1)]).clip(0.9, 0.995)
-        odds = np.log(share[1].mean() / share[0].mean()) + np.einsum("nvk,vk,v->n", onehot, np.log(prob[1]) - np.log(prob[0]), weight)
-        odds += np.where(given == 1, np.log(right[1] / (1 - right[0])), np.log((1 - right[1]) / right[0]))
-        new = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
-        if np.abs(new - post).max() < 1e-4:
-            break
-        post = new
-    return new, prob, corr
+        odds = np.log((share[1].mean() + 1e-9) / (share[0].mean() + 1e-9)) + np.einsum("nvk,vk,v->n", onehot, np.log(prob[1]) - np.log(prob[0]), weight)
+        if nth >= rounds:
+            says = (share @ given + 0.5) / (share.sum(1) + 1)  # how often 1 is given, by class
+            odds += np.where(given == 1, np.log(says[1] / says[0]), np.log((1 - says[1]) / (1 - says[0])))
+        post = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
+    return post, prob, corr
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """(scale, weights) of a ridge-penalised logistic regression on soft labels, by Newton's method."""
+def fit_linear(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
+    """(scale, weights) of a ridge-penalised logistic regression on soft labels of weighted rows, by Newton's method."""
     scale = np.maximum(np.sqrt((x**2).mean(0)), 1e-3)
     z, w = x / scale, np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(penalty), z.T @ (target - p) - penalty * w)
+        step = np.linalg.solve((z * (weight * p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(penalty), z.T @ (weight * (target - p)) - penalty * w)
         w = w + step * min(1.0, 5 / (np.abs(step).max() + 1e-9))
         if np.abs(step).max() < 1e-5:
             break
     return scale, w
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> ToxicityModel:
-    """Learns from labels (id, label) of 0 and 1: at most `rows` labelled texts (those of least hash of their id).
+def lexicon(counts: DataFrame, totals: dict[str, float], halves: tuple[int, ...]) -> list[tuple[int, str, float]]:
+    """The LEXICON entries (kind, feature, log odds) that toxic texts of these halves favour most."""
+    toxic, other = (sum(totals[f"{c}{h}"] for h in halves) for c in ("toxic", "other"))
+    t, o = (sum((F.col(f"{c}{h}") for h in halves[1:]), F.col(f"{c}{halves[0]}")) for c in ("toxic", "other"))
+    odds = F.log((t + 0.5) / (toxic + 1)) - F.log((o + 0.5) / (other + 1))
+    best = counts.select("kind", "feature", t.alias("t"), odds.alias("odds")).where((F.col("t") >= max(LEAST_GROUPS, toxic // 400) - 1e-6) & (F.col("odds") >= LEAST_ODDS))
+    return [(r["kind"], r["feature"], r["odds"]) for r in best.orderBy(F.desc(F.round(F.col("t") * F.col("odds"), 9)), "kind", "feature").limit(LEXICON).collect()]
 
-    The bound makes the labelled ids small enough to broadcast, so that texts are not shuffled. Counts cover every
-    chosen text; near copies count once. Without any toxic text the model scores 0."""
-    spark = docs.sparkSession
+
+def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
+    """(text, label, half, weight): the labelled texts to learn from, at most `rows` ids, those of least hash.
+
+    Every text of such an id is there, short and repeated ones too. Texts of a group (near copies, mostly) share one
+    unit of weight and one half."""
     chosen = labels.where(f"`{id_col}` is not null and `{label_col}` in (0, 1)").groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(rows)
     texts_ = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id")
-    grouped = with_groups(texts_, "label").groupBy("grp", "label").agg(F.min("text").alias("text"))
-    kept = stored(grouped.select("text", "label"), "toxicity")
-    totals = {r["label"]: r["n"] for r in kept.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    toxic, other = totals.get(1, 0), totals.get(0, 0)
-    if not toxic or not other:
-        return ToxicityModel([])
-    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (other + 1))
-    weight = F.col("toxic") / toxic * F.col("odds")
-    best = feature_counts(kept).where(f"toxic >= {max(LEAST_GROUPS, toxic // 400)}").withColumn("odds", odds).where(f"odds >= {LEAST_ODDS}")
-    entries = [(r["kind"], r["feature"], r["odds"]) for r in best.orderBy(F.desc(weight), "kind", "feature").limit(LEXICON).collect()]
-    model = ToxicityModel(entries)
+    grouped = stored(with_groups(texts_, "label"), "toxicity-groups")
+    sizes = grouped.groupBy("grp").agg(F.count("*").alias("n"))
+    return stored(grouped.join(sizes, "grp").select("text", "label", F.pmod(F.xxhash64("grp"), F.lit(2)).cast("int").alias("half"), (1 / F.col("n")).alias("weight")), "toxicity")
+
+
+def learned_votes(kept: DataFrame) -> tuple[ToxicityModel, dict[str, np.ndarray]] | None:
+    """(a model with its lexicon but no weights yet, each row's label, weight, counts and votes) of training_rows()."""
+    cell = F.concat(F.when(F.col("label") == 1, "toxic").otherwise("other"), F.col("half").cast("string"))
+    totals = {c: 0.0 for c in CELLS} | {r["cell"]: r["w"] for r in kept.groupBy(cell.alias("cell")).agg(F.sum("weight").alias("w")).collect()}
+    if not totals["toxic0"] + totals["toxic1"] or not totals["other0"] + totals["other1"]:
+        return None
+    counts = stored(feature_counts(kept).where(f"toxic0 + toxic1 >= {LEAST_GROUPS} - 1e-6"), "toxicity-features")
+    model = ToxicityModel(lexicon(counts, totals, (0, 1)))
+    voters = [ToxicityModel(lexicon(counts, totals, (1 - half,))) for half in (0, 1)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
-            got = np.minimum(model.counts(texts(batch)), 65535).astype("<u2")
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([row.tobytes() for row in got], pa.binary())], ["label", "counts"])
-
-    # bounded by `rows` and LEXICON
-    got = kept.mapInArrow(count, "label int, counts binary").toArrow()
-    counts = np.frombuffer(b"".join(got["counts"].to_pylist()), "<u2").reshape(len(got), -1).astype(np.float32)
-    given = got["label"].to_numpy()
-    posterior, _, _ = label_model(model.votes(counts), given)
-    model.scale, model.weights = fit_linear(model.features(counts), posterior)
+            text, half = texts(batch), batch.column("half").to_numpy()
+            got = np.minimum(model.counts(text), 65535).astype("<u2")
+            votes = np.where((half == 0)[:, None], *(v.votes(v.counts(text)) for v in voters))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("weight"), *(pa.array([row.tobytes() for row in x], pa.binary()) for x in (got, votes))], ["label", "weight", "counts", "votes"])
+
+    # bounded by TRAIN_ROWS and LEXICON
+    got = kept.mapInArrow(count, "label int, weight double, counts binary, votes binary").toArrow()
+    matrix = lambda c, kind: np.frombuffer(b"".join(got[c].to_pylist()), kind).reshape(len(got), -1)
+    return model, {"label": got["label"].to_numpy(), "weight": got["weight"].to_numpy(), "counts": matrix("counts", "<u2").astype(np.float32), "votes": matrix("votes", np.int8)}
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> ToxicityModel:
+    """Learns from labels (id, label) of 0 and 1: at most `rows` labelled ids (those of least hash).
+
+    The bound makes the labelled ids small enough to broadcast, so that texts are not shuffled. Of an id's labels the
+    largest holds; null ids, other labels and ids without a text are left out, null texts count as empty. Without any
+    toxic text, or without any other one, the model scores 0."""
+    got = learned_votes(training_rows(docs, labels, label_col, id_col, text_col, rows))
+    if got is None:
+        return ToxicityModel([])
+    model, x = got
+    posterior, _, _ = label_model(x["votes"], x["label"])
+    model.scale, model.weights = fit_linear(model.features(x["counts"]), posterior, x["weight"])
     return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """docs (all columns) plus the score; null text counts as empty. No shuffle."""
+    """docs (all columns) plus the score, from 0 to 1; null and empty texts are scored like others (no hits), repeated rows
+    and null ids too. Where a column has the score's name already, the score gets a leading underscore. No shuffle."""
     out = fresh(docs, out_col)
     names = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
@@ -230,6 +261,6 @@ def held_out(id_col: str = "doc_id", modulus: int = 4, remainder: int = 2) -> Co
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """The rows of docs, all columns, that score below the cut."""
+    """The rows of docs, all columns, that score below the cut; null and empty texts, null ids and repeats are no exception."""
     scored = score(docs, model, text_col)
     return scored.where(F.col(f"`{scored.columns[-1]}`") < cut).select(*[f"`{c}`" for c in docs.columns])

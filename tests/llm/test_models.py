@@ -190,17 +190,43 @@ def test_toxicity_on_odd_and_empty_tables(spark):
     assert toxicity.keep_clean(docs, none).count() == len(rows)
 
 
-def test_label_model_finds_accuracies():
+def test_label_model_finds_accuracies_and_mends_wrong_labels():
     rnd = np.random.default_rng(3)
     truth = rnd.random(4000) < 0.2
     accuracy = np.array([0.95, 0.8, 0.7, 0.55])
     votes = np.where(rnd.random((4000, 4)) < accuracy, np.where(truth, 1, -1)[:, None], np.where(truth, -1, 1)[:, None])
     votes = np.concatenate((votes, votes[:, [1]]), 1).astype(np.int8)  # a voter that repeats another
-    given = np.where(rnd.random(4000) < 0.03, ~truth, truth).astype(int)
-    post, prob, corr = toxicity.label_model(votes, given)
-    assert ((post > 0.5) == truth).mean() > 0.96
-    assert np.allclose(prob[1][:4, 2], accuracy, atol=0.06)
-    assert corr[1, 4] > 0.99
+    for wrong in (0.03, 0.2):
+        given = np.where(rnd.random(4000) < wrong, ~truth, truth).astype(int)
+        post, prob, corr = toxicity.label_model(votes, given)
+        assert ((post > 0.5) != truth).mean() < 0.5 * (given != truth).mean()
+        assert np.allclose(prob[1][:4, 2], accuracy, atol=0.06)
+        assert corr[1, 4] > 0.99
+
+
+def test_wrong_toxicity_labels_are_mended(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    wrong = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit("x"))) % 10 == 0
+    mixed = labels.where(~toxicity.held_out()).withColumn("truth", F.col("toxic")).withColumn("toxic", F.when(wrong, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    # the truth rides along as the text's weight
+    truth = {r["text"]: r["truth"] for r in docs.join(mixed, "doc_id").select("text", "truth").collect()}
+    kept = toxicity.training_rows(docs, mixed)
+    _, x = toxicity.learned_votes(kept)
+    post, _, _ = toxicity.label_model(x["votes"], x["label"])
+    given = [r["label"] for r in kept.select("label").collect()]
+    assert given == x["label"].tolist()
+    right = np.array([truth[r["text"]] for r in kept.select("text").collect()])
+    assert ((post > 0.5) != right).mean() < 0.5 * (x["label"] != right).mean()
+
+
+def test_no_labelled_text_is_lost(spark):
+    rows = [(i, f"word{i}" if i % 2 else f"word{i} more") for i in range(100)] + [(200, None), (201, ""), (202, "the same text here and on"), (203, "the same text here and on")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3 == 0) for i, _ in rows], "doc_id long, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
+    got = toxicity.training_rows(docs, labels).collect()
+    assert len(got) == len(rows)
+    assert sum(r["weight"] == 1 for r in got if (r["text"] or "").startswith("word")) == 100
+    assert [r["weight"] for r in got if (r["text"] or "").startswith("the same")] == [0.5, 0.5]
 
 
 def test_pipeline_stages_keep_the_columns(spark):
