@@ -33,12 +33,17 @@ def strand_join(seq: Column) -> Column:
 
 
 def color_code(seq: Column) -> Column:
-    """A digit for each pair of neighbouring bases (0 equal, up to 3), a dot where one is no base; short texts are empty."""
+    """A digit for each pair of neighbouring bases (0 equal, up to 3), a dot where one is no base; short texts are empty.
+
+    What is in colours already (after a first character that may be an adaptor) stays as it is; a mixture of colours and
+    bases is an error."""
     chars = F.split(seq, "")
     place = lambda c: F.position(c, F.lit(BASES)) - 1
     digit = lambda a, b: F.when((place(a) >= 0) & (place(b) >= 0), place(a).bitwiseXOR(place(b)).cast("string")).otherwise(".")
     pairs = F.zip_with(F.slice(chars, 1, F.size(chars) - 1), F.slice(chars, 2, F.size(chars) - 1), digit)
-    return F.when(F.length(seq) < 2, "").otherwise(F.array_join(pairs, ""))
+    mixed = ~F.regexp_like(seq, F.lit("^[ACGTN]*$"))
+    coded = F.when(F.length(seq) < 2, "").when(mixed, F.raise_error(F.lit("a sequence mixes colours and bases"))).otherwise(F.array_join(pairs, ""))
+    return F.when(F.regexp_like(seq, F.lit("^.[0-3.]+$")), seq).otherwise(coded)
 
 
 def library_name(path: Column) -> Column:
@@ -68,17 +73,24 @@ def lgamma(x: Column) -> Column:
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """How many leading characters two strings share."""
-    lengths = F.sequence(F.lit(1), F.least(F.length(a), F.length(b)))
-    shared = F.size(F.filter(lengths, lambda k: F.substring(a, F.lit(1), k) == F.substring(b, F.lit(1), k)))
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(shared)
+    """How many leading characters two strings share: the place of the first pair that differs. For short strings."""
+    short = F.least(F.length(a), F.length(b))
+    same = F.transform(F.sequence(F.lit(1), short), lambda k: F.substring(a, k, F.lit(1)) == F.substring(b, k, F.lit(1)))
+    first = F.array_position(same, F.lit(False))
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).when(first == 0, short).otherwise(first - 1)
 
 
-def mismatches(a: Column, b: Column) -> Column:
-    """'position character' for each place where strings of equal length differ, joined by blanks; null if lengths differ."""
+def mismatch_list(a: Column, b: Column) -> Column:
+    """(place, character of b) for each place where strings of equal length differ, as an array; null if lengths differ."""
     pairs = F.arrays_zip(F.split(a, "").alias("a"), F.split(b, "").alias("b"))
-    listed = F.filter(F.transform(pairs, lambda x, i: F.when(x["a"] != x["b"], F.concat(i.cast("string"), F.lit(" "), x["b"]))), lambda x: x.isNotNull())
-    return F.when(F.length(a) == F.length(b), F.array_join(listed, " "))
+    placed = F.transform(pairs, lambda x, i: F.struct(i.alias("pos"), x["a"].alias("a"), x["b"].alias("b")))
+    other = F.filter(placed, lambda x: x["a"] != x["b"])
+    return F.when(F.length(a) == F.length(b), F.transform(other, lambda x: F.struct(x["pos"], x["b"].alias("char"))))
+
+
+def mismatches(a: Column, b: Column) -> Column:
+    """mismatch_list() as text: 'place character' joined by blanks."""
+    return F.array_join(F.transform(mismatch_list(a, b), lambda x: F.concat(x["pos"].cast("string"), F.lit(" "), x["char"])), " ")
 
 
 def bit_length(n: Column) -> Column:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as seq
 from ..operators import alignment, matrices, mining, ranks, text
-from ..operators.ordering import stored, with_running
-from ..sources.readers import parse_fasta
-from .oracle import DEPTH, FMIN, GRAM, LIMITS
+from ..operators.ordering import scratch, stored, with_running
+from ..sources import readers
+from .oracle import DEPTH, FMIN, LIMITS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,7 +60,8 @@ def strand_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def color_code(spark: SparkSession, d: str) -> DataFrame:
-    return _normal(spark, d).select("doc_id", seq.color_code(F.col("seq")).alias("colors"))
+    bases = F.translate("seq", "0123.", "NNNNN")
+    return _normal(spark, d).select("doc_id", seq.color_code(bases).alias("colors"))
 
 
 @query
@@ -226,14 +227,18 @@ def threshold_rows(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("max_entropy").agg(F.sum((F.col("entropy") <= F.col("max_entropy")).cast("long")).alias("n_rows"))
 
 
+def _talk(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", "text")
+
+
 def _patterns(spark: SparkSession, d: str) -> DataFrame:
-    word = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word")
-    return table(spark, d, "benchmark").select(word).where(F.length("word") >= GRAM).select(F.substring("word", 1, GRAM).alias("pattern")).distinct()
+    """(pattern, weight): the benchmark's words of three letters or more, and how often they are there."""
+    word = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("pattern")
+    return table(spark, d, "benchmark").select(word).where("length(pattern) >= 3").groupBy("pattern").agg(F.count("*").alias("weight"))
 
 
 def _occurrences(spark: SparkSession, d: str) -> DataFrame:
-    talk = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    return text.occurrences(talk, _patterns(spark, d), GRAM)
+    return text.occurrences(_talk(spark, d), _patterns(spark, d), ["conv_id", "turn"])
 
 
 @query
@@ -243,12 +248,20 @@ def pattern_count(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pattern_locate(spark: SparkSession, d: str) -> DataFrame:
-    return _occurrences(spark, d).select("pattern", "conv_id", "turn", F.col("pos").cast("long").alias("pos"))
+    return _occurrences(spark, d)
+
+
+@query
+def passage_locate(spark: SparkSession, d: str) -> DataFrame:
+    """Whole benchmark passages in the documents."""
+    passages = table(spark, d, "benchmark").select("item_id", F.col("text").alias("pattern"))
+    found = text.occurrences(table(spark, d, "documents").select("doc_id", "text"), passages, ["doc_id"])
+    return found.join(passages, "pattern").select("item_id", "doc_id", "pos")
 
 
 @query
 def locate_multi(spark: SparkSession, d: str) -> DataFrame:
-    return pattern_locate(spark, d).where(F.substring("pattern", 1, 1).isin("T", "t", "o", "e")).select("conv_id", "turn", "pos").distinct()
+    return _occurrences(spark, d).select("conv_id", "turn", "pos").distinct()
 
 
 @query
@@ -258,14 +271,27 @@ def list_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def kwic(spark: SparkSession, d: str) -> DataFrame:
-    talk = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    got = pattern_locate(spark, d).join(talk, ["conv_id", "turn"])
-    return got.select("pattern", "conv_id", "turn", "pos", text.context(F.col("text"), F.col("pos").cast("int"), GRAM, 10).alias("shown"))
+    got = _occurrences(spark, d).join(_talk(spark, d), ["conv_id", "turn"])
+    return got.select("pattern", "conv_id", "turn", "pos", text.context(F.col("text"), F.col("pos").cast("int"), F.length("pattern"), 10).alias("shown"))
+
+
+@query
+def display_sequence(spark: SparkSession, d: str) -> DataFrame:
+    return _talk(spark, d).select("conv_id", "turn", F.concat("text", F.lit("$")).alias("shown"))
 
 
 @query
 def display_range(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where(F.length("text") > 50).select("doc_id", F.substring("text", 11, 40).alias("shown"))
+    shown = F.when(F.length("text") >= 50, F.substring("text", 11, 40))
+    return table(spark, d, "documents").select("doc_id", shown.alias("shown"), F.substring("text", 1, 40).alias("head"))
+
+
+@query
+def position_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The document and the place in it of every thousandth position of all texts laid end to end."""
+    each = F.sequence(F.ceil(F.col("first") / 1000) * 1000, F.floor(F.col("last") / 1000) * 1000, F.lit(1000).cast("long"))
+    inside = F.ceil(F.col("first") / 1000) * 1000 <= F.col("last")
+    return seq_ranges(spark, d).where(inside).select("doc_id", F.explode(each).alias("pos"), "first").select("pos", "doc_id", (F.col("pos") - F.col("first")).alias("offset"))
 
 
 @query
@@ -289,34 +315,45 @@ def grep_count(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).where(F.col("line").contains("tion")).groupBy("conv_id").agg(F.count("*").alias("n_lines"))
 
 
-def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("text"))
-    return text.suffix_ranks(names, "p_partkey")
+def _suffixes(spark: SparkSession, d: str) -> text.Suffixes:
+    return text.suffix_order(_talk(spark, d), ["conv_id", "turn"])
 
 
 @query
 def bwt(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(spark, d).select("sa_rank", F.col("before").alias("symbol"))
+    return _suffixes(spark, d).rows.select("sa_rank", F.col("before").alias("symbol"))
 
 
 @query
 def bwt_runs(spark: SparkSession, d: str) -> DataFrame:
-    return text.bwt_runs(stored(_ranked(spark, d), "suffixes"))
+    return text.bwt_runs(_suffixes(spark, d).rows)
 
 
 @query
 def suffix_rank(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(spark, d).select("p_partkey", F.col("pos").cast("long").alias("pos"), "sa_rank")
+    return _suffixes(spark, d).rows.select("conv_id", "turn", "pos", "sa_rank")
+
+
+@query
+def display_from_rank(spark: SparkSession, d: str) -> DataFrame:
+    return _suffixes(spark, d).rows.select("sa_rank", F.substring("gram", 1, 20).alias("shown"))
 
 
 @query
 def lcp_array(spark: SparkSession, d: str) -> DataFrame:
-    return text.lcp(stored(_ranked(spark, d), "suffixes")).select("sa_rank", F.col("lcp").cast("long").alias("lcp"))
+    return text.lcp(_suffixes(spark, d)).select("sa_rank", "lcp")
 
 
 @query
 def weighted_found(spark: SparkSession, d: str) -> DataFrame:
-    return _occurrences(spark, d).groupBy("conv_id").agg(F.count("*").alias("weight"))
+    """The summed weights of the patterns that begin at each place."""
+    return _occurrences(spark, d).join(_patterns(spark, d), "pattern").groupBy("conv_id", "turn", "pos").agg(F.sum("weight").alias("weight"))
+
+
+@query
+def pattern_draw(spark: SparkSession, d: str) -> DataFrame:
+    """A hundred patterns drawn in proportion to their weights."""
+    return ranks.systematic_positions(_patterns(spark, d), ["pattern"], "weight", 100)
 
 
 @query
@@ -327,7 +364,7 @@ def greedy_samples(spark: SparkSession, d: str) -> DataFrame:
 
 def _bits(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
-    return ranks.bit_ranks(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], F.col("l_returnflag") == "R")
+    return ranks.bit_ranks(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"], F.col("l_returnflag") == "R")
 
 
 @query
@@ -340,16 +377,72 @@ def bit_select(spark: SparkSession, d: str) -> DataFrame:
     return ranks.select_bits(_bits(spark, d))
 
 
+@query
+def zero_select(spark: SparkSession, d: str) -> DataFrame:
+    return ranks.select_bits(_bits(spark, d), 0)
+
+
 @query
 def select_next(spark: SparkSession, d: str) -> DataFrame:
     got = ranks.select_next(stored(_bits(spark, d).select("pos", "bit", "rank1"), "bits"))
-    return got.select("pos", F.coalesce("next_one", F.lit(-1)).alias("next_one"))
+    return got.select("pos", F.coalesce("next", F.lit(-1)).alias("next_one"))
+
+
+@query
+def zero_next(spark: SparkSession, d: str) -> DataFrame:
+    got = ranks.select_next(stored(_bits(spark, d).select("pos", "bit", "rank0"), "bits"), 0)
+    return got.select("pos", F.coalesce("next", F.lit(-1)).alias("next_zero"))
+
+
+ITEM = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(*ITEM)
+
+
+def _line_numbers(spark: SparkSession, d: str) -> list[int]:
+    """The alphabet of line numbers, a handful."""
+    return [r[0] for r in table(spark, d, "lineitem").select("l_linenumber").distinct().collect()]
 
 
 @query
 def symbol_rank(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag").distinct()
-    return ranks.symbol_ranks(rows, ["l_orderkey"], "l_linenumber", "l_returnflag")
+    return ranks.symbol_ranks(_items(spark, d), ITEM, "l_returnflag").select("pos", "l_returnflag", "sym_rank")
+
+
+@query
+def symbol_select(spark: SparkSession, d: str) -> DataFrame:
+    return ranks.symbol_ranks(_items(spark, d), ITEM, "l_linenumber").select("l_linenumber", F.col("sym_rank").alias("k"), "pos")
+
+
+@query
+def symbol_next(spark: SparkSession, d: str) -> DataFrame:
+    got = ranks.symbol_next(stored(symbol_rank(spark, d), "symbols"), "l_returnflag")
+    return got.select("pos", F.coalesce("next", F.lit(-1)).alias("next"))
+
+
+@query
+def rank_below(spark: SparkSession, d: str) -> DataFrame:
+    return ranks.prefix_ranks(_items(spark, d), ITEM, "l_linenumber", _line_numbers(spark, d)).select("pos", "below")
+
+
+@query
+def largest_up_to(spark: SparkSession, d: str) -> DataFrame:
+    got = ranks.largest_up_to(_items(spark, d), ITEM, "l_linenumber", 4, _line_numbers(spark, d))
+    return got.select("pos", F.coalesce("largest", F.lit(-1)).alias("largest"), F.coalesce("rank", F.lit(0)).cast("long").alias("rank"))
+
+
+@query
+def run_lengths(spark: SparkSession, d: str) -> DataFrame:
+    placed = stored(with_running(_items(spark, d), ITEM, "pos").select("pos", "l_returnflag"), "sequence")
+    return ranks.run_lengths(placed, "l_returnflag")
+
+
+@query
+def character_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Each character of the conversations, how often it is there, and how many characters are smaller."""
+    return ranks.symbol_counts(_talk(spark, d).select(F.explode(F.split("text", "")).alias("c")).where("c <> ''"), "c")
 
 
 @query
@@ -363,14 +456,21 @@ def symbol_runs(spark: SparkSession, d: str) -> DataFrame:
     return ranks.runs(rows, ["l_suppkey"], "at", "flag")
 
 
+def _middle(spark: SparkSession, d: str) -> DataFrame:
+    """The line items of the middle half of all places that have line numbers 2 to 4."""
+    rows = with_running(_items(spark, d), ITEM, "pos")
+    n = table(spark, d, "lineitem").count()
+    return ranks.in_range(rows, "pos", n // 4, 3 * n // 4, "l_linenumber", 2, 4)
+
+
 @query
 def range_report(spark: SparkSession, d: str) -> DataFrame:
-    return ranks.in_range(table(spark, d, "lineitem"), "l_orderkey", 500, 5000, "l_linenumber", 2, 4).select("l_orderkey", "l_linenumber", "l_partkey")
+    return _middle(spark, d).select("pos", "l_linenumber")
 
 
 @query
 def range_count(spark: SparkSession, d: str) -> DataFrame:
-    return ranks.in_range(table(spark, d, "lineitem"), "l_orderkey", 500, 5000, "l_linenumber", 2, 4).groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    return _middle(spark, d).groupBy("l_suppkey").agg(F.count("*").alias("n"))
 
 
 @query
@@ -380,23 +480,36 @@ def edit_distance(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def hamming(spark: SparkSession, d: str) -> DataFrame:
+    listed = seq.mismatch_list(F.col("p_name"), F.reverse("p_name"))
+    return table(spark, d, "part").select("p_partkey", F.size(listed).alias("n"))
+
+
+@query
+def mismatch_rows(spark: SparkSession, d: str) -> DataFrame:
     listed = seq.mismatches(F.col("p_name"), F.reverse("p_name"))
-    return table(spark, d, "part").select("p_partkey", F.when(listed == "", 0).otherwise((F.size(F.split(listed, " ")) / 2).cast("int")).alias("n"))
+    return table(spark, d, "part").select("p_partkey", listed.alias("listed"))
 
 
 @query
 def edit_script(spark: SparkSession, d: str) -> DataFrame:
-    """Edit operations, CIGAR and distance; held against a brute-force check in the tests."""
+    """Edit operations, CIGAR, script and distance; held against a brute-force check in the tests."""
     return alignment.aligned(table(spark, d, "part").select("p_partkey", "p_name", "p_type"), "p_name", "p_type")
 
 
 @query
 def deep_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Substrings of prose bases without a depth bound; held against the bounded operator in the tests."""
+    """Substrings of prose bases without a depth bound."""
     sequences = table(spark, d, "documents").select(F.col("source").alias("sample"), seq.normalize(F.col("text")).alias("seq"))
     return mining.mine_deep(sequences, mining.MiningOptions(fmin=3), stored)
 
 
+@query
+def post_order(spark: SparkSession, d: str) -> DataFrame:
+    """The mined substrings numbered as a walk leaves them: a longer one before its beginning."""
+    paths = _mined(spark, d).select("path", F.concat("path", F.lit("~")).alias("by"))
+    return with_running(paths, ["by"], "nth").select("path", "nth")
+
+
 @query
 def page_tags(spark: SparkSession, d: str) -> DataFrame:
     tags = text.tagged("html", "p")
@@ -408,10 +521,104 @@ def text_chunks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.posexplode(text.chunks(F.col("text"), 1000)).alias("chunk", "part")).withColumn("chunk", F.col("chunk").cast("long"))
 
 
+def _written(lines: DataFrame, what: str) -> str:
+    """The path of a new text file of these lines (column value)."""
+    path = scratch(lines.sparkSession, what)
+    lines.select("value").write.text(path)
+    return path
+
+
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    """(conv_id, turn, name, text) of the conversations, without titles' signs and line breaks that end a file's line."""
+    name = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+    return table(spark, d, "conversations").select("conv_id", "turn", name.alias("name"), "role", F.regexp_replace("text", "[>@\r]", "").alias("text"))
+
+
 @query
 def fasta_records(spark: SparkSession, d: str) -> DataFrame:
-    head = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit(" "), "role", F.lit("\n"))
-    return parse_fasta(table(spark, d, "conversations").select(F.concat(head, F.regexp_replace("text", ">", "")).alias("value")))
+    """Written as a file whose titles hold '>' themselves, and read back."""
+    value = F.concat(F.lit(">"), "name", F.lit(" a->b "), "role", F.lit("\n"), "text")
+    return readers.read_fasta(spark, _written(_named(spark, d).select(value.alias("value")), "fasta"))
+
+
+@query
+def fasta_qualities(spark: SparkSession, d: str) -> DataFrame:
+    one = _named(spark, d).orderBy("conv_id", "turn")
+    paths = [_written(one.select(F.concat(F.lit(">"), "name", F.lit("\n"), body).alias("value")), "fasta") for body in (F.col("text"), F.reverse("text"))]
+    return readers.read_fasta_quality(spark, *paths)
+
+
+@query
+def fastq_records(spark: SparkSession, d: str) -> DataFrame:
+    flat = F.translate("text", "\n", " ")
+    value = F.concat(F.lit("@"), "name", F.lit(" x\n"), flat, F.lit("\n+\n@"), F.reverse(flat))
+    return readers.read_fastq(spark, _written(_named(spark, d).select(value.alias("value")), "fastq"))
+
+
+@query
+def reads_window(spark: SparkSession, d: str) -> DataFrame:
+    """Fifty reads after the first twenty, each with the quality on the line after it."""
+    flat = F.translate("text", "\n", " ")
+    lines = _named(spark, d).orderBy("conv_id", "turn").select(F.concat(flat, F.lit("\n"), F.reverse(flat)).alias("value"))
+    path = _written(lines, "reads")
+    return readers.read_reads(spark, path, path, skip=20, limit=50)
+
+
+@query
+def lower_lines(spark: SparkSession, d: str) -> DataFrame:
+    return readers.read_lines(spark, _written(table(spark, d, "conversations").select(F.col("text").alias("value")), "lines"), lower=True)
+
+
+@query
+def run_map_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers' nations as a run map: the line number is the run, what stands there its sample."""
+    lines = table(spark, d, "supplier").orderBy("s_suppkey").select(F.col("s_nationkey").cast("string").alias("value"))
+    return readers.read_run_map(spark, _written(lines, "run-map"))
+
+
+@query
+def pattern_file(spark: SparkSession, d: str) -> DataFrame:
+    lines = _patterns(spark, d).select(F.concat(F.col("weight").cast("string"), F.lit("\t"), "pattern").alias("value"))
+    return readers.read_patterns(spark, _written(lines, "patterns"), tab=True)
+
+
+@query
+def strain_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as an alignment of three strains, the third with gaps."""
+    third = F.when(F.col("l_linenumber") % 3 == 0, "-").otherwise(F.lower("l_returnflag"))
+    lines = table(spark, d, "lineitem").select(*ITEM, F.concat_ws(" ", "l_returnflag", "l_linestatus", third).alias("line"))
+    return readers.strain_texts(lines, ITEM, "line")
+
+
+@query
+def library_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", seq.library_name(F.col("url")).alias("name"))
+
+
+@query
+def events_by_time(spark: SparkSession, d: str) -> DataFrame:
+    """Events numbered in the order of their times."""
+    return with_running(table(spark, d, "events").select("event_id", "ts"), ["ts", "event_id"], "nth").select("event_id", "nth")
+
+
+@query
+def minfreq_rows(spark: SparkSession, d: str) -> DataFrame:
+    runs = _counts(spark, d).withColumnRenamed("sample", "run")
+    return matrices.to_samples(runs, _dims(spark, d).select(F.col("sample").alias("run"), "sample"), 3)
+
+
+@query
+def step_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows thresholds at steps of 0.07 hold."""
+    limits = F.explode(F.array(*[F.lit(x) for x in matrices.thresholds_by_step(0.07)])).alias("max_entropy")
+    got = _entropies(spark, d).select("entropy", limits).groupBy("max_entropy")
+    return got.agg(F.sum((F.col("entropy") <= F.col("max_entropy")).cast("long")).alias("n_rows")).select(F.round("max_entropy", 6).alias("max_entropy"), "n_rows")
+
+
+@query
+def matrix_file(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the count matrices' file."""
+    return matrices.matrix_lines(_pairs(spark, d), threshold_rows(spark, d), "count")
 
 
 @query
@@ -435,18 +642,10 @@ def value_before(spark: SparkSession, d: str) -> DataFrame:
     return got.select("pos", F.coalesce("last_one", F.lit(-1)).alias("last_one"))
 
 
-@query
-def largest_up_to(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").distinct()
-    rows = rows.groupBy("l_orderkey", "l_partkey").agg(F.max("l_linenumber").alias("l_linenumber"))
-    got = ranks.largest_up_to(rows, ["l_orderkey"], "l_partkey", "l_linenumber", 4)
-    return got.select("l_orderkey", "l_partkey", F.coalesce("largest", F.lit(-1)).alias("largest"))
-
-
 @query
 def inverse_suffix_array(spark: SparkSession, d: str) -> DataFrame:
-    ranked = _ranked(spark, d).select("p_partkey", "pos", "sa_rank", "suffix")
-    numbered = with_running(ranked.select("p_partkey", "pos", "sa_rank"), ["p_partkey", "pos"], "value")
+    """The rank of every place of all texts laid end to end, each with its end."""
+    numbered = with_running(_suffixes(spark, d).rows.select("conv_id", "turn", "pos", "sa_rank"), ["conv_id", "turn", "pos"], "value")
     return ranks.inverse(stored(numbered.select("sa_rank", "value"), "permutation"), "sa_rank", "value")
 
 
@@ -475,30 +674,28 @@ def pattern_trim(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", cut.alias("pattern"), seq.reverse_complement(cut).alias("reversed"))
 
 
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    ref = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return _occurrences(spark, d).select("pattern", "pos", ref.alias("ref"), F.length("pattern").alias("width"))
+
+
 @query
 def tab_rows(spark: SparkSession, d: str) -> DataFrame:
-    found = pattern_locate(spark, d).select("pattern", "conv_id", "turn", "pos", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("ref"))
-    found = found.withColumn("width", F.lit(GRAM)).withColumn("strand", F.lit("F"))
+    found = _placed(spark, d).withColumn("strand", F.lit("F"))
     return found.select("pattern", "ref", "pos", alignment.tab_line("pattern", "ref", "pos", "width", "strand").alias("line"))
 
 
 @query
 def sam_rows(spark: SparkSession, d: str) -> DataFrame:
-    found = pattern_locate(spark, d).select("pattern", "pos", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("ref"))
-    found = found.withColumn("cigar", F.lit(f"{GRAM}M")).withColumn("reverse", F.lit(False))
+    found = _placed(spark, d).withColumn("cigar", F.concat(F.col("width").cast("string"), F.lit("M"))).withColumn("reverse", F.lit(False))
     return found.select("pattern", "ref", "pos", alignment.sam_line("pattern", "ref", "pos", "cigar", "pattern", "reverse").alias("line"))
 
 
-@query
-def symbol_select(spark: SparkSession, d: str) -> DataFrame:
-    return symbol_rank(spark, d).select("l_orderkey", "l_returnflag", F.col("sym_rank").alias("k"), "l_linenumber")
-
-
 @query
 def sequence_suffixes(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("text"))
-    own = Window.partitionBy("p_partkey").orderBy("suffix")
-    return text.suffixes(names, "p_partkey").select("p_partkey", F.col("pos").cast("long").alias("pos"), (F.row_number().over(own) - 1).cast("long").alias("own_rank"))
+    """The suffix array of each conversation turn by itself."""
+    own = Window.partitionBy("conv_id", "turn").orderBy("sa_rank")  # bounded by a text's length
+    return _suffixes(spark, d).rows.select("conv_id", "turn", "pos", (F.row_number().over(own) - 1).cast("long").alias("own_rank"))
 
 
 @query

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,17 +13,23 @@ from pyspark.sql import functions as F
 def operations(a: str, b: str) -> str:
     """The edit operations that turn a into b, a letter each: M equal, X other, D only in a, I only in b.
 
-    Of equally cheap ways the one that goes back diagonally first, then drops from a, then adds from b."""
-    cost = [[i + j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
-    for i, x in enumerate(a, 1):
-        for j, y in enumerate(b, 1):
-            cost[i][j] = min(cost[i - 1][j - 1] + (x != y), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
-    i, j, out = len(a), len(b), []
+    Of equally cheap ways the one that goes back diagonally first, then drops from a, then adds from b. The table is
+    filled diagonal by diagonal, so the work of a pair is a few array steps for each of its characters."""
+    n, m = len(a), len(b)
+    cost = np.zeros((n + 1, m + 1), np.int32)
+    cost[:, 0], cost[0] = np.arange(n + 1), np.arange(m + 1)
+    if n and m:
+        differ = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), "<u4")[:, None] != np.frombuffer(b.encode("utf-32-le", "surrogatepass"), "<u4")
+        for k in range(2, n + m + 1):
+            i = np.arange(max(1, k - m), min(n, k - 1) + 1)
+            j = k - i
+            cost[i, j] = np.minimum(np.minimum(cost[i - 1, j], cost[i, j - 1]) + 1, cost[i - 1, j - 1] + differ[i - 1, j - 1])
+    i, j, out = n, m, []
     while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
+        if i and j and cost[i, j] == cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
             out.append("M" if a[i - 1] == b[j - 1] else "X")
             i, j = i - 1, j - 1
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
+        elif i and cost[i, j] == cost[i - 1, j] + 1:
             out.append("D")
             i -= 1
         else:
@@ -31,6 +38,22 @@ def operations(a: str, b: str) -> str:
     return "".join(reversed(out))
 
 
+def script(a: str, b: str, ops: str) -> str:
+    """The operations as 'place character': places count b from 0; a's letter where it differs, its small letter where only a
+    has one, D where only b has one. Equal strings give an empty text."""
+    i = j = 0
+    said = []
+    for o in ops:
+        if o == "X":
+            said.append(f"{j} {a[i]}")
+        elif o == "D":
+            said.append(f"{j} {a[i].lower()}")
+        elif o == "I":
+            said.append(f"{j} D")
+        i, j = i + (o != "I"), j + (o != "D")
+    return " ".join(said)
+
+
 def cigar(ops: str) -> str:
     """Run lengths of M (equal or other), I and D."""
     out, last, n = [], "", 0
@@ -43,15 +66,17 @@ def cigar(ops: str) -> str:
 
 
 def aligned(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """pairs plus distance, ops and cigar; a null side gives nulls."""
+    """pairs plus distance, ops, cigar and edits; a null side gives nulls. For pairs of names and reads, not of whole books:
+    a pair's table has a cell for each two characters."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             ops = [None if x is None or y is None else operations(x, y) for x, y in zip(frame[a], frame[b], strict=True)]
-            yield frame.assign(ops=ops, cigar=[None if o is None else cigar(o) for o in ops])
+            edits = [None if o is None else script(x, y, o) for x, y, o in zip(frame[a], frame[b], ops, strict=True)]
+            yield frame.assign(ops=ops, cigar=[None if o is None else cigar(o) for o in ops], edits=edits)
 
-    return pairs.mapInPandas(run, f"{schema}, ops string, cigar string").withColumn("distance", F.levenshtein(a, b))
+    return pairs.mapInPandas(run, f"{schema}, ops string, cigar string, edits string").withColumn("distance", F.levenshtein(a, b))
 
 
 def tab_line(name: str, ref: str, pos: str, length: str, strand: str) -> Column:

@@ -86,10 +86,23 @@ def pair_matrices(rows: DataFrame, entropies: DataFrame, limits: list[float], sa
     return cells.select("max_entropy", "s", "t", *(F.sum(c).over(upto).alias(c) for c in ("cnt", "log_d", "sqrt_d", "lgamma_d")))
 
 
-def write_matrices(matrices: DataFrame, folder: str, suffix: str) -> None:
-    """Four tables of the pivoted matrices under folder, count/log/sqrt/lgamma.suffix; an existing one is an error."""
-    for name, column in (("count", "cnt"), ("log", "log_d"), ("sqrt", "sqrt_d"), ("lgamma", "lgamma_d")):
-        pivoted = matrices.groupBy("max_entropy", "s").pivot("t").agg(F.first(column))
-        pivoted.write.mode("errorifexists").csv(f"{folder}/{name}.{suffix}", sep="\t", header=True)
+KINDS = {"count": "cnt", "log": "log_d", "sqrt": "sqrt_d", "lgamma": "lgamma_d"}
 
 
+def matrix_lines(matrices: DataFrame, rows: DataFrame, kind: str) -> DataFrame:
+    """(max_entropy, line_no, line): each threshold's header, then a line for each sample, the part below the diagonal 0.
+
+    rows: (max_entropy, n_rows), how many rows a threshold has. A line is as long as there are samples."""
+    number = (lambda c: c.cast("long").cast("string")) if kind == "count" else (lambda c: F.format_string("%f", c.cast("double")))
+    cells = matrices.select("max_entropy", "s", "t", F.col(KINDS[kind]).alias("x"))
+    mirrored = cells.unionByName(cells.where("s <> t").select("max_entropy", F.col("t").alias("s"), F.col("s").alias("t"), F.lit(0).cast(cells.schema["x"].dataType).alias("x")))
+    line = mirrored.groupBy("max_entropy", "s").agg(F.sort_array(F.collect_list(F.struct("t", number(F.col("x")).alias("x")))).alias("row"))
+    line = line.select("max_entropy", F.row_number().over(Window.partitionBy("max_entropy").orderBy("s")).alias("line_no"), F.concat(F.lit(" "), F.array_join(F.transform("row", lambda c: c["x"]), " ")).alias("line"))
+    head = rows.select("max_entropy", F.lit(0).alias("line_no"), F.format_string("Matrix for <max_entropy>=<%f> was computed from %d substrings: ", "max_entropy", "n_rows").alias("line"))
+    return head.unionByName(line)
+
+
+def write_matrices(matrices: DataFrame, rows: DataFrame, folder: str, suffix: str) -> None:
+    """Four folders of text, count/log/sqrt/lgamma.suffix, thresholds rising, lines in order; an existing one is an error."""
+    for kind in KINDS:
+        matrix_lines(matrices, rows, kind).orderBy("max_entropy", "line_no").select("line").write.mode("errorifexists").text(f"{folder}/{kind}.{suffix}")

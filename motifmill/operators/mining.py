@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import entropy_term, reverse_complement, smoothed_entropy
+from .ordering import stored
 
 
 @dataclass(frozen=True)
@@ -83,7 +84,7 @@ def chosen(options: MiningOptions) -> Column:
 
 def mine(sequences: DataFrame, options: MiningOptions) -> DataFrame:
     """(path, n_samples, total_freq, entropy, freqs): maximal informative substrings; freqs lists (sample, freq) by sample."""
-    found = nodes(sequences, options.fmin, options.depth)
+    found = stored(nodes(sequences, options.fmin, options.depth), "nodes")
     samples = sequences.select("sample").distinct().count()
     kept = branching(merged(found, samples)).where(chosen(options))
     freqs = found.join(kept.select("path"), "path", "left_semi").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("sample", "freq"))).alias("freqs"))
@@ -97,11 +98,20 @@ def row_text(mined: DataFrame, decimals: int = 6) -> DataFrame:
 
 
 def parse_rows(lines: DataFrame, column: str = "line") -> DataFrame:
-    """(path, entropy, sample, freq) from rows of text; the entropy field may be missing."""
-    part = F.split(column, " ")
-    has = F.element_at(part, 2).contains(".")
-    opened = lines.select(F.element_at(part, 1).alias("path"), F.when(has, F.element_at(part, 2).cast("double")).alias("entropy"), F.explode(F.slice(part, F.when(has, 3).otherwise(2), F.size(part))).alias("pair"))
-    return opened.select("path", "entropy", F.substring_index("pair", ":", 1).alias("sample"), F.substring_index("pair", ":", -1).cast("long").alias("freq"))
+    """(path, entropy, sample, freq) from rows of text: fields with a colon are pairs, an entropy field has none.
+
+    A sample's name goes up to the last colon and may hold dots and colons itself; what is no number becomes null."""
+    part = F.split(F.trim(F.col(column)), " +")
+    has = ~F.element_at(part, 2).contains(":")
+    opened = lines.select(F.element_at(part, 1).alias("path"), F.when(has, F.element_at(part, 2).try_cast("double")).alias("entropy"), F.explode(F.slice(part, F.when(has, 3).otherwise(2), F.size(part))).alias("pair"))
+    freq = F.substring_index("pair", ":", -1)
+    return opened.select("path", "entropy", F.expr("substring(pair, 1, length(pair) - length(substring_index(pair, ':', -1)) - 1)").alias("sample"), freq.try_cast("long").alias("freq"))
+
+
+def write_rows(mined: DataFrame, folder: str, decimals: int = 6, gzip: bool = False) -> None:
+    """Rows of text in the order in which a walk leaves the substrings (a longer one before its beginning)."""
+    rows = row_text(mined, decimals).orderBy(F.concat("path", F.lit("~"))).select("line")
+    rows.write.mode("errorifexists").option("compression", "gzip" if gzip else "none").text(folder)
 
 
 def mine_deep(sequences: DataFrame, options: MiningOptions, store) -> DataFrame:

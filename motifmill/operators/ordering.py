@@ -5,24 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written once to the folder named by spark.checkpoint.dir and read back.
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the folder named by spark.checkpoint.dir.
 
     A local session that names none (tests) gets a temporary folder; on a cluster that is an error."""
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="motifmill-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/motifmill/{what}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/motifmill/{what}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df written once to the shared folder and read back: cuts the lineage and survives lost executors."""
+    path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def with_running(df: DataFrame, order: list[str], position: str = "pos", sums: dict[str, Column] | None = None) -> DataFrame:
@@ -31,13 +35,17 @@ def with_running(df: DataFrame, order: list[str], position: str = "pos", sums: d
     Rows are dealt out by ranges of the order; each range is numbered by itself and shifted by the totals of the ranges
     before it, a table of one row a partition. Ties are in no fixed order: order by a key."""
     sums = sums or {}
-    part = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    part = stored(part, "ordered")
-    inside = Window.partitionBy("__part").orderBy(*order)
-    totals = part.groupBy("__part").agg(F.count("*").alias("__n"), *(F.coalesce(F.sum(c), F.lit(0)).alias(f"__{k}") for k, c in sums.items()))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    shift = totals.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n"), *(F.coalesce(F.sum(f"__{k}").over(before), F.lit(0)).alias(f"__{k}") for k in sums))
-    got = part.join(F.broadcast(shift), "__part").withColumn(position, F.row_number().over(inside) - 1 + F.col("__n"))
+    taken = {c.lower() for c in df.columns} | {position.lower(), *(k.lower() for k in sums)}
+    tag = "__"
+    while any(c.startswith(tag) for c in taken):
+        tag += "_"
+    part, n = f"{tag}part", f"{tag}n"
+    ranged = stored(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ordered")
+    inside = Window.partitionBy(part).orderBy(*order)
+    totals = ranged.groupBy(part).agg(F.count("*").alias(n), *(F.coalesce(F.sum(c), F.lit(0)).alias(f"{tag}{k}") for k, c in sums.items()))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    shift = totals.select(part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n), *(F.coalesce(F.sum(f"{tag}{k}").over(before), F.lit(0)).alias(f"{tag}{k}") for k in sums))
+    got = ranged.join(F.broadcast(shift), part).withColumn(position, F.row_number().over(inside) - 1 + F.col(n))
     for k, c in sums.items():
-        got = got.withColumn(k, F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col(f"__{k}"))
-    return got.drop("__part", "__n", *(f"__{k}" for k in sums))
+        got = got.withColumn(k, F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col(f"{tag}{k}"))
+    return got.drop(part, n, *(f"{tag}{k}" for k in sums))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import with_running
+from .ordering import stored, with_running
 
 
 def bit_ranks(rows: DataFrame, order: list[str], bit: Column) -> DataFrame:
@@ -14,21 +14,60 @@ def bit_ranks(rows: DataFrame, order: list[str], bit: Column) -> DataFrame:
     return got.withColumn("rank0", F.col("pos") + 1 - F.col("rank1"))
 
 
-def select_bits(ranked: DataFrame) -> DataFrame:
-    """(k, pos): the position of the k-th one."""
-    return ranked.where("bit = 1").select(F.col("rank1").alias("k"), "pos")
+def select_bits(ranked: DataFrame, bit: int = 1) -> DataFrame:
+    """(k, pos): the position of the k-th one (or zero)."""
+    return ranked.where(F.col("bit") == bit).select(F.col(f"rank{bit}").alias("k"), "pos")
 
 
-def select_next(ranked: DataFrame) -> DataFrame:
-    """(pos, next_one): the first one at or after each position, null if there is none: a join on the one's number."""
-    ones = select_bits(ranked).withColumnRenamed("pos", "next_one")
-    return ranked.select("pos", (F.col("rank1") - F.col("bit") + 1).alias("k")).join(ones, "k", "left").select("pos", "next_one")
+def select_next(ranked: DataFrame, bit: int = 1) -> DataFrame:
+    """(pos, next): the first one (or zero) at or after each position, null if there is none: a join on its number."""
+    there = select_bits(ranked, bit).withColumnRenamed("pos", "next")
+    own = (F.col("bit") == bit).cast("int")
+    return ranked.select("pos", (F.col(f"rank{bit}") - own + 1).alias("k")).join(there, "k", "left").select("pos", "next")
 
 
-def symbol_ranks(rows: DataFrame, group: list[str], order: str, symbol: str) -> DataFrame:
-    """rows plus sym_rank: occurrences of the row's symbol up to it within its group."""
-    upto = Window.partitionBy(*group, symbol).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("sym_rank", F.count("*").over(upto))
+def symbol_ranks(rows: DataFrame, order: list[str], symbol: str) -> DataFrame:
+    """rows plus pos, their place in the whole sequence, and sym_rank: occurrences of the row's symbol up to it.
+
+    A second order, by symbol and place, gives the rank: a row's place in it less where its symbol begins."""
+    placed = stored(with_running(rows, order, "pos"), "sequence")
+    sorted_ = stored(with_running(placed, [symbol, "pos"], "nth"), "by-symbol")
+    first = sorted_.groupBy(symbol).agg(F.min("nth").alias("first"))
+    return sorted_.join(first, symbol).withColumn("sym_rank", F.col("nth") - F.col("first") + 1).drop("nth", "first")
+
+
+def symbol_next(ranked: DataFrame, symbol: str) -> DataFrame:
+    """(pos, next): from each place the next one with the same symbol, null for its last."""
+    after = ranked.select(symbol, (F.col("sym_rank") - 1).alias("sym_rank"), F.col("pos").alias("next"))
+    return ranked.select("pos", symbol, "sym_rank").join(after, [symbol, "sym_rank"], "left").select("pos", "next")
+
+
+def prefix_ranks(rows: DataFrame, order: list[str], symbol: str, symbols: list) -> DataFrame:
+    """rows plus pos and below: how many rows up to each one have a smaller symbol. symbols: a small alphabet."""
+    named = {f"upto_{k}": F.when(F.col(symbol) == x, 1).otherwise(0) for k, x in enumerate(sorted(symbols))}
+    got = with_running(rows, order, "pos", named)
+    below = sum((F.when(F.col(symbol) > x, F.col(f"upto_{k}")).otherwise(0) for k, x in enumerate(sorted(symbols))), F.lit(0))
+    return got.withColumn("below", below).drop(*named)
+
+
+def largest_up_to(rows: DataFrame, order: list[str], symbol: str, most: int, symbols: list) -> DataFrame:
+    """rows plus pos and largest: the largest symbol <= most among all rows up to this one, null if there is none, and
+    its rank: how many rows up to this one have it. symbols: a small alphabet."""
+    held = [x for x in sorted(symbols) if x <= most]
+    named = {f"upto_{k}": F.when(F.col(symbol) == x, 1).otherwise(0) for k, x in enumerate(held)}
+    got = with_running(rows, order, "pos", named)
+    pick = lambda value: F.coalesce(*(F.when(F.col(f"upto_{k}") > 0, value(k, x)) for k, x in reversed(list(enumerate(held)))), F.lit(None))
+    return got.withColumn("largest", pick(lambda k, x: F.lit(x))).withColumn("rank", pick(lambda k, x: F.col(f"upto_{k}"))).drop(*named)
+
+
+def run_lengths(ranked: DataFrame, symbol: str) -> DataFrame:
+    """(run, symbol, first, length): the stretches of equal neighbours of a whole sequence (pos, symbol), numbered from 1."""
+    last = ranked.select((F.col("pos") + 1).alias("pos"), F.col(symbol).alias("last"))
+    heads = ranked.select("pos", symbol).join(last, "pos", "left").where(F.col("last").isNull() | (F.col("last") != F.col(symbol))).select(F.col("pos").alias("first"), symbol)
+    numbered = stored(with_running(heads, ["first"], "run").withColumn("run", F.col("run") + 1), "runs")
+    end = ranked.agg(F.max("pos") + 1).first()[0]
+    after = numbered.select((F.col("run") - 1).alias("run"), F.col("first").alias("end"))
+    return numbered.join(after, "run", "left").select("run", symbol, "first", (F.coalesce("end", F.lit(end)) - F.col("first")).alias("length"))
 
 
 def in_range(rows: DataFrame, pos: str, low: int, high: int, symbol: str, least: int, most: int) -> DataFrame:
@@ -57,7 +96,8 @@ def greedy_samples(rows: DataFrame, rate: int, share: float) -> DataFrame:
     step = n if share >= 1 else max(1, int(min(n, rate / (1 - share))))
     regular = rows.where(F.col("pos") % step == 0)
     left = max(0, want - regular.count())
-    heavy = rows.where((F.col("pos") % step != 0) & (F.col("weight") > 0)).orderBy(F.desc("weight"), F.desc("pos")).limit(left)
+    heavy = rows.where((F.col("pos") % step != 0) & (F.col("weight") > 0)).select("*", (-F.col("weight")).alias("by"), (-F.col("pos")).alias("then"))
+    heavy = with_running(heavy, ["by", "then"], "nth").where(F.col("nth") < left).drop("by", "then", "nth")
     return regular.withColumn("regular", F.lit(True)).unionByName(heavy.withColumn("regular", F.lit(False)))
 
 
@@ -67,12 +107,6 @@ def value_before(ranked: DataFrame) -> DataFrame:
     return ranked.select("pos", F.col("rank1").alias("k")).join(ones, "k", "left").select("pos", "last_one")
 
 
-def largest_up_to(rows: DataFrame, group: list[str], order: str, symbol: str, most: int) -> DataFrame:
-    """rows plus largest: the largest symbol <= most among the rows of the group up to this one, null if there is none."""
-    upto = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("largest", F.max(F.when(F.col(symbol) <= most, F.col(symbol))).over(upto))
-
-
 def inverse(permutation: DataFrame, index: str, value: str) -> DataFrame:
     """(value, index): the inverse of a permutation is its columns' exchange."""
     return permutation.select(F.col(value).alias(index), F.col(index).alias(value))

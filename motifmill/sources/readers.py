@@ -5,37 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import stored, with_running
 
-def parse_fasta(records: DataFrame, column: str = "value") -> DataFrame:
-    """(name, seq) from records that were split at '>': the first line's first word names, the others are the sequence."""
+#: What stands for a gap in an alignment.
+GAPS = " =-_"
+
+
+def records(spark: SparkSession, path: str, sep: str = "\n", skip: int = 0, limit: int | None = None) -> DataFrame:
+    """(nth, value): the records between separators, numbered in the order of files and of places in them.
+
+    Files are split as Spark likes: a split's records are numbered by themselves and shifted by the splits before it.
+    skip leaves out the first records, limit keeps so many of the others."""
+    lines = spark.read.text(path, lineSep=sep).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = stored(lines.withColumn("at", F.monotonically_increasing_id()), "records")
+    got = with_running(lines, ["file", "block", "at"], "nth").select("nth", "value")
+    return got.where((F.col("nth") >= skip) & (F.lit(True) if limit is None else F.col("nth") < skip + limit))
+
+
+def parse_fasta(records_: DataFrame, column: str = "value") -> DataFrame:
+    """All columns but the given one, and (name, seq), from records whose '>' may stand before the title.
+
+    The title's first word names, the lines after it are the sequence."""
     lines = F.split(F.regexp_replace(column, "\r", ""), "\n")
-    name = F.regexp_extract(F.element_at(lines, 1), r"^([^ \t]*)", 1)
+    name = F.regexp_extract(F.element_at(lines, 1), r"^>?([^ \t]*)", 1)
     body = F.array_join(F.slice(lines, 2, F.size(lines)), "")
-    return records.where(F.trim(F.col(column)) != "").select(name.alias("name"), body.alias("seq"))
+    others = [c for c in records_.columns if c != column]
+    return records_.where(F.trim(F.col(column)) != "").select(*others, name.alias("name"), body.alias("seq"))
+
+
+def read_fasta(spark: SparkSession, path: str, skip: int = 0, limit: int | None = None) -> DataFrame:
+    """(name, seq): a record starts where '>' begins a line, so titles may hold that sign."""
+    if not skip and limit is None:
+        return parse_fasta(spark.read.text(path, lineSep="\n>"))
+    return parse_fasta(records(spark, path, "\n>", skip, limit)).select("name", "seq")
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    return parse_fasta(spark.read.text(path, lineSep=">"))
+def read_fasta_quality(spark: SparkSession, path: str, quality_path: str) -> DataFrame:
+    """(name, seq, qual): the sequences of one file with the rows of another that has a record for each in the same order."""
+    seq, qual = (parse_fasta(records(spark, x, "\n>")) for x in (path, quality_path))
+    return seq.join(qual.select("nth", F.col("seq").alias("qual")), "nth").select("name", "seq", "qual")
 
 
 def parse_fastq(lines: DataFrame, order: str = "line_no", column: str = "value") -> DataFrame:
-    """(name, seq, qual) from numbered lines: four lines a record."""
+    """(name, seq, qual) from numbered lines: four lines a record, whose first begins with '@'."""
     record = lines.groupBy(F.floor(F.col(order) / 4).alias("record"))
-    pick = lambda k: F.max(F.when(F.col(order) % 4 == k, F.col(column)))
-    got = record.agg(pick(0).alias("head"), pick(1).alias("seq"), pick(3).alias("qual"))
+    pick = lambda k: F.max(F.when(F.col(order) % 4 == k, F.regexp_replace(column, "\r", "")))
+    got = record.agg(pick(0).alias("head"), pick(1).alias("seq"), pick(3).alias("qual")).where("head like '@%'")
     return got.select(F.regexp_extract("head", r"^@([^ \t]*)", 1).alias("name"), "seq", "qual")
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(name, seq, qual): a record starts at an '@' after a line break that three lines with a '+' line follow.
-
-    Qualities may begin with '@' themselves, so records are cut by the shape of their four lines, file by file."""
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.input_file_name().alias("file"), F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("line_no", "value"))
-    record = lines.where("not (line_no % 4 = 0 and value = '')").withColumn("record", F.floor(F.col("line_no") / 4))
-    pick = lambda k: F.max(F.when(F.col("line_no") % 4 == k, F.col("value")))
-    got = record.groupBy("file", "record").agg(pick(0).alias("head"), pick(1).alias("seq"), pick(3).alias("qual")).where("head like '@%'")
-    return got.select(F.regexp_extract("head", r"^@([^ \t]*)", 1).alias("name"), "seq", "qual")
+def read_fastq(spark: SparkSession, path: str, skip: int = 0, limit: int | None = None) -> DataFrame:
+    """(name, seq, qual) of the four-line records; files are split and lines numbered over the splits."""
+    return parse_fastq(records(spark, path, "\n", 4 * skip, None if limit is None else 4 * limit), "nth")
 
 
 def read_lines(spark: SparkSession, path: str, lower: bool = False) -> DataFrame:
@@ -44,6 +65,23 @@ def read_lines(spark: SparkSession, path: str, lower: bool = False) -> DataFrame
     return lines.select((F.lower("value") if lower else F.col("value")).alias("seq"))
 
 
+def read_reads(spark: SparkSession, path: str, quality_path: str | None = None, skip: int = 0, limit: int | None = None) -> DataFrame:
+    """(nth, seq, qual): one read a line, with the qualities of another file's lines, or of every second line if that is the
+    same file. A line that begins like a FASTA or FASTQ title is an error."""
+    if quality_path == path:
+        lines = records(spark, path, "\n", 2 * skip, None if limit is None else 2 * limit)
+        pick = lambda k: F.max(F.when(F.col("nth") % 2 == k, F.col("value")))
+        got = lines.groupBy(F.floor(F.col("nth") / 2).alias("nth")).agg(pick(0).alias("seq"), pick(1).alias("qual"))
+    else:
+        got = records(spark, path, "\n", skip, limit).withColumnRenamed("value", "seq")
+        if quality_path:
+            got = got.join(records(spark, quality_path, "\n", skip, limit).withColumnRenamed("value", "qual"), "nth")
+        else:
+            got = got.withColumn("qual", F.lit(None).cast("string"))
+    title = F.col("seq").startswith(">") | F.col("seq").startswith("@")
+    return got.select("nth", F.when(title, F.raise_error(F.lit("a title where a read should be"))).otherwise(F.col("seq")).alias("seq"), "qual")
+
+
 def read_null_separated(spark: SparkSession, path: str) -> DataFrame:
     """(seq): sequences that end with a zero byte each."""
     return spark.read.text(path, lineSep="\0").where("value <> ''").select(F.col("value").alias("seq"))
@@ -63,9 +101,44 @@ def read_sizes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="name string, size double")
 
 
-def fixed_width_patterns(header_and_body: str) -> list[str]:
-    """Patterns of a '# number=N length=L' header and L-character rows without separators."""
-    head, _, body = header_and_body.partition("\n")
-    fields = dict(x.split("=") for x in head.lstrip("# ").split())
-    n, size = int(fields["number"]), int(fields["length"])
-    return [body[i * size : (i + 1) * size] for i in range(n)]
+def read_run_map(spark: SparkSession, path: str) -> DataFrame:
+    """(run, sample): the number of each line, from 0, and the sample on it."""
+    return records(spark, path).where("trim(value) <> ''").select(F.col("nth").alias("run"), F.trim("value").cast("long").alias("sample"))
+
+
+def read_patterns(spark: SparkSession, path: str, weight_width: int = 0, tab: bool = False) -> DataFrame:
+    """(pattern, weight): a pattern a line, whose first characters (a fixed number, or up to the first tab) are its weight.
+
+    Without either, and where a weight is no number, it is 1. Empty lines are left out."""
+    value = F.col("value")
+    cut = F.instr(value, "\t") if tab else F.lit(weight_width)
+    weight = F.substring(value, F.lit(1), cut - 1 if tab else cut).try_cast("long")
+    lines = spark.read.text(path).where("value <> ''")
+    return lines.select(F.substring(value, cut + 1, F.length(value)).alias("pattern"), F.coalesce(weight, F.lit(1)).alias("weight"))
+
+
+def read_fixed_width_patterns(spark: SparkSession, path: str) -> DataFrame:
+    """(nth, pattern) of files that begin with '# number=N length=L' and hold N rows of L bytes without separators.
+
+    Such a file is read whole and cut in its task; many files are read side by side."""
+    head = F.substring_index(F.col("text"), "\n", 1)
+    field = lambda name: F.regexp_extract(head, rf"\b{name}=(\d+)", 1).cast("int")
+    files = spark.read.format("binaryFile").load(path).select(F.decode("content", "ISO-8859-1").alias("text"))
+    sized = files.select("text", (F.length(head) + 2).alias("at"), field("number").alias("number"), field("length").alias("length"))
+    each = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("number") - 1)).alias("nth"))
+    return each.select(F.col("nth").cast("long").alias("nth"), F.substring("text", F.col("at") + F.col("nth") * F.col("length"), F.col("length")).alias("pattern"))
+
+
+def strain_texts(lines: DataFrame, order: list[str], column: str, chunk: int = 1000) -> DataFrame:
+    """(strain, chunk, text): the columns of an alignment, whose line has strain k's character at place 2 k.
+
+    Characters are upper-cased and gaps left out; each strain's text comes in chunks, so no task holds a whole one."""
+    places = F.sequence(F.lit(0), F.floor(F.length(column) / 2 + F.lit(0.5)).cast("int") - 1)
+    at = lines.where((F.length(column) > 0) & ~F.col(column).startswith(">")).select(*order, F.explode(places).alias("strain"), column)
+    base = F.upper(F.substring(column, 2 * F.col("strain") + 1, F.lit(1)))
+    kept = at.select("strain", *order, base.alias("base")).where(~F.col("base").isin(*GAPS))
+    placed = stored(with_running(kept, ["strain", *order], "nth"), "strains")
+    first = placed.groupBy("strain").agg(F.min("nth").alias("first"))
+    own = placed.join(F.broadcast(first), "strain").withColumn("pos", F.col("nth") - F.col("first"))  # one row a strain
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"]), "")
+    return own.groupBy("strain", F.floor(F.col("pos") / chunk).alias("chunk")).agg(text.alias("text"))

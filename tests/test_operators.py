@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from motifmill.functions import sequences
 from motifmill.operators import alignment, matrices, mining, ranks, text
 from motifmill.operators.ordering import with_running
 from motifmill.sources import readers
@@ -13,10 +14,27 @@ from motifmill.streaming import incremental
 
 
 def test_readers(spark, tmp_path):
-    (tmp_path / "a.fa").write_text(">r1 comment\nACGTN\nacg\n>r2\nTT\n")
-    assert {tuple(r) for r in readers.read_fasta(spark, str(tmp_path / "a.fa")).collect()} == {("r1", "ACGTNacg"), ("r2", "TT")}
+    (tmp_path / "a.fa").write_text(">r1 a->b\nACGTN\nacg\n>r2\nTT\n>r3 empty\n")
+    assert {tuple(r) for r in readers.read_fasta(spark, str(tmp_path / "a.fa")).collect()} == {("r1", "ACGTNacg"), ("r2", "TT"), ("r3", "")}
+    assert {tuple(r) for r in readers.read_fasta(spark, str(tmp_path / "a.fa"), skip=1, limit=1).collect()} == {("r2", "TT")}
+    (tmp_path / "a.qual").write_text(">r1\nIIIII\nJJJ\n>r2\nKK\n>r3\n\n")
+    got = readers.read_fasta_quality(spark, str(tmp_path / "a.fa"), str(tmp_path / "a.qual"))
+    assert {tuple(r) for r in got.collect()} == {("r1", "ACGTNacg", "IIIIIJJJ"), ("r2", "TT", "KK"), ("r3", "", "")}
     (tmp_path / "a.fq").write_text("@q1 x\nACGT\n+\n@III\n@q2\nGG\n+\nII\n")
     assert {tuple(r) for r in readers.read_fastq(spark, str(tmp_path / "a.fq")).collect()} == {("q1", "ACGT", "@III"), ("q2", "GG", "II")}
+    assert {tuple(r) for r in readers.read_fastq(spark, str(tmp_path / "a.fq"), limit=1).collect()} == {("q1", "ACGT", "@III")}
+    (tmp_path / "reads").write_text("ACGT\nIIII\nGG\nJJ\n")
+    assert [tuple(r) for r in readers.read_reads(spark, str(tmp_path / "reads"), str(tmp_path / "reads")).orderBy("nth").collect()] == [(0, "ACGT", "IIII"), (1, "GG", "JJ")]
+    assert [tuple(r) for r in readers.read_reads(spark, str(tmp_path / "reads"), skip=2).orderBy("nth").collect()] == [(2, "GG", None), (3, "JJ", None)]
+    with pytest.raises(Exception, match="title"):
+        readers.read_reads(spark, str(tmp_path / "a.fa")).collect()
+    (tmp_path / "map").write_text("0\n0\n1\n")
+    assert {tuple(r) for r in readers.read_run_map(spark, str(tmp_path / "map")).collect()} == {(0, 0), (1, 0), (2, 1)}
+    (tmp_path / "pats").write_text("00000012ACGT\n\nxxxxxxxxGG\n")
+    assert {tuple(r) for r in readers.read_patterns(spark, str(tmp_path / "pats"), weight_width=8).collect()} == {("ACGT", 12), ("GG", 1)}
+    (tmp_path / "pats").write_text("7\tAC GT\n\tTT\n")
+    assert {tuple(r) for r in readers.read_patterns(spark, str(tmp_path / "pats"), tab=True).collect()} == {("AC GT", 7), ("TT", 1)}
+    assert {tuple(r) for r in readers.read_patterns(spark, str(tmp_path / "map")).collect()} == {("0", 1), ("1", 1)}
     (tmp_path / "lines").write_text("ACG\n\nTTT\n")
     assert [r["seq"] for r in readers.read_lines(spark, str(tmp_path / "lines"), lower=True).collect()] == ["acg", "ttt"]
     (tmp_path / "zero").write_bytes(b"ab\0c\0")
@@ -26,7 +44,80 @@ def test_readers(spark, tmp_path):
     (tmp_path / "names").write_text("one\none\n")
     with pytest.raises(ValueError):
         readers.read_samples(spark, str(tmp_path / "names"))
-    assert readers.fixed_width_patterns("# number=2 length=3\nabcdef") == ["abc", "def"]
+    (tmp_path / "fixed").write_text("# number=2 length=3 file=x\nab\ndef")
+    assert {tuple(r) for r in readers.read_fixed_width_patterns(spark, str(tmp_path / "fixed")).collect()} == {(0, "ab\n"), (1, "def")}
+
+
+def test_records_are_numbered_over_splits_and_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    lines = [f"line {i}" for i in range(5000)]
+    (tmp_path / "in" / "a").write_text("\n".join(lines[:3000]) + "\n")
+    (tmp_path / "in" / "b").write_text("\n".join(lines[3000:]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = readers.records(spark, str(tmp_path / "in")).orderBy("nth").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r["nth"], r["value"]) for r in got] == list(enumerate(lines))
+
+
+def test_mined_rows_with_odd_names(spark):
+    lines = ["ACG run.1:5 x:y:7", "AC 1.25 a:3", "A b:z", "T 0.5"]
+    got = mining.parse_rows(spark.createDataFrame([(x,) for x in lines], "line string")).collect()
+    assert {tuple(r) for r in got} == {("ACG", None, "run.1", 5), ("ACG", None, "x:y", 7), ("AC", 1.25, "a", 3), ("A", None, "b", None)}
+
+
+def test_mined_rows_are_written_in_post_order(spark, tmp_path):
+    rows = [("A", 1, 4, 0.5, [("s", 4)]), ("AC", 1, 3, 0.25, [("s", 3)]), ("C", 1, 2, 0.125, [("s", 2)])]
+    mined = spark.createDataFrame(rows, "path string, n_samples long, total_freq long, entropy double, freqs array<struct<sample:string,freq:long>>")
+    mining.write_rows(mined, str(tmp_path / "rows"), gzip=True)
+    assert all(x.endswith(".gz") for x in os.listdir(tmp_path / "rows") if x.startswith("part"))
+    assert [r["value"].split()[0] for r in spark.read.text(str(tmp_path / "rows")).collect()] == ["AC", "A", "C"]
+
+
+def test_colours_pass_through_and_do_not_mix(spark):
+    df = spark.createDataFrame([("ACGT",), ("A0123.",), ("012",), ("N",), ("ANA",)], "s string")
+    assert [r[0] for r in df.select(sequences.color_code(F.col("s"))).collect()] == ["131", "A0123.", "012", "", ".."]
+    with pytest.raises(Exception, match="mixes"):
+        spark.createDataFrame([("A1C",)], "s string").select(sequences.color_code(F.col("s"))).collect()
+
+
+def test_mismatches_may_be_blanks(spark):
+    df = spark.createDataFrame([("abcd", "x y "), ("ab", "ab"), ("", ""), ("a", "ab")], "a string, b string")
+    got = df.select(F.size(sequences.mismatch_list(F.col("a"), F.col("b"))).alias("n"), sequences.mismatches(F.col("a"), F.col("b")).alias("m")).collect()
+    assert [tuple(r) for r in got] == [(4, "0 x 1   2 y 3  "), (0, ""), (0, ""), (None, None)]
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_patterns_of_any_length_are_found(spark, limit):
+    rnd = random.Random(8)
+    texts = [(i, "".join(rnd.choice("abé ") for _ in range(rnd.randint(0, 60)))) for i in range(40)] + [(99, None)]
+    patterns = ["a", "ab", "aba", "é a", "bbbb", "zz", "ab"] + [t[3:20] for _, t in texts[:5]] + [""]
+    df, pats = spark.createDataFrame(texts, "k int, text string"), spark.createDataFrame([(x,) for x in patterns], "pattern string")
+    got = {tuple(r) for r in text.occurrences(df, pats, ["k"], pattern_bytes=limit).collect()}
+    want = {(x, k, i) for x in set(patterns) if x for k, t in texts if t for i in range(len(t)) if t.startswith(x, i)}
+    assert got == want
+    assert text.occurrences(df, pats.limit(0), ["k"], pattern_bytes=limit).count() == 0
+    assert text.occurrences(df.limit(0), pats, ["k"], pattern_bytes=limit).count() == 0
+
+
+def test_suffix_order_and_prefixes_equal_sorting(spark):
+    rnd = random.Random(9)
+    long = "".join(rnd.choice("ab") for _ in range(90))
+    texts = [(1, "banana"), (2, "a" * 50), (3, long), (4, long), (5, long[:-1] + "c"), (6, ""), (7, "banana"), (8, "x" + long), (9, None)]
+    found = text.suffix_order(spark.createDataFrame(texts, "k int, text string"), ["k"], seed=4)
+    got = sorted((r["sa_rank"], r["k"], r["pos"], r["before"]) for r in found.rows.collect())
+    order = sorted((t[i:], k, i, t[i - 1] if i else "") for k, t in texts if t is not None for i in range(len(t) + 1))
+    assert [x[1:] for x in got] == [x[1:] for x in order]
+    shared = {r["sa_rank"]: r["lcp"] for r in text.lcp(found).collect()}
+    assert shared == {n: len(os.path.commonprefix([order[n - 1][0], order[n][0]])) if n else 0 for n in range(len(order))}
+    assert text.suffix_order(spark.createDataFrame([], "k int, text string"), ["k"]).rows.count() == 0
+
+
+def test_strain_texts(spark):
+    df = spark.createDataFrame([(2, "c - g"), (1, "A c _"), (0, ">title"), (3, "t t t")], "at int, line string")
+    got = {r["strain"]: r["text"] for r in readers.strain_texts(df, ["at"], "line").collect()}
+    assert got == {0: "ACT", 1: "CT", 2: "GT"}
 
 
 def test_running_sums_over_many_ranges(spark):
@@ -39,15 +130,6 @@ def test_running_sums_over_many_ranges(spark):
     assert with_running(spark.createDataFrame([], "k int"), ["k"]).count() == 0
 
 
-def test_prefix_doubling_equals_suffix_sort(spark):
-    texts = [(1, "banana"), (2, "aaaa"), (3, "nab")]
-    df = spark.createDataFrame(texts, "k int, text string")
-    got = {(r["k"], r["pos"]): r["rank"] for r in text.prefix_doubling(df, "k", 6).collect()}
-    order = sorted((t[i:], k, i) for k, t in texts for i in range(len(t)))
-    for s, k, i in order:
-        assert got[k, i] == sum(x < s for x, _, _ in order)
-
-
 def test_matrices_equal_pair_loops(spark):
     rnd = random.Random(3)
     rows = [(i, s, rnd.randint(1, 9)) for i in range(40) for s in "abcd" if rnd.random() < 0.6]
@@ -72,11 +154,14 @@ def test_matrices_equal_pair_loops(spark):
 
 
 def test_write_matrices_refuses_to_overwrite(spark, tmp_path):
-    df = spark.createDataFrame([(1.0, "a", "a", 1, 0.0, 0.0, 0.0)], "max_entropy double, s string, t string, cnt long, log_d double, sqrt_d double, lgamma_d double")
-    matrices.write_matrices(df, str(tmp_path), "x")
+    df = spark.createDataFrame([(1.0, "a", "a", 1, 0.0, 0.0, 0.0), (1.0, "a", "b", 1, 2.5, 0.5, 0.25), (1.0, "b", "b", 2, 0.0, 0.0, 0.0)], "max_entropy double, s string, t string, cnt long, log_d double, sqrt_d double, lgamma_d double")
+    rows = spark.createDataFrame([(1.0, 3)], "max_entropy double, n_rows long")
+    matrices.write_matrices(df, rows, str(tmp_path), "x")
     assert set(os.listdir(tmp_path)) == {"count.x", "log.x", "sqrt.x", "lgamma.x"}
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "log.x")).collect()]
+    assert lines == ["Matrix for <max_entropy>=<1.000000> was computed from 3 substrings: ", " 0.000000 2.500000", " 0.000000 0.000000"]
     with pytest.raises(Exception):
-        matrices.write_matrices(df, str(tmp_path), "x")
+        matrices.write_matrices(df, rows, str(tmp_path), "x")
 
 
 @pytest.mark.parametrize(("a", "b"), [("kitten", "sitting"), ("", "ab"), ("same", "same"), ("abc", "")])
@@ -96,6 +181,10 @@ def test_edit_operations_rebuild_the_target(a, b):
     assert sum(int(n) for n in __import__("re").findall(r"\d+", alignment.cigar(ops))) == len(ops)
 
 
+def test_edit_scripts():
+    assert [alignment.script(a, b, alignment.operations(a, b)) for a, b in (("ACGT", "ACGT"), ("ACGT", "AGGT"), ("ACGT", "AGT"), ("AGT", "ACGT"))] == ["", "1 C", "1 c", "1 D"]
+
+
 def test_edit_script_costs_the_distance(spark):
     from motifmill.jobs.catalogue import QUERIES
 
@@ -105,8 +194,15 @@ def test_edit_script_costs_the_distance(spark):
 
 def test_select_next_and_greedy(spark):
     rows = spark.createDataFrame([(i, int(i in (2, 5))) for i in range(8)], "k int, b int")
-    got = {r["pos"]: r["next_one"] for r in ranks.select_next(ranks.bit_ranks(rows, ["k"], F.col("b"))).collect()}
+    got = {r["pos"]: r["next"] for r in ranks.select_next(ranks.bit_ranks(rows, ["k"], F.col("b"))).collect()}
     assert got == {0: 2, 1: 2, 2: 2, 3: 5, 4: 5, 5: 5, 6: None, 7: None}
+    assert {r["pos"]: r["next"] for r in ranks.select_next(ranks.bit_ranks(rows, ["k"], F.col("b")), 0).collect()}[2] == 3
+
+
+def test_running_numbers_keep_clashing_columns(spark):
+    rows = spark.createDataFrame([(i, i, i) for i in range(9)], "k int, __part int, __n int")
+    got = with_running(rows, ["k"], "pos").orderBy("k").collect()
+    assert [(r["__part"], r["__n"], r["pos"]) for r in got] == [(i, i, i) for i in range(9)]
 
 
 def test_streaming_counts_equal_batch(spark, tmp_path):
