@@ -3,17 +3,23 @@ suffixes by deep-shallow sorting.
 
 Every string of `length` bytes picks an anchor from its own bytes alone: the least hash of its 20-byte grams. Equal
 strings have equal anchors, so only anchors that occur in two different texts matter (exact copies are found by their
-texts' hashes); a run of windows with one anchor is sent as one context. Contexts of an anchor are sorted (multikey quicksort on 8-byte digits to a shallow depth, blind
-tries below), equal ones collapse to the least document, and what differs is compared window by window the same way."""
+texts' SHA-256 before any sorting); a run of windows with one anchor is sent as one context. Contexts of an anchor are
+sorted: multikey sorting to a shallow depth, where a block of strings that are equal so far is parted by its next eight
+bytes at once (one many-way step in place of quicksort's three-way ones), then blind tries. Equal contexts collapse to
+the least document, and what differs is compared window by window the same way.
+
+An anchor with very many contexts is split twice over: by a second anchor (the least of other hashes of the same grams),
+which again depends on the window alone, and by documents; each part sorts and collapses its contexts, and what is left
+of the parts is sorted together. All anchors go this way, with as many parts as their counts ask for (mostly one)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import SHARD_LOAD, broadcast_rows, contains, filled, one_by_one, shard_of
@@ -23,8 +29,9 @@ LENGTH = 50
 GRAM = 20
 #: Bytes that the multikey quicksort sorts by before blind tries take over.
 SHALLOW = 24
-#: Documents that share an anchor beyond which its windows are compared by aggregation instead of in one task.
-HOT_DOCS = 100_000
+#: Contexts of an anchor from which on it is split, and by how much the number of parts grows with each level of counts.
+CROWD, PARTS, MOST_LEVELS = 2_000, 8, 8
+SECOND = 0x9FB21C651E98DF25
 #: Context rows that are sorted together, cut between anchors.
 CHUNK_ROWS = 40_000
 PROBES = 6
@@ -42,8 +49,10 @@ def words8(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def runs_of(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(anchor, document, first window, last window + 1) of each run; positions count within data (texts in a row)."""
+def runs_of(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, seed: int = 0) -> tuple[np.ndarray, ...]:
+    """(anchor, document, first window, last window + 1) of each run; positions count within data (texts in a row).
+
+    seed: another one gives other anchors."""
     ends = np.cumsum(sizes)
     n = len(data)
     if n < length:
@@ -51,7 +60,7 @@ def runs_of(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> tuple[
     word = words8(data)
     with np.errstate(over="ignore"):
         gram = word[: n - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15) + mix64(word[8 : n - GRAM + 9])
-        gram = mix64(gram + word[GRAM - 8 : n - 7] * np.uint64(0xD6E8FEB86659FD93))
+        gram = mix64((gram + word[GRAM - 8 : n - 7] * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(seed))
     least, span, wide = gram, 1, length - GRAM + 1
     while 2 * span <= wide:
         least = np.minimum(least[:-span], least[span:])
@@ -252,14 +261,20 @@ def repeated_anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def copies(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, tag, start, size): the whole texts that a row with a smaller id has too. docs: doc, tag, text."""
-    text = docs.where("doc is not null").select("doc", "tag", F.hash("text").alias("other"), F.octet_length("text").cast("long").alias("size")).where(f"size >= {length}")
-    least = text.groupBy("tag", "other", "size").agg(F.min("doc").alias("least"))
-    return text.join(least, ["tag", "other", "size"]).where("doc > least").select("doc", "tag", F.lit(0).cast("long").alias("start"), "size").distinct()
+    """(doc, tag, start, size): the whole texts that a row with a smaller id has too, by SHA-256. docs: doc, tag, text."""
+    text = docs.where("doc is not null").select("doc", "tag", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").cast("long").alias("size")).where(f"size >= {length}")
+    least = text.groupBy("digest").agg(F.min("doc").alias("least"))
+    return text.join(least, "digest").where("doc > least").select("doc", "tag", F.lit(0).cast("long").alias("start"), "size").distinct()
+
+
+def level_keys(anchor: np.ndarray, level: int | np.ndarray) -> np.ndarray:
+    """What stands in the filter for an anchor (level 0) and for its counts beyond CROWD * PARTS ** (level - 1)."""
+    with np.errstate(over="ignore"):
+        return anchor + np.uint64(0xC2B2AE3D27D4EB4F) * np.asarray(level, np.uint64)
 
 
-def anchor_filter(anchors: DataFrame, shards: int) -> list[Broadcast]:
-    """Bloom filter shards of the anchors, each of SHARD_BITS bits."""
+def anchor_filter(anchors: DataFrame, shards: int, crowd: int = CROWD) -> list[Broadcast]:
+    """Bloom filter shards of the anchors and their levels of counts, each of SHARD_BITS bits. anchors: anchor, n."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column("anchor").to_numpy().view(np.uint64), b.column("shard").to_numpy()) for b in batches if b.num_rows]
@@ -269,55 +284,68 @@ def anchor_filter(anchors: DataFrame, shards: int) -> list[Broadcast]:
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("anchor"), pa.array(shard_of(batch.column("anchor").to_numpy().view(np.uint64), shards))], ["anchor", "shard"])
+            anchor, n = batch.column("anchor").to_numpy().view(np.uint64), batch.column("n").to_numpy()
+            for level in range(MOST_LEVELS + 1):
+                some = anchor if not level else anchor[n > crowd * PARTS ** (level - 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(level_keys(some, level).view(np.int64)), pa.array(shard_of(some, shards))], ["anchor", "shard"])
 
-    split = anchors.select("anchor").mapInArrow(number, "anchor long, shard int").repartitionById(shards, F.col("shard"))
+    split = anchors.select("anchor", "n").mapInArrow(number, "anchor long, shard int").repartitionById(shards, F.col("shard"))
     return broadcast_rows(stored(split.mapInArrow(build, "shard int, bits binary"), "anchor-filter"), shards)
 
 
 def contexts(docs: DataFrame, shards: list[Broadcast], length: int = LENGTH) -> DataFrame:
-    """(anchor, doc, tag, start, ctx): the runs of windows whose anchor the filter has. docs: doc, tag, text."""
+    """(key, part, parts, doc, tag, start, ctx): the runs of windows whose anchor the filter has. docs: doc, tag, text.
+
+    The key is the anchor, or the anchor and a second one where it has levels of counts in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text", STEP):
             data, sizes = _bytes_of(batch, "text")
             anchor, doc, at, to = runs_of(data, sizes, length)
-            shard, keep = shard_of(anchor, len(shards)), np.zeros(len(anchor), bool)
+            shard, level = shard_of(anchor, len(shards)), np.full(len(anchor), -1)
             for k, bits in enumerate(one_by_one(shards)):
                 mine = np.flatnonzero(shard == k)
-                keep[mine] = contains(np.frombuffer(bits, np.uint8), anchor[mine], PROBES)
-            anchor, doc, at, to = anchor[keep], doc[keep], at[keep], to[keep]
+                for n in range(MOST_LEVELS + 1):
+                    mine = mine[contains(np.frombuffer(bits, np.uint8), level_keys(anchor[mine], n), PROBES)]
+                    level[mine] = n
+                    if not len(mine):
+                        break
+            keep = level >= 0
+            anchor, doc, at, to, level = (x[keep] for x in (anchor, doc, at, to, level))
+            crowded = level > 0
+            if crowded.any():
+                n = (to - at)[crowded] + length - 1
+                inner, of, a, b = runs_of(data[flat_ranges(at[crowded], n)], n, length, SECOND)
+                shift = at[crowded][of] - (np.cumsum(n) - n)[of]
+                new = mix64(anchor[crowded][of] ^ mix64(inner)), doc[crowded][of], a + shift, b + shift, level[crowded][of]
+                anchor, doc, at, to, level = (np.concatenate((x[~crowded], y)) for x, y in zip((anchor, doc, at, to, level), new))
             raw = data.tobytes()
             strings = pa.array([raw[a:b] for a, b in zip(at.tolist(), (to + length - 1).tolist(), strict=True)], pa.binary())
             start = at - (np.cumsum(sizes) - sizes)[doc]
             which = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), batch.column("doc").take(which), batch.column("tag").take(which), pa.array(start), strings], ["anchor", "doc", "tag", "start", "ctx"])
+            parts = PARTS ** level.astype(np.int64)
+            part = (mix64(batch.column("doc").to_numpy().view(np.uint64))[doc] % parts.astype(np.uint64)).astype(np.int32) if len(doc) else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(part), pa.array(parts.astype(np.int32)), batch.column("doc").take(which), batch.column("tag").take(which), pa.array(start), strings], ["key", "part", "parts", "doc", "tag", "start", "ctx"])
 
-    return docs.where("doc is not null").mapInArrow(run, "anchor long, doc long, tag long, `start` long, ctx binary")
+    return docs.where("doc is not null").mapInArrow(run, "key long, part int, parts int, doc long, tag long, `start` long, ctx binary")
 
 
-def spans_by_sorting(found: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, tag, start, size) from contexts, an anchor's contexts in one task, by deep-shallow sorting."""
+def _sorted_by_key(rows: DataFrame, keys: list[str], done: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """done() of tables that hold all rows of their keys, keys dealt out by their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         waiting = 0
-
-        def done(table: pa.Table) -> pa.RecordBatch:
-            anchor, doc = table["anchor"].to_numpy(), table["doc"].to_numpy()
-            data, sizes = _bytes_of(table.select(["ctx"]).combine_chunks().to_batches()[0], "ctx")
-            row, offset, size = covered_runs(anchor, doc, data, sizes, length)
-            which = pa.array(row)
-            start = table["start"].to_numpy()[row] + offset
-            return pa.RecordBatch.from_arrays([table["doc"].combine_chunks().take(which), table["tag"].combine_chunks().take(which), pa.array(start), pa.array(size)], ["doc", "tag", "start", "size"])
-
         for batch in batches:
             held.append(batch)
             waiting += batch.num_rows
             if waiting >= CHUNK_ROWS:
                 table = pa.Table.from_batches(held)
-                anchor = table["anchor"].to_numpy()
-                cut = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on in the next batch
+                last = np.ones(table.num_rows, bool)
+                for c in keys:
+                    own = table[c].to_numpy()
+                    last &= own == own[-1]
+                cut = int(np.argmax(last))  # the last key may go on in the next batch
                 if cut:
                     yield done(table.slice(0, cut))
                 held = table.slice(cut).to_batches()
@@ -325,37 +353,73 @@ def spans_by_sorting(found: DataFrame, length: int = LENGTH) -> DataFrame:
         if waiting:
             yield done(pa.Table.from_batches(held))
 
-    return found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc long, tag long, `start` long, size long")
-
-
-def spans_by_counting(found: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The same spans for anchors that very many documents share: windows are aggregated before they meet."""
-    window = found.select("doc", "tag", "start", "ctx", F.explode(F.sequence(F.lit(0), F.length("ctx") - length)).alias("k"))
-    window = window.select("doc", "tag", (F.col("start") + F.col("k")).alias("start"), F.substring("ctx", F.col("k") + 1, F.lit(length)).alias("w"))
-    least = window.groupBy("w").agg(F.min("doc").alias("least"))
-    hit = window.join(least, "w").where("doc > least").select("doc", "tag", "start").distinct()
-    island = F.col("start") - F.row_number().over(Window.partitionBy("doc", "tag").orderBy("start"))
-    return hit.withColumn("island", island).groupBy("doc", "tag", "island").agg(F.min("start").alias("start"), (F.max("start") - F.min("start") + length).alias("size")).select("doc", "tag", "start", "size")
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, hot_docs: int = HOT_DOCS) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def _spans(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first byte, bytes) of what other rows of the same key cover."""
+    data, sizes = _bytes_of(table.select(["ctx"]).combine_chunks().to_batches()[0], "ctx")
+    row, offset, size = covered_runs(table["key"].to_numpy(), table["doc"].to_numpy(), data, sizes, length)
+    return row, table["start"].to_numpy()[row] + offset, size
+
+
+def collapsed(found: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(key, doc, tag, start, size, ctx): the spans of undivided keys and of contexts that equal an earlier document's in
+    their part (ctx null); and of divided keys each part's distinct contexts with their least document (ctx given)."""
+
+    def done(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        whole = table["parts"].to_numpy() == 1
+        at, spans = np.flatnonzero(whole), [(np.zeros(0, np.int64),) * 3]
+        if len(at):
+            row, start, size = _spans(table.take(pa.array(at)), length)
+            spans.append((at[row], start, size))
+        at, left = np.flatnonzero(~whole), np.zeros(0, np.int64)
+        if len(at):
+            some = table.take(pa.array(at)).combine_chunks()
+            data, sizes = _bytes_of(some.select(["ctx"]).to_batches()[0], "ctx")
+            doc = some["doc"].to_numpy()
+            _, group = np.unique(np.stack((some["key"].to_numpy(), some["part"].to_numpy())), axis=1, return_inverse=True)
+            order, new = deep_shallow_sort(data, np.cumsum(sizes) - sizes, sizes, group.reshape(-1))
+            least, kind = np.minimum.reduceat(doc[order], np.flatnonzero(new)), np.empty(len(at), np.int64)
+            kind[order] = np.cumsum(new) - 1
+            later = doc > least[kind]
+            spans.append((at[later], some["start"].to_numpy()[later], sizes[later]))
+            left = at[~later]
+        row, start, size = (np.concatenate(x) for x in zip(*spans))
+        which, n = pa.array(np.concatenate((row, left))), len(row)
+        taken = [table[c].combine_chunks().take(which) for c in ("key", "doc", "tag")]
+        ctx = pa.concat_arrays([pa.nulls(n, pa.binary()), table["ctx"].combine_chunks().take(pa.array(left))])
+        return pa.RecordBatch.from_arrays([*taken, pa.array(np.concatenate((start, table["start"].to_numpy()[left]))), pa.array(np.concatenate((size, np.zeros(len(left), np.int64)))), ctx], ["key", "doc", "tag", "start", "size", "ctx"])
+
+    return _sorted_by_key(found, ["key", "part"], done, "key long, doc long, tag long, `start` long, size long, ctx binary")
+
+
+def spans_of_parts(rest: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc, tag, start, size) from what the parts of divided keys have left."""
+
+    def done(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        row, start, size = _spans(table, length)
+        which = pa.array(row)
+        return pa.RecordBatch.from_arrays([table["doc"].combine_chunks().take(which), table["tag"].combine_chunks().take(which), pa.array(start), pa.array(size)], ["doc", "tag", "start", "size"])
+
+    return _sorted_by_key(rest.select("key", "doc", "tag", "start", "ctx"), ["key"], done, "doc long, tag long, `start` long, size long")
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """(doc, tag, start, size): byte spans that a document with a smaller id has too. docs: doc, tag, text."""
     anchors = stored(repeated_anchors(docs, length), "anchors")
-    n, hot = anchors.agg(F.count("*"), F.coalesce(F.sum((F.col("n") > hot_docs).cast("long")), F.lit(0))).first()
-    shards = max(1, -(-n * PROBES // SHARD_LOAD))
-    filters = anchor_filter(anchors, shards) if n else []
-    whole = copies(docs, length)
-    if not filters:
+    n, whole = anchors.count(), copies(docs, length)
+    if not n:
         return whole
-    found = contexts(docs, filters, length)
-    if not hot:
-        return spans_by_sorting(found, length).unionByName(whole)
-    found = stored(found, "contexts")
-    very = anchors.where(F.col("n") > hot_docs).select("anchor")
-    return whole.unionByName(spans_by_sorting(found.join(very, "anchor", "left_anti"), length)).unionByName(spans_by_counting(found.join(very, "anchor", "left_semi"), length))
+    filters = anchor_filter(anchors, max(1, -(-n * PROBES // SHARD_LOAD)), crowd)
+    found = stored(collapsed(contexts(docs, filters, length), length), "contexts")
+    rest = spans_of_parts(found.where("ctx is not null"), length)
+    return found.where("ctx is null").select("doc", "tag", "start", "size").unionByName(rest).unionByName(whole)
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot_docs: int = HOT_DOCS) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """docs (all columns) plus kept (binary), n_bytes, n_removed, spans (array of start and end of removed runs).
 
     Texts are taken as UTF-8 bytes, null as empty (its kept is empty too). A byte goes if a `length`-byte string over it
@@ -363,7 +427,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lose nor cause anything. Everything is judged on the input. New columns whose names clash get leading underscores."""
     keyed = _keyed(docs, id_col, text_col)
     # a huge document may have many spans: they are merged per document, bounded by its own length
-    spans = repeated_spans(keyed, length, hot_docs).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    spans = repeated_spans(keyed, length, crowd).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     left = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(text, F.length(text)).alias("tag"))
     joined = left.join(spans, ["doc", "tag"], "left").select("row", "spans")

@@ -102,15 +102,15 @@ def brute_removal(rows, length=50):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [1, suffix_dedup.HOT_DOCS])
-def test_repeated_bytes_on_planted_texts(spark, hot):
+@pytest.mark.parametrize("crowd", [1, 5, suffix_dedup.CROWD])
+def test_repeated_bytes_on_planted_texts(spark, crowd):
     rnd = random.Random(4)
     text = lambda n: "".join(rnd.choice("abcdé ") for _ in range(n))
     passages = [text(rnd.randint(40, 90)) for _ in range(6)]
     rows = [(rnd.randint(0, 25), text(rnd.randint(0, 80)) + rnd.choice(passages) + text(5) + rnd.choice(passages)) for _ in range(40)]
     rows += [(50, "ab" * 60), (51, "ab" * 60), (52, "x" + "ab" * 100), (53, None), (54, ""), (None, passages[0] * 2), (3, rows[5][1]), (60, rows[5][1]), (60, rows[5][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = suffix_dedup.without_repeats(docs, hot_docs=hot).collect()
+    got = suffix_dedup.without_repeats(docs, crowd=crowd).collect()
     have = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in got), key=str)
     assert have == brute_removal([(d, (t or "").encode()) for d, t in rows])
 
