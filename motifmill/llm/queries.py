@@ -40,7 +40,7 @@ def op5_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rest = ngram_filter.remainder()
-    model = ngram_filter.train(docs, rest != 2, F.lit(True))
+    model = ngram_filter.train(docs, rest != 2)
     got = ngram_filter.score(docs, model)
     return got.select("doc_id", (ngram_filter.remainder() == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -105,7 +105,7 @@ def test_packing_covers_every_id_once(spark):
 def test_ngram_scores_beat_the_base_on_held_out_text(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("doc_id", "text")
     rest = ngram_filter.remainder()
-    model = ngram_filter.train(docs, rest != 2, rest == 3)
+    model = ngram_filter.train(docs, rest != 2)
     got = ngram_filter.score(docs, model).toPandas()
     words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)), None]
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
@@ -126,10 +126,10 @@ def test_ngram_scores_beat_the_base_on_held_out_text(spark):
 def test_ngram_model_on_odd_and_empty_tables(spark):
     docs, rows = odd_docs(spark)
     rest = ngram_filter.remainder()
-    got = ngram_filter.score(docs, ngram_filter.train(docs, rest != 2, rest == 3)).collect()
+    got = ngram_filter.score(docs, ngram_filter.train(docs, rest != 2)).collect()
     assert len(got) == len(rows) and all(r["score"] < 0 and r["n_tokens"] >= 1 for r in got)
     none = docs.limit(0)
-    assert ngram_filter.score(none, ngram_filter.train(none, rest != 2, rest == 3)).count() == 0
+    assert ngram_filter.score(none, ngram_filter.train(none, rest != 2)).count() == 0
 
 
 def test_op6_finds_its_weights_on_all_training_texts(spark, tmp_path):
@@ -145,10 +145,48 @@ def test_op6_finds_its_weights_on_all_training_texts(spark, tmp_path):
 def test_quantised_counts_are_lower_levels(spark):
     text = "a b " * 37 + "c d"
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    model = ngram_filter.train(docs, F.lit(True), F.lit(False))
-    code, _, token, before = ngram_filter.tokens(pa.array([text]))
-    _, pair = model.lookup(code, ngram_filter.bigram_keys(code, token, before))
-    assert pair[1] == 32 and pair[0] == 1 and pair[-1] == 1
+    model = ngram_filter.train(docs, F.lit(True))
+    code, doc, token, before = ngram_filter.tokens(pa.array([text]))
+    two, three, inner = ngram_filter.ngram_keys(code, doc, token, before)
+    _, level = model.lookup(code, np.concatenate((two, three[inner])))
+    count = ngram_filter.FLOOR[level]
+    assert count[1] == 32 and count[0] == 1 and count[len(two) - 1] == 1 and count[len(two) + 1] == 32
+    assert (ngram_filter.FLOOR[1:] <= ngram_filter.CEILING[1:]).all() and (ngram_filter.CEILING[1:-1] == ngram_filter.FLOOR[2:] - 1).all()
+
+
+def test_ngram_scores_equal_exact_counts_and_add_up_to_one(spark):
+    rnd = random.Random(21)
+    vocabulary = [f"w{k}" for k in range(12)]
+    texts = [" ".join(rnd.choice(vocabulary[: rnd.randint(2, 12)]) for _ in range(rnd.randint(0, 30))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = ngram_filter.train(docs, F.lit(True))
+    one, two, three = Counter(), Counter(), Counter()
+    for t in texts:
+        ids = [*t.split(), "END"]
+        one.update(ids)
+        two.update(zip(["START", *ids], ids))
+        three.update(zip(["START", *ids], ids, ids[1:]))
+    low = lambda c: max((x for x in ngram_filter.LEVELS.tolist() if x <= c), default=0)
+    high = lambda c: int(ngram_filter.CEILING[np.searchsorted(ngram_filter.LEVELS, c, side="right")])
+    kind = lambda c: 0 if not c else min(1 + int(math.log2(c)), ngram_filter.CLASSES - 1)
+
+    def prob(word, last, before_last):
+        base = (one[word] + 1) / (model.n_tokens + model.n_words + 1)
+        c = len(texts) if last == "START" else one[last]
+        p, w = (min(low(two[last, word]), c) / c if c else 0), model.two[kind(c)]
+        mixed = w * p + (1 - w) * base
+        wide = high(two[before_last, last]) if before_last else 0
+        p, w = (min(low(three[before_last, last, word]), wide) / wide if wide else 0), model.three[kind(wide)]
+        return w * p + (1 - w) * mixed
+
+    got = {r["doc_id"]: r["score"] for r in ngram_filter.score(docs, model).collect()}
+    for i, t in enumerate(texts):
+        ids = ["START", *t.split(), "END"]
+        want = sum(math.log10(prob(w, ids[k], ids[k - 1] if k else None)) for k, w in enumerate(ids[1:]))
+        assert got[i] == pytest.approx(want, rel=1e-9)
+    for a in [None, "START", *vocabulary]:
+        for b in vocabulary:
+            assert sum(prob(w, b, a) for w in [*vocabulary, "END"]) <= 1 + 1e-9
 
 
 def test_kneser_ney_sums_to_one_and_separates(spark):
