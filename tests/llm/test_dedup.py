@@ -8,8 +8,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from motifmill.llm import hnsw, paragraph_minhash, simhash, spotsigs, suffix_dedup
+import public_tokenizers
+
+from motifmill.llm import bpe, hnsw, paragraph_minhash, quality, simhash, spotsigs, suffix_dedup, toxicity
 from motifmill.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp int, kept string, spans int, ROOT int, score string, perplexity double"
@@ -282,3 +285,60 @@ def test_spotsigs(spark):
     pairs = {r["doc_id"]: r["component_id"] for r in spotsigs.near_duplicates(docs).collect() if r["doc_id"] not in (None, 2)}
     assert pairs[7] == 6 and pairs[4] == 4
     assert spotsigs.edited_likeness(docs.limit(0)).count() == 0
+
+
+def brute_signatures(text):
+    """Chains of content words after common words, or single words, as sets of strings."""
+    words = [w.strip(spotsigs.EDGES) for w in text.lower().split()]
+    common = set(spotsigs.COMMON_WORDS)
+    made = set()
+    for k, w in enumerate(words):
+        after = [x for x in words[k + 1 :] if x and x not in common][: spotsigs.CHAIN]
+        if w in common and len(after) == spotsigs.CHAIN:
+            made.add((w, *after))
+    return made or {(w or raw,) for w, raw in zip(words, text.lower().split())}
+
+
+def test_spotsigs_likeness_equals_brute_force(spark):
+    rnd = random.Random(22)
+    words = [*spotsigs.COMMON_WORDS[:15], "Fox,", "dog", "«Haus»", "étude", "river.", "stone", "cloud", "--", "x1"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.choice([0, 1, 3, 20, 60, 300]))) for _ in range(40)] + ["the fox", "fox dog stone"]
+    texts[7] = texts[6]
+    got = {r["doc_id"]: r for r in spotsigs.edited_likeness(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+    def alike(a, b):
+        a, b = brute_signatures(a), brute_signatures(b)
+        if not a and not b:
+            return 1.0
+        return 0.0 if min(len(a), len(b)) < spotsigs.LEAST * max(len(a), len(b)) else len(a & b) / len(a | b)
+
+    for i, t in enumerate(texts):
+        following = texts[i - 1]
+        edited = t[: len(t) - len(t) // 3] + following[: len(t) // 3]
+        assert len(got[i]["fingerprint"]) == 8 * len(brute_signatures(t))
+        assert got[i]["near_edited"] == pytest.approx(alike(t, edited)) and got[i]["near_next"] == pytest.approx(alike(t, following))
+    assert got[7]["near_next"] == 1 and got[6]["fingerprint"] == got[7]["fingerprint"]
+    groups = {r["doc_id"]: r["component_id"] for r in spotsigs.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if alike(texts[i], texts[j]) >= 0.8]
+    assert groups == union(links, range(len(texts)))
+
+
+def test_names_that_operators_use_inside_may_be_columns(spark):
+    names = ["__id", "__tag", "id_", "tag_", "_id_", "nth", "root", "kept", "_kept", "n_bytes", "spans", "_spans", "decoded", "__lang", "perplexity", "perplexity_bound", "threshold", "score", "key", "part", "row"]
+    long = "one two three four five six seven eight nine ten eleven twelve " * 3
+    rows = [(i, t, "en", *(f"{n}{i}" for n in names)) for i, t in enumerate([long, long, "short", None, "", long])]
+    docs = spark.createDataFrame([*rows, rows[1]], ", ".join(["doc_id long", "text string", "lang string", *(f"`{n}` string" for n in names)]))
+    kept = simhash.keep_one_per_group(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3]
+    left = suffix_dedup.texts_without_repeats(docs)
+    assert left.columns == docs.columns and {r["doc_id"]: r["__id"] for r in left.collect()} == {r[0]: r[3] for r in rows}
+    labels = spark.createDataFrame([(0, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    good = quality.keep_good(docs, labels)
+    assert good.columns == docs.columns and good.count() <= 7
+    other = docs.withColumnRenamed("doc_id", "me").withColumnRenamed("lang", "tongue")
+    assert quality.classify(other, labels.withColumnRenamed("doc_id", "me"), id_col="me", lang_col="tongue").count() == 7
+    clean = toxicity.keep_clean(docs, toxicity.train(docs, labels))
+    assert clean.columns == docs.columns
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = bpe.encode(docs, path).withColumn("decoded", F.lit("mine"))
+    assert {r["decoded"] for r in bpe.decode(coded, path).collect()} == {"mine"}

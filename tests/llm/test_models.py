@@ -200,6 +200,40 @@ def test_kneser_ney_sums_to_one_and_separates(spark):
     assert kept.columns == docs.columns
 
 
+def test_kneser_ney_equals_brute_force(spark):
+    rnd = random.Random(23)
+    texts = ["abab, abc.", "Aab ba 12", "cab", "", *("".join(rnd.choice("abc d.") for _ in range(40)) for _ in range(8))]
+    table, log_prob = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    size, order = quality.ALPHABET, quality.ORDER
+    codes = [(quality.BREAK,) * (order - 1) + tuple(int(table[ord(c)]) for c in t) + (quality.BREAK,) for t in texts]
+    counts = {order: Counter(c[i : i + order] for c in codes for i in range(len(c) - order + 1))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])  # continuations
+    cuts, totals, left = {}, {}, {}
+    for n, own in counts.items():
+        k = [max(1, sum(v == i for v in own.values())) for i in (1, 2, 3, 4)]
+        y = k[0] / (k[0] + 2 * k[1])
+        cuts[n] = [0, *(min(max(d, 0.1), top) for d, top in ((1 - 2 * y * k[1] / k[0], 0.95), (2 - 3 * y * k[2] / k[1], 1.9), (3 - 4 * y * k[3] / k[2], 2.9)))]
+        totals[n], left[n] = Counter(), Counter()
+        for g, v in own.items():
+            totals[n][g[:-1]] += v
+            left[n][g[:-1]] += cuts[n][min(v, 3)]
+
+    def prob(g):
+        n = len(g)
+        if not n:
+            return 1 / size
+        total, v = totals[n][g[:-1]], counts[n][g]
+        return (v - cuts[n][min(v, 3)] + left[n][g[:-1]] * prob(g[1:])) / total if total else prob(g[1:])
+
+    some = [*counts[order], *(tuple(rnd.choice(list(g)) if rnd.random() < 0.8 else rnd.randrange(size) for _ in g) for g in counts[order] for _ in range(3))]
+    for g in some:
+        at = 0
+        for c in g:
+            at = at * size + c
+        assert 10 ** float(log_prob[at]) == pytest.approx(prob(g), rel=1e-5)
+
+
 def test_quality_on_odd_and_empty_tables(spark):
     docs, rows = odd_docs(spark)
     labels = spark.createDataFrame([(6, 1), (4, 1), (None, 1), (9, 0), (7, None)], "doc_id long, quality int")
