@@ -15,29 +15,35 @@ from .sql import OP3, OP8
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document; null ids name no component."""
     return simhash.simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text they decode to; null texts count as empty."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
 def op3_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of every vector; unusable ones link with nothing."""
     return hnsw.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document in sequences of at most 2048 ids."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op5_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity, threshold and verdict of every document; texts labelled good are the trusted ones."""
     return quality.classify(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
 
 
 def op6_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document under the model of those that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rest = ngram_filter.remainder()
     model = ngram_filter.train(docs, rest != 2)
@@ -46,20 +52,24 @@ def op6_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line or block of lines' words that occurs again, with its class."""
     return paragraph_minhash.repeated_paragraphs(table(spark, sf_dir, "documents"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings that an earlier one has, as counts and a digest."""
     got = suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
     got = spotsigs.edited_likeness(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
     got = toxicity.score(docs, model)

@@ -315,3 +315,20 @@ def test_pipeline_stages_keep_the_columns(spark):
     assert good >= 0.85 * labels.where("quality = 1 and toxic = 0").count()
     assert labels.where("toxic = 1").join(rows, "doc_id", "left_semi").count() <= 0.25 * labels.where("toxic = 1").count()
     assert corpus_pipeline.run(spark, f"{DATA}/sf0.01").select("doc_id").distinct().count() == rows.count()
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    docs, rows = odd_docs(spark)
+    labels = spark.createDataFrame([(6, 1, 0), (4, 1, 1), (None, 1, 0), (9, None, None), (6, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, some, told in (("odd", docs, labels), ("empty", docs.limit(0), labels.limit(0)), ("unlabelled", docs, labels.limit(0))):
+        folder = f"{tmp_path}/{name}"
+        some.write.parquet(f"{folder}/documents.parquet")
+        told.write.parquet(f"{folder}/labels.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        ids = {r["doc_id"] for r in got}
+        assert ids <= {i for i, _ in rows} and (len(ids) >= 3 or name != "unlabelled") and (not ids or name != "empty")
+        for i in ids - {None, 2}:
+            own = sorted((r["start"], r["length"]) for r in got if r["doc_id"] == i)
+            assert [s for s, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
