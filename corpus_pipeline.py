@@ -44,6 +44,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each one's rows are written to the shared folder and read by the next.
+
+    Null and empty texts pass the filters as texts without words and are packed as one end id; rows with null ids are
+    never merged with others, and of rows that repeat id and text one is left; other columns are carried along. An empty
+    table gives no pieces."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
