@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -48,6 +49,13 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are done with: its cleaner learns of them only when the driver's
+    garbage is collected, which an idle driver may put off for long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fresh(df: DataFrame, name: str, *others: str) -> str:
     """name, or a variant of it that neither a column of df nor one of the others has (Spark's names ignore case)."""
     taken = {c.lower() for c in (*df.columns, *others)}
