@@ -99,17 +99,20 @@ def suffix_order(texts: DataFrame, keys: list[str], seed: int = SEED) -> Suffixe
     longest = rows.agg(F.max("left")).first()[0] or 0
     sizes = rows.groupBy("gram").agg(F.count("*").alias("n"))
     ranked = with_running(sizes, ["gram"], "nth", {"upto": F.col("n")}).select("gram", "n", (F.col("upto") - F.col("n")).alias("rank"))
-    full = stored(rows.join(stored(ranked, "grams"), "gram").select(*keys, "pos", "rank", "n"), "ranks")
+    part = stored(rows.join(stored(ranked, "grams"), "gram").select(*keys, "pos", "rank", "n"), "ranks")
+    full = part  # ranks that are alone stay where they were written, only the others are written again
     levels, h = [(seed, full)], seed
     while h < longest:
         ahead = full.select(*keys, (F.col("pos") - h).alias("pos"), (F.col("rank") + 1).alias("two"))
-        open_ = full.where("n > 1").select(*keys, "pos", F.col("rank").alias("one"))
+        open_ = part.where("n > 1").select(*keys, "pos", F.col("rank").alias("one"))
         pairs = stored(open_.join(ahead, [*keys, "pos"], "left").select(*keys, "pos", "one", F.coalesce("two", F.lit(0)).alias("two")), "pairs")
         counted = pairs.groupBy("one", "two").agg(F.count("*").alias("n"))
         run = stored(with_running(counted, ["one", "two"], "nth", {"upto": F.col("n")}).select("one", "two", "n", (F.col("upto") - F.col("n")).alias("below")), "runs")
         base = run.groupBy("one").agg(F.min("below").alias("base"))
         new = run.join(base, "one").select("one", "two", (F.col("one") + F.col("below") - F.col("base")).alias("rank"), "n")
-        full = stored(full.where("n = 1").unionByName(pairs.join(stored(new, "new-ranks"), ["one", "two"]).select(*keys, "pos", "rank", "n")), "ranks")
+        alone = full.where("n = 1")
+        part = stored(pairs.join(stored(new, "new-ranks"), ["one", "two"]).select(*keys, "pos", "rank", "n"), "ranks")
+        full = alone.unionByName(part)
         h *= 2
         levels.append((h, full))
     order = with_running(full.select("rank", *keys, "pos"), ["rank", *keys, "pos"], "sa_rank").select(*keys, "pos", "sa_rank")
