@@ -11,7 +11,7 @@ from ..functions import sequences as seq
 from ..operators import alignment, matrices, mining, ranks, text
 from ..operators.ordering import scratch, stored, with_running
 from ..sources import readers
-from .oracle import DEPTH, FMIN, LIMITS
+from .oracle import BLOCK, DEPTH, FMIN, LIMITS, TREE_DEPTH
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -344,6 +344,16 @@ def lcp_array(spark: SparkSession, d: str) -> DataFrame:
     return text.lcp(_suffixes(spark, d)).select("sa_rank", "lcp")
 
 
+@query
+def document_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return text.document_graph(_talk(spark, d), ["conv_id", "turn"], BLOCK, TREE_DEPTH)[0]
+
+
+@query
+def document_edges(spark: SparkSession, d: str) -> DataFrame:
+    return text.document_graph(_talk(spark, d), ["conv_id", "turn"], BLOCK, TREE_DEPTH)[1]
+
+
 @query
 def weighted_found(spark: SparkSession, d: str) -> DataFrame:
     """The summed weights of the patterns that begin at each place."""

@@ -143,6 +143,30 @@ def lcp(found: Suffixes) -> DataFrame:
     return apart.unionByName(near.select(*keys, "pos", "sa_rank", shared.alias("lcp")))
 
 
+def document_graph(texts: DataFrame, keys: list[str], block: int, depth: int, end: str = "$") -> tuple[DataFrame, DataFrame]:
+    """((path, parent, n_suffixes, n_docs), (path, keys)): the nodes of the texts' suffix tree down to `depth` characters,
+    and the documents below each.
+
+    A node is a string that goes on in two ways or more, a text's end being one. Nodes of at most `block` suffixes have
+    no nodes below them. Each place gives one window; windows are summed for each document before they are opened into
+    their beginnings. parent is the longest node that the path begins with, empty for the root."""
+    whole = texts.where("text <> ''").select(*keys, F.concat("text", F.lit(end)).alias("text"))
+    at = whole.select(*keys, "text", F.explode(F.sequence(F.lit(1), F.length("text") - 1)).alias("p"))
+    window = at.groupBy(*keys, F.substring("text", F.col("p"), F.lit(depth + 1)).alias("window")).agg(F.count("*").alias("n"))
+    k = F.explode(F.sequence(F.lit(1), F.length("window") - 1)).alias("k")
+    opened = window.select(*keys, "n", "window", k).select(*keys, "n", F.substring("window", F.lit(1), F.col("k")).alias("path"), F.substring("window", F.col("k") + 1, F.lit(1)).alias("next"))
+    each = stored(opened.groupBy(*keys, "path", "next").agg(F.sum("n").alias("n")), "paths")
+    sums = each.groupBy("path").agg(F.sum("n").alias("n_suffixes"), F.min("next").alias("low"), F.max("next").alias("high"))
+    nodes = stored(sums.where("low < high").select("path", "n_suffixes"), "nodes")
+    prefix = nodes.where("length(path) > 1").select("path", F.explode(F.sequence(F.lit(1), F.length("path") - 1)).alias("k")).select("path", F.substring("path", F.lit(1), F.col("k")).alias("prefix"))
+    above = prefix.join(nodes.select(F.col("path").alias("prefix"), F.col("n_suffixes").alias("size")), "prefix")
+    parents = above.groupBy("path").agg(F.max_by(F.struct("prefix", "size"), F.length("prefix")).alias("parent"))
+    kept = nodes.join(parents, "path", "left").where(F.col("parent").isNull() | (F.col("parent.size") > block))
+    kept = stored(kept.select("path", F.coalesce("parent.prefix", F.lit("")).alias("parent"), "n_suffixes"), "kept-nodes")
+    edges = each.select("path", *keys).distinct().join(kept.select("path"), "path", "left_semi")
+    return kept.join(edges.groupBy("path").agg(F.count("*").alias("n_docs")), "path"), edges
+
+
 def bwt_runs(ranked: DataFrame) -> DataFrame:
     """(symbol, n_runs): runs of equal characters in the transform (sa_rank, before); runs of end markers are left out."""
     above = ranked.select((F.col("sa_rank") + 1).alias("sa_rank"), F.col("before").alias("last"))
