@@ -207,6 +207,25 @@ def test_variants_of_a_line_are_linked_to_their_original(spark):
     assert near <= set(classes) and len({classes[d] for d in near}) == 1
 
 
+def test_pairs_that_share_a_template_are_found(spark):
+    rnd = random.Random(16)
+    words = lambda n: ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    template, lines = words(48), []
+    for _ in range(150):
+        own = [*template, *words(12)]
+        lines += [" ".join(own), " ".join([*own[:-2], *words(2)])]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in paragraph_minhash.repeated_paragraphs(docs).where("kind = 'line'").collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, lines)]
+    alike = [(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(alike) == 150
+    code, _, at, to, kind, _, _, _ = paragraph_minhash._paragraphs(pa.array(lines))
+    keys = paragraph_minhash._band_keys(code, at[kind == 0], to[kind == 0], kind[kind == 0], paragraph_minhash.bands_for())
+    promised = [(i, j) for i, j in alike if (keys[i] == keys[j]).any()]
+    assert len(promised) >= 0.98 * len(alike)
+    assert all(got.get(i) is not None and got.get(i) == got.get(j) for i, j in promised)
+
+
 @pytest.mark.parametrize("block", [40, 1 << 17])
 def test_crowded_buckets_are_joined_wholly(spark, block):
     rnd = random.Random(12)
