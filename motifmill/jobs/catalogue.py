@@ -592,6 +592,25 @@ def pattern_file(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_patterns(spark, _written(lines, "patterns"), tab=True)
 
 
+@query
+def null_separated(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "collection")
+    table(spark, d, "conversations").select("text").write.option("lineSep", "\0").text(path)
+    return readers.read_null_separated(spark, path)
+
+
+@query
+def sample_names(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "supplier").select(F.concat("s_name", F.lit("\t"), F.col("s_nationkey").cast("string"), F.lit("\n")).alias("value"))
+    return readers.read_samples(spark, _written(lines, "names"))
+
+
+@query
+def size_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "supplier").select(F.concat("s_name", F.lit("\t"), F.col("s_acctbal").cast("string")).alias("value"))
+    return readers.read_sizes(spark, _written(lines, "sizes"))
+
+
 @query
 def strain_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Line items as an alignment of three strains, the third with gaps."""

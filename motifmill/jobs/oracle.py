@@ -220,4 +220,7 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT max_entropy, row_number() OVER (PARTITION BY max_entropy ORDER BY s), line FROM line""",
     "document_nodes": f"WITH {GRAPH} SELECT path, parent, n_suffixes, n_docs FROM kept",
     "document_edges": f"WITH {GRAPH} SELECT DISTINCT path, conv_id, turn FROM each_ JOIN kept USING (path)",
+    "null_separated": "SELECT text AS seq FROM conversations WHERE text <> ''",
+    "sample_names": "SELECT s_name AS name FROM supplier",
+    "size_lines": "SELECT s_name AS name, s_acctbal AS size FROM supplier",
 }
