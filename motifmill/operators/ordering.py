@@ -32,20 +32,23 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 def with_running(df: DataFrame, order: list[str], position: str = "pos", sums: dict[str, Column] | None = None) -> DataFrame:
     """df plus its 0-based position in the order, and inclusive running sums of the given columns.
 
-    Rows are dealt out by ranges of the order; each range is numbered by itself and shifted by the totals of the ranges
-    before it, a table of one row a partition. Ties are in no fixed order: order by a key."""
+    Rows are dealt out by ranges of the order and numbered where they stand; each range is shifted by the totals of the
+    ranges before it, a table of one row a partition. Only sums need a window over a range, and with it a second shuffle.
+    Ties are in no fixed order: order by a key."""
     sums = sums or {}
     taken = {c.lower() for c in df.columns} | {position.lower(), *(k.lower() for k in sums)}
     tag = "__"
     while any(c.startswith(tag) for c in taken):
         tag += "_"
-    part, n = f"{tag}part", f"{tag}n"
-    ranged = stored(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ordered")
-    inside = Window.partitionBy(part).orderBy(*order)
+    at, part, n = f"{tag}at", f"{tag}part", f"{tag}n"
+    # the id is the partition's number, then the row's number in it
+    ranged = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "ordered")
+    ranged = ranged.withColumn(part, F.shiftright(at, 33))
     totals = ranged.groupBy(part).agg(F.count("*").alias(n), *(F.coalesce(F.sum(c), F.lit(0)).alias(f"{tag}{k}") for k, c in sums.items()))
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     shift = totals.select(part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n), *(F.coalesce(F.sum(f"{tag}{k}").over(before), F.lit(0)).alias(f"{tag}{k}") for k in sums))
-    got = ranged.join(F.broadcast(shift), part).withColumn(position, F.row_number().over(inside) - 1 + F.col(n))
+    got = ranged.join(F.broadcast(shift), part).withColumn(position, F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) + F.col(n))
+    upto = Window.partitionBy(part).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
     for k, c in sums.items():
-        got = got.withColumn(k, F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col(f"{tag}{k}"))
-    return got.drop(part, n, *(f"{tag}{k}" for k in sums))
+        got = got.withColumn(k, F.sum(c).over(upto) + F.col(f"{tag}{k}"))
+    return got.drop(at, part, n, *(f"{tag}{k}" for k in sums))
