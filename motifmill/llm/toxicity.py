@@ -30,6 +30,10 @@ LEAST_ODDS, LEAST_GROUPS = 1.2, 3
 TIERS = (3.0, 1.2)
 THRESHOLDS = (1, 2, 3, 5)
 CUT = 0.3
+#: How much a text counts for its likelier class while rates are estimated.
+SURE = 0.98
+#: The power of the posterior odds that the classifier is trained on: what is undecided weighs little either way.
+SHARPER = 3
 #: Texts of either half by label.
 CELLS = ("toxic0", "other0", "toxic1", "other1")
 PATTERNS = 4
@@ -139,24 +143,27 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip((self.features(self.counts(text)) / self.scale) @ self.weights, -40, 40)))
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 100, joint: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 5, joint: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of label 1, each voter's vote probabilities by class, the voters' correlations given the class).
 
-    votes: -1, 0, 1. It starts from the share of each text's voters that say 1, against the mean share, and runs on votes
+    votes: -1, 0, 1. It starts from the texts of which both the given label and an uncommon share of voters say 1, and runs on votes
     alone for `rounds` rounds; then the given labels come in as one more witness for `joint` rounds, their rates of error
-    estimated like the voters'. A voter counts for less the more it is correlated with others within a class, so that
-    many thresholds on one lexicon aren't many witnesses."""
+    estimated like the voters'. Rates are estimated from texts counted to their likelier class (SURE of them): soft
+    counts would blur the classes round by round. A voter counts for less the more it is correlated with others within a
+    class, so that many thresholds on one lexicon aren't many witnesses."""
     said = (votes == 1).sum(1) / np.maximum(1, (votes != 0).sum(1))
-    post = np.where(said > max(said.mean(), 1e-9), 0.9, 0.1)
+    post = np.where((said > max(said.mean(), 1e-9)) & (given == 1), SURE, 1 - SURE)
     onehot = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(np.float64)
     for nth in range(rounds + joint):
-        share = np.stack((1 - post, post))
+        sure = np.where(post > 0.5, SURE, 1 - SURE)
+        share = np.stack((1 - sure, sure))
         prob = (np.einsum("cn,nvk->cvk", share, onehot) + 0.5) / (share.sum(1)[:, None, None] + 1.5)
-        rest = votes - np.einsum("cvk,k->cv", prob, np.array([-1.0, 0, 1]))[(post > 0.5).astype(int)]
-        dev = rest.std(0) + 1e-9
-        corr = (rest / dev).T @ (rest / dev) / len(rest)
+        rest = votes - share.T @ np.einsum("cvk,k->cv", prob, np.array([-1.0, 0, 1]))
+        rest -= rest.mean(0)
+        dev = np.maximum(rest.std(0), 1e-3)
+        corr = np.clip((rest / dev).T @ (rest / dev) / len(rest), -1, 1)
         weight = 1 / np.maximum(1, np.abs(corr).sum(1))
-        odds = np.log((share[1].mean() + 1e-9) / (share[0].mean() + 1e-9)) + np.einsum("nvk,vk,v->n", onehot, np.log(prob[1]) - np.log(prob[0]), weight)
+        odds = np.log(share[1].mean() / share[0].mean()) + np.einsum("nvk,vk,v->n", onehot, np.log(prob[1]) - np.log(prob[0]), weight)
         if nth >= rounds:
             says = (share @ given + 0.5) / (share.sum(1) + 1)  # how often 1 is given, by class
             odds += np.where(given == 1, np.log(says[1] / says[0]), np.log((1 - says[1]) / (1 - says[0])))
@@ -235,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
         return ToxicityModel([])
     model, x = got
     posterior, _, _ = label_model(x["votes"], x["label"])
-    model.scale, model.weights = fit_linear(model.features(x["counts"]), posterior, x["weight"])
+    model.scale, model.weights = fit_linear(model.features(x["counts"]), 1 / (1 + (1 / np.clip(posterior, 1e-9, 1 - 1e-9) - 1) ** SHARPER), x["weight"])
     return model
 
 

@@ -272,7 +272,7 @@ def test_label_model_finds_accuracies_and_mends_wrong_labels():
         given = np.where(rnd.random(4000) < wrong, ~truth, truth).astype(int)
         post, prob, corr = toxicity.label_model(votes, given)
         assert ((post > 0.5) != truth).mean() < 0.5 * (given != truth).mean()
-        assert np.allclose(prob[1][:4, 2], accuracy, atol=0.06)
+        assert np.allclose(prob[1][:4, 2], accuracy, atol=0.1)
         assert corr[1, 4] > 0.99
 
 
@@ -291,6 +291,24 @@ def test_wrong_toxicity_labels_are_mended(spark):
     assert ((post > 0.5) != right).mean() < 0.5 * (x["label"] != right).mean()
 
 
+def test_label_model_keeps_both_classes_where_voters_agree():
+    rnd = np.random.default_rng(4)
+    truth = rnd.random(5000) < 0.12
+    strong = np.where(truth[:, None] & (rnd.random((5000, 16)) < 0.8), 1, np.where(truth, 0, -1)[:, None])
+    idle = np.full((5000, 24), -1)  # voters whose lexicon is empty
+    post, _, _ = toxicity.label_model(np.concatenate((strong, idle), 1).astype(np.int8), truth.astype(int))
+    assert ((post > 0.5) == truth).mean() > 0.999
+
+
+def test_quality_leaves_toxic_texts_to_the_toxicity_stage(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    good = docs.join(labels.where("quality = 0").select("doc_id"), "doc_id", "left_anti")
+    model = toxicity.train(good, labels.where(~toxicity.held_out()))
+    left = toxicity.keep_clean(good, model).join(labels, "doc_id").select("toxic").toPandas().toxic
+    told = good.join(labels, "doc_id").select("toxic").toPandas().toxic
+    assert left.sum() <= 0.1 * told.sum() and (left == 0).sum() >= 0.99 * (told == 0).sum()
+
+
 def test_no_labelled_text_is_lost(spark):
     rows = [(i, f"word{i}" if i % 2 else f"word{i} more") for i in range(100)] + [(200, None), (201, ""), (202, "the same text here and on"), (203, "the same text here and on")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
