@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, hnsw, ngram_filter, packing, paragraph_minhash, quality, simhash, spotsigs, suffix_dedup, toxicity
+from . import bpe, hard_negatives, hnsw, ngram_filter, packing, paragraph_minhash, periodic_runs, quality, simhash, spotsigs, suffix_dedup, toxicity, url_rules
 from .common import table
-from .sql import OP3, OP8
+from .sql import OP3, OP8, OP11, OP12
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,35 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
 
 
+def op11_four_russians_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of every anchor and positive; of ids that 7 divides the label is moved on by one first."""
+    vectors, moved = table(spark, sf_dir, "embeddings"), (F.col("label") + 1) % 10
+    label = F.when(F.col("vec_id") % 7 == 0, moved).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0, label)
+
+
+#: Host, path and verdict of the rules that the pages are judged by.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, winning rule and verdict of every page."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    got = url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return got.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, some documents having been given a periodic tail, and digests of what is left."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    got = periodic_runs.periodic_runs(periodic_runs.with_periodic_tails(docs, "h"))
+    line = F.transform("runs", lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))))
+    listed = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    milli = F.floor(F.col("best.length") * 1000 / F.col("best.period"))
+    digest = lambda c: F.sha2(F.encode(c, "utf-8"), 256)
+    return got.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli.alias("exponent_milli"), digest(listed).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -87,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_spotsigs": op9_spotsigs,
     "op10_toxicity": op10_toxicity,
+    "op11_four_russians_hard_negatives": op11_four_russians_hard_negatives,
+    "op12_url_rules": op12_url_rules,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_hnsw_near_dedup": OP3, "op8_suffix_dedup": OP8}
+ORACLE_SQL: dict[str, str] = {"op3_hnsw_near_dedup": OP3, "op8_suffix_dedup": OP8, "op11_four_russians_hard_negatives": OP11, "op12_url_rules": OP12}
