@@ -26,8 +26,6 @@ COMMON_WORDS = (
 ).split()
 
 CHAIN = 3
-#: Likenesses below this need not be told from 0: pairs whose lengths rule it out are not compared.
-LEAST = 0.01
 #: Characters that are cut off a word's ends.
 EDGES = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()) + "«»“”„’‘…¿¡–—"
 
@@ -67,17 +65,16 @@ def signature_sets(text: pa.Array, chain: int = CHAIN) -> tuple[np.ndarray, np.n
     return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], n: int, at_least: float = LEAST) -> np.ndarray:
-    """The Jaccard similarity of a's and b's k-th sets for k < n; 0 where their lengths alone rule out `at_least`.
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    """The Jaccard similarity of a's and b's k-th sets for k < n.
 
     Pairs are partitioned by the length class of their larger set (classes double), and a class's pairs are compared
-    together: first by the bound min / max of the lengths, then, if that allows it, by the signatures they share.
-    Two empty sets are alike (1)."""
+    together by the signatures they share. Only an empty set rules out all likeness; two of them are alike (1)."""
     size_a, size_b = np.bincount(a[0], minlength=n), np.bincount(b[0], minlength=n)
     small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
-    class_ = np.where(small < at_least * large, -1, np.log2(np.maximum(large, 1)).astype(np.int64))
+    class_ = np.log2(np.maximum(large, 1)).astype(np.int64)
     out = np.where(large == 0, 1.0, 0.0)
-    for k in np.unique(class_[(class_ >= 0) & (small > 0)]).tolist():
+    for k in np.unique(class_[small > 0]).tolist():
         in_class = class_ == k
         keys = [(x[0][own].astype(np.uint64) << np.uint64(32)) | x[1][own] for x in (a, b) for own in [in_class[x[0]]]]
         shared = np.bincount((np.intersect1d(*keys, assume_unique=True) >> np.uint64(32)).astype(np.int64), minlength=n)
@@ -123,7 +120,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A text's last third (rounded down, in code points) is replaced by the beginning of the next document's text, in
     descending order of ids, after the last the first. Null text counts as empty; rows with equal ids follow each other
-    by text; rows with a null id come last. Pairs whose set lengths rule out a likeness of LEAST have 0. The only row of a table is its own next. Rows are dealt out by ranges of
+    by text; rows with a null id come last. The only row of a table is its own next. Rows are dealt out by ranges of
     ids; each range also gets the first row of the next one, so texts are shuffled once and nothing is gathered."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
