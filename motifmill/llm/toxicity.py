@@ -1,10 +1,10 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
 Lexicons (words and word beginnings that toxic training texts favour) are mined by distributed counts. Voters are
-thresholds on how often a lexicon or a pattern hits a text; a text's voters use lexicons that were mined on the other half
-of the texts, so that no vote depends on the text's own label. An EM label model starts from the voters alone, estimates
-each one's accuracy by class and the voters' correlations given the class, and takes the given label as one more witness
-of estimated accuracy; a logistic regression is trained on the posterior labels."""
+thresholds on how often a lexicon or a pattern hits a text; a text's voters use the lexicon that is mined without the text
+and its near copies (their share is taken from the counts), so that no vote rests on the text's own label. An EM label
+model starts from the given labels, held to be often wrong, estimates each voter's accuracy by class and the voters'
+correlations given the class, then the given labels' accuracy too; a logistic regression is trained on the posterior labels."""
 
 from __future__ import annotations
 
@@ -25,17 +25,20 @@ from .spotsigs import EDGES
 TRAIN_ROWS, LEXICON = 24_000, 300
 #: Lengths of word beginnings in the lexicon; 0 stands for whole words.
 KINDS = (0, 4, 5, 6, 7)
-#: A lexicon entry is in the toxic texts this many times as often (as a logarithm) and in so many groups of texts.
-LEAST_ODDS, LEAST_GROUPS = 1.2, 3
+#: A lexicon entry is in the toxic texts this many times as often (as a logarithm) and in so many groups of them; its hits, of
+#: each group MOST_HITS at most, add up to so many.
+LEAST_ODDS, LEAST_GROUPS, LEAST_HITS, MOST_HITS = 1.2, 2, 3, 4
 TIERS = (3.0, 1.2)
 THRESHOLDS = (1, 2, 3, 5)
 CUT = 0.3
 #: How much a text counts for its likelier class while rates are estimated.
 SURE = 0.98
+#: How often given labels are thought to be wrong at first, and how much a voter's rates lean on those in all texts.
+WRONG, SMOOTH = 0.2, 0.3
 #: The power of the posterior odds that the classifier is trained on: what is undecided weighs little either way.
 SHARPER = 3
-#: Texts of either half by label.
-CELLS = ("toxic0", "other0", "toxic1", "other1")
+#: Texts by label.
+CELLS = ("toxic", "other")
 PATTERNS = 4
 
 
@@ -73,26 +76,27 @@ def with_groups(docs: DataFrame, label: str) -> DataFrame:
 
 
 def feature_counts(train: DataFrame) -> DataFrame:
-    """(kind, feature, toxic0, other0, toxic1, other1): the weight of the toxic and other texts that have a word or word
-    beginning, in either half. train: text, label, half, weight."""
+    """(kind, feature, toxic, other, groups): the weighted hits of a word or word beginning in toxic and other texts, MOST_HITS at
+    most of each, and the weight of the toxic texts that have it. train: text, label, weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
             doc, bare, index = _words(texts(batch))
-            cell = 2 * batch.column("half").to_numpy(zero_copy_only=False) + (batch.column("label").to_numpy(zero_copy_only=False) != 1)
+            cell = (batch.column("label").to_numpy(zero_copy_only=False) != 1).astype(np.int64)
             weight = batch.column("weight").to_numpy(zero_copy_only=False)
             for kind in KINDS:
                 coded = _starts(bare, kind).dictionary_encode()
                 of_word = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
                 got = of_word[index]
                 keep, n = got >= 0, len(coded.dictionary)
-                pairs = np.unique(doc[keep].astype(np.int64) * max(1, n) + got[keep])
+                pairs, hits = np.unique(doc[keep].astype(np.int64) * max(1, n) + got[keep], return_counts=True)
                 of, feature = pairs // max(1, n), pairs % max(1, n)
-                sums = np.bincount(cell[of] * n + feature, weights=weight[of], minlength=4 * n).astype(np.float64).reshape(4, n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), coded.dictionary, *map(pa.array, sums)], ["kind", "feature", *CELLS])
+                hits, toxic = weight[of] * np.minimum(hits, MOST_HITS), cell[of] == 0
+                sums = [np.bincount(feature, weights=w, minlength=n).astype(np.float64) for w in (hits * toxic, hits * ~toxic, weight[of] * toxic)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), coded.dictionary, *map(pa.array, sums)], ["kind", "feature", *CELLS, "groups"])
 
-    made = train.select("text", "label", "half", "weight").mapInArrow(run, f"kind int, feature string, {', '.join(f'{c} double' for c in CELLS)}")
-    return made.groupBy("kind", "feature").agg(*(F.sum(c).alias(c) for c in CELLS))
+    made = train.select("text", "label", "weight").mapInArrow(run, f"kind int, feature string, {', '.join(f'{c} double' for c in (*CELLS, 'groups'))}")
+    return made.groupBy("kind", "feature").agg(*(F.sum(c).alias(c) for c in (*CELLS, "groups")))
 
 
 class ToxicityModel:
@@ -125,8 +129,10 @@ class ToxicityModel:
         return np.stack([counts[:, g].sum(1) if g else np.zeros(len(counts)) for g in self.groups], 1)
 
     def votes(self, counts: np.ndarray) -> np.ndarray:
-        """+1 toxic, -1 not, 0 abstains: a voter for each lexicon group and threshold and for each pattern."""
+        """+1 toxic, -1 not, 0 abstains: a voter for each lexicon group and threshold, for each tier whatever the kind of entry
+        (languages differ in which kind tells), and for each pattern."""
         group, words = self.grouped(counts), np.maximum(counts[:, -PATTERNS], 1)
+        group = np.concatenate([group] + [group[:, k :: len(TIERS)].max(1, keepdims=True) for k in range(len(TIERS))], 1)
         made = [np.where(group[:, [g]] >= t, 1, np.where(group[:, [g]] == 0, -1, 0)) for g in range(group.shape[1]) for t in THRESHOLDS]
         rate = counts[:, 1 - PATTERNS :] / words[:, None]
         made += [np.where(rate[:, [k]] > high, 1, np.where(rate[:, [k]] < low, -1, 0)) for k, (low, high) in enumerate(((0.01, 0.3), (0.05, 2.0), (0.05, 1.0)))]
@@ -143,30 +149,32 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip((self.features(self.counts(text)) / self.scale) @ self.weights, -40, 40)))
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 5, joint: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 8, joint: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of label 1, each voter's vote probabilities by class, the voters' correlations given the class).
 
-    votes: -1, 0, 1. It starts from the texts of which both the given label and an uncommon share of voters say 1, and runs on votes
-    alone for `rounds` rounds; then the given labels come in as one more witness for `joint` rounds, their rates of error
-    estimated like the voters'. Rates are estimated from texts counted to their likelier class (SURE of them): soft
-    counts would blur the classes round by round. A voter counts for less the more it is correlated with others within a
-    class, so that many thresholds on one lexicon aren't many witnesses."""
-    said = (votes == 1).sum(1) / np.maximum(1, (votes != 0).sum(1))
-    post = np.where((said > max(said.mean(), 1e-9)) & (given == 1), SURE, 1 - SURE)
+    votes: -1, 0, 1. The given labels are one more witness: it starts from them, for `rounds` rounds they are thought to be
+    wrong as often as WRONG, so that many voters overrule them; then for `joint` rounds their rates of error are estimated
+    like the voters'. Rates are estimated from texts counted to their likelier class (SURE of them): soft counts would blur
+    the classes round by round. A voter's rates in a class lean on its rates in all texts by SMOOTH texts for each voter, so
+    that the few texts of a small class don't make silence impossible for it. A voter counts for less the more it is
+    correlated with others within a class, so that many thresholds on one lexicon aren't many witnesses."""
+    post = np.where(given == 1, SURE, 1 - SURE)
     onehot = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(np.float64)
+    lean = SMOOTH * votes.shape[1]
+    prior = lean * onehot.mean(0) + 0.01
     for nth in range(rounds + joint):
         sure = np.where(post > 0.5, SURE, 1 - SURE)
         share = np.stack((1 - sure, sure))
-        prob = (np.einsum("cn,nvk->cvk", share, onehot) + 0.5) / (share.sum(1)[:, None, None] + 1.5)
+        prob = (np.einsum("cn,nvk->cvk", share, onehot) + prior) / (share.sum(1)[:, None, None] + lean + 0.03)
         rest = votes - share.T @ np.einsum("cvk,k->cv", prob, np.array([-1.0, 0, 1]))
         rest -= rest.mean(0)
         dev = np.maximum(rest.std(0), 1e-3)
         corr = np.clip((rest / dev).T @ (rest / dev) / len(rest), -1, 1)
         weight = 1 / np.maximum(1, np.abs(corr).sum(1))
         odds = np.log(share[1].mean() / share[0].mean()) + np.einsum("nvk,vk,v->n", onehot, np.log(prob[1]) - np.log(prob[0]), weight)
-        if nth >= rounds:
-            says = (share @ given + 0.5) / (share.sum(1) + 1)  # how often 1 is given, by class
-            odds += np.where(given == 1, np.log(says[1] / says[0]), np.log((1 - says[1]) / (1 - says[0])))
+        # how often 1 is given, by class
+        says = np.array([WRONG, 1 - WRONG]) if nth < rounds else (share @ given + 0.5) / (share.sum(1) + 1)
+        odds += np.where(given == 1, np.log(says[1] / says[0]), np.log((1 - says[1]) / (1 - says[0])))
         post = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
     return post, prob, corr
 
@@ -186,49 +194,54 @@ def fit_linear(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: flo
     return scale, w
 
 
-def lexicon(counts: DataFrame, totals: dict[str, float], halves: tuple[int, ...]) -> list[tuple[int, str, float]]:
-    """The LEXICON entries (kind, feature, log odds) that toxic texts of these halves favour most."""
-    toxic, other = (sum(totals[f"{c}{h}"] for h in halves) for c in ("toxic", "other"))
-    t, o = (sum((F.col(f"{c}{h}") for h in halves[1:]), F.col(f"{c}{halves[0]}")) for c in ("toxic", "other"))
+def lexicon(counts: DataFrame, totals: dict[str, float], without: str = "") -> list[tuple[int, str, float]]:
+    """The LEXICON entries (kind, feature, log odds) that toxic texts favour most.
+
+    without: the label ("toxic", "other") of a group of texts that has the entry and is left out."""
+    less = {c: float(c == without) for c in CELLS}
+    toxic, other = (max(totals[c] - less[c], 0.0) for c in CELLS)
+    # how often the text has the entry is not known: of a toxic one as much as can be is taken away, of another one as little
+    t, o = F.greatest(F.col("toxic") - MOST_HITS * less["toxic"], F.lit(0.0)), F.greatest(F.col("other") - less["other"], F.lit(0.0))
     odds = F.log((t + 0.5) / (toxic + 1)) - F.log((o + 0.5) / (other + 1))
-    best = counts.select("kind", "feature", t.alias("t"), odds.alias("odds")).where((F.col("t") >= max(LEAST_GROUPS, toxic // 400) - 1e-6) & (F.col("odds") >= LEAST_ODDS))
+    enough = (F.col("groups") >= LEAST_GROUPS - 1e-6) & (t >= max(LEAST_HITS, toxic // 400) - 1e-6)
+    best = counts.where(enough).select("kind", "feature", t.alias("t"), odds.alias("odds")).where(F.col("odds") >= LEAST_ODDS)
     return [(r["kind"], r["feature"], r["odds"]) for r in best.orderBy(F.desc(F.round(F.col("t") * F.col("odds"), 9)), "kind", "feature").limit(LEXICON).collect()]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
-    """(text, label, half, weight): the labelled texts to learn from, at most `rows` ids, those of least hash.
+    """(text, label, weight): the labelled texts to learn from, at most `rows` ids, those of least hash.
 
     Every text of such an id is there, short and repeated ones too. Texts of a group (near copies, mostly) share one
-    unit of weight and one half."""
+    unit of weight."""
     chosen = labels.where(f"`{id_col}` is not null and `{label_col}` in (0, 1)").groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(rows)
     texts_ = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id")
     grouped = stored(with_groups(texts_, "label"), "toxicity-groups")
     sizes = grouped.groupBy("grp").agg(F.count("*").alias("n"))
-    return stored(grouped.join(sizes, "grp").select("text", "label", F.pmod(F.xxhash64("grp"), F.lit(2)).cast("int").alias("half"), (1 / F.col("n")).alias("weight")), "toxicity")
+    return stored(grouped.join(sizes, "grp").select("text", "label", (1 / F.col("n")).alias("weight")), "toxicity")
 
 
 def learned_votes(kept: DataFrame) -> tuple[ToxicityModel, dict[str, np.ndarray]] | None:
     """(a model with its lexicon but no weights yet, each row's label, weight, counts and votes) of training_rows()."""
-    cell = F.concat(F.when(F.col("label") == 1, "toxic").otherwise("other"), F.col("half").cast("string"))
+    cell = F.when(F.col("label") == 1, "toxic").otherwise("other")
     totals = {c: 0.0 for c in CELLS} | {r["cell"]: r["w"] for r in kept.groupBy(cell.alias("cell")).agg(F.sum("weight").alias("w")).collect()}
-    if not totals["toxic0"] + totals["toxic1"] or not totals["other0"] + totals["other1"]:
+    if not totals["toxic"] or not totals["other"]:
         return None
-    counts = stored(feature_counts(kept).where(f"toxic0 + toxic1 >= {LEAST_GROUPS} - 1e-6"), "toxicity-features")
-    model = ToxicityModel(lexicon(counts, totals, (0, 1)))
-    voters = [ToxicityModel(lexicon(counts, totals, (1 - half,))) for half in (0, 1)]
+    counts = stored(feature_counts(kept).where(f"groups >= {LEAST_GROUPS} - 1e-6"), "toxicity-features")
+    model = ToxicityModel(lexicon(counts, totals))
+    voters = [ToxicityModel(lexicon(counts, totals, c)) for c in CELLS]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
-            text, half = texts(batch), batch.column("half").to_numpy()
-            got = np.minimum(model.counts(text), 65535).astype("<u2")
-            votes = np.where((half == 0)[:, None], *(v.votes(v.counts(text)) for v in voters))
+            text, label = texts(batch), batch.column("label").to_numpy()
+            got = model.counts(text).astype("<f4")
+            votes = np.where((label == 1)[:, None], *(v.votes(v.counts(text)) for v in voters))
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("weight"), *(pa.array([row.tobytes() for row in x], pa.binary()) for x in (got, votes))], ["label", "weight", "counts", "votes"])
 
     # bounded by TRAIN_ROWS and LEXICON
     got = kept.mapInArrow(count, "label int, weight double, counts binary, votes binary").toArrow()
     matrix = lambda c, kind: np.frombuffer(b"".join(got[c].to_pylist()), kind).reshape(len(got), -1)
-    return model, {"label": got["label"].to_numpy(), "weight": got["weight"].to_numpy(), "counts": matrix("counts", "<u2").astype(np.float32), "votes": matrix("votes", np.int8)}
+    return model, {"label": got["label"].to_numpy(), "weight": got["weight"].to_numpy(), "counts": matrix("counts", "<f4"), "votes": matrix("votes", np.int8)}
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> ToxicityModel:
