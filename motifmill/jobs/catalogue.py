@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as seq
-from ..operators import alignment, matrices, mining, ranks, text
+from ..operators import alignment, matrices, mining, ranks, suffixes, text
 from ..operators.ordering import scratch, stored, with_running
 from ..sources import readers
 from .oracle import BLOCK, DEPTH, FMIN, LIMITS, TREE_DEPTH
@@ -237,13 +237,22 @@ def _patterns(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(word).where("length(pattern) >= 3").groupBy("pattern").agg(F.count("*").alias("weight"))
 
 
+TURN = ["conv_id", "turn"]
+
+
+def _found(spark: SparkSession, d: str) -> suffixes.Found:
+    return suffixes.find(_talk(spark, d), _patterns(spark, d), TURN)
+
+
 def _occurrences(spark: SparkSession, d: str) -> DataFrame:
-    return text.occurrences(_talk(spark, d), _patterns(spark, d), ["conv_id", "turn"])
+    return _found(spark, d).occurrences()
 
 
 @query
 def pattern_count(spark: SparkSession, d: str) -> DataFrame:
-    return _occurrences(spark, d).groupBy("pattern").agg(F.count("*").alias("n"), F.count_distinct("conv_id", "turn").alias("n_texts"))
+    found = _found(spark, d)
+    listed = found.occurrences().select("pattern", *TURN).distinct().groupBy("pattern").agg(F.count("*").alias("n_texts"))
+    return found.bounds.where("n > 0").select("pattern", "n").join(listed, "pattern")
 
 
 @query
@@ -255,7 +264,7 @@ def pattern_locate(spark: SparkSession, d: str) -> DataFrame:
 def passage_locate(spark: SparkSession, d: str) -> DataFrame:
     """Whole benchmark passages in the documents."""
     passages = table(spark, d, "benchmark").select("item_id", F.col("text").alias("pattern"))
-    found = text.occurrences(table(spark, d, "documents").select("doc_id", "text"), passages, ["doc_id"])
+    found = suffixes.find(table(spark, d, "documents").select("doc_id", "text"), passages, ["doc_id"]).occurrences()
     return found.join(passages, "pattern").select("item_id", "doc_id", "pos")
 
 
@@ -315,33 +324,36 @@ def grep_count(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).where(F.col("line").contains("tion")).groupBy("conv_id").agg(F.count("*").alias("n_lines"))
 
 
-def _suffixes(spark: SparkSession, d: str) -> text.Suffixes:
-    return text.suffix_order(_talk(spark, d), ["conv_id", "turn"])
+def _suffixes(spark: SparkSession, d: str) -> DataFrame:
+    return suffixes.named_order(_talk(spark, d), TURN)[0]
 
 
 @query
 def bwt(spark: SparkSession, d: str) -> DataFrame:
-    return _suffixes(spark, d).rows.select("sa_rank", F.col("before").alias("symbol"))
+    return _suffixes(spark, d).select("sa_rank", F.col("before").alias("symbol"))
 
 
 @query
 def bwt_runs(spark: SparkSession, d: str) -> DataFrame:
-    return text.bwt_runs(_suffixes(spark, d).rows)
+    return text.bwt_runs(_suffixes(spark, d))
 
 
 @query
 def suffix_rank(spark: SparkSession, d: str) -> DataFrame:
-    return _suffixes(spark, d).rows.select("conv_id", "turn", "pos", "sa_rank")
+    order, named = suffixes.named_order(_talk(spark, d), TURN)
+    return suffixes.with_keys(order.select("tid", "pos", "sa_rank"), named, TURN)
 
 
 @query
 def display_from_rank(spark: SparkSession, d: str) -> DataFrame:
-    return _suffixes(spark, d).rows.select("sa_rank", F.substring("gram", 1, 20).alias("shown"))
+    """Forty characters from each rank on."""
+    order, named = suffixes.named_order(_talk(spark, d), TURN)
+    return suffixes.shown_from(order, named, 40).select("sa_rank", "shown")
 
 
 @query
 def lcp_array(spark: SparkSession, d: str) -> DataFrame:
-    return text.lcp(_suffixes(spark, d)).select("sa_rank", "lcp")
+    return suffixes.common_prefixes(*suffixes.named_order(_talk(spark, d), TURN)).select("sa_rank", "lcp")
 
 
 @query
@@ -674,8 +686,7 @@ def value_before(spark: SparkSession, d: str) -> DataFrame:
 @query
 def inverse_suffix_array(spark: SparkSession, d: str) -> DataFrame:
     """The rank of every place of all texts laid end to end, each with its end."""
-    numbered = with_running(_suffixes(spark, d).rows.select("conv_id", "turn", "pos", "sa_rank"), ["conv_id", "turn", "pos"], "value")
-    return ranks.inverse(stored(numbered.select("sa_rank", "value"), "permutation"), "sa_rank", "value")
+    return ranks.inverse(_suffixes(spark, d).select("sa_rank", F.col("g").alias("value")), "sa_rank", "value")
 
 
 @query
@@ -723,8 +734,10 @@ def sam_rows(spark: SparkSession, d: str) -> DataFrame:
 @query
 def sequence_suffixes(spark: SparkSession, d: str) -> DataFrame:
     """The suffix array of each conversation turn by itself."""
-    own = Window.partitionBy("conv_id", "turn").orderBy("sa_rank")  # bounded by a text's length
-    return _suffixes(spark, d).rows.select("conv_id", "turn", "pos", (F.row_number().over(own) - 1).cast("long").alias("own_rank"))
+    own = Window.partitionBy("tid").orderBy("sa_rank")  # bounded by a text's length
+    order, named = suffixes.named_order(_talk(spark, d), TURN)
+    ranked = order.select("tid", "pos", (F.row_number().over(own) - 1).cast("long").alias("own_rank"))
+    return suffixes.with_keys(ranked, named, TURN)
 
 
 @query

@@ -186,7 +186,7 @@ ORACLE_SQL: dict[str, str] = {
     "display_sequence": "SELECT conv_id, turn, text || '$' AS shown FROM conversations",
     "position_lookup": """WITH r AS (SELECT doc_id, CAST(sum(length(text)) OVER (ORDER BY doc_id) - length(text) AS BIGINT) AS first, CAST(sum(length(text)) OVER (ORDER BY doc_id) AS BIGINT) AS after FROM documents)
         SELECT p AS pos, doc_id, p - first AS offset FROM (SELECT doc_id, first, unnest(range((first + 999) // 1000 * 1000, after, 1000)) AS p FROM r)""",
-    "display_from_rank": f"WITH {SUFFIXES} SELECT sa_rank, substr(suffix, 1, 20) AS shown FROM ranked",
+    "display_from_rank": f"WITH {SUFFIXES} SELECT sa_rank, substr(suffix, 1, 40) AS shown FROM ranked",
     "pattern_draw": f"""WITH {PATTERNS}, c AS (SELECT pattern, weight, sum(weight) OVER (ORDER BY pattern) AS upto FROM pats), k AS (SELECT unnest(range(0, 100)) AS draw)
         SELECT draw, pattern FROM k JOIN c ON (2 * draw + 1) * (SELECT sum(weight) FROM pats) > 200 * (upto - weight) AND (2 * draw + 1) * (SELECT sum(weight) FROM pats) <= 200 * upto""",
     "zero_select": f"WITH {BITS} SELECT pos + 1 - rank1 AS k, pos FROM ranked WHERE bit = 0",

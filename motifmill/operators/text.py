@@ -1,73 +1,10 @@
-"""Full-text questions on collections: occurrences, contexts, listings, suffix order, transform and common prefixes."""
+"""Small full-text questions: contexts, runs of the transform, tags and chunks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import lru_cache
-
-import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import common_prefix
-from .ordering import stored, with_running
-
-#: Bytes of patterns up to which an automaton of all of them is sent to every task; larger sets meet the texts by a join.
-PATTERN_BYTES = 4 << 20
-#: Characters that suffixes are first ranked by.
-SEED = 32
-
-
-@lru_cache(maxsize=1)
-def _automaton(patterns: tuple[str, ...]):
-    import ahocorasick
-
-    made = ahocorasick.Automaton()
-    for x in patterns:
-        made.add_word(x, x)
-    made.make_automaton()
-    return made
-
-
-def occurrences(texts: DataFrame, patterns: DataFrame, keys: list[str], pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
-    """(pattern, keys, pos) of every occurrence of patterns of any length, overlapping ones too. texts: keys, text.
-
-    Pattern sets of at most pattern_bytes are matched by one automaton in every task, so only occurrences leave it. Larger
-    sets are joined: by their first characters (as many as the shortest pattern has, eight at most), then character by
-    character with what follows there. Null texts and empty or null patterns have no occurrences."""
-    sets = patterns.where("pattern <> ''").select("pattern").distinct()
-    size = sets.agg(F.sum(F.octet_length("pattern").cast("long")), F.min(F.length("pattern")), F.max(F.length("pattern"))).first()
-    if (size[0] or 0) <= pattern_bytes:
-        return _by_automaton(texts, sorted(r["pattern"] for r in sets.collect()), keys)
-    gram = min(8, size[1])
-    at = texts.where(F.length("text") >= gram).select(*keys, "text", F.explode(F.sequence(F.lit(1), F.length("text") - gram + 1)).alias("p"))
-    at = at.select(*keys, (F.col("p") - 1).cast("long").alias("pos"), F.substring("text", F.col("p"), F.lit(gram)).alias("gram"), F.substring("text", F.col("p"), F.lit(size[2])).alias("rest"))
-    found = at.join(sets.withColumn("gram", F.substring("pattern", 1, gram)), "gram").where(F.col("rest").startswith(F.col("pattern")))
-    return found.select("pattern", *keys, "pos")
-
-
-def _by_automaton(texts: DataFrame, patterns: list[str], keys: list[str]) -> DataFrame:
-    sent: Broadcast = texts.sparkSession.sparkContext.broadcast(tuple(patterns))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not sent.value:
-            return
-        find = _automaton(sent.value).iter
-        for batch in batches:
-            row, pos, word = [], [], []
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                for end, x in find(text) if text else ():
-                    row.append(k)
-                    pos.append(end - len(x) + 1)
-                    word.append(x)
-            which = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), *(batch.column(c).take(which) for c in keys), pa.array(pos, pa.int64())], ["pattern", *keys, "pos"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
-    return texts.select(*keys, "text").mapInArrow(run, ", ".join(["pattern string", *(f"`{c}` {kinds[c]}" for c in keys), "pos long"]))
-
 
 def context(text: Column, pos: Column, width: Column, around: int) -> Column:
     """An occurrence of `width` characters with up to `around` characters on either side."""
@@ -75,98 +12,6 @@ def context(text: Column, pos: Column, width: Column, around: int) -> Column:
     return F.substring(text, start + 1, pos - start + width + around)
 
 
-@dataclass
-class Suffixes:
-    """A collection's suffixes in order: rows (keys, pos, left, gram, before, sa_rank), and the rank tables of each doubling.
-
-    left counts the suffix's characters, gram holds its first SEED, before is the character before it (empty for a text's
-    first). Levels are (h, table): ranks (keys, pos, rank, n) by the first h characters, n suffixes having the same."""
-
-    keys: list[str]
-    rows: DataFrame
-    levels: list[tuple[int, DataFrame]]
-
-
-def suffix_order(texts: DataFrame, keys: list[str], seed: int = SEED) -> Suffixes:
-    """All suffixes of all texts, empty ones included, in the order of their characters, equal ones by their texts' keys.
-
-    Suffixes are ranked by their first characters, then by pairs of ranks, doubling the length each round. Only suffixes
-    that still share their rank with others go through a round; no suffix is ever written out whole. texts: keys, text."""
-    p = F.col("p")
-    at = texts.where("text is not null").select(*keys, "text", F.explode(F.sequence(F.lit(1), F.length("text") + 1)).alias("p"))
-    before = F.when(p > 1, F.substring("text", p - 1, F.lit(1))).otherwise("")
-    rows = stored(at.select(*keys, (p - 1).cast("long").alias("pos"), (F.length("text") - p + 1).cast("long").alias("left"), F.substring("text", p, F.lit(seed)).alias("gram"), before.alias("before")), "suffixes")
-    longest = rows.agg(F.max("left")).first()[0] or 0
-    sizes = rows.groupBy("gram").agg(F.count("*").alias("n"))
-    ranked = with_running(sizes, ["gram"], "nth", {"upto": F.col("n")}).select("gram", "n", (F.col("upto") - F.col("n")).alias("rank"))
-    part = stored(rows.join(stored(ranked, "grams"), "gram").select(*keys, "pos", "rank", "n"), "ranks")
-    full = part  # ranks that are alone stay where they were written, only the others are written again
-    levels, h = [(seed, full)], seed
-    while h < longest:
-        ahead = full.select(*keys, (F.col("pos") - h).alias("pos"), (F.col("rank") + 1).alias("two"))
-        open_ = part.where("n > 1").select(*keys, "pos", F.col("rank").alias("one"))
-        pairs = stored(open_.join(ahead, [*keys, "pos"], "left").select(*keys, "pos", "one", F.coalesce("two", F.lit(0)).alias("two")), "pairs")
-        counted = pairs.groupBy("one", "two").agg(F.count("*").alias("n"))
-        run = stored(with_running(counted, ["one", "two"], "nth", {"upto": F.col("n")}).select("one", "two", "n", (F.col("upto") - F.col("n")).alias("below")), "runs")
-        base = run.groupBy("one").agg(F.min("below").alias("base"))
-        new = run.join(base, "one").select("one", "two", (F.col("one") + F.col("below") - F.col("base")).alias("rank"), "n")
-        alone = full.where("n = 1")
-        part = stored(pairs.join(stored(new, "new-ranks"), ["one", "two"]).select(*keys, "pos", "rank", "n"), "ranks")
-        full = alone.unionByName(part)
-        h *= 2
-        levels.append((h, full))
-    order = with_running(full.select("rank", *keys, "pos"), ["rank", *keys, "pos"], "sa_rank").select(*keys, "pos", "sa_rank")
-    return Suffixes(keys, stored(rows.join(order, [*keys, "pos"]), "suffix-order"), levels)
-
-
-def lcp(found: Suffixes) -> DataFrame:
-    """(keys, pos, sa_rank, lcp): characters shared with the suffix of the rank before (0 for the first).
-
-    Where the first characters differ they tell; the others step down the doublings, from the longest equal part on."""
-    keys, rows = found.keys, found.rows
-    other = {c: f"other_{c}" for c in (*keys, "pos", "left", "gram")}
-    above = rows.select((F.col("sa_rank") + 1).alias("sa_rank"), *(F.col(c).alias(o) for c, o in other.items()))
-    both = rows.join(above, "sa_rank", "left")
-    apart = both.where("other_gram is null or gram <> other_gram").select(*keys, "pos", "sa_rank", F.coalesce(common_prefix(F.col("gram"), F.col("other_gram")), F.lit(0)).cast("long").alias("lcp"))
-    near = stored(both.where("gram = other_gram").select(*keys, "pos", "sa_rank", "left", *other.values(), F.lit(0).cast("long").alias("off")), "near")
-    for h, ranks in reversed(found.levels):
-        one = ranks.select(*keys, F.col("pos").alias("at"), F.col("rank").alias("one"))
-        two = ranks.select(*(F.col(c).alias(other[c]) for c in keys), F.col("pos").alias("other_at"), F.col("rank").alias("two"))
-        near = near.withColumn("at", F.col("pos") + F.col("off")).withColumn("other_at", F.col("other_pos") + F.col("off"))
-        near = near.join(one, [*keys, "at"], "left").join(two, [*(other[c] for c in keys), "other_at"], "left")
-        near = stored(near.withColumn("off", F.col("off") + F.when(F.col("one") == F.col("two"), h).otherwise(0)).drop("at", "other_at", "one", "two"), "near")
-    one = rows.select(*keys, F.col("pos").alias("at"), F.col("gram").alias("one"))
-    two = rows.select(*(F.col(c).alias(other[c]) for c in keys), F.col("pos").alias("other_at"), F.col("gram").alias("two"))
-    near = near.withColumn("at", F.col("pos") + F.col("off")).withColumn("other_at", F.col("other_pos") + F.col("off"))
-    near = near.join(one, [*keys, "at"], "left").join(two, [*(other[c] for c in keys), "other_at"], "left")
-    shared = F.least(F.col("off") + F.coalesce(common_prefix(F.col("one"), F.col("two")), F.lit(0)), "left", "other_left")
-    return apart.unionByName(near.select(*keys, "pos", "sa_rank", shared.alias("lcp")))
-
-
-def document_graph(texts: DataFrame, keys: list[str], block: int, depth: int, end: str = "$") -> tuple[DataFrame, DataFrame]:
-    """((path, parent, n_suffixes, n_docs), (path, keys)): the nodes of the texts' suffix tree down to `depth` characters,
-    and the documents below each.
-
-    A node is a string that goes on in two ways or more, a text's end being one. Nodes of at most `block` suffixes have
-    no nodes below them. Each place gives one window; windows are summed for each document before they are opened into
-    their beginnings. parent is the longest node that the path begins with, empty for the root."""
-    whole = texts.where("text <> ''").select(*keys, F.concat("text", F.lit(end)).alias("text"))
-    at = whole.select(*keys, "text", F.explode(F.sequence(F.lit(1), F.length("text") - 1)).alias("p"))
-    window = at.groupBy(*keys, F.substring("text", F.col("p"), F.lit(depth + 1)).alias("window")).agg(F.count("*").alias("n"))
-    k = F.explode(F.sequence(F.lit(1), F.length("window") - 1)).alias("k")
-    opened = window.select(*keys, "n", "window", k).select(*keys, "n", F.substring("window", F.lit(1), F.col("k")).alias("path"), F.substring("window", F.col("k") + 1, F.lit(1)).alias("next"))
-    each = stored(opened.groupBy(*keys, "path", "next").agg(F.sum("n").alias("n")), "paths")
-    sums = each.groupBy("path").agg(F.sum("n").alias("n_suffixes"), F.min("next").alias("low"), F.max("next").alias("high"))
-    nodes = stored(sums.where("low < high").select("path", "n_suffixes"), "nodes")
-    prefix = nodes.where("length(path) > 1").select("path", F.explode(F.sequence(F.lit(1), F.length("path") - 1)).alias("k")).select("path", F.substring("path", F.lit(1), F.col("k")).alias("prefix"))
-    above = prefix.join(nodes.select(F.col("path").alias("prefix"), F.col("n_suffixes").alias("size")), "prefix")
-    parents = above.groupBy("path").agg(F.max_by(F.struct("prefix", "size"), F.length("prefix")).alias("parent"))
-    kept = nodes.join(parents, "path", "left").where(F.col("parent").isNull() | (F.col("parent.size") > block))
-    kept = stored(kept.select("path", F.coalesce("parent.prefix", F.lit("")).alias("parent"), "n_suffixes"), "kept-nodes")
-    edges = each.select("path", *keys).distinct().join(kept.select("path"), "path", "left_semi")
-    return kept.join(edges.groupBy("path").agg(F.count("*").alias("n_docs")), "path"), edges
-
-
 def bwt_runs(ranked: DataFrame) -> DataFrame:
     """(symbol, n_runs): runs of equal characters in the transform (sa_rank, before); runs of end markers are left out."""
     above = ranked.select((F.col("sa_rank") + 1).alias("sa_rank"), F.col("before").alias("last"))

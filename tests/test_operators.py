@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from motifmill.functions import sequences
-from motifmill.operators import alignment, matrices, mining, ranks, text
-from motifmill.operators.ordering import with_running
+from motifmill.operators import alignment, matrices, mining, ranks, suffixes
+from motifmill.operators.ordering import with_last, with_running
 from motifmill.sources import readers
 from motifmill.streaming import incremental
 
@@ -88,30 +88,46 @@ def test_mismatches_may_be_blanks(spark):
     assert [tuple(r) for r in got] == [(4, "0 x 1   2 y 3  "), (0, ""), (0, ""), (None, None)]
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 0])
-def test_patterns_of_any_length_are_found(spark, limit):
-    rnd = random.Random(8)
-    texts = [(i, "".join(rnd.choice("abé ") for _ in range(rnd.randint(0, 60)))) for i in range(40)] + [(99, None)]
-    patterns = ["a", "ab", "aba", "é a", "bbbb", "zz", "ab"] + [t[3:20] for _, t in texts[:5]] + [""]
-    df, pats = spark.createDataFrame(texts, "k int, text string"), spark.createDataFrame([(x,) for x in patterns], "pattern string")
-    got = {tuple(r) for r in text.occurrences(df, pats, ["k"], pattern_bytes=limit).collect()}
-    want = {(x, k, i) for x in set(patterns) if x for k, t in texts if t for i in range(len(t)) if t.startswith(x, i)}
-    assert got == want
-    assert text.occurrences(df, pats.limit(0), ["k"], pattern_bytes=limit).count() == 0
-    assert text.occurrences(df.limit(0), pats, ["k"], pattern_bytes=limit).count() == 0
-
-
-def test_suffix_order_and_prefixes_equal_sorting(spark):
+def sample_texts():
     rnd = random.Random(9)
     long = "".join(rnd.choice("ab") for _ in range(90))
-    texts = [(1, "banana"), (2, "a" * 50), (3, long), (4, long), (5, long[:-1] + "c"), (6, ""), (7, "banana"), (8, "x" + long), (9, None)]
-    found = text.suffix_order(spark.createDataFrame(texts, "k int, text string"), ["k"], seed=4)
-    got = sorted((r["sa_rank"], r["k"], r["pos"], r["before"]) for r in found.rows.collect())
-    order = sorted((t[i:], k, i, t[i - 1] if i else "") for k, t in texts if t is not None for i in range(len(t) + 1))
-    assert [x[1:] for x in got] == [x[1:] for x in order]
-    shared = {r["sa_rank"]: r["lcp"] for r in text.lcp(found).collect()}
-    assert shared == {n: len(os.path.commonprefix([order[n - 1][0], order[n][0]])) if n else 0 for n in range(len(order))}
-    assert text.suffix_order(spark.createDataFrame([], "k int, text string"), ["k"]).rows.count() == 0
+    return [(1, "banana"), (2, "a" * 50), (3, long), (4, long), (5, long[:-1] + "c"), (6, ""), (7, "banana"), (8, "x" + long), (9, None), (10, "é日\U0010ffff a\x00"), (7, "banana$")]
+
+
+def test_patterns_stand_between_their_bounds(spark):
+    texts = sample_texts()
+    patterns = ["a", "ab", "an", "zz", "ab", "a" * 50, "a" * 51, texts[2][1], texts[2][1][3:70], "é日", "\U0010ffff", "日\U0010ffff", "a\x00", "", "$"]
+    df, pats = spark.createDataFrame(texts, "k int, text string"), spark.createDataFrame([(x,) for x in [*patterns, None]], "pattern string")
+    found = suffixes.find(df, pats, ["k"])
+    want = sorted((x, k, i) for x in set(patterns) if x for k, t in texts if t for i in range(len(t)) if t.startswith(x, i))
+    assert sorted(tuple(r) for r in found.occurrences().collect()) == want
+    assert {r["pattern"]: r["n"] for r in found.bounds.collect()} == {x: sum(w[0] == x for w in want) for x in set(patterns) if x}
+    assert suffixes.find(df, pats.limit(0), ["k"]).occurrences().count() == 0
+    assert suffixes.find(df.limit(0), pats, ["k"]).occurrences().count() == 0
+
+
+@pytest.mark.parametrize("gram", [4, 32])
+def test_suffix_order_and_prefixes_equal_sorting(spark, gram, monkeypatch):
+    monkeypatch.setattr(suffixes, "SPAN", 16)
+    texts = sample_texts()
+    order, named = suffixes.named_order(spark.createDataFrame(texts, "k int, text string"), ["k"], gram)
+    got = sorted((r["sa_rank"], r["k"], r["pos"], r["before"], r["lcp"]) for r in suffixes.with_keys(suffixes.common_prefixes(order, named, gram), named, ["k"]).collect())
+    whole = sorted(((k, t) for k, t in texts if t is not None))
+    want = sorted((t[i:], n, k, i, t[i - 1] if i else "") for n, (k, t) in enumerate(whole) for i in range(len(t) + 1))
+    assert [x[1:4] for x in got] == [x[2:] for x in want] and [x[0] for x in got] == list(range(len(want)))
+    assert [x[4] for x in got] == [len(os.path.commonprefix([want[n - 1][0], want[n][0]])) if n else 0 for n in range(len(want))]
+    none = suffixes.named_order(spark.createDataFrame([], "k int, text string"), ["k"], gram)
+    assert suffixes.common_prefixes(*none, gram).count() == 0
+
+
+def test_last_values_over_many_ranges(spark):
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice([None, None, None, i])) for i in range(400)]
+    got = with_last(spark.createDataFrame(rows, "k int, v int").repartition(5), ["k"], {"last": F.col("v")}).orderBy("k").collect()
+    now = None
+    for (i, v), r in zip(rows, got):
+        now = v if v is not None else now
+        assert (r["k"], r["last"]) == (i, now)
 
 
 def test_strain_texts(spark):
