@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as seq
-from ..operators import alignment, matrices, mining, ranks, suffixes, text
+from ..operators import alignment, intervals, matrices, mining, ranks, suffixes, text
 from ..operators.ordering import scratch, stored, with_running
 from ..sources import readers
-from .oracle import BLOCK, DEPTH, FMIN, LIMITS, TREE_DEPTH
+from .oracle import BLOCK, DEPTH, FMIN, LIMITS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -358,12 +358,12 @@ def lcp_array(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def document_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return text.document_graph(_talk(spark, d), ["conv_id", "turn"], BLOCK, TREE_DEPTH)[0]
+    return intervals.document_graph(_talk(spark, d), TURN, BLOCK)[0]
 
 
 @query
 def document_edges(spark: SparkSession, d: str) -> DataFrame:
-    return text.document_graph(_talk(spark, d), ["conv_id", "turn"], BLOCK, TREE_DEPTH)[1]
+    return intervals.document_graph(_talk(spark, d), TURN, BLOCK)[1]
 
 
 @query

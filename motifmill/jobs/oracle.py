@@ -66,15 +66,19 @@ SUFFIXES = """
 spots AS (SELECT conv_id, turn, text, unnest(range(1, length(text) + 2)) AS p FROM conversations),
 suf AS (SELECT conv_id, turn, p - 1 AS pos, substr(text, p) AS suffix, CASE WHEN p > 1 THEN substr(text, p - 1, 1) ELSE '' END AS before FROM spots),
 ranked AS (SELECT *, row_number() OVER (ORDER BY suffix, conv_id, turn, pos) - 1 AS sa_rank FROM suf)"""
-BLOCK, TREE_DEPTH = 100, 8
-GRAPH = f"""
-spots AS (SELECT conv_id, turn, text || '$' AS t, unnest(range(1, length(text) + 1)) AS p FROM conversations),
-opened AS (SELECT conv_id, turn, t, p, unnest(range(1, least({TREE_DEPTH}, length(t) - p) + 1)) AS k FROM spots),
-each_ AS (SELECT conv_id, turn, substr(t, p, k) AS path, substr(t, p + k, 1) AS next FROM opened),
-nodes AS (SELECT path, count(*) AS n_suffixes, count(DISTINCT (conv_id, turn)) AS n_docs FROM each_ GROUP BY path HAVING count(DISTINCT next) > 1),
-above AS (SELECT n.path, m.path AS parent, m.n_suffixes AS size, row_number() OVER (PARTITION BY n.path ORDER BY length(m.path) DESC) AS r
-  FROM (SELECT path, unnest(range(1, length(path))) AS k FROM nodes) n JOIN nodes m ON m.path = substr(n.path, 1, k)),
-kept AS (SELECT n.path, coalesce(parent, '') AS parent, n_suffixes, n_docs FROM nodes n LEFT JOIN above a ON a.path = n.path AND r = 1 WHERE parent IS NULL OR size > {BLOCK})"""
+BLOCK = 100
+#: All suffixes start in the root; the members of a node of over BLOCK suffixes part by their next character, and those of a part
+#: share as much as the least of their common prefixes says.
+GRAPH = f"""{SUFFIXES},
+above AS (SELECT sa_rank AS r, conv_id, turn, suffix AS s, lag(suffix) OVER (ORDER BY sa_rank) AS a FROM ranked),
+cut AS (SELECT *, CASE WHEN substr(s, 1, 24) <> substr(a, 1, 24) THEN substr(s, 1, 24) ELSE s END AS c FROM above),
+lcps AS (SELECT r, conv_id, turn, s, CAST(coalesce(len(list_filter(range(1, least(length(c), length(a)) + 1), lambda k: substr(c, 1, k) = substr(a, 1, k))), 0) AS BIGINT) AS lcp FROM cut),
+tree AS (
+  SELECT r, conv_id, turn, s, lcp, CAST(0 AS BIGINT) AS first, CAST(0 AS BIGINT) AS depth, CAST(0 AS BIGINT) AS up, count(*) OVER () AS n FROM lcps
+  UNION ALL
+  SELECT r, conv_id, turn, s, lcp, f, min(CASE WHEN r <> f THEN lcp END) OVER (PARTITION BY f), depth, m FROM (
+    SELECT t.*, min(r) OVER w AS f, count(*) OVER w AS m FROM tree t WHERE (n > {BLOCK} OR depth = 0) AND length(s) > depth
+    WINDOW w AS (PARTITION BY first, depth, substr(s, depth + 1, 1))) WHERE m > 1)"""
 ITEMS = """
 items AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) - 1 AS pos FROM lineitem)"""
@@ -218,8 +222,8 @@ ORACLE_SQL: dict[str, str] = {
         line AS (SELECT max_entropy, s, ' ' || string_agg(CAST(CAST(cnt AS BIGINT) AS VARCHAR), ' ' ORDER BY t) AS line FROM square GROUP BY 1, 2)
         SELECT CAST(l.max_entropy AS DOUBLE) AS max_entropy, 0 AS line_no, printf('Matrix for <max_entropy>=<%f> was computed from %d substrings: ', CAST(l.max_entropy AS DOUBLE), count(row_id)) AS line FROM limits l LEFT JOIN bucketed k ON k.max_entropy <= l.max_entropy GROUP BY l.max_entropy
         UNION ALL SELECT max_entropy, row_number() OVER (PARTITION BY max_entropy ORDER BY s), line FROM line""",
-    "document_nodes": f"WITH {GRAPH} SELECT path, parent, n_suffixes, n_docs FROM kept",
-    "document_edges": f"WITH {GRAPH} SELECT DISTINCT path, conv_id, turn FROM each_ JOIN kept USING (path)",
+    "document_nodes": f"WITH RECURSIVE {GRAPH} SELECT substr(min(s), 1, depth) AS path, substr(min(s), 1, up) AS parent, count(*) AS n_suffixes, count(DISTINCT (conv_id, turn)) AS n_docs FROM tree WHERE depth > 0 GROUP BY first, depth, up",
+    "document_edges": f"WITH RECURSIVE {GRAPH} SELECT DISTINCT substr(s, 1, depth) AS path, conv_id, turn FROM tree WHERE depth > 0",
     "null_separated": "SELECT text AS seq FROM conversations WHERE text <> ''",
     "sample_names": "SELECT s_name AS name FROM supplier",
     "size_lines": "SELECT s_name AS name, s_acctbal AS size FROM supplier",

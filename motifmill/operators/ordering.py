@@ -54,8 +54,9 @@ def with_running(df: DataFrame, order: list[str], position: str = "pos", sums: d
     return got.drop(at, part, n, *(f"{tag}{k}" for k in sums))
 
 
-def with_last(df: DataFrame, order: list[str], values: dict[str, Column]) -> DataFrame:
+def with_last(df: DataFrame, order: list[str], values: dict[str, Column], strictly: bool = False) -> DataFrame:
     """df with the last value of each column at or before each row in the order that is not null; null where there is none.
+    strictly: before the row.
 
     Rows are dealt out by ranges of the order. What a range begins with is the last value of the ranges before it, a table
     of one row a range, so that a look-up of the nearest row before needs no join and no window over the whole order."""
@@ -71,6 +72,6 @@ def with_last(df: DataFrame, order: list[str], values: dict[str, Column]) -> Dat
     final = ranged.groupBy(part).agg(*(F.max_by(F.col(t), F.when(F.col(t).isNotNull(), F.col(at))).alias(t) for t in own))
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     carried = final.select(part, *(F.last(t, ignorenulls=True).over(before).alias(f"{t}_") for t in own))
-    upto = Window.partitionBy(part).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(part).orderBy(at).rowsBetween(Window.unboundedPreceding, -int(strictly))
     got = ranged.join(F.broadcast(carried), part)
     return got.withColumns({k: F.coalesce(F.last(t, ignorenulls=True).over(upto), F.col(f"{t}_")) for t, k in own.items()}).drop(at, part, *own, *(f"{t}_" for t in own))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motifmill.functions import sequences
-from motifmill.operators import alignment, matrices, mining, ranks, suffixes
+from motifmill.operators import alignment, intervals, matrices, mining, ranks, suffixes
 from motifmill.operators.ordering import with_last, with_running
 from motifmill.sources import readers
 from motifmill.streaming import incremental
@@ -120,6 +120,40 @@ def test_suffix_order_and_prefixes_equal_sorting(spark, gram, monkeypatch):
     assert suffixes.common_prefixes(*none, gram).count() == 0
 
 
+def branching_strings(texts):
+    """{string: (occurrences, texts)} of those that go on in two ways, each text's end being one."""
+    seen = {}
+    for k, t in texts:
+        for i in range(len(t or "") + 1) if t is not None else ():
+            for j in range(i, len(t) + 1):
+                seen.setdefault(t[i:j], []).append((k, t[j : j + 1] or ("end", k)))
+    return {x: (len(v), len({k for k, _ in v})) for x, v in seen.items() if len({n for _, n in v}) > 1}
+
+
+@pytest.mark.parametrize("size", [None, 5, 40])
+def test_prefix_intervals_are_the_branching_strings(spark, size):
+    rnd = random.Random(11)
+    texts = [(i, "".join(rnd.choice("ab$") for _ in range(rnd.choice([0, 3, 30])))) for i in range(8)] + [(8, "a" * 40), (9, "a" * 40), (10, "ab" * 15), (11, None)]
+    order, named = suffixes.named_order(spark.createDataFrame(texts, "k int, text string"), ["k"])
+    rows = suffixes.common_prefixes(order, named).select("sa_rank", "lcp", F.col("tid").alias("doc"), "tid", "pos")
+    by = {r["tid"]: r["text"] for r in named.collect()}
+    got = {by[r["tid"]][r["pos"] : r["pos"] + r["depth"]]: r for r in intervals.nodes(rows, size).collect()}
+    want = branching_strings(texts)
+    assert {x: (r["last"] - r["first"] + 1, r["n_docs"]) for x, r in got.items()} == want
+    assert all(r["up_depth"] == max((j for j in range(len(x)) if x[:j] in want), default=None) for x, r in got.items())
+
+
+def test_document_graph(spark):
+    texts = [(1, "ab$"), (2, "ab"), (3, "xyc"), (4, "xyd"), (5, "abab"), (6, None), (7, "")]
+    df = spark.createDataFrame(texts, "path int, text string")
+    nodes, edges = intervals.document_graph(df, ["path"], 4)
+    want = {x: n for x, n in branching_strings(texts).items() if x}
+    kept = {x: n for x, n in want.items() if not (above := [x[:j] for j in range(1, len(x)) if x[:j] in want]) or want[above[-1]][0] > 4}
+    assert {r["path"]: (r["n_suffixes"], r["n_docs"]) for r in nodes.collect()} == kept and {"ab", "b", "xy"} <= set(kept)
+    assert {tuple(r) for r in edges.collect()} == {(x, k) for x in kept for k, t in texts if t and x in t}
+    assert intervals.document_graph(df.limit(0), ["path"], 4)[0].count() == 0
+
+
 def test_last_values_over_many_ranges(spark):
     rnd = random.Random(4)
     rows = [(i, rnd.choice([None, None, None, i])) for i in range(400)]
