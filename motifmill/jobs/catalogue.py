@@ -522,7 +522,7 @@ def edit_script(spark: SparkSession, d: str) -> DataFrame:
 def deep_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Substrings of prose bases without a depth bound."""
     sequences = table(spark, d, "documents").select(F.col("source").alias("sample"), seq.normalize(F.col("text")).alias("seq"))
-    return mining.mine_deep(sequences, mining.MiningOptions(fmin=3), stored)
+    return mining.deep_nodes(sequences, 3)
 
 
 @query

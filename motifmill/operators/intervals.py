@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import stored, with_last
-from .suffixes import common_prefixes, named_order
+from .ordering import stored, with_last, with_running
+from .suffixes import common_prefixes, named_order, numbered, ordered, suffix_rows
 
 #: Suffixes in a range, about, where there are more than the session's shuffle partitions can take.
 RANGE_ROWS = 4_000_000
+#: Digits that a sample's number is written with.
+LEAD = 8
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,3 +193,29 @@ def document_graph(texts: DataFrame, keys: list[str], block: int) -> tuple[DataF
     below = shown.select("path", F.explode(F.sequence("first", "last")).alias("sa_rank")).join(rows.select("sa_rank", "tid"), "sa_rank").select("path", "tid").distinct()
     edge = "_path" if "path" in keys else "path"
     return out, below.withColumnRenamed("path", edge).join(named.select("tid", *(F.col(f"k{n}").alias(c) for n, c in enumerate(keys))), "tid").select(edge, *keys)
+
+
+def frequent_paths(texts: DataFrame, sample: str, least: int) -> DataFrame:
+    """(sample, path, freq, left): every string that occurs `least` times in a sample, and the character before all of its
+    occurrences (empty if none has one, null if they differ). texts: sample, text.
+
+    The suffixes of each sample are ordered by themselves; the nodes of that order are the strings that branch, and the
+    strings between a node and the one above have the node's occurrences. Different characters before a node are counted as
+    documents are. No round for each character, and no bound of depth."""
+    index = with_running(texts.select(F.col(sample).alias("name")).where("name is not null").distinct(), ["name"], "nth").select("name", F.lpad(F.hex("nth"), LEAD, "0").alias("lead"))
+    named = numbered(texts.where(F.col(sample).isNotNull()), [sample])
+    named = stored(named.join(index, named.k0 == index.name).drop("name"), "sample-texts")
+    order = ordered(suffix_rows(named), lead=LEAD)
+    code = F.coalesce(F.ascii(F.nullif("before", F.lit(""))), F.lit(0)).cast("long").alias("doc")
+    rows = stored(common_prefixes(order, named).select("sa_rank", "lcp", code, "tid", "pos", "left"), "common-prefixes")
+    found = nodes(rows.drop("left")).where(F.col("depth") > 0).select("depth", "up_depth", (F.col("last") - F.col("first") + 1).alias("freq"), "n_docs", "tid", "pos")
+    if least < 2:
+        after = rows.select((F.col("sa_rank") - 1).alias("sa_rank"), F.col("lcp").alias("next"))
+        up = F.greatest("lcp", F.coalesce("next", F.lit(0)))
+        single = F.lit(1).cast("long")
+        found = found.unionByName(rows.join(after, "sa_rank", "left").where(F.col("left") > up).select(F.col("left").alias("depth"), up.alias("up_depth"), single.alias("freq"), single.alias("n_docs"), "tid", "pos"))
+    shown = found.where(F.col("freq") >= least).join(named.select("tid", F.col("k0").alias("sample"), "text"), "tid")
+    before = F.when(F.col("pos") > 0, F.substring("text", F.col("pos").cast("int"), F.lit(1))).otherwise("")
+    whole = F.substring("text", (F.col("pos") + 1).cast("int"), F.col("depth").cast("int"))
+    shown = shown.select("sample", whole.alias("whole"), "freq", F.when(F.col("n_docs") == 1, before).alias("left"), F.explode(F.sequence(F.col("up_depth") + 1, F.col("depth"))).alias("k"))
+    return shown.select("sample", F.substring("whole", F.lit(1), F.col("k").cast("int")).alias("path"), "freq", "left")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import entropy_term, reverse_complement, smoothed_entropy
+from .intervals import frequent_paths
 from .ordering import stored
 
 
@@ -114,24 +115,14 @@ def write_rows(mined: DataFrame, folder: str, decimals: int = 6, gzip: bool = Fa
     rows.write.mode("errorifexists").option("compression", "gzip" if gzip else "none").text(folder)
 
 
-def mine_deep(sequences: DataFrame, options: MiningOptions, store) -> DataFrame:
-    """nodes() without a depth bound: occurrences whose substring stayed frequent are extended one base a round.
-
-    store(df, name) writes a round's occurrences and cuts the lineage."""
-    left = F.when(F.col("p") > 1, F.substring("run", F.col("p") - 1, F.lit(1)))
-    at = runs(sequences).select("sample", "run", "w", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("p"))
-    at = store(at.withColumn("left", left), "frontier")
-    depth, found = 1, None
-    while True:
-        path = at.where(F.length("run") - F.col("p") + 1 >= depth).withColumn("path", F.substring("run", F.col("p"), F.lit(depth)))
-        level = path.groupBy("sample", "path").agg(F.sum("w").alias("freq"), F.coalesce(F.sum(F.when(F.col("left").isNotNull(), F.col("w"))), F.lit(0)).alias("based"), F.min("left").alias("low"), F.max("left").alias("high")).where(F.col("freq") >= options.fmin)
-        lc = F.when(F.col("based") == 0, "0").when((F.col("based") == F.col("freq")) & (F.col("low") == F.col("high")), F.col("low")).otherwise("N")
-        level = store(level.select("sample", "path", "freq", lc.alias("left_char")), "level")
-        if level.isEmpty():
-            return found if found is not None else level
-        found = level if found is None else found.unionByName(level)
-        at = store(path.join(level.select("sample", "path"), ["sample", "path"], "left_semi").drop("path"), "frontier")
-        depth += 1
+def deep_nodes(sequences: DataFrame, fmin: int) -> DataFrame:
+    """nodes() without a depth bound, from the intervals of common prefixes of each sample's suffixes."""
+    run = F.explode(F.split("seq", "[^ACGT]+")).alias("run")
+    runs_ = sequences.select("sample", run).where("run <> ''")
+    both = runs_.select("sample", F.explode(F.array(F.col("run"), reverse_complement(F.col("run")))).alias("text"))
+    found = frequent_paths(both, "sample", fmin)
+    left = F.when(F.col("left") == "", "0").otherwise(F.coalesce("left", F.lit("N")))
+    return found.select("sample", "path", "freq", left.alias("left_char"))
 
 
 def add_up(parts: DataFrame, fmin: int) -> DataFrame:

@@ -52,13 +52,13 @@ def _suffix_rows(gram: int, every: int) -> Callable:
                 at = np.concatenate(pos).astype(np.int64)
                 return pa.RecordBatch.from_arrays([pa.array(first + at), pa.array(tid), pa.array(at), pa.array(left - at), pa.array(gathered, pa.string()), pa.array(got[3], pa.string())], names)
 
-            for tid, first, text in zip(*(batch.column(c).to_pylist() for c in ("tid", "first", "text")), strict=True):
+            for tid, first, text, lead in zip(*(batch.column(c).to_pylist() for c in ("tid", "first", "text", "lead")), strict=True):
                 for low in range(0, len(text) + 1, CUT * every):
                     at = range(low, min(len(text) + 1, low + CUT * every), every)
                     for c, v in zip(got, (first, tid, len(text)), strict=False):
                         c.append(v)
                     pos.append(np.arange(at.start, at.stop, every))
-                    gathered += [text[p : p + gram] for p in at]
+                    gathered += [lead + text[p : p + gram] for p in at]
                     got[3] += [text[p - 1] if p else "" for p in at]
                     size += len(at)
                     if size >= CUT:
@@ -72,8 +72,11 @@ def _suffix_rows(gram: int, every: int) -> Callable:
 
 def suffix_rows(texts: DataFrame, gram: int = GRAM, every: int = 1) -> DataFrame:
     """(g, tid, pos, left, gram, before) of every suffix, empty ones included, or of every `every`-th: its place, text, place in
-    the text, length, first characters, and the character before it (empty for a text's first)."""
-    return texts.select("tid", "first", "text").mapInArrow(_suffix_rows(gram, every), "g long, tid long, pos long, left long, gram string, before string")
+    the text, length, first characters, and the character before it (empty for a text's first).
+
+    A column lead of the texts is put before the first characters: suffixes are then ordered by it first."""
+    rows = texts.select("tid", "first", "text", F.col("lead") if "lead" in texts.columns else F.lit("").alias("lead"))
+    return rows.mapInArrow(_suffix_rows(gram, every), "g long, tid long, pos long, left long, gram string, before string")
 
 
 def _shared(a: pa.Array, b: pa.Array, width: int) -> np.ndarray:
@@ -200,15 +203,18 @@ def in_groups(df: DataFrame, order: list[str], levels: list[str], kept: list[str
 SUFFIX = ["g", "tid", "pos", "left", "before"]
 
 
-def ordered(rows: DataFrame, gram: int = GRAM, limit: int = 0) -> DataFrame:
+def ordered(rows: DataFrame, gram: int = GRAM, limit: int = 0, lead: int = 0) -> DataFrame:
     """suffix_rows() with sa_rank, their place in the order of their characters (equal ones by g); group, the place where the
     suffixes with the same first characters begin; and common: how many of those characters are shared with the suffix before
     the group (-2 for the very first group).
 
     Suffixes that share h characters are sorted again by the ranks of what follows after h, which doubles h; one that is equal
     to another up to its text's end is done. With a limit only groups that hold a suffix of a place below it are sorted
-    out, which is all that is needed to tell where those stand; other groups keep some order of their own."""
-    first = in_groups(rows, ["gram", "g"], ["gram"], SUFFIX, "suffix-grams", gram, limit)
+    out, which is all that is needed to tell where those stand; other groups keep some order of their own. lead: the
+    length of what is put before the first characters, which common leaves out."""
+    first = in_groups(rows, ["gram", "g"], ["gram"], SUFFIX, "suffix-grams", gram + lead, limit)
+    if lead:
+        first = first.withColumn("shared", F.greatest(F.col("shared") - lead, F.lit(0)))
     # of strings shorter than a gram equal ones are equal to the end
     first = first.withColumn("ended", F.col("left") < gram)
     more = ~F.col("alone") & ~F.col("ended") & (F.col("marked") if limit else F.lit(True))

@@ -1,6 +1,7 @@
 """Mining against a naive walk over all substrings, and properties that any input must show."""
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -8,8 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from motifmill.functions.sequences import color_code, lgamma, normalize, reverse_complement
-from motifmill.operators.mining import MiningOptions, merged, mine, mine_deep, nodes, parse_rows, row_text
-from motifmill.operators.ordering import stored
+from motifmill.operators.mining import MiningOptions, deep_nodes, merged, mine, nodes, parse_rows, row_text
 
 COMPLEMENT = str.maketrans("ACGT", "TGCA")
 
@@ -67,11 +67,18 @@ def test_nodes_on_any_sequences(spark, rows):
 def test_prefix_and_deep_nodes(spark):
     rows = CASES[2]
     whole = as_dict(nodes(frame(spark, rows), 2, 30))
-    assert as_dict(mine_deep(frame(spark, rows), MiningOptions(fmin=2), stored)) == whole
     part = as_dict(nodes(frame(spark, rows), 2, 30, "AC"))
     assert part == {k: v for k, v in whole.items() if k[1].startswith("AC") or k[1] == "A"}
 
 
+@pytest.mark.parametrize("fmin", [1, 3])
+def test_deep_nodes_have_no_depth_bound(spark, fmin):
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["s1", "s2", "s3"]), "".join(rnd.choice("ACGTN") for _ in range(rnd.choice([0, 5, 40])))) for _ in range(20)] + [("s1", "ACGTACGTAA" * 4)] * 3 + [("s4", "")]
+    assert as_dict(deep_nodes(frame(spark, rows), fmin)) == naive(rows, fmin, 50)
+    assert deep_nodes(frame(spark, rows).limit(0), fmin).count() == 0
+
+
 def test_entropy_counts_absent_samples(spark):
     found = nodes(frame(spark, CASES[0]), 1, 2)
     for samples in (2, 5):
