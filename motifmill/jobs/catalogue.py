@@ -353,7 +353,7 @@ def display_from_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def lcp_array(spark: SparkSession, d: str) -> DataFrame:
-    return suffixes.common_prefixes(*suffixes.named_order(_talk(spark, d), TURN)).select("sa_rank", "lcp")
+    return suffixes.common_prefixes(*suffixes.named_order(_talk(spark, d), TURN, common=True)).select("sa_rank", "lcp")
 
 
 @query

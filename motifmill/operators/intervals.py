@@ -182,7 +182,7 @@ def document_graph(texts: DataFrame, keys: list[str], block: int) -> tuple[DataF
     A node is a string that goes on in two ways or more; each text's end is a way of its own. Nodes of at most `block`
     suffixes have no nodes below them; the root is left out. parent is the longest node that the path begins with, empty
     for the root. Where a key is called path, the edges' path is called _path."""
-    order, named = named_order(texts, keys)
+    order, named = named_order(texts, keys, common=True)
     rows = stored(common_prefixes(order, named).select("sa_rank", "lcp", F.col("tid").alias("doc"), "tid", "pos"), "common-prefixes")
     tree = stored(nodes(rows), "nodes")
     wide = tree.where((F.col("last") - F.col("first") + 1 > block) | (F.col("depth") == 0)).select(F.col("depth").alias("up_depth"), F.col("first").alias("up_first"))
@@ -205,7 +205,7 @@ def frequent_paths(texts: DataFrame, sample: str, least: int) -> DataFrame:
     index = with_running(texts.select(F.col(sample).alias("name")).where("name is not null").distinct(), ["name"], "nth").select("name", F.lpad(F.hex("nth"), LEAD, "0").alias("lead"))
     named = numbered(texts.where(F.col(sample).isNotNull()), [sample])
     named = stored(named.join(index, named.k0 == index.name).drop("name"), "sample-texts")
-    order = ordered(suffix_rows(named), lead=LEAD)
+    order = ordered(suffix_rows(named), lead=LEAD, common=True)
     code = F.coalesce(F.ascii(F.nullif("before", F.lit(""))), F.lit(0)).cast("long").alias("doc")
     rows = stored(common_prefixes(order, named).select("sa_rank", "lcp", code, "tid", "pos", "left"), "common-prefixes")
     found = nodes(rows.drop("left")).where(F.col("depth") > 0).select("depth", "up_depth", (F.col("last") - F.col("first") + 1).alias("freq"), "n_docs", "tid", "pos")

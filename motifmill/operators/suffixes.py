@@ -41,31 +41,26 @@ def numbered(texts: DataFrame, keys: list[str], text: str = "text", start: int =
 def _suffix_rows(gram: int, every: int) -> Callable:
     names = ["g", "tid", "pos", "left", "gram", "before"]
 
+    def made(texts: list[tuple], pos: list[int], grams: list[str], before: list[str]) -> pa.RecordBatch:
+        tid, first, length, n = (np.array(c, np.int64) for c in zip(*texts, strict=True))
+        at = np.array(pos, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(first, n) + at), pa.array(np.repeat(tid, n)), pa.array(at), pa.array(np.repeat(length, n) - at), pa.array(grams, pa.string()), pa.array(before, pa.string())], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, pos, grams, before = [], [], [], []
         for batch in batches:
-            got: list[list] = [[], [], [], []]
-            gathered, pos, size = [], [], 0
-
-            def made():
-                n = np.array([len(p) for p in pos])
-                first, tid, left = (np.repeat(np.array(c, np.int64), n) for c in got[:3])
-                at = np.concatenate(pos).astype(np.int64)
-                return pa.RecordBatch.from_arrays([pa.array(first + at), pa.array(tid), pa.array(at), pa.array(left - at), pa.array(gathered, pa.string()), pa.array(got[3], pa.string())], names)
-
             for tid, first, text, lead in zip(*(batch.column(c).to_pylist() for c in ("tid", "first", "text", "lead")), strict=True):
                 for low in range(0, len(text) + 1, CUT * every):
                     at = range(low, min(len(text) + 1, low + CUT * every), every)
-                    for c, v in zip(got, (first, tid, len(text)), strict=False):
-                        c.append(v)
-                    pos.append(np.arange(at.start, at.stop, every))
-                    gathered += [lead + text[p : p + gram] for p in at]
-                    got[3] += [text[p - 1] if p else "" for p in at]
-                    size += len(at)
-                    if size >= CUT:
-                        yield made()
-                        got, gathered, pos, size = [[], [], [], []], [], [], 0
-            if size:
-                yield made()
+                    texts.append((tid, first, len(text), len(at)))
+                    pos += at
+                    grams += [lead + text[p : p + gram] for p in at]
+                    before += [text[p - 1] if p else "" for p in at]
+                    if len(pos) >= CUT:
+                        yield made(texts, pos, grams, before)
+                        texts, pos, grams, before = [], [], [], []
+        if pos:
+            yield made(texts, pos, grams, before)
 
     return run
 
@@ -91,8 +86,8 @@ def _shared(a: pa.Array, b: pa.Array, width: int) -> np.ndarray:
 
 def _groups(kept: list[str], levels: list[str], width: int, limit: int) -> Callable:
     """Sorted rows with their number `i` in the partition; h0, h1, ...: the number of the first row that has the same values of
-    the first levels; shared: how many characters of a string level the first row of the group has in common with the row
-    before it (-2: no row before); marked: whether that first row has g < limit; next: whether the row after is in the group.
+    the first levels; shared: how many characters of a string level (of `width` at most) the first row of the group has in
+    common with the row before it (-2: no row before; without a width this is not told); marked: whether that first row has g < limit; next: whether the row after is in the group.
 
     edge is 1 for a partition's first row, 2 for its last one (3: both); these keep the levels' values (e0, e1, ...)."""
     depth = range(len(levels))
@@ -116,7 +111,7 @@ def _groups(kept: list[str], levels: list[str], width: int, limit: int) -> Calla
             values = [batch.column(c) for c in levels]
             for k, own in enumerate(values):
                 before = pa.concat_arrays([own.slice(0, 1) if last is None else last[k], own.slice(0, n - 1)])
-                if pa.types.is_string(own.type):
+                if width and pa.types.is_string(own.type):
                     shared = _shared(before, own, width).astype(np.int32)
                     same &= shared < 0
                 else:
@@ -174,7 +169,7 @@ def _borders(edges: list, depth: int) -> list[tuple]:
     return [tuple(r) for r in rows]
 
 
-def in_groups(df: DataFrame, order: list[str], levels: list[str], kept: list[str], what: str, width: int = 1, limit: int = 0) -> DataFrame:
+def in_groups(df: DataFrame, order: list[str], levels: list[str], kept: list[str], what: str, width: int = 0, limit: int = 0) -> DataFrame:
     """df's kept columns with idx, their place in the order; r0, r1, ..., the places where their groups of the first levels begin;
     alone, whether nothing else is in the innermost group; shared and marked as in _groups().
 
@@ -203,16 +198,16 @@ def in_groups(df: DataFrame, order: list[str], levels: list[str], kept: list[str
 SUFFIX = ["g", "tid", "pos", "left", "before"]
 
 
-def ordered(rows: DataFrame, gram: int = GRAM, limit: int = 0, lead: int = 0) -> DataFrame:
+def ordered(rows: DataFrame, gram: int = GRAM, limit: int = 0, lead: int = 0, common: bool = False) -> DataFrame:
     """suffix_rows() with sa_rank, their place in the order of their characters (equal ones by g); group, the place where the
     suffixes with the same first characters begin; and common: how many of those characters are shared with the suffix before
-    the group (-2 for the very first group).
+    the group (-2 for the very first group), which is told only if asked for.
 
     Suffixes that share h characters are sorted again by the ranks of what follows after h, which doubles h; one that is equal
     to another up to its text's end is done. With a limit only groups that hold a suffix of a place below it are sorted
     out, which is all that is needed to tell where those stand; other groups keep some order of their own. lead: the
     length of what is put before the first characters, which common leaves out."""
-    first = in_groups(rows, ["gram", "g"], ["gram"], SUFFIX, "suffix-grams", gram + lead, limit)
+    first = in_groups(rows, ["gram", "g"], ["gram"], SUFFIX, "suffix-grams", (gram + lead) * common, limit)
     if lead:
         first = first.withColumn("shared", F.greatest(F.col("shared") - lead, F.lit(0)))
     # of strings shorter than a gram equal ones are equal to the end
@@ -230,7 +225,7 @@ def ordered(rows: DataFrame, gram: int = GRAM, limit: int = 0, lead: int = 0) ->
             known = known.unionByName(r)
         ahead = known.select((F.col("g") - h).alias("g"), F.col("rank").alias("two"), "ended")
         pairs = open_.join(ahead, "g")
-        again = in_groups(pairs, ["rank", "two", "g"], ["rank", "two"], [*columns, "rank", "ended"], "suffix-ranks", 1, limit)
+        again = in_groups(pairs, ["rank", "two", "g"], ["rank", "two"], [*columns, "rank", "ended"], "suffix-ranks", 0, limit)
         again = again.select(*columns, "alone", "ended", "marked", (F.col("rank") + F.col("r1") - F.col("r0")).alias("rank"), (F.col("rank") + F.col("idx") - F.col("r0")).alias("sa_rank"))
         more = ~F.col("alone") & ~F.col("ended") & (F.col("marked") if limit else F.lit(True))
         done.append(again.where(~more).select(*columns, "sa_rank"))
@@ -247,13 +242,20 @@ def _pieces(size: int) -> Callable:
     """Texts cut into pieces that overlap by as much again: any place has `size` characters more in the piece it falls into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["tid", "piece", "text"]
         for batch in batches:
+            rows, held = [], 0
             for tid, text in zip(batch.column("tid").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                at = range(0, max(1, len(text)), size)
-                for low in range(0, len(at), 1_000):
-                    some = at[low : low + 1_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([tid] * len(some), pa.int64()), pa.array([k // size for k in some], pa.int64()), pa.array([text[k : k + 2 * size] for k in some], pa.string())], ["tid", "piece", "text"])
-
+                for k in range(0, max(1, len(text)), size):
+                    rows.append((tid, k // size, text[k : k + 2 * size]))
+                    held += len(rows[-1][2])
+                    if held > 1 << 22:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    kinds = [pa.int64(), pa.int64(), pa.string()]
     return run
 
 
@@ -295,7 +297,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, start: int) -> DataFrame:
 
 
 def common_prefixes(order: DataFrame, texts: DataFrame, gram: int = GRAM) -> DataFrame:
-    """ordered() with lcp: the characters a suffix shares with the one before it in the order, 0 for the first.
+    """ordered() (with common) with lcp: the characters a suffix shares with the one before it in the order, 0 for the first.
 
     Between groups of the first characters the common beginning is known from the sort. Within one, a suffix that is preceded
     by the same character as its neighbour shares one character less than the suffix a place earlier in its text does with its
@@ -359,10 +361,10 @@ def shown_from(rows: DataFrame, texts: DataFrame, most: int) -> DataFrame:
     return rows.withColumn("piece", F.floor(F.col("pos") / size)).join(cut, ["tid", "piece"], "left").withColumn("shown", F.coalesce(F.substring("text", (F.col("pos") % size + 1).cast("int"), F.lit(most)), F.lit(""))).drop("piece", "text")
 
 
-def named_order(texts: DataFrame, keys: list[str], gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+def named_order(texts: DataFrame, keys: list[str], gram: int = GRAM, common: bool = False) -> tuple[DataFrame, DataFrame]:
     """(ordered() of all suffixes of the texts, the numbered() texts with their keys as k0, k1, ...)."""
     named = numbered(texts, keys)
-    return ordered(suffix_rows(named, gram), gram), named
+    return ordered(suffix_rows(named, gram), gram, common=common), named
 
 
 def with_keys(rows: DataFrame, named: DataFrame, keys: list[str]) -> DataFrame:

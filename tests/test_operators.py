@@ -110,13 +110,13 @@ def test_patterns_stand_between_their_bounds(spark):
 def test_suffix_order_and_prefixes_equal_sorting(spark, gram, monkeypatch):
     monkeypatch.setattr(suffixes, "SPAN", 16)
     texts = sample_texts()
-    order, named = suffixes.named_order(spark.createDataFrame(texts, "k int, text string"), ["k"], gram)
+    order, named = suffixes.named_order(spark.createDataFrame(texts, "k int, text string"), ["k"], gram, common=True)
     got = sorted((r["sa_rank"], r["k"], r["pos"], r["before"], r["lcp"]) for r in suffixes.with_keys(suffixes.common_prefixes(order, named, gram), named, ["k"]).collect())
     whole = sorted(((k, t) for k, t in texts if t is not None))
     want = sorted((t[i:], n, k, i, t[i - 1] if i else "") for n, (k, t) in enumerate(whole) for i in range(len(t) + 1))
     assert [x[1:4] for x in got] == [x[2:] for x in want] and [x[0] for x in got] == list(range(len(want)))
     assert [x[4] for x in got] == [len(os.path.commonprefix([want[n - 1][0], want[n][0]])) if n else 0 for n in range(len(want))]
-    none = suffixes.named_order(spark.createDataFrame([], "k int, text string"), ["k"], gram)
+    none = suffixes.named_order(spark.createDataFrame([], "k int, text string"), ["k"], gram, common=True)
     assert suffixes.common_prefixes(*none, gram).count() == 0
 
 
@@ -134,7 +134,7 @@ def branching_strings(texts):
 def test_prefix_intervals_are_the_branching_strings(spark, size):
     rnd = random.Random(11)
     texts = [(i, "".join(rnd.choice("ab$") for _ in range(rnd.choice([0, 3, 30])))) for i in range(8)] + [(8, "a" * 40), (9, "a" * 40), (10, "ab" * 15), (11, None)]
-    order, named = suffixes.named_order(spark.createDataFrame(texts, "k int, text string"), ["k"])
+    order, named = suffixes.named_order(spark.createDataFrame(texts, "k int, text string"), ["k"], common=True)
     rows = suffixes.common_prefixes(order, named).select("sa_rank", "lcp", F.col("tid").alias("doc"), "tid", "pos")
     by = {r["tid"]: r["text"] for r in named.collect()}
     got = {by[r["tid"]][r["pos"] : r["pos"] + r["depth"]]: r for r in intervals.nodes(rows, size).collect()}
