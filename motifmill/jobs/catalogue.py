@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as seq
 from ..operators import alignment, intervals, matrices, mining, ranks, suffixes, text
-from ..operators.ordering import scratch, stored, with_running
+from ..operators.ordering import as_of, scratch, stored, with_running
 from ..sources import readers
 from .oracle import BLOCK, DEPTH, FMIN, LIMITS
 
@@ -295,12 +295,48 @@ def display_range(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", shown.alias("shown"), F.substring("text", 1, 40).alias("head"))
 
 
+def _asked(spark: SparkSession, d: str, name: str, total: int) -> DataFrame:
+    """(event_id, name): a place below `total` for every event, spread by a multiplication."""
+    return table(spark, d, "events").select("event_id", F.pmod(F.col("event_id") * 1_000_003, F.lit(max(1, total))).alias(name))
+
+
 @query
 def position_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """The document and the place in it of every thousandth position of all texts laid end to end."""
-    each = F.sequence(F.ceil(F.col("first") / 1000) * 1000, F.floor(F.col("last") / 1000) * 1000, F.lit(1000).cast("long"))
-    inside = F.ceil(F.col("first") / 1000) * 1000 <= F.col("last")
-    return seq_ranges(spark, d).where(inside).select("doc_id", F.explode(each).alias("pos"), "first").select("pos", "doc_id", (F.col("pos") - F.col("first")).alias("offset"))
+    """The document and the place in it of any positions of all texts laid end to end, one for each event."""
+    ranges = stored(seq_ranges(spark, d).where("first <= last").select(F.col("first").alias("pos"), "doc_id", "last"), "ranges")
+    total = ranges.agg(F.max("last") + 1).first()[0] or 0
+    got = as_of(_asked(spark, d, "pos", total), ranges.withColumn("first", F.col("pos")), "pos", ["doc_id", "first"])
+    return got.select("event_id", "pos", "found.doc_id", (F.col("pos") - F.col("found.first")).alias("offset"))
+
+
+@query
+def character_at(spark: SparkSession, d: str) -> DataFrame:
+    """The character at a rank of all sorted characters of the conversations, a rank for each event."""
+    counts = stored(character_counts(spark, d), "characters")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return ranks.symbol_at(_asked(spark, d, "rank", total), counts, "rank").select("event_id", "rank", "symbol")
+
+
+@query
+def ones_around(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest ones at or before, and at or after, a position for each event; -1 where there is none."""
+    bits = stored(_bits(spark, d).select("pos", "bit"), "bits")
+    ones = bits.where("bit = 1").select("pos", F.col("pos").alias("one"))
+    asked = _asked(spark, d, "pos", bits.count())
+    before = as_of(asked, ones, "pos", ["one"]).select("event_id", "pos", F.coalesce("found.one", F.lit(-1)).alias("one_before"))
+    after = as_of(asked, ones, "pos", ["one"], after=True).select("event_id", F.coalesce("found.one", F.lit(-1)).alias("one_after"))
+    return before.join(after, "event_id")
+
+
+@query
+def rectangle_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Line items in a rectangle of places and part keys, one for each supplier."""
+    placed = stored(with_running(_items(spark, d), ITEM, "pos").select("pos", "l_partkey"), "sequence")
+    n = placed.count()
+    s = F.col("s_suppkey")
+    low, least = F.pmod(s * 7_919, F.lit(max(1, n))), F.pmod(s * 31, F.lit(150))
+    sides = table(spark, d, "supplier").select(s.alias("name"), low.alias("low"), (low + n // 3).alias("high"), least.alias("least"), (least + 200 + s).alias("most"))
+    return ranks.rectangle_counts(placed, "l_partkey", sides).select(F.col("name").alias("s_suppkey"), "n")
 
 
 @query

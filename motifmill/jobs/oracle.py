@@ -188,8 +188,20 @@ ORACLE_SQL: dict[str, str] = {
         spots AS (SELECT item_id, doc_id, pattern, text, unnest(range(1, length(text) - length(pattern) + 2)) AS p FROM hit)
         SELECT item_id, doc_id, p - 1 AS pos FROM spots WHERE substr(text, p, length(pattern)) = pattern""",
     "display_sequence": "SELECT conv_id, turn, text || '$' AS shown FROM conversations",
-    "position_lookup": """WITH r AS (SELECT doc_id, CAST(sum(length(text)) OVER (ORDER BY doc_id) - length(text) AS BIGINT) AS first, CAST(sum(length(text)) OVER (ORDER BY doc_id) AS BIGINT) AS after FROM documents)
-        SELECT p AS pos, doc_id, p - first AS offset FROM (SELECT doc_id, first, unnest(range((first + 999) // 1000 * 1000, after, 1000)) AS p FROM r)""",
+    "position_lookup": """WITH r AS (SELECT doc_id, CAST(sum(length(text)) OVER (ORDER BY doc_id) - length(text) AS BIGINT) AS first, CAST(sum(length(text)) OVER (ORDER BY doc_id) AS BIGINT) AS after FROM documents),
+        asked AS (SELECT event_id, (event_id * 1000003) % (SELECT max(after) FROM r) AS pos FROM events)
+        SELECT event_id, pos, doc_id, pos - first AS offset FROM asked JOIN r ON first <= pos AND pos < after""",
+    "character_at": """WITH c AS (SELECT c AS symbol, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM conversations) WHERE c <> '' GROUP BY 1),
+        b AS (SELECT symbol, sum(n) OVER (ORDER BY symbol) - n AS below, sum(n) OVER (ORDER BY symbol) AS upto FROM c),
+        asked AS (SELECT event_id, CAST((event_id * 1000003) % (SELECT sum(n) FROM c) AS BIGINT) AS rank FROM events)
+        SELECT event_id, rank, symbol FROM asked JOIN b ON below <= rank AND rank < upto""",
+    "ones_around": f"""WITH {BITS}, near AS (SELECT pos, coalesce(max(CASE WHEN bit = 1 THEN pos END) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING), -1) AS one_before,
+          coalesce(min(CASE WHEN bit = 1 THEN pos END) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), -1) AS one_after FROM ranked),
+        asked AS (SELECT event_id, (event_id * 1000003) % (SELECT count(*) FROM ranked) AS pos FROM events)
+        SELECT event_id, pos, one_before, one_after FROM asked JOIN near USING (pos)""",
+    "rectangle_counts": f"""WITH {ITEMS}, n AS (SELECT count(*) AS n FROM items),
+        sides AS (SELECT s_suppkey, (s_suppkey * 7919) % n AS low, (s_suppkey * 7919) % n + n // 3 AS high, (s_suppkey * 31) % 150 AS least, (s_suppkey * 31) % 150 + 200 + s_suppkey AS most FROM supplier, n)
+        SELECT s_suppkey, count(pos) AS n FROM sides LEFT JOIN items ON pos BETWEEN low AND high AND l_partkey BETWEEN least AND most GROUP BY 1""",
     "display_from_rank": f"WITH {SUFFIXES} SELECT sa_rank, substr(suffix, 1, 40) AS shown FROM ranked",
     "pattern_draw": f"""WITH {PATTERNS}, c AS (SELECT pattern, weight, sum(weight) OVER (ORDER BY pattern) AS upto FROM pats), k AS (SELECT unnest(range(0, 100)) AS draw)
         SELECT draw, pattern FROM k JOIN c ON (2 * draw + 1) * (SELECT sum(weight) FROM pats) > 200 * (upto - weight) AND (2 * draw + 1) * (SELECT sum(weight) FROM pats) <= 200 * upto""",

@@ -75,3 +75,20 @@ def with_last(df: DataFrame, order: list[str], values: dict[str, Column], strict
     upto = Window.partitionBy(part).orderBy(at).rowsBetween(Window.unboundedPreceding, -int(strictly))
     got = ranged.join(F.broadcast(carried), part)
     return got.withColumns({k: F.coalesce(F.last(t, ignorenulls=True).over(upto), F.col(f"{t}_")) for t, k in own.items()}).drop(at, part, *own, *(f"{t}_" for t in own))
+
+
+def as_of(points: DataFrame, rows: DataFrame, key: str, values: list[str], after: bool = False) -> DataFrame:
+    """points with `found`, the values of the nearest row at or before their key (after: at or after it); null where there is none.
+
+    Points are sorted in among the rows, and each takes the last row carried along the order, so that no join and no range of
+    keys is opened. key: a number in both. Of rows with equal keys one is taken; points and rows with a null key find nothing
+    and are not found."""
+    sign = -1 if after else 1
+    held = [c for c in points.columns if c != key]
+    payload, point = F.struct(*values), F.struct(*held) if held else F.lit(0)
+    row_kind, point_kind = rows.select(payload.alias("r")).schema["r"].dataType, points.select(point.alias("p")).schema["p"].dataType
+    there = rows.where(F.col(key).isNotNull()).select((F.col(key) * sign).alias("k"), F.lit(0).alias("kind"), payload.alias("row"), F.lit(None).cast(point_kind).alias("point"))
+    asked = points.select((F.col(key) * sign).alias("k"), F.lit(1).alias("kind"), F.lit(None).cast(row_kind).alias("row"), point.alias("point"))
+    got = with_last(there.unionByName(asked), ["k", "kind"], {"found": F.col("row")}).where("kind = 1")
+    named = [F.col(f"point.{c}").alias(c) for c in held]
+    return got.select((F.col("k") * sign).alias(key), *named, F.when(F.col("k").isNotNull(), F.col("found")).alias("found"))

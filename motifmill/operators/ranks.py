@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import stored, with_running
+from .ordering import as_of, stored, with_running
 
 
 def bit_ranks(rows: DataFrame, order: list[str], bit: Column) -> DataFrame:
@@ -75,6 +75,48 @@ def in_range(rows: DataFrame, pos: str, low: int, high: int, symbol: str, least:
     return rows.where(F.col(pos).between(low, high) & F.col(symbol).between(least, most))
 
 
+def rectangle_counts(placed: DataFrame, symbol: str, rectangles: DataFrame, fan: int = 16) -> DataFrame:
+    """(name, n): how many places of a whole sequence lie in each rectangle, low <= pos <= high and least <= symbol <= most.
+
+    placed: pos (0, 1, ... without gaps) and a symbol of any alphabet; rectangles: name, low, high, least, most. A rectangle is
+    a sum of four corners, the places before a position with symbols up to a value. A corner's positions are blocks of fan^k
+    places, at most fan - 1 of each size. All blocks of all sizes are sorted once by their symbols, corners among
+    them: a corner counts the rows before it in its block, and how many come before a block is known from its number. Rows are
+    multiplied by the number of sizes, the logarithm of the sequence's length, whatever the number of rectangles. An empty
+    rectangle, and one with a null side, has none."""
+    n = placed.count()
+    levels = 1
+    while fan**levels < n:
+        levels += 1
+    sizes = F.array(*[F.lit(fan**k).cast("long") for k in range(levels + 1)])
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
+    rows = placed.select(level, "pos", F.col(symbol).alias("symbol"))
+    kind = placed.schema[symbol].dataType
+    rows = rows.select("level", F.floor(F.col("pos") / sizes[F.col("level")]).alias("block"), "symbol", F.lit(0).alias("kind"), "pos", F.lit(None).cast(rectangles.schema["name"].dataType).alias("name"), F.lit(0).alias("sign"))
+    clipped = rectangles.where("low <= high and least <= most").select("name", F.least(F.greatest(F.col("low"), F.lit(0)), F.lit(n)).cast("long").alias("low"), F.least(F.greatest(F.col("high") + 1, F.lit(0)), F.lit(n)).cast("long").alias("high"), "least", "most")
+    # symbols below the least: the corner stands before the rows that have it
+    corner = lambda x, y, kind_, sign: F.struct(F.col(x).alias("end"), F.col(y).cast(kind).alias("symbol"), F.lit(kind_).alias("kind"), F.lit(sign).alias("sign"))
+    corners = clipped.select("name", F.explode(F.array(corner("high", "most", 1, 1), corner("low", "most", 1, -1), corner("high", "least", -1, -1), corner("low", "least", -1, 1))).alias("c"))
+    corners = corners.where("c.end > 0").select("name", "c.*", level)
+    size = sizes[F.col("level")]
+    digit = F.floor(F.col("end") / size) % fan
+    blocks = corners.where(digit > 0).select("name", "symbol", "kind", "sign", "level", F.explode(F.sequence(F.floor(F.col("end") / size) - digit, F.floor(F.col("end") / size) - 1)).alias("block"))
+    asked = blocks.select("level", "block", "symbol", "kind", F.lit(-1).cast("long").alias("pos"), "name", "sign")
+    order = ["level", "block", "symbol", "kind", "pos"]
+    got = with_running(rows.unionByName(asked), order, "nth", {"upto": F.when(F.col("kind") == 0, 1).otherwise(0)}).where("kind <> 0")
+    before = F.col("level") * n + F.col("block") * size
+    counts = got.groupBy("name").agg(F.sum(F.col("sign") * (F.col("upto") - before)).alias("n"))
+    return rectangles.select("name").join(counts, "name", "left").select("name", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def symbol_at(points: DataFrame, counts: DataFrame, rank: str) -> DataFrame:
+    """points with symbol, the one that stands at a rank (from 0) of all symbols in order; null beyond the last.
+
+    counts: symbol_counts()."""
+    got = as_of(points, counts.select(F.col("below").alias(rank), "symbol", (F.col("below") + F.col("n")).alias("end")), rank, ["symbol", "end"])
+    return got.select(*points.columns, F.when(F.col(rank) < F.col("found.end"), F.col("found.symbol")).alias("symbol"))
+
+
 def runs(rows: DataFrame, group: list[str], order: str, value: str) -> DataFrame:
     """(group, n_runs): stretches of equal neighbouring values in each group."""
     last = F.lag(value).over(Window.partitionBy(*group).orderBy(order))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from motifmill.functions import sequences
 from motifmill.operators import alignment, intervals, matrices, mining, ranks, suffixes
-from motifmill.operators.ordering import with_last, with_running
+from motifmill.operators.ordering import as_of, with_last, with_running
 from motifmill.sources import readers
 from motifmill.streaming import incremental
 
@@ -120,6 +120,28 @@ def test_suffix_order_and_prefixes_equal_sorting(spark, gram, monkeypatch):
     assert suffixes.common_prefixes(*none, gram).count() == 0
 
 
+@pytest.mark.parametrize("after", [False, True])
+def test_as_of_finds_the_nearest_row(spark, after):
+    rnd = random.Random(6)
+    keys = sorted(rnd.sample(range(1000), 60))
+    asked = [(i, rnd.randrange(-5, 1005)) for i in range(300)] + [(999, None)]
+    rows = spark.createDataFrame([(k, f"v{k}") for k in keys] + [(None, "x")], "key long, value string")
+    got = as_of(spark.createDataFrame(asked, "name int, key long").repartition(3), rows, "key", ["value"], after)
+    near = lambda q: None if q is None else next((f"v{k}" for k in (keys if after else keys[::-1]) if (k >= q if after else k <= q)), None)
+    assert {(r["name"], r["key"], r["found"] and r["found"]["value"]) for r in got.collect()} == {(i, q, near(q)) for i, q in asked}
+    assert as_of(spark.createDataFrame(asked, "name int, key long"), rows.limit(0), "key", ["value"], after).where("found is null").count() == len(asked)
+
+
+@pytest.mark.parametrize("fan", [2, 16])
+def test_rectangle_counts_equal_loops(spark, fan):
+    rnd = random.Random(7)
+    symbols = [rnd.choice("abcdé") for _ in range(333)]
+    sides = [(i, rnd.randrange(-9, 340), rnd.randrange(-9, 340), rnd.choice("abcdef"), rnd.choice("abcdef")) for i in range(120)] + [(500, None, 4, "a", "b"), (501, 0, 400, "a", "z\u00ff")]
+    placed = spark.createDataFrame(list(enumerate(symbols)), "pos long, c string").repartition(3)
+    got = {r["name"]: r["n"] for r in ranks.rectangle_counts(placed, "c", spark.createDataFrame(sides, "name int, low int, high int, least string, most string"), fan).collect()}
+    assert got == {i: 0 if lo is None else sum(lo <= p <= hi and a <= c <= b for p, c in enumerate(symbols)) for i, lo, hi, a, b in sides}
+
+
 def branching_strings(texts):
     """{string: (occurrences, texts)} of those that go on in two ways, each text's end being one."""
     seen = {}
