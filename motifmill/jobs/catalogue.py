@@ -148,6 +148,18 @@ def mine_summary(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def mine_observed(spark: SparkSession, d: str) -> DataFrame:
+    """The summary and histogram that the job which writes the mined rows has observed."""
+    samples = table(spark, d, "documents").agg(F.count_distinct("source")).first()[0]
+    found = stored(_nodes(spark, d), "nodes")
+    options = mining.MiningOptions(fmin=FMIN, depth=DEPTH)
+    got = mining.write_rows_observed(mining.branching(mining.merged(found, samples)), found, options, samples, scratch(spark, "mined-rows"))
+    row = (got["total_paths"], got["outputs"], got["occs"], got["min_entropy"], got["max_entropy"], sum(got[f"n{k}"] for k in range(2, samples + 1) if k % 2 == 0))
+    made = spark.createDataFrame([row], "total_paths long, outputs long, occs long, low double, high double, even_outputs long")
+    return made.select("total_paths", "outputs", "occs", F.round("low", 6).alias("min_entropy"), F.round("high", 6).alias("max_entropy"), "even_outputs")
+
+
 @query
 def row_format(spark: SparkSession, d: str) -> DataFrame:
     mined = mining.mine(_sequences(spark, d), mining.MiningOptions(fmin=FMIN, depth=DEPTH))

@@ -117,6 +117,9 @@ ORACLE_SQL: dict[str, str] = {
     "freq_histogram": f"WITH {MERGED} SELECT n_samples, count(*) AS n_paths FROM br WHERE right_branching AND left_branching AND n_samples >= 2 GROUP BY 1",
     "mine_summary": f"""WITH {MERGED} SELECT count(*) AS total_paths, CAST(count(*) FILTER (WHERE right_branching AND left_branching AND n_samples >= 2) AS BIGINT) AS outputs,
         CAST(sum(n_samples) FILTER (WHERE right_branching AND left_branching AND n_samples >= 2) AS BIGINT) AS occs, round(min(entropy) FILTER (WHERE n_samples > 1), 6) AS min_entropy, round(max(entropy) FILTER (WHERE n_samples > 1), 6) AS max_entropy FROM br""",
+    "mine_observed": f"""WITH {MERGED} SELECT count(*) AS total_paths, CAST(count(*) FILTER (WHERE right_branching AND left_branching AND n_samples >= 2) AS BIGINT) AS outputs,
+        CAST(sum(n_samples) FILTER (WHERE right_branching AND left_branching AND n_samples >= 2) AS BIGINT) AS occs, round(min(entropy) FILTER (WHERE n_samples > 1), 6) AS min_entropy, round(max(entropy) FILTER (WHERE n_samples > 1), 6) AS max_entropy,
+        CAST(count(*) FILTER (WHERE right_branching AND left_branching AND n_samples >= 2 AND n_samples % 2 = 0) AS BIGINT) AS even_outputs FROM br""",
     "row_format": f"""WITH {MERGED}, o AS (SELECT path, entropy FROM br WHERE right_branching AND left_branching AND n_samples >= 2), l AS (SELECT path, string_agg(sample || ':' || freq, ' ' ORDER BY sample) AS pairs FROM nodes GROUP BY path)
         SELECT path, path || ' ' || format('{{:.4f}}', round(entropy, 4)) || ' ' || pairs AS line FROM o JOIN l USING (path)""",
     "row_parse": f"WITH {MERGED}, o AS ({MINED} AND n_samples >= 2) SELECT n.path, n.sample, n.freq FROM nodes n JOIN o ON o.path = n.path",

@@ -10,31 +10,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _rows(x: np.ndarray, y: np.ndarray, first: np.ndarray, low: int, high: int) -> Iterator[np.ndarray]:
+    """Rows low + 1 ... high of the table of costs to turn the first characters of x into those of y; first is row low."""
+    at, row = np.arange(len(y) + 1, dtype=np.int32), first
+    for i in range(low, high):
+        best = row + 1
+        np.minimum(best[1:], row[:-1] + (y != x[i]), out=best[1:])
+        row = np.minimum.accumulate(best - at) + at  # additions carry over from the left
+        yield row
+
+
 def operations(a: str, b: str) -> str:
     """The edit operations that turn a into b, a letter each: M equal, X other, D only in a, I only in b.
 
-    Of equally cheap ways the one that goes back diagonally first, then drops from a, then adds from b. The table is
-    filled diagonal by diagonal, so the work of a pair is a few array steps for each of its characters."""
-    n, m = len(a), len(b)
-    cost = np.zeros((n + 1, m + 1), np.int32)
-    cost[:, 0], cost[0] = np.arange(n + 1), np.arange(m + 1)
-    if n and m:
-        differ = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), "<u4")[:, None] != np.frombuffer(b.encode("utf-32-le", "surrogatepass"), "<u4")
-        for k in range(2, n + m + 1):
-            i = np.arange(max(1, k - m), min(n, k - 1) + 1)
-            j = k - i
-            cost[i, j] = np.minimum(np.minimum(cost[i - 1, j], cost[i, j - 1]) + 1, cost[i - 1, j - 1] + differ[i - 1, j - 1])
-    i, j, out = n, m, []
+    Of equally cheap ways the one that goes back diagonally first, then drops from a, then adds from b. The table is filled
+    row by row, and only about the square root of its rows are kept; on the way back the rows between two of these are made
+    again. Two texts of 20,000 characters take some 25 MB."""
+    x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4") for s in (a, b))
+    step = max(1, int(len(x) ** 0.5))
+    kept = [np.arange(len(y) + 1, dtype=np.int32)]
+    for i, row in enumerate(_rows(x, y, kept[0], 0, len(x)), 1):
+        if i % step == 0:
+            kept.append(row)
+    i, j, out = len(x), len(y), []
     while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
-            out.append("M" if a[i - 1] == b[j - 1] else "X")
-            i, j = i - 1, j - 1
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
-            out.append("D")
-            i -= 1
-        else:
-            out.append("I")
-            j -= 1
+        low = max(0, i - 1) // step * step
+        rows = [kept[low // step], *_rows(x, y, kept[low // step], low, i)]
+        while j and i == 0 or i > low:
+            here = rows[i - low]
+            above = rows[i - low - 1] if i > low else None
+            if above is not None and j and here[j] == above[j - 1] + (x[i - 1] != y[j - 1]):
+                out.append("M" if x[i - 1] == y[j - 1] else "X")
+                i, j = i - 1, j - 1
+            elif above is not None and here[j] == above[j] + 1:
+                out.append("D")
+                i -= 1
+            else:
+                out.append("I")
+                j -= 1
     return "".join(reversed(out))
 
 

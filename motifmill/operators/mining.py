@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.sequences import entropy_term, reverse_complement, smoothed_entropy
@@ -115,6 +115,24 @@ def write_rows(mined: DataFrame, folder: str, decimals: int = 6, gzip: bool = Fa
     rows.write.mode("errorifexists").option("compression", "gzip" if gzip else "none").text(folder)
 
 
+def write_rows_observed(all_nodes: DataFrame, found: DataFrame, options: MiningOptions, samples: int, folder: str, decimals: int = 6, gzip: bool = False) -> dict:
+    """Writes the mined rows of branching() nodes and returns the run's summary, observed by the job that makes the rows.
+
+    total_paths counts all merged nodes, outputs and occs the rows written and their samples; min_entropy and max_entropy are
+    over nodes of several samples; n1, n2, ... are how many rows have so many samples. found: nodes(); samples: their number.
+    The nodes are merged once: what is counted is counted as the rows pass by."""
+    seen, written = Observation(), Observation()
+    several = F.when(F.col("n_samples") > 1, F.col("entropy"))
+    watched = all_nodes.observe(seen, F.count("*").alias("total_paths"), F.min(several).alias("min_entropy"), F.max(several).alias("max_entropy"))
+    kept = watched.where(chosen(options)).select("path", "entropy", "n_samples")
+    by_samples = [F.count_if(F.col("n_samples") == k).alias(f"n{k}") for k in range(1, samples + 1)]
+    kept = kept.observe(written, F.count("*").alias("outputs"), F.coalesce(F.sum("n_samples"), F.lit(0)).alias("occs"), *by_samples)
+    kept = stored(kept, "mined")  # sorting would read what passes by twice
+    freqs = found.join(kept.select("path"), "path", "left_semi").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("sample", "freq"))).alias("freqs"))
+    write_rows(kept.join(freqs, "path"), folder, decimals, gzip)
+    return seen.get | written.get
+
+
 def deep_nodes(sequences: DataFrame, fmin: int) -> DataFrame:
     """nodes() without a depth bound, from the intervals of common prefixes of each sample's suffixes."""
     run = F.explode(F.split("seq", "[^ACGT]+")).alias("run")

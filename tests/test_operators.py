@@ -253,6 +253,27 @@ def test_edit_operations_rebuild_the_target(a, b):
     assert sum(int(n) for n in __import__("re").findall(r"\d+", alignment.cigar(ops))) == len(ops)
 
 
+def test_edit_operations_keep_few_rows():
+    rnd = random.Random(1)
+    for n in (0, 3, 14, 200):
+        a = "".join(rnd.choice("abc") for _ in range(n))
+        b = "".join(c if rnd.random() > 0.3 else rnd.choice("abc") for c in a)[n // 5 :] + "ab" * (n % 4)
+        cost = [list(range(len(b) + 1))]
+        for i, x in enumerate(a):
+            cost.append([i + 1])
+            for j, y in enumerate(b):
+                cost[-1].append(min(cost[i][j] + (x != y), cost[i][j + 1] + 1, cost[-1][j] + 1))
+        ops = alignment.operations(a, b)
+        assert sum(o != "M" for o in ops) == cost[-1][-1]
+        i, j = len(a), len(b)
+        for o in reversed(ops):  # diagonally first, then from a, then from b
+            ways = [i and j and cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]) == cost[i][j], i and cost[i - 1][j] + 1 == cost[i][j]]
+            assert o in ("MX" if ways[0] else "D" if ways[1] else "I")
+            i, j = i - (o != "I"), j - (o != "D")
+    long = "".join(rnd.choice("abcd") for _ in range(5000))
+    assert alignment.cigar(alignment.operations(long, long[:2500] + "x" + long[2500:])) == "2500M1I2500M"
+
+
 def test_edit_scripts():
     assert [alignment.script(a, b, alignment.operations(a, b)) for a, b in (("ACGT", "ACGT"), ("ACGT", "AGGT"), ("ACGT", "AGT"), ("AGT", "ACGT"))] == ["", "1 C", "1 c", "1 D"]
 
