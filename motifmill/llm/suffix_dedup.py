@@ -9,9 +9,10 @@ bytes at once (one many-way step in place of quicksort's three-way ones), then b
 the least document, and what differs is compared window by window the same way.
 
 An anchor with very many contexts is split twice over: by a second anchor (the least of other hashes of the same grams),
-which again depends on the window alone, and by documents; each part sorts and collapses its contexts. What is left of an
-anchor's parts is sorted together, or, beyond CROWD * PARTS contexts, dealt out window by window, so that only equal
-windows of different parts meet. All anchors go this way, with as many parts as their counts ask for (mostly one)."""
+which again depends on the window alone, and by documents; each part sorts and collapses its contexts. What the parts leave is
+split by a third anchor, which makes contexts so narrow that most are equal: each part collapses its contexts once more,
+and what is left of a key is sorted together. All anchors go this way, with as many parts as their counts ask for (mostly
+one)."""
 
 from __future__ import annotations
 
@@ -33,7 +34,7 @@ GRAM = 20
 SHALLOW = 24
 #: Contexts of an anchor from which on it is split, and by how much the number of parts grows with each level of counts.
 CROWD, PARTS, MOST_LEVELS = 500, 8, 8
-SECOND = 0x9FB21C651E98DF25
+SECOND, THIRD = 0x9FB21C651E98DF25, 0xD1B54A32D192ED03
 #: Context rows that are sorted together, cut between anchors.
 CHUNK_ROWS = 40_000
 PROBES = 6
@@ -255,7 +256,7 @@ def repeated_anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text", STEP):
             anchor, doc, _, _ = runs_of(*_bytes_of(batch, "text"), length)
-            tag = batch.column("tag").to_numpy() & 0xFFFFFFFFFFFF
+            tag = batch.column("tag").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(tag[doc])], ["anchor", "tag"])
 
     found = docs.where("doc is not null").select("tag", "text").mapInArrow(run, "anchor long, tag long")
@@ -366,8 +367,9 @@ def _spans(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def collapsed(found: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, parts, doc, tag, start, size, ctx): the spans of undivided keys and of contexts that equal an earlier document's
-    in their part (ctx null); and of divided keys each part's distinct contexts with their least document (ctx given)."""
+    """(key, part, parts, doc, tag, start, size, ctx): the spans of undivided keys and of contexts that equal an earlier
+    document's in their part (ctx null); and of divided keys each part's distinct contexts with their least document (ctx
+    given)."""
 
     def done(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
@@ -390,38 +392,28 @@ def collapsed(found: DataFrame, length: int = LENGTH) -> DataFrame:
             left = at[~later]
         row, start, size = (np.concatenate(x) for x in zip(*spans))
         which, n = pa.array(np.concatenate((row, left))), len(row)
-        taken = [table[c].combine_chunks().take(which) for c in ("key", "parts", "doc", "tag")]
+        taken = [table[c].combine_chunks().take(which) for c in ("key", "part", "parts", "doc", "tag")]
         ctx = pa.concat_arrays([pa.nulls(n, pa.binary()), table["ctx"].combine_chunks().take(pa.array(left))])
-        return pa.RecordBatch.from_arrays([*taken, pa.array(np.concatenate((start, table["start"].to_numpy()[left]))), pa.array(np.concatenate((size, np.zeros(len(left), np.int64)))), ctx], ["key", "parts", "doc", "tag", "start", "size", "ctx"])
+        return pa.RecordBatch.from_arrays([*taken, pa.array(np.concatenate((start, table["start"].to_numpy()[left]))), pa.array(np.concatenate((size, np.zeros(len(left), np.int64)))), ctx], ["key", "part", "parts", "doc", "tag", "start", "size", "ctx"])
 
-    return _sorted_by_key(found, ["key", "part"], done, "key long, parts int, doc long, tag long, `start` long, size long, ctx binary")
+    return _sorted_by_key(found, ["key", "part"], done, "key long, part int, parts int, doc long, tag long, `start` long, size long, ctx binary")
 
 
-def windows(rest: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, doc, tag, start, ctx): contexts of more than PARTS parts as their windows, each keyed by its own bytes."""
+def narrowed(rest: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(key, part, parts, doc, tag, start, ctx): contexts cut into those of a third anchor, which joins the key."""
+    names = ["key", "part", "parts", "doc", "tag", "start", "ctx"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            few = pa.array(batch.column("parts").to_numpy() <= PARTS)
-            columns = ["key", "doc", "tag", "start", "ctx"]
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(few) for c in columns], columns)
-            many = batch.filter(pc.invert(few))
-            if not many.num_rows:
-                continue
-            data, sizes = _bytes_of(many, "ctx")
-            n = sizes - length + 1
-            of, k = np.repeat(np.arange(len(n)), n), flat_ranges(np.zeros(len(n), np.int64), n)
-            at = np.repeat(np.cumsum(sizes) - sizes, n) + k
-            raw, word = data.tobytes(), words8(data)
-            key = np.zeros(len(at), np.uint64)
-            with np.errstate(over="ignore"):
-                for d in (*range(0, length - 8, 8), length - 8):
-                    key = mix64(key * np.uint64(31) + word[at + d])
-            which = pa.array(of)
-            strings = pa.array([raw[a : a + length] for a in at.tolist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), many.column("doc").take(which), many.column("tag").take(which), pa.array(many.column("start").to_numpy()[of] + k), strings], columns)
-
-    return rest.select("key", "parts", "doc", "tag", "start", "ctx").mapInArrow(run, "key long, doc long, tag long, `start` long, ctx binary")
+            data, sizes = _bytes_of(batch, "ctx")
+            anchor, of, at, to = runs_of(data, sizes, length, THIRD)
+            key = mix64(batch.column("key").to_numpy().view(np.uint64)[of] ^ mix64(anchor))
+            raw, which = data.tobytes(), pa.array(of)
+            strings = pa.array([raw[a:b] for a, b in zip(at.tolist(), (to + length - 1).tolist(), strict=True)], pa.binary())
+            start = batch.column("start").to_numpy()[of] + at - (np.cumsum(sizes) - sizes)[of]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(batch.column(c).take(which) for c in ("part", "parts", "doc", "tag")), pa.array(start), strings], names)
+
+    return rest.select(*names).mapInArrow(run, "key long, part int, parts int, doc long, tag long, `start` long, ctx binary")
 
 
 def spans_of_parts(rest: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -433,7 +425,7 @@ def spans_of_parts(rest: DataFrame, length: int = LENGTH) -> DataFrame:
         which = pa.array(row)
         return pa.RecordBatch.from_arrays([table["doc"].combine_chunks().take(which), table["tag"].combine_chunks().take(which), pa.array(start), pa.array(size)], ["doc", "tag", "start", "size"])
 
-    return _sorted_by_key(windows(rest, length), ["key"], done, "doc long, tag long, `start` long, size long")
+    return _sorted_by_key(rest.select("key", "doc", "tag", "start", "ctx"), ["key"], done, "doc long, tag long, `start` long, size long")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
@@ -444,8 +436,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
         return whole
     filters = anchor_filter(anchors, max(1, -(-n * PROBES // SHARD_LOAD)), crowd)
     found = stored(collapsed(contexts(docs, filters, length), length), "contexts")
-    rest = spans_of_parts(found.where("ctx is not null"), length)
-    return found.where("ctx is null").select("doc", "tag", "start", "size").unionByName(rest).unionByName(whole)
+    again = stored(collapsed(narrowed(found.where("ctx is not null"), length), length), "narrow-contexts")
+    rest = spans_of_parts(again.where("ctx is not null"), length)
+    for spans in (found, again):
+        whole = whole.unionByName(spans.where("ctx is null").select("doc", "tag", "start", "size"))
+    return whole.unionByName(rest)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
