@@ -426,6 +426,12 @@ def pattern_draw(spark: SparkSession, d: str) -> DataFrame:
     return ranks.systematic_positions(_patterns(spark, d), ["pattern"], "weight", 100)
 
 
+@query
+def random_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """A thousand patterns drawn at random in proportion to their weights."""
+    return ranks.random_draws(_patterns(spark, d), ["pattern"], "weight", 1000, 0xDEADBEEF)
+
+
 @query
 def greedy_samples(spark: SparkSession, d: str) -> DataFrame:
     weights = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.coalesce("n_chars", F.lit(0)).alias("weight"))

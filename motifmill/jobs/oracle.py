@@ -208,6 +208,11 @@ ORACLE_SQL: dict[str, str] = {
     "display_from_rank": f"WITH {SUFFIXES} SELECT sa_rank, substr(suffix, 1, 40) AS shown FROM ranked",
     "pattern_draw": f"""WITH {PATTERNS}, c AS (SELECT pattern, weight, sum(weight) OVER (ORDER BY pattern) AS upto FROM pats), k AS (SELECT unnest(range(0, 100)) AS draw)
         SELECT draw, pattern FROM k JOIN c ON (2 * draw + 1) * (SELECT sum(weight) FROM pats) > 200 * (upto - weight) AND (2 * draw + 1) * (SELECT sum(weight) FROM pats) <= 200 * upto""",
+    "random_patterns": f"""WITH {PATTERNS}, c AS (SELECT pattern, sum(weight) OVER (ORDER BY pattern) - weight AS first, sum(weight) OVER (ORDER BY pattern) AS after FROM pats),
+        x0 AS (SELECT draw, ((draw + 1) * 2654435761 + 3735928559) % 4294967296 AS x FROM (SELECT unnest(range(0, 1000)) AS draw)),
+        x1 AS (SELECT draw, (xor(x, x >> 16) * 73244475) % 4294967296 AS x FROM x0), x2 AS (SELECT draw, (xor(x, x >> 16) * 73244475) % 4294967296 AS x FROM x1),
+        spots AS (SELECT draw, (xor(x, x >> 16) * CAST((SELECT sum(weight) FROM pats) AS BIGINT)) >> 32 AS spot FROM x2)
+        SELECT draw, pattern FROM spots JOIN c ON first <= spot AND spot < after""",
     "zero_select": f"WITH {BITS} SELECT pos + 1 - rank1 AS k, pos FROM ranked WHERE bit = 0",
     "zero_next": f"WITH {BITS} SELECT pos, coalesce(min(CASE WHEN bit = 0 THEN pos END) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), -1) AS next_zero FROM ranked",
     "symbol_next": f"WITH {ITEMS} SELECT pos, coalesce(lead(pos) OVER (PARTITION BY l_returnflag ORDER BY pos), -1) AS next FROM items",

@@ -162,3 +162,23 @@ def systematic_positions(rows: DataFrame, order: list[str], weight: str, draws:
     first = F.floor((2 * draws * (F.col("upto") - F.col(weight)) - total) / (2 * total)) + 1
     last = F.floor((2 * draws * F.col("upto") - total) / (2 * total))
     return got.where(F.col(weight) > 0).select(first.alias("first"), last.alias("last"), *order).where("first <= last").select(F.explode(F.sequence("first", "last")).alias("draw"), *order)
+
+
+def _mixed(x: Column) -> Column:
+    """A number below 2^32, scrambled."""
+    for _ in range(2):
+        x = (x.bitwiseXOR(F.shiftrightunsigned(x, 16)) * 73_244_475) % (1 << 32)
+    return x.bitwiseXOR(F.shiftrightunsigned(x, 16))
+
+
+def random_draws(rows: DataFrame, order: list[str], weight: str, draws: int, seed: int) -> DataFrame:
+    """(draw, order): rows drawn with replacement in proportion to a whole-number weight, the same for the same seed.
+
+    A draw is a point of the running weight below its total (which must be below 2^31), looked up as the last row that begins at
+    or before it. Rows of weight 0 are never drawn; without any weight there is no draw."""
+    placed = stored(with_running(rows.where(F.col(weight) > 0), order, "nth", {"upto": F.col(weight)}), "weights")
+    total = placed.agg(F.max("upto")).first()[0] or 0
+    spot = F.shiftrightunsigned(_mixed(((F.col("id") + 1) * 2_654_435_761 + seed) % (1 << 32)) * total, 32)
+    points = rows.sparkSession.range(draws if total else 0).select(F.col("id").alias("draw"), spot.alias("at"))
+    got = as_of(points, placed.select((F.col("upto") - F.col(weight)).alias("at"), *order), "at", order)
+    return got.select("draw", *(F.col("found")[c].alias(c) for c in order))

@@ -132,6 +132,17 @@ def test_as_of_finds_the_nearest_row(spark, after):
     assert as_of(spark.createDataFrame(asked, "name int, key long"), rows.limit(0), "key", ["value"], after).where("found is null").count() == len(asked)
 
 
+def test_random_draws_follow_the_weights(spark):
+    rows = spark.createDataFrame([("a", 0), ("b", 10), ("c", 30), ("d", 60)], "name string, w long")
+    got = [r["name"] for r in ranks.random_draws(rows, ["name"], "w", 4000, 7).collect()]
+    assert len(got) == 4000 and "a" not in got
+    assert all(abs(got.count(x) / 4000 - share) < 0.03 for x, share in (("b", 0.1), ("c", 0.3), ("d", 0.6)))
+    again = [tuple(r) for r in ranks.random_draws(rows.repartition(3), ["name"], "w", 50, 7).orderBy("draw").collect()]
+    assert again == [tuple(r) for r in ranks.random_draws(rows, ["name"], "w", 50, 7).orderBy("draw").collect()]
+    assert again != [tuple(r) for r in ranks.random_draws(rows, ["name"], "w", 50, 8).orderBy("draw").collect()]
+    assert ranks.random_draws(rows.limit(0), ["name"], "w", 50, 7).count() == 0
+
+
 @pytest.mark.parametrize("fan", [2, 16])
 def test_rectangle_counts_equal_loops(spark, fan):
     rnd = random.Random(7)
