@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import stored, with_last, with_running
@@ -87,7 +87,8 @@ def _shared(a: pa.Array, b: pa.Array, width: int) -> np.ndarray:
 def _groups(kept: list[str], levels: list[str], width: int, limit: int) -> Callable:
     """Sorted rows with their number `i` in the partition; h0, h1, ...: the number of the first row that has the same values of
     the first levels; shared: how many characters of a string level (of `width` at most) the first row of the group has in
-    common with the row before it (-2: no row before; without a width this is not told); marked: whether that first row has g < limit; next: whether the row after is in the group.
+    common with the row before it (-2: no row before; without a width this is not told); marked: whether that first row has
+    g < limit; next: whether the row after is in the group.
 
     edge is 1 for a partition's first row, 2 for its last one (3: both); these keep the levels' values (e0, e1, ...)."""
     depth = range(len(levels))
@@ -345,7 +346,7 @@ def find(texts: DataFrame, patterns: DataFrame, keys: list[str]) -> Found:
     asked = numbered(both, ["pattern", "high"])
     limit = asked.agg(F.max(F.col("first") + F.length("text") + 1)).first()[0] or 0
     named = numbered(texts, keys, start=limit)
-    order = ordered(suffix_rows(asked, every=GRAM).unionByName(suffix_rows(named)), limit=limit)
+    order = ordered(suffix_rows(asked, every=GRAM).unionByName(suffix_rows(named)), limit=limit or -1)
     spots = with_running(order.where(F.col("g") < limit).select("sa_rank", "tid", "pos"), ["sa_rank"], "nth").where("pos = 0")
     place = lambda high: F.max(F.when(F.col("k1") == high, F.struct("sa_rank", "nth")))
     bounds = spots.join(asked.select("tid", "k0", "k1"), "tid").groupBy(F.col("k0").alias("pattern")).agg(place(False).alias("a"), place(True).alias("b"))
