@@ -743,6 +743,17 @@ def inverse_suffix_array(spark: SparkSession, d: str) -> DataFrame:
     return ranks.inverse(_suffixes(spark, d).select("sa_rank", F.col("g").alias("value")), "sa_rank", "value")
 
 
+@query
+def merged_suffix_rank(spark: SparkSession, d: str) -> DataFrame:
+    """The order of all suffixes and its transform, when the later half of the conversations is merged into the written order
+    of the earlier half."""
+    talk = _talk(spark, d)
+    half = talk.agg(F.expr("percentile(conv_id, 0.5)")).first()[0]
+    order, named = suffixes.named_order(talk.where(F.col("conv_id") <= half), TURN)
+    order, named = suffixes.merged_order(stored(order, "suffix-order"), named, talk.where(~(F.col("conv_id") <= half)), TURN)
+    return suffixes.with_keys(order.select("tid", "pos", "sa_rank", F.col("before").alias("symbol")), named, TURN)
+
+
 @query
 def sized_parts(spark: SparkSession, d: str) -> DataFrame:
     size = table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("size"))

@@ -146,6 +146,7 @@ ORACLE_SQL: dict[str, str] = {
     "bwt": f"WITH {SUFFIXES} SELECT sa_rank, before AS symbol FROM ranked",
     "bwt_runs": f"WITH {SUFFIXES}, l AS (SELECT before, lag(before) OVER (ORDER BY sa_rank) AS last FROM ranked) SELECT before AS symbol, count(*) AS n_runs FROM l WHERE before <> '' AND (last IS NULL OR last <> before) GROUP BY 1",
     "suffix_rank": f"WITH {SUFFIXES} SELECT conv_id, turn, pos, sa_rank FROM ranked",
+    "merged_suffix_rank": f"WITH {SUFFIXES} SELECT conv_id, turn, pos, sa_rank, before AS symbol FROM ranked",
     "lcp_array": f"""WITH {SUFFIXES}, l AS (SELECT sa_rank, suffix, lag(suffix) OVER (ORDER BY sa_rank) AS above FROM ranked),
         cut AS (SELECT sa_rank, CASE WHEN substr(suffix, 1, 24) <> substr(above, 1, 24) THEN substr(suffix, 1, 24) ELSE suffix END AS suffix, above FROM l)
         SELECT sa_rank, coalesce(len(list_filter(range(1, least(length(suffix), length(above)) + 1), lambda k: substr(suffix, 1, k) = substr(above, 1, k))), 0) AS lcp FROM cut""",

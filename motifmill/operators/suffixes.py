@@ -372,3 +372,69 @@ def with_keys(rows: DataFrame, named: DataFrame, keys: list[str]) -> DataFrame:
     """rows with their texts' keys instead of tid."""
     names = named.select("tid", *(F.col(f"k{n}").alias(c) for n, c in enumerate(keys)))
     return rows.join(names, "tid").select(*keys, *(c for c in rows.columns if c != "tid"))
+
+
+def _spans(rows: DataFrame, texts: DataFrame, gram: int) -> DataFrame:
+    """(g, lo, hi) of suffix_rows() of new texts: the places of the old texts' suffixes with the same first characters, from lo up
+    to but without hi. One that ends within those characters stands behind its equals: lo = hi."""
+    old = suffix_rows(texts, gram).groupBy("gram").agg(F.count("*").alias("n"))
+    grams = old.unionByName(rows.select("gram").distinct().withColumn("n", F.lit(0).cast("long"))).groupBy("gram").agg(F.sum("n").alias("n"))
+    bounds = with_running(grams, ["gram"], "nth", {"hi": F.col("n")}).select("gram", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("g"), F.lit(None).cast("long").alias("left"), F.struct((F.col("hi") - F.col("n")).alias("lo"), "hi").alias("own"))
+    asked = rows.select("gram", F.lit(1).alias("kind"), "g", "left", F.lit(None).cast(bounds.schema["own"].dataType).alias("own"))
+    # one of many rows with the same gram sees the bounds in any partition
+    got = with_last(bounds.unionByName(asked), ["gram", "kind", "g"], {"span": F.col("own")}).where("kind = 1")
+    return got.select("g", F.when(F.col("left") < gram, F.col("span.hi")).otherwise(F.col("span.lo")).alias("lo"), F.col("span.hi").alias("hi"))
+
+
+def _within(old: DataFrame, spans: DataFrame) -> DataFrame:
+    """(g, sa_rank, lo): the old suffixes whose places are in one of the spans (lo, hi), which don't overlap."""
+    rows = old.select("g", "sa_rank", F.lit(1).alias("kind"), F.lit(None).cast("struct<lo:bigint,hi:bigint>").alias("own"))
+    marks = spans.select("lo", "hi").distinct().select(F.lit(None).cast("long").alias("g"), F.col("lo").alias("sa_rank"), F.lit(0).alias("kind"), F.struct("lo", "hi").alias("own"))
+    got = with_last(rows.unionByName(marks), ["sa_rank", "kind"], {"span": F.col("own")})
+    return got.where((F.col("kind") == 1) & (F.col("sa_rank") < F.col("span.hi"))).select("g", "sa_rank", F.col("span.lo").alias("lo"))
+
+
+def _narrowed(inside: DataFrame, asked: DataFrame) -> DataFrame:
+    """(g, lo, hi) of new suffixes (g, lo, two_lo, two_hi) after another h characters, from the old suffixes (lo, second,
+    sa_rank) of their spans, where second is the old place of what follows after h characters.
+
+    Old suffixes of a span already stand in the order of second, so a new bound is the place behind the last one with less."""
+    there = inside.select("lo", "second", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("g"), F.lit(None).cast("boolean").alias("high"), F.struct("lo", "sa_rank").alias("own"))
+    ends = F.explode(F.array(F.struct(F.lit(False).alias("high"), F.col("two_lo").alias("second")), F.struct(F.lit(True).alias("high"), F.col("two_hi").alias("second"))))
+    points = asked.select("g", "lo", ends.alias("e")).select("lo", "e.second", F.lit(0).alias("kind"), "g", "e.high", F.lit(None).cast(there.schema["own"].dataType).alias("own"))
+    got = with_last(there.unionByName(points), ["lo", "second", "kind", "g"], {"last": F.col("own")}).where("kind = 0")
+    bound = F.when(F.col("last.lo") == F.col("lo"), F.col("last.sa_rank") + 1).otherwise(F.col("lo"))
+    return got.groupBy("g").agg(F.max(F.when(~F.col("high"), bound)).alias("lo"), F.max(F.when(F.col("high"), bound)).alias("hi"))
+
+
+def merged_order(order: DataFrame, named: DataFrame, more: DataFrame, keys: list[str], gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """(order, numbered texts) of the old texts and more, from the old ones' named_order(): (g, tid, pos, left, before, sa_rank).
+
+    Only the new suffixes are sorted. Each then gets its place among the old ones: first from the counts of first
+    characters, then from the old places of what follows, twice as far each round, over those that still have old suffixes
+    like them. Its rank is that place and its rank among the new ones; an old rank grows by the new places at or before it, a
+    running sum. New texts are numbered behind the old ones, so of equal suffixes the old ones come first. Either side may
+    be empty, and the result may be added to again."""
+    end, n = named.agg(F.coalesce(F.max(F.col("first") + F.length("text") + 1), F.lit(0)), F.count("*")).first()
+    order = order.select(*SUFFIX, "sa_rank")
+    added = stored(numbered(more, keys, start=end).withColumn("tid", F.col("tid") + n), "added-texts")
+    own = stored(ordered(suffix_rows(added, gram), gram).select(*SUFFIX, "sa_rank"), "added-suffixes")
+    state = stored(_spans(suffix_rows(added, gram), named, gram), "spans")
+    settled, open_ = state.where("lo = hi"), state.where("lo < hi")
+    inside = order
+    h = gram
+    while not open_.isEmpty():
+        inside = stored(_within(inside, open_), "inside")
+        ahead = order.select((F.col("g") - h).alias("g"), F.col("sa_rank").alias("second"))
+        after = settled.unionByName(open_).select((F.col("g") - h).alias("g"), F.col("lo").alias("two_lo"), F.col("hi").alias("two_hi"))
+        state = stored(_narrowed(inside.join(ahead, "g"), open_.join(after, "g")), "spans")
+        settled, open_ = settled.unionByName(state.where("lo = hi")), state.where("lo < hi")
+        h *= 2
+    # places are never null: every suffix of the new texts was settled
+    placed = own.join(settled.select("g", F.col("lo").alias("place")), "g")
+    news = placed.select(*SUFFIX, (F.col("place") + F.col("sa_rank")).alias("sa_rank"))
+    shifts = settled.groupBy(F.col("lo").alias("sa_rank")).agg(F.count("*").alias("n")).withColumn("kind", F.lit(0))
+    olds = order.withColumn("kind", F.lit(1)).unionByName(shifts, allowMissingColumns=True)
+    olds = with_running(olds, ["sa_rank", "kind"], "nth", {"new": F.coalesce("n", F.lit(0))}).where("kind = 1")
+    olds = olds.select(*SUFFIX, (F.col("sa_rank") + F.col("new")).alias("sa_rank"))
+    return stored(olds.unionByName(news), "suffix-order"), named.unionByName(added)

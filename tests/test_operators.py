@@ -120,6 +120,23 @@ def test_suffix_order_and_prefixes_equal_sorting(spark, gram, monkeypatch):
     assert suffixes.common_prefixes(*none, gram).count() == 0
 
 
+@pytest.mark.parametrize("gram", [4, 32])
+def test_merged_suffix_orders_equal_the_whole(spark, gram):
+    texts = [(k, t) for k, t in sample_texts() if t is not None]
+    texts += [(100, "ab" * 60), (101, "ab" * 45), (102, ""), (103, texts[0][1])]
+    frame = spark.createDataFrame(sorted(texts), "k int, text string")
+    keys = sorted(k for k, _ in texts)
+    low, high = keys[len(keys) // 3], keys[2 * len(keys) // 3]
+    order, named = suffixes.named_order(frame.where(F.col("k") < low), ["k"], gram)
+    for part in (frame.where(F.col("k").between(low, high)), frame.limit(0), frame.where(F.col("k") > high)):
+        order, named = suffixes.merged_order(order, named, part, ["k"], gram)
+    whole, all_named = suffixes.named_order(frame, ["k"], gram)
+    seen = lambda o, n: sorted(tuple(r) for r in suffixes.with_keys(o.select("sa_rank", "tid", "g", "pos", "before"), n, ["k"]).collect())
+    assert seen(order, named) == seen(whole, all_named)
+    first, first_named = suffixes.merged_order(*suffixes.named_order(frame.limit(0), ["k"], gram), frame, ["k"], gram)
+    assert seen(first, first_named) == seen(whole, all_named)
+
+
 @pytest.mark.parametrize("after", [False, True])
 def test_as_of_finds_the_nearest_row(spark, after):
     rnd = random.Random(6)
