@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as seq
-from ..operators import alignment, intervals, matrices, mining, ranks, suffixes, text
+from ..operators import alignment, intervals, matrices, mining, ranks, sampling, suffixes, text
 from ..operators.ordering import as_of, scratch, stored, with_running
 from ..sources import readers
 from .oracle import BLOCK, DEPTH, FMIN, LIMITS
@@ -438,6 +438,16 @@ def greedy_samples(spark: SparkSession, d: str) -> DataFrame:
     return ranks.greedy_samples(weights, 8, 0.5)
 
 
+@query
+def optimal_samples(spark: SparkSession, d: str) -> DataFrame:
+    """How many samples the cheapest path takes and what it costs to go from the sample before to every weighted place."""
+    weights = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.coalesce("n_chars", F.lit(0)).alias("weight"))
+    samples = stored(sampling.optimal_samples(weights, 8), "samples")
+    cost = as_of(weights, samples.withColumn("sample", F.col("pos")), "pos", ["sample"])
+    cost = cost.agg(F.sum(F.col("weight") * (F.col("pos") - F.col("found.sample"))).cast("long").alias("cost"))
+    return samples.agg(F.count("*").alias("n_samples")).join(F.broadcast(cost))  # one row each
+
+
 def _bits(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
     return ranks.bit_ranks(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"], F.col("l_returnflag") == "R")

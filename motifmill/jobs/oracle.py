@@ -154,6 +154,14 @@ ORACLE_SQL: dict[str, str] = {
     "greedy_samples": f"""WITH {WEIGHTS}, n AS (SELECT count(*) AS n FROM weights), reg AS (SELECT pos, weight FROM weights WHERE pos % 16 = 0),
         heavy AS (SELECT pos, weight, row_number() OVER (ORDER BY weight DESC, pos DESC) AS r FROM weights WHERE pos % 16 <> 0 AND weight > 0)
         SELECT pos, weight, TRUE AS regular FROM reg UNION ALL SELECT pos, weight, FALSE FROM heavy WHERE r <= greatest(0, (SELECT (n + 7) // 8 FROM n) - (SELECT count(*) FROM reg))""",
+    "optimal_samples": f"""WITH RECURSIVE {WEIGHTS}, size AS (SELECT max(pos) + 1 AS n FROM weights),
+        places AS (SELECT pos, sum(weight) AS weight FROM (SELECT pos, weight FROM weights WHERE weight > 0 UNION ALL SELECT 0, 0 UNION ALL SELECT n, 0 FROM size) GROUP BY 1),
+        pre AS (SELECT pos, CAST(sum(weight) OVER w - weight AS BIGINT) AS w, CAST(sum(weight * pos) OVER w - weight * pos AS BIGINT) AS d FROM places WINDOW w AS (ORDER BY pos)),
+        links AS (SELECT least((n + 7) // 8, (SELECT count(*) - 1 FROM places)) AS k FROM size),
+        best AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS cost UNION ALL
+            SELECT b.k + 1, j.pos, min(b.cost + j.d - i.d - i.pos * (j.w - i.w)) FROM best b JOIN pre i ON i.pos = b.pos JOIN pre j ON j.pos > i.pos
+            WHERE b.k < (SELECT k FROM links) GROUP BY b.k + 1, j.pos)
+        SELECT k AS n_samples, cost FROM best WHERE k = (SELECT k FROM links) AND pos = (SELECT n FROM size)""",
     "bit_rank": f"WITH {BITS} SELECT pos, rank1, pos + 1 - rank1 AS rank0 FROM ranked",
     "bit_select": f"WITH {BITS} SELECT rank1 AS k, pos FROM ranked WHERE bit = 1",
     "select_next": f"WITH {BITS} SELECT pos, coalesce(min(CASE WHEN bit = 1 THEN pos END) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), -1) AS next_one FROM ranked",
