@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .ordering import stored, with_running
 
 #: Places in a block.
-BLOCK_PLACES = 1 << 16
+BLOCK_PLACES = 1 << 14
 #: Prices of a link that are tried in one pass over the places.
 PRICES = 15
 
@@ -151,6 +151,13 @@ def _path(nodes: DataFrame, got: DataFrame, price: int, scale: int, n: int) -> D
     return stored(reached.select((most - F.col("steps")).alias("link"), "nth"), "path")
 
 
+def _between(low: int, high: int) -> list[int]:
+    """Prices between two others: at even distances, or at even ratios if one is several times the other."""
+    far, first = high > 4 * (low + 1), max(low, 1)
+    steps = [k / (PRICES + 1) for k in range(1, PRICES + 1)]
+    return sorted({p for p in (int(first * (high / first) ** x) if far else low + int((high - low) * x) for x in steps) if low < p < high} or {low + 1})
+
+
 def optimal_samples(rows: DataFrame, rate: int, block: int = BLOCK_PLACES) -> DataFrame:
     """(pos): the samples of least cost, one in `rate` of the places, or every place with a weight (and place 0) if these are fewer.
 
@@ -169,9 +176,8 @@ def optimal_samples(rows: DataFrame, rate: int, block: int = BLOCK_PLACES) -> Da
     low, high = 0, total * (size + 1) + 1  # prices with too many or enough links, with too few or enough
     if links == n - 1:
         return nodes.where(F.col("nth") < n - 1).select("pos")
+    tried = sorted({max(1, total * rate * rate * k // (16 * (size + 1))) for k in range(1, PRICES + 1)})  # around the price if all weighed the same
     while True:
-        span = high - low
-        tried = sorted({low + span * k // (PRICES + 1) for k in range(1, PRICES + 1)} if low or span < 1 << 16 else {high >> (k * max(1, span.bit_length() // (PRICES + 1))) for k in range(1, PRICES + 1)})
         signed = [scale * p + s for p in tried for s in (-1, 1)]
         got = _settled(nodes, signed, scale)
         cost = _costs(got, blocks)
@@ -182,6 +188,7 @@ def optimal_samples(rows: DataFrame, rate: int, block: int = BLOCK_PLACES) -> Da
             break
         low = max([low, *(p for p in tried if shortest[p] > links)])
         high = min([high, *(p for p in tried if longest[p] < links)])
+        tried = _between(low, high)
     long, short = (_path(nodes, got, scale * fits[0] + s, scale, n) for s in (-1, 1))
     extra = longest[fits[0]] - links
     # where a link of the shorter path spans one of the longer path, the beginning of one goes on as the end of the other
