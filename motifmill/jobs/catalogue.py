@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import sequences as seq
 from ..operators import alignment, intervals, matrices, mining, ranks, sampling, suffixes, text
 from ..operators.ordering import as_of, scratch, stored, with_running
-from ..sources import readers
+from ..sources import formats, readers
 from .oracle import BLOCK, DEPTH, FMIN, LIMITS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -641,6 +641,34 @@ def fastq_records(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_fastq(spark, _written(_named(spark, d).select(value.alias("value")), "fastq"))
 
 
+@query
+def fasta_source(spark: SparkSession, d: str) -> DataFrame:
+    """The same records through the data source, whose splits cut through records."""
+    formats.register(spark)
+    value = F.concat(F.lit(">"), "name", F.lit(" a->b "), "role", F.lit("\n"), "text")
+    return spark.read.format("fasta").option("splitBytes", 100_000).load(_written(_named(spark, d).select(value.alias("value")), "fasta"))
+
+
+@query
+def fastq_source(spark: SparkSession, d: str) -> DataFrame:
+    formats.register(spark)
+    flat = F.translate("text", "\n", " ")
+    value = F.concat(F.lit("@"), "name", F.lit(" x\n"), flat, F.lit("\n+\n"), F.reverse(flat))
+    return spark.read.format("fastq").option("splitBytes", 100_000).load(_written(_named(spark, d).select(value.alias("value")), "fastq"))
+
+
+@query
+def fixed_width_file(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as patterns of 18 digits, written in their order by the data source and read back by places."""
+    formats.register(spark)
+    path = scratch(spark, "fixed-width")
+    digits = F.concat(*(F.lpad(F.col(c).cast("string"), 9, "0") for c in ("o_orderkey", "o_custkey")))
+    rows = table(spark, d, "orders").select(digits.alias("pattern"))
+    rows = rows.repartitionByRange("pattern").sortWithinPartitions("pattern")
+    rows.write.format("fixed_width").option("length", 18).mode("append").save(path)
+    return spark.read.format("fixed_width").option("splitBytes", 1_000_000).load(path)
+
+
 @query
 def reads_window(spark: SparkSession, d: str) -> DataFrame:
     """Fifty reads after the first twenty, each with the quality on the line after it."""

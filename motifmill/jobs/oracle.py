@@ -236,6 +236,9 @@ ORACLE_SQL: dict[str, str] = {
     "deep_nodes": "WITH " + NODES.replace(f"translate(text, '{LETTERS}', '{DENSE}')", NORMAL).replace(f"substr(run, p, {DEPTH})", "substr(run, p)").replace(f"HAVING sum(w) >= {FMIN}", "HAVING sum(w) >= 3") + " SELECT sample, path, freq, left_char FROM nodes",
     "post_order": f"WITH {MERGED}, o AS ({MINED} AND n_samples >= 2) SELECT path, row_number() OVER (ORDER BY path || '~') - 1 AS nth FROM o",
     "fasta_qualities": f"WITH {NAMED} SELECT name, replace(text, chr(10), '') AS seq, replace(reverse(text), chr(10), '') AS qual FROM named",
+    "fasta_source": f"WITH {NAMED} SELECT name, replace(text, chr(10), '') AS seq FROM named",
+    "fastq_source": f"WITH {NAMED}, f AS (SELECT name, replace(text, chr(10), ' ') AS t FROM named) SELECT name, t AS seq, reverse(t) AS qual FROM f",
+    "fixed_width_file": "WITH p AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 9, '0') || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS pattern FROM orders) SELECT row_number() OVER (ORDER BY pattern) - 1 AS nth, pattern FROM p",
     "fastq_records": f"WITH {NAMED}, f AS (SELECT name, replace(text, chr(10), ' ') AS t FROM named) SELECT name, t AS seq, '@' || reverse(t) AS qual FROM f",
     "reads_window": f"WITH {NAMED}, f AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS nth, replace(text, chr(10), ' ') AS seq FROM named) SELECT nth, seq, reverse(seq) AS qual FROM f WHERE nth BETWEEN 20 AND 69",
     "lower_lines": f"WITH {LINES} SELECT lower(line) AS seq FROM lines WHERE line <> ''",

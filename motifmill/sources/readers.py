@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordering import stored, with_running
+from . import formats
 
 #: What stands for a gap in an alignment.
 GAPS = " =-_"
@@ -118,15 +119,10 @@ def read_patterns(spark: SparkSession, path: str, weight_width: int = 0, tab: bo
 
 
 def read_fixed_width_patterns(spark: SparkSession, path: str) -> DataFrame:
-    """(nth, pattern) of files that begin with '# number=N length=L' and hold N rows of L bytes without separators.
-
-    Such a file is read whole and cut in its task; many files are read side by side."""
-    head = F.substring_index(F.col("text"), "\n", 1)
-    field = lambda name: F.regexp_extract(head, rf"\b{name}=(\d+)", 1).cast("int")
-    files = spark.read.format("binaryFile").load(path).select(F.decode("content", "ISO-8859-1").alias("text"))
-    sized = files.select("text", (F.length(head) + 2).alias("at"), field("number").alias("number"), field("length").alias("length"))
-    each = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("number") - 1)).alias("nth"))
-    return each.select(F.col("nth").cast("long").alias("nth"), F.substring("text", F.col("at") + F.col("nth") * F.col("length"), F.col("length")).alias("pattern"))
+    """(nth, pattern) of files that begin with '# number=N length=L' and hold N rows of L bytes without separators, numbered over
+    the files in the order of their names. Splits go straight to their rows."""
+    formats.register(spark)
+    return spark.read.format("fixed_width").load(path)
 
 
 def strain_texts(lines: DataFrame, order: list[str], column: str, chunk: int = 1000) -> DataFrame:
