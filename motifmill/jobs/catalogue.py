@@ -787,8 +787,9 @@ def merged_suffix_rank(spark: SparkSession, d: str) -> DataFrame:
     of the earlier half."""
     talk = _talk(spark, d)
     half = talk.agg(F.expr("percentile(conv_id, 0.5)")).first()[0]
-    order, named = suffixes.named_order(talk.where(F.col("conv_id") <= half), TURN)
-    order, named = suffixes.merged_order(stored(order, "suffix-order"), named, talk.where(~(F.col("conv_id") <= half)), TURN)
+    early = F.coalesce(F.col("conv_id") <= half, F.lit(True))  # nulls come first
+    order, named = suffixes.named_order(talk.where(early), TURN)
+    order, named = suffixes.merged_order(stored(order, "suffix-order"), named, talk.where(~early), TURN)
     return suffixes.with_keys(order.select("tid", "pos", "sa_rank", F.col("before").alias("symbol")), named, TURN)
 
 
