@@ -156,12 +156,12 @@ def inverse(permutation: DataFrame, index: str, value: str) -> DataFrame:
 
 def systematic_positions(rows: DataFrame, order: list[str], weight: str, draws: int) -> DataFrame:
     """(draw, order): rows drawn in proportion to a whole-number weight, at evenly spaced points of the running weight."""
-    got = with_running(rows, order, "nth", {"upto": F.col(weight)})
-    total = F.lit(rows.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0])
-    # draw k takes the row where the running weight first reaches (2 k + 1) / (2 draws) of the total
-    first = F.floor((2 * draws * (F.col("upto") - F.col(weight)) - total) / (2 * total)) + 1
-    last = F.floor((2 * draws * F.col("upto") - total) / (2 * total))
-    return got.where(F.col(weight) > 0).select(first.alias("first"), last.alias("last"), *order).where("first <= last").select(F.explode(F.sequence("first", "last")).alias("draw"), *order)
+    got = with_running(rows, order, "nth", {"upto": F.col(weight).cast("long")})
+    total = rows.agg(F.coalesce(F.sum(F.col(weight).cast("long")), F.lit(0))).first()[0]
+    # draw k takes the row where the running weight first reaches (2 k + 1) / (2 draws) of the total; whole numbers throughout
+    reached = lambda upto: F.call_function("div", 2 * draws * upto + total, F.lit(2 * total).cast("long")) - 1
+    placed = got.where(F.col(weight) > 0).select((reached(F.col("upto") - F.col(weight)) + 1).alias("first"), reached(F.col("upto")).alias("last"), *order)
+    return placed.where("first <= last").select(F.explode(F.sequence("first", "last")).alias("draw"), *order)
 
 
 def _mixed(x: Column) -> Column:
