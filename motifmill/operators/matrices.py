@@ -5,11 +5,16 @@ sample has in all rows less what it has in rows shared with the other, so only s
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import entropy_term, lgamma
+from ..functions.sequences import lgamma
 
 
 def to_samples(rows: DataFrame, run_map: DataFrame, minfreq: int = 0) -> DataFrame:
@@ -18,14 +23,38 @@ def to_samples(rows: DataFrame, run_map: DataFrame, minfreq: int = 0) -> DataFra
     return joined.groupBy("row_id", "sample").agg(F.max_by("freq", "run").alias("freq"))
 
 
+def _entropy_of(samples: int) -> Callable:
+    """Rows (row_id, freqs) to (row_id, entropy).
+
+    The logarithm is the C library's and a row's terms are added one after the other: an evenly spread row has entropy 1,
+    which is a threshold, and the last bit decides on which side of it the row falls."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = math.log2(samples) if samples > 1 else math.nan
+        for batch in batches:
+            lists = batch.column("freqs")
+            mass = np.asarray(pc.list_flatten(lists).to_numpy(zero_copy_only=False), np.float64) + 1
+            row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+            value, at = np.unique(mass, return_inverse=True)
+            terms = np.bincount(row, mass * np.array([math.log2(x) for x in value.tolist()])[at], batch.num_rows)
+            n = np.bincount(row, minlength=batch.num_rows)
+            total = np.bincount(row, mass, batch.num_rows) + (samples - n)
+            got = [(math.log2(m) - t / m) / top if k and m else None for m, t, k in zip(total.tolist(), terms.tolist(), n.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(got, pa.float64())], ["row_id", "entropy"])
+
+    return run
+
+
 def row_entropy(rows: DataFrame, samples: int, sizes: DataFrame | None = None) -> DataFrame:
-    """(row_id, entropy): smoothed entropy over all samples, from 0 to 1; with sizes (sample, size) of freq / size."""
+    """(row_id, entropy): smoothed entropy over all samples, from 0 to 1; with sizes (sample, size) of freq / size.
+
+    With a single sample there is no entropy (not a number)."""
     freq = F.col("freq").cast("double")
     if sizes is not None:
         rows, freq = rows.join(sizes, "sample"), F.col("freq") / F.col("size")
-    got = rows.groupBy("row_id").agg(F.sum(freq).alias("total"), F.sum(entropy_term(freq)).alias("terms"))
-    mass = F.col("total") + samples
-    return got.select("row_id", ((F.log2(mass) - F.col("terms") / mass) / F.log2(F.lit(float(samples)))).alias("entropy"))
+    # a row has one number for each sample at most
+    got = rows.groupBy("row_id").agg(F.sort_array(F.collect_list(freq)).alias("freqs"))
+    return got.mapInArrow(_entropy_of(samples), f"row_id {rows.schema['row_id'].dataType.simpleString()}, entropy double")
 
 
 def thresholds_by_step(step: float) -> list[float]:
