@@ -1,12 +1,14 @@
 """What shows only on larger tables: totals beyond 32 bits, rows on a threshold, joins whose sides grow."""
 
 import math
+import random
+from collections import Counter
 
 import duckdb
 from pyspark.sql import functions as F
 
 from motifmill.jobs.oracle import BUCKETS
-from motifmill.operators import matrices, ranks
+from motifmill.operators import matrices, ranks, suffixes
 
 
 def test_systematic_positions_beyond_32_bits(spark):
@@ -32,3 +34,24 @@ def test_even_rows_fall_on_the_threshold_as_in_sql(spark):
     assert {r["row_id"]: r["b"] for r in got.collect()} == want
     one = matrices.row_entropy(rows.where("sample = 's0'"), 1).first()
     assert math.isnan(one["entropy"])
+
+
+def test_found_places_are_not_gathered_on_the_driver(spark):
+    texts = spark.createDataFrame([(k, "the cat sat on the mat " * 400) for k in range(4)], "k long, text string")
+    found = suffixes.find(texts, spark.createDataFrame([("the",), ("at",)], "pattern string"), ["k"])
+    got = found.occurrences()
+    assert "BroadcastHashJoin [sa_rank" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.groupBy("pattern").count().orderBy("pattern").collect() == [("at", 4 * 1200), ("the", 4 * 800)]
+    assert found.order.count() == 4 * 2000  # of 4 * 9201 suffixes those that begin with a pattern
+
+
+def test_long_patterns_among_near_misses(spark):
+    rng = random.Random(5)
+    parts = ["".join(rng.choice("ab") for _ in range(n)) for n in (31, 32, 33, 40, 64, 65, 97, 130)]
+    mixed = [p[:k] + q for p in parts for q in parts for k in (20, 32, 40, 64, 96)]
+    rows = [(k, "".join(rng.choice(parts + mixed) for _ in range(8)) + "é\U0010ffff") for k in range(12)]
+    pats = parts + mixed + ["é", "a", "b\U0010ffff", "é\U0010ffff", parts[7] + parts[6]]
+    found = suffixes.find(spark.createDataFrame(rows, "k long, text string"), spark.createDataFrame([(p,) for p in pats], "pattern string"), ["k"])
+    want = sorted((p, k, i) for p in set(pats) for k, t in rows for i in range(len(t)) if t.startswith(p, i))
+    assert sorted(tuple(r) for r in found.occurrences().collect()) == want
+    assert {r["pattern"]: r["n"] for r in found.bounds.where("n > 0").collect()} == Counter(p for p, _, _ in want)
