@@ -135,9 +135,7 @@ def write_rows_observed(all_nodes: DataFrame, found: DataFrame, options: MiningO
 
 def deep_nodes(sequences: DataFrame, fmin: int) -> DataFrame:
     """nodes() without a depth bound, from the intervals of common prefixes of each sample's suffixes."""
-    run = F.explode(F.split("seq", "[^ACGT]+")).alias("run")
-    runs_ = sequences.select("sample", run).where("run <> ''")
-    both = runs_.select("sample", F.explode(F.array(F.col("run"), reverse_complement(F.col("run")))).alias("text"))
+    both = runs(sequences).withColumnsRenamed({"run": "text", "w": "copies"})
     found = frequent_paths(both, "sample", fmin)
     left = F.when(F.col("left") == "", "0").otherwise(F.coalesce("left", F.lit("N")))
     return found.select("sample", "path", "freq", left.alias("left_char"))
