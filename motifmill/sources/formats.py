@@ -200,13 +200,17 @@ class FixedWidthWriter(DataSourceWriter):
     def write(self, rows: Iterator[Row]) -> Written:
         system, base = _opened(self.path)
         part, done = TaskContext.get().partitionId(), []
-        while some := list(islice(rows, FILE_ROWS)):
-            texts = [r[0].encode("latin-1") for r in some]
-            if any(len(t) != self.width for t in texts):
-                raise ValueError(f"a row is not of {self.width} bytes")
+        for first in rows:
+            data = bytearray()  # the rows' bytes alone, as the first line tells their number
+            for row in chain([first], islice(rows, FILE_ROWS - 1)):
+                text = row[0].encode("latin-1")
+                if len(text) != self.width:
+                    raise ValueError(f"a row is not of {self.width} bytes")
+                data += text
             name = f"part-{part:06d}-{len(done):06d}-{uuid.uuid4().hex}"
             with system.open_output_stream(f"{base}/_{name}") as out:
-                out.write(f"# number={len(texts)} length={self.width}\n".encode() + b"".join(texts))
+                out.write(f"# number={len(data) // self.width} length={self.width}\n".encode())
+                out.write(data)
             done.append(name)
         return Written(done)
 

@@ -2,13 +2,18 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
+import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from motifmill.jobs.oracle import BUCKETS
-from motifmill.operators import intervals, matrices, mining, ranks, suffixes
+from motifmill.operators import alignment, intervals, matrices, mining, ranks, suffixes
+from motifmill.sources import formats
 
 
 def test_systematic_positions_beyond_32_bits(spark):
@@ -87,3 +92,33 @@ def test_documents_of_nodes_over_many_blocks(spark, monkeypatch):
     want = sorted((p, k) for p in found for k, t in texts if t and p in t)
     assert sorted(tuple(r) for r in edges.collect()) == want
     assert len(want) == sum(found.values())
+
+
+def test_short_pairs_together_equal_single_ones(monkeypatch):
+    rng = random.Random(1)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    pairs = [(word(rng.randrange(30)), word(rng.randrange(30))) for _ in range(300)]
+    odd = [(None, "a"), ("a", None), ("", ""), ("a\0", "\0a"), ("a\0\0", "a"), ("", "\0"), ("é\U0010ffff", "\ud800é"), (word(200), word(150)), ("a", word(9000))]
+    single = alignment.operations
+    want = [None if None in p else single(*p) for p in pairs + odd]
+    monkeypatch.setattr(alignment, "operations", lambda a, b: single(a, b) if len(a) * len(b) > 20_000 else pytest.fail("a short pair by itself"))
+    monkeypatch.setattr(alignment, "CELLS", 20_000)
+    assert alignment.all_operations(*map(list, zip(*pairs, *odd[:8], strict=True))) == want[:308]
+    monkeypatch.setattr(alignment, "operations", single)
+    assert alignment.all_operations(*map(list, zip(*pairs, *odd, strict=True))) == want
+    assert alignment.all_operations([], []) == []
+
+
+def test_fixed_width_writer_holds_bytes_alone(tmp_path, monkeypatch):
+    monkeypatch.setattr(formats, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(formats, "FILE_ROWS", 100_000)
+    writer = formats.FixedWidthWriter({"path": str(tmp_path), "length": "18"}, False)
+    tracemalloc.start()
+    done = writer.write(Row(f"{k:018d}") for k in range(250_000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5_000_000  # a file has 1.8 million bytes
+    writer.commit([done])
+    lines = [p.read_bytes().split(b"\n", 1) for p in sorted(tmp_path.iterdir())]
+    assert [head for head, _ in lines] == [b"# number=%d length=18" % n for n in (100_000, 100_000, 50_000)]
+    assert b"".join(body for _, body in lines) == b"".join(b"%018d" % k for k in range(250_000))
