@@ -122,3 +122,21 @@ def test_fixed_width_writer_holds_bytes_alone(tmp_path, monkeypatch):
     lines = [p.read_bytes().split(b"\n", 1) for p in sorted(tmp_path.iterdir())]
     assert [head for head, _ in lines] == [b"# number=%d length=18" % n for n in (100_000, 100_000, 50_000)]
     assert b"".join(body for _, body in lines) == b"".join(b"%018d" % k for k in range(250_000))
+
+
+def test_later_rounds_take_only_what_they_ask_for(spark, monkeypatch):
+    seen, met = [], []
+    groups, asked_for = suffixes.in_groups, suffixes._asked_for
+    monkeypatch.setattr(suffixes, "in_groups", lambda df, *a, **k: seen.append(df.columns) or groups(df, *a, **k))
+    monkeypatch.setattr(suffixes, "_asked_for", lambda known, asked: met.append((known.count(), asked_for(known, asked).count(), asked.count())) or asked_for(known, asked))
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abé日\U0010ffff") for _ in range(n))
+    long = word(300)
+    texts = [(k, word(400)) for k in range(30)] + [(30, long), (31, word(3) + long + "a"), (32, ""), (33, None)]
+    order, named = suffixes.named_order(spark.createDataFrame(texts, "k int, text string"), ["k"], kept=[])
+    got = suffixes.with_keys(order.select("tid", "g", "sa_rank"), named, ["k"]).orderBy("sa_rank").select("k", "pos").collect()
+    want = sorted((t[i:], k, i) for k, t in texts if t is not None for i in range(len(t) + 1))
+    assert [tuple(r) for r in got] == [w[1:] for w in want]
+    assert set(seen[0]) == {"g", "tid", "gram"}  # nothing else is carried
+    assert len(met) == 2  # after 128 characters, and after 256
+    assert all(asked <= some < asked + 100 < known for known, some, asked in met)
