@@ -140,3 +140,21 @@ def test_later_rounds_take_only_what_they_ask_for(spark, monkeypatch):
     assert set(seen[0]) == {"g", "tid", "gram"}  # nothing else is carried
     assert len(met) == 2  # after 128 characters, and after 256
     assert all(asked <= some < asked + 100 < known for known, some, asked in met)
+
+
+def test_merging_sorts_on_only_where_new_suffixes_are(spark, monkeypatch):
+    seen = []
+    groups = suffixes.in_groups
+    monkeypatch.setattr(suffixes, "in_groups", lambda df, *a, **k: seen.append(df) or groups(df, *a, **k))
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    old, both = word(300), word(50)
+    texts = [(0, old), (1, "x" + old + "é"), (2, both), (3, "y" + both), (4, old[9:]), (5, ""), (6, "z" + both), (7, both)]
+    frame = spark.createDataFrame(texts, "k int, text string")
+    order, named = suffixes.named_order(frame.where("k < 6"), ["k"], kept=[])
+    del seen[:]
+    order, named = suffixes.merged_order(order.select("g", "sa_rank"), named, frame.where("k >= 6"), ["k"], kept=["before"])
+    got = suffixes.with_keys(order.select("tid", "g", "sa_rank", "before"), named, ["k"]).orderBy("sa_rank").select("k", "pos", "before").collect()
+    want = sorted((t[i:], k, i, t[i - 1] if i else "") for k, t in texts for i in range(len(t) + 1))
+    assert [tuple(r) for r in got] == [w[1:] for w in want]
+    assert [df.count() for df in seen] == [len(want), 4 * 19]  # 19 suffixes of each copy have 32 characters or more
