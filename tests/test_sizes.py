@@ -158,3 +158,13 @@ def test_merging_sorts_on_only_where_new_suffixes_are(spark, monkeypatch):
     want = sorted((t[i:], k, i, t[i - 1] if i else "") for k, t in texts for i in range(len(t) + 1))
     assert [tuple(r) for r in got] == [w[1:] for w in want]
     assert [df.count() for df in seen] == [len(want), 4 * 19]  # 19 suffixes of each copy have 32 characters or more
+
+
+def test_own_orders_are_made_where_texts_are_read(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "CUT", 60)
+    rng = random.Random(8)
+    texts = [(k, "".join(rng.choice("ab\x00é\U0010ffff") for _ in range(rng.choice([0, 1, 5, 30, 200])))) for k in range(40)] + [(3, "aaaa"), (50, "a" * 130), (51, "ab" * 70), (52, None)]
+    got = suffixes.own_orders(spark.createDataFrame(texts, "k long, text string").repartition(3), ["k"])
+    assert "Exchange hash" not in got._jdf.queryExecution().executedPlan().toString()
+    want = [(k, i, n) for k, t in texts if t is not None for n, i in enumerate(sorted(range(len(t) + 1), key=lambda i: t[i:]))]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
