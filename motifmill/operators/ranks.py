@@ -92,7 +92,9 @@ def rectangle_counts(placed: DataFrame, symbol: str, rectangles: DataFrame, fan:
     level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
     rows = placed.select(level, "pos", F.col(symbol).alias("symbol"))
     kind = placed.schema[symbol].dataType
-    rows = rows.select("level", F.floor(F.col("pos") / sizes[F.col("level")]).alias("block"), "symbol", F.lit(0).alias("kind"), "pos", F.lit(None).cast(rectangles.schema["name"].dataType).alias("name"), F.lit(0).alias("sign"))
+    # a block's number among those of all sizes
+    nth_block = lambda block: (F.shiftleft(F.col("level").cast("long"), 56) + block).alias("block")
+    rows = rows.select(nth_block(F.floor(F.col("pos") / sizes[F.col("level")])), "symbol", F.lit(0).alias("kind"), F.lit(None).cast(rectangles.schema["name"].dataType).alias("name"), F.lit(0).alias("sign"))
     clipped = rectangles.where("low <= high and least <= most").select("name", F.least(F.greatest(F.col("low"), F.lit(0)), F.lit(n)).cast("long").alias("low"), F.least(F.greatest(F.col("high") + 1, F.lit(0)), F.lit(n)).cast("long").alias("high"), "least", "most")
     # symbols below the least: the corner stands before the rows that have it
     corner = lambda x, y, kind_, sign: F.struct(F.col(x).alias("end"), F.col(y).cast(kind).alias("symbol"), F.lit(kind_).alias("kind"), F.lit(sign).alias("sign"))
@@ -101,10 +103,11 @@ def rectangle_counts(placed: DataFrame, symbol: str, rectangles: DataFrame, fan:
     size = sizes[F.col("level")]
     digit = F.floor(F.col("end") / size) % fan
     blocks = corners.where(digit > 0).select("name", "symbol", "kind", "sign", "level", F.explode(F.sequence(F.floor(F.col("end") / size) - digit, F.floor(F.col("end") / size) - 1)).alias("block"))
-    asked = blocks.select("level", "block", "symbol", "kind", F.lit(-1).cast("long").alias("pos"), "name", "sign")
-    order = ["level", "block", "symbol", "kind", "pos"]
-    got = with_running(rows.unionByName(asked), order, "nth", {"upto": F.when(F.col("kind") == 0, 1).otherwise(0)}).where("kind <> 0")
-    before = F.col("level") * n + F.col("block") * size
+    asked = blocks.select(nth_block(F.col("block")), "symbol", "kind", "name", "sign")
+    # of the rows before a corner those are no corners that are not before it among the corners alone
+    got = with_running(rows.unionByName(asked), ["block", "symbol", "kind"], "nth").where("kind <> 0")
+    got = with_running(got, ["nth"], "corner").withColumn("upto", F.col("nth") - F.col("corner")).withColumn("level", F.shiftright("block", 56).cast("int"))
+    before = F.col("level") * n + F.col("block").bitwiseAND(F.lit((1 << 56) - 1)) * size
     counts = got.groupBy("name").agg(F.sum(F.col("sign") * (F.col("upto") - before)).alias("n"))
     return rectangles.select("name").join(counts, "name", "left").select("name", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
