@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranks in a block.
+RANKS = 1 << 14
+
 
 def context(text: Column, pos: Column, width: Column, around: int) -> Column:
     """An occurrence of `width` characters with up to `around` characters on either side."""
@@ -13,10 +16,15 @@ def context(text: Column, pos: Column, width: Column, around: int) -> Column:
 
 
 def bwt_runs(ranked: DataFrame) -> DataFrame:
-    """(symbol, n_runs): runs of equal characters in the transform (sa_rank, before); runs of end markers are left out."""
-    above = ranked.select((F.col("sa_rank") + 1).alias("sa_rank"), F.col("before").alias("last"))
-    starts = ranked.select("sa_rank", "before").join(above, "sa_rank", "left").where("before <> '' and (last is null or before <> last)")
-    return starts.groupBy(F.col("before").alias("symbol")).agg(F.count("*").alias("n_runs"))
+    """(symbol, n_runs): runs of equal characters in the transform (sa_rank, before); runs of end markers are left out.
+
+    Ranks are dealt out once, in blocks of RANKS; only a block's first rank meets the last one of the block before."""
+    rows = ranked.select("sa_rank", "before")
+    last = F.lag("before").over(Window.partitionBy(F.floor(F.col("sa_rank") / RANKS)).orderBy("sa_rank"))
+    inner = rows.withColumn("last", last).where((F.col("sa_rank") % RANKS != 0) & (F.col("before") != "") & (F.col("before") != F.col("last")))
+    ends = rows.where(F.col("sa_rank") % RANKS == RANKS - 1).select((F.col("sa_rank") + 1).alias("sa_rank"), F.col("before").alias("last"))
+    heads = rows.where(F.col("sa_rank") % RANKS == 0).join(ends, "sa_rank", "left").where("before <> '' and (last is null or before <> last)")
+    return inner.select("before").unionByName(heads.select("before")).groupBy(F.col("before").alias("symbol")).agg(F.count("*").alias("n_runs"))
 
 
 def tagged(column: str, tag: str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from motifmill.jobs.oracle import BUCKETS
-from motifmill.operators import alignment, intervals, matrices, mining, ranks, suffixes
+from motifmill.operators import alignment, intervals, matrices, mining, ranks, suffixes, text
 from motifmill.sources import formats
 
 
@@ -168,3 +168,29 @@ def test_own_orders_are_made_where_texts_are_read(spark, monkeypatch):
     assert "Exchange hash" not in got._jdf.queryExecution().executedPlan().toString()
     want = [(k, i, n) for k, t in texts if t is not None for n, i in enumerate(sorted(range(len(t) + 1), key=lambda i: t[i:]))]
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_runs_go_on_over_blocks_of_ranks(spark, monkeypatch):
+    monkeypatch.setattr(text, "RANKS", 4, raising=False)
+    rng = random.Random(4)
+    for n in (0, 1, 4, 5, 203):
+        column = [rng.choice(["", "a", "a", "a", "b"]) for _ in range(n)]
+        rows = spark.createDataFrame(list(enumerate(column)), "sa_rank long, before string")
+        got = text.bwt_runs(rows)
+        assert dict(got.collect()) == Counter(c for k, c in enumerate(column) if c and (not k or column[k - 1] != c))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Window" in plan  # only the ranks at blocks' ends are joined
+
+
+def test_corners_are_counted_by_the_order_alone(spark, monkeypatch):
+    seen = []
+    running = ranks.with_running
+    monkeypatch.setattr(ranks, "with_running", lambda df, order, *a, **k: seen.append((df.count(), len(a) > 1 or bool(k))) or running(df, order, *a, **k))
+    rng = random.Random(6)
+    symbols = [rng.randrange(9) for _ in range(500)]
+    sides = [(i, *(rng.randrange(500) for _ in range(2)), *(rng.randrange(9) for _ in range(2))) for i in range(5)]
+    placed = spark.createDataFrame(list(enumerate(symbols)), "pos long, c long")
+    got = dict(ranks.rectangle_counts(placed, "c", spark.createDataFrame(sides, "name int, low int, high int, least int, most int")).collect())
+    assert got == {i: sum(lo <= p <= hi and a <= c <= b for p, c in enumerate(symbols)) for i, lo, hi, a, b in sides}
+    assert not any(sums for _, sums in seen)  # no second shuffle for sums over all rows
+    assert seen[1][0] == seen[0][0] - 4 * 500  # which the corners alone are numbered for
