@@ -5,14 +5,13 @@ Every string of `length` bytes picks an anchor from its own bytes alone: the lea
 strings have equal anchors, so only anchors that occur in two different texts matter (exact copies are found by their
 texts' SHA-256 before any sorting); a run of windows with one anchor is sent as one context. Contexts of an anchor are
 sorted: multikey sorting to a shallow depth, where a block of strings that are equal so far is parted by its next eight
-bytes at once (one many-way step in place of quicksort's three-way ones), then blind tries. Equal contexts collapse to
-the least document, and what differs is compared window by window the same way.
+bytes at once (one many-way step in place of quicksort's three-way ones), then blind tries where a block still holds different
+strings. Equal contexts collapse to the least document, and what differs is compared window by window the same way.
 
-An anchor with very many contexts is split twice over: by a second anchor (the least of other hashes of the same grams),
-which again depends on the window alone, and by documents; each part sorts and collapses its contexts. What the parts leave is
-split by a third anchor, which makes contexts so narrow that most are equal: each part collapses its contexts once more,
-and what is left of a key is sorted together. All anchors go this way, with as many parts as their counts ask for (mostly
-one)."""
+Contexts of an anchor with many of them are cut by a second and a third anchor (the least of other hashes of the same grams),
+which again depend on the window alone and join the key: most of such a key's contexts are equal. Where an anchor has very
+many, its keys are divided by documents too; each part collapses its contexts, and what the parts of a key leave is sorted
+together. Every context is cut once at most, where its text is read, and sorted twice at most, whatever an anchor's count."""
 
 from __future__ import annotations
 
@@ -30,8 +29,9 @@ from .common import flat_ranges, fresh, mix64, steps, stored
 LENGTH = 50
 GRAM = 20
 #: Bytes that the multikey quicksort sorts by before blind tries take over.
-SHALLOW = 24
-#: Contexts of an anchor from which on it is split, and by how much the number of parts grows with each level of counts.
+SHALLOW = 56
+#: Contexts of an anchor from which on they are cut. From PARTS times as many on they are divided by documents, into PARTS times
+#: more parts with each level of counts.
 CROWD, PARTS, MOST_LEVELS = 500, 8, 8
 SECOND, THIRD = 0x9FB21C651E98DF25, 0xD1B54A32D192ED03
 #: Context rows that are sorted together, cut between anchors.
@@ -144,6 +144,26 @@ def blind_trie_order(strings: list[bytes]) -> list[list[int]]:
     return out
 
 
+def _differing(word: np.ndarray, starts: np.ndarray, sizes: np.ndarray, block: np.ndarray, depth: int) -> np.ndarray:
+    """Whether each block, whose strings are equal up to `depth`, holds different ones: all are compared with its first one, by
+    eight bytes at a time."""
+    crowd = np.bincount(block)
+    first = (np.cumsum(crowd) - crowd)[block]
+    out = np.zeros(len(crowd), bool)
+    rows = np.flatnonzero(first != np.arange(len(first)))
+    other = sizes[rows] != sizes[first[rows]]
+    out[block[rows[other]]] = True
+    rows = rows[~other]
+    while True:
+        rows = rows[(sizes[rows] > depth) & ~out[block[rows]]]
+        if not len(rows):
+            return out
+        apart = word[starts[rows] + depth] ^ word[starts[first[rows]] + depth]
+        left = np.minimum(sizes[rows] - depth, 8).astype(np.uint64)
+        out[block[rows[apart >> (np.uint64(8) * (np.uint64(8) - left)) != 0]]] = True
+        depth += 8
+
+
 def deep_shallow_sort(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, group: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """(order, new): the strings data[start : start + size] sorted within their groups; new marks the first of equal ones."""
     n = len(starts)
@@ -172,16 +192,13 @@ def deep_shallow_sort(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, g
         block = np.cumsum(changed) - 1
     new = np.ones(n, bool)
     new[1:] = np.diff(block) != 0
-    crowd = np.bincount(block) if n else np.zeros(0, np.int64)
+    crowd, first = np.bincount(block), np.flatnonzero(new)
+    differs = _differing(word, starts[order], sizes[order], block, -(-shallow // 8) * 8)
     raw = data.tobytes()
-    first = np.flatnonzero(new)
-    for b in np.flatnonzero(crowd > 1).tolist():
+    for b in np.flatnonzero(differs).tolist():
         at, to = int(first[b]), int(first[b] + crowd[b])
         rows = order[at:to].copy()
         strings = [raw[s : s + k] for s, k in zip(starts[rows].tolist(), sizes[rows].tolist(), strict=True)]
-        if strings.count(strings[0]) == len(strings):
-            new[at + 1 : to] = False
-            continue
         for same in blind_trie_order(strings):
             order[at : at + len(same)] = rows[same]
             new[at] = True
@@ -298,7 +315,7 @@ def anchor_filter(anchors: DataFrame, shards: int, crowd: int = CROWD) -> list[B
 def contexts(docs: DataFrame, shards: list[Broadcast], length: int = LENGTH) -> DataFrame:
     """(key, part, parts, doc, tag, start, ctx): the runs of windows whose anchor the filter has. docs: doc, tag, text.
 
-    The key is the anchor, or the anchor and a second one where it has levels of counts in the filter."""
+    The key is the anchor, or the anchor, a second and a third one where it has levels of counts in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text", STEP):
@@ -314,18 +331,19 @@ def contexts(docs: DataFrame, shards: list[Broadcast], length: int = LENGTH) ->
                         break
             keep = level >= 0
             anchor, doc, at, to, level = (x[keep] for x in (anchor, doc, at, to, level))
-            crowded = level > 0
-            if crowded.any():
-                n = (to - at)[crowded] + length - 1
-                inner, of, a, b = runs_of(data[flat_ranges(at[crowded], n)], n, length, SECOND)
-                shift = at[crowded][of] - (np.cumsum(n) - n)[of]
-                new = mix64(anchor[crowded][of] ^ mix64(inner)), doc[crowded][of], a + shift, b + shift, level[crowded][of]
-                anchor, doc, at, to, level = (np.concatenate((x[~crowded], y)) for x, y in zip((anchor, doc, at, to, level), new))
+            for seed in (SECOND, THIRD):
+                crowded = level > 0
+                if crowded.any():
+                    n = (to - at)[crowded] + length - 1
+                    inner, of, a, b = runs_of(data[flat_ranges(at[crowded], n)], n, length, seed)
+                    shift = at[crowded][of] - (np.cumsum(n) - n)[of]
+                    new = mix64(anchor[crowded][of] ^ mix64(inner)), doc[crowded][of], a + shift, b + shift, level[crowded][of]
+                    anchor, doc, at, to, level = (np.concatenate((x[~crowded], y)) for x, y in zip((anchor, doc, at, to, level), new))
             raw = data.tobytes()
             strings = pa.array([raw[a:b] for a, b in zip(at.tolist(), (to + length - 1).tolist(), strict=True)], pa.binary())
             start = at - (np.cumsum(sizes) - sizes)[doc]
             which = pa.array(doc)
-            parts = PARTS ** level.astype(np.int64)
+            parts = PARTS ** np.maximum(level.astype(np.int64) - 1, 0)
             part = (mix64(batch.column("doc").to_numpy().view(np.uint64))[doc] % parts.astype(np.uint64)).astype(np.int32) if len(doc) else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(part), pa.array(parts.astype(np.int32)), batch.column("doc").take(which), batch.column("tag").take(which), pa.array(start), strings], ["key", "part", "parts", "doc", "tag", "start", "ctx"])
 
@@ -398,23 +416,6 @@ def collapsed(found: DataFrame, length: int = LENGTH) -> DataFrame:
     return _sorted_by_key(found, ["key", "part"], done, "key long, part int, parts int, doc long, tag long, `start` long, size long, ctx binary")
 
 
-def narrowed(rest: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, part, parts, doc, tag, start, ctx): contexts cut into those of a third anchor, which joins the key."""
-    names = ["key", "part", "parts", "doc", "tag", "start", "ctx"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, sizes = _bytes_of(batch, "ctx")
-            anchor, of, at, to = runs_of(data, sizes, length, THIRD)
-            key = mix64(batch.column("key").to_numpy().view(np.uint64)[of] ^ mix64(anchor))
-            raw, which = data.tobytes(), pa.array(of)
-            strings = pa.array([raw[a:b] for a, b in zip(at.tolist(), (to + length - 1).tolist(), strict=True)], pa.binary())
-            start = batch.column("start").to_numpy()[of] + at - (np.cumsum(sizes) - sizes)[of]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(batch.column(c).take(which) for c in ("part", "parts", "doc", "tag")), pa.array(start), strings], names)
-
-    return rest.select(*names).mapInArrow(run, "key long, part int, parts int, doc long, tag long, `start` long, ctx binary")
-
-
 def spans_of_parts(rest: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc, tag, start, size) from what the parts of divided keys have left."""
 
@@ -435,11 +436,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
         return whole
     filters = anchor_filter(anchors, max(1, -(-n * PROBES // SHARD_LOAD)), crowd)
     found = stored(collapsed(contexts(docs, filters, length), length), "contexts")
-    again = stored(collapsed(narrowed(found.where("ctx is not null"), length), length), "narrow-contexts")
-    rest = spans_of_parts(again.where("ctx is not null"), length)
-    for spans in (found, again):
-        whole = whole.unionByName(spans.where("ctx is null").select("doc", "tag", "start", "size"))
-    return whole.unionByName(rest)
+    rest = spans_of_parts(found.where("ctx is not null"), length)
+    return whole.unionByName(found.where("ctx is null").select("doc", "tag", "start", "size")).unionByName(rest)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, crowd: int = CROWD) -> DataFrame:

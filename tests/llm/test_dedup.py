@@ -131,6 +131,21 @@ def test_repeated_bytes_on_odd_documents(spark):
     assert suffix_dedup.without_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n, divided", [(24, False), (120, True)])
+def test_common_passages_are_sorted_again_only_where_keys_are_divided(spark, n, divided):
+    rnd = random.Random(8)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    common = text(120)
+    rows = [(i, text(60) + common + text(60)) for i in range(n)]
+    docs = suffix_dedup._keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    anchors = suffix_dedup.repeated_anchors(docs)
+    assert anchors.agg({"n": "max"}).first()[0] == n
+    found = suffix_dedup.contexts(docs, suffix_dedup.anchor_filter(anchors, 1, 5))
+    assert found.agg({"parts": "max"}).first()[0] == (suffix_dedup.PARTS if divided else 1)
+    left = suffix_dedup.collapsed(found).where("ctx is not null").count()
+    assert (left > 0) == divided
+
+
 def test_deep_shallow_sort_orders_and_groups():
     rnd = random.Random(3)
     for _ in range(200):
