@@ -6,8 +6,9 @@ have as many links as wanted. For one price, a place's cheapest beginning is the
 lay over the running weight: slopes fall with the place, so a queue of candidates finds it.
 
 Places are cut into blocks. A block begins with the lines that the one before hands on. All blocks are worked side by side with
-a guess first; blocks whose guess was wrong are worked again. A block's lines relative to its first one don't depend on what is
-far before it, so that is a round or two; when nothing changes the result is exact."""
+a guess first, the lines that the last places of the block before make by themselves; blocks and prices whose guess was wrong are
+worked again. A block's lines relative to its first one don't depend on what is far before it, so these are few; when nothing
+changes the result is exact. A path is told by its legs, the stretches within a block, from one row a block and line handed on."""
 
 from __future__ import annotations
 
@@ -23,6 +24,8 @@ from .ordering import stored, with_running
 
 #: Places in a block.
 BLOCK_PLACES = 1 << 14
+#: Places of the block before from which a block's first lines are guessed.
+RUN_UP = 1 << 10
 #: Prices of a link that are tried in one pass over the places.
 PRICES = 15
 
@@ -76,19 +79,27 @@ def _relative(lines: list[list[int]]) -> list[list[int]]:
     return [[p, h - lines[0][1], n] for p, h, n in lines]
 
 
-def _block(prices: list[int], scale: int) -> Callable:
-    """For each price: the lines that a block began with (taken), those it hands on, how far these lie above (gain), and the cost
-    of its last place. Without lines handed to it, a block begins with the one of its first place."""
+def _block(prices: list[int], scale: int, size: int) -> Callable:
+    """For each price: the lines that a block of `size` places began with (taken), those it hands on, how far these lie above
+    (gain), and the cost of its last place. Without lines handed to it, a block begins with those of the places before it that are
+    among its rows, for all prices; else only prices with lines are worked."""
 
-    def run(places: pd.DataFrame, handed: pd.DataFrame) -> pd.DataFrame:
-        nodes = _listed(places)
-        given = dict(zip(handed.price, handed.lines, strict=True)) if len(handed) else {}
+    def run(places: pd.DataFrame, handed: pd.DataFrame | None = None) -> pd.DataFrame:
+        nodes, block = _listed(places), int(places.block.iloc[0])
+        before = [x for x in nodes if x[0] < block * size]
+        nodes = nodes[len(before) :]
+        given = dict(zip(handed.price, handed.lines, strict=True)) if handed is not None else {}
         rows = []
-        for price in prices:
-            nth, pos, _, upto, moment = nodes[0]
-            taken = json.loads(given[str(price)]) if str(price) in given else [] if nth == 0 else [[pos, 0, nth]]
+        for price in map(int, given) if given else prices:
+            if given:
+                taken = json.loads(given[str(price)])
+            elif not before:
+                taken = []
+            else:
+                nth, pos = before[0][:2]
+                taken = _relative(_advance(before[1:], [[pos, 0, nth]], scale, price)[0]) if len(before) > 1 else [[pos, 0, nth]]
             lines, cost = _advance(nodes, taken, scale, price)
-            rows.append((int(places.block.iloc[0]), str(price), json.dumps(taken), json.dumps(_relative(lines)), str(lines[0][1]), str(cost)))
+            rows.append((block, str(price), json.dumps(taken), json.dumps(_relative(lines)), str(lines[0][1]), str(cost)))
         return pd.DataFrame(rows, columns=["block", "price", "taken", "lines", "gain", "cost"])
 
     return run
@@ -97,22 +108,22 @@ def _block(prices: list[int], scale: int) -> Callable:
 RESULT = "block long, price string, taken string, lines string, gain string, cost string"
 
 
-def _settled(nodes: DataFrame, prices: list[int], scale: int) -> DataFrame:
+def _settled(nodes: DataFrame, prices: list[int], scale: int, size: int, blocks: int) -> DataFrame:
     """_block() of every block with the lines that the block before it hands on."""
-    none = nodes.sparkSession.createDataFrame([], RESULT)
+    first = nodes.where((F.col("nth") % size >= max(size - RUN_UP, 0)) & (F.col("block") < blocks - 1)).withColumn("block", F.col("block") + 1)
     # a block is a fixed number of places, so a group is bounded
-    work = lambda own, handed: own.groupBy("block").cogroup(handed.groupBy("block")).applyInPandas(_block(prices, scale), RESULT)
-    got = stored(work(nodes, none), "lines")
+    work = _block(prices, scale, size)
+    got = stored(nodes.unionByName(first).groupBy("block").applyInPandas(lambda places: work(places), RESULT), "lines")
     # a round settles at least one more block
     while True:
         handed = got.select((F.col("block") + 1).alias("block"), "price", "lines")
-        wrong = got.join(handed.withColumnRenamed("lines", "given"), ["block", "price"]).where("taken <> given").select("block").distinct()
+        wrong = got.join(handed.withColumnRenamed("lines", "given"), ["block", "price"]).where("taken <> given").select("block", "price")
         wrong = stored(wrong, "wrong")
         if wrong.isEmpty():
             return got
-        again = work(nodes.join(wrong, "block"), handed.join(wrong, "block"))
-        got = stored(got.join(wrong, "block", "left_anti").unionByName(again), "lines")
-    return got
+        own, lines = nodes.join(wrong.select("block").distinct(), "block"), handed.join(wrong, ["block", "price"])
+        again = own.groupBy("block").cogroup(lines.groupBy("block")).applyInPandas(lambda places, handed: work(places, handed), RESULT)
+        got = stored(got.join(wrong, ["block", "price"], "left_anti").unionByName(again), "lines")
 
 
 def _costs(got: DataFrame, blocks: int) -> dict[int, int]:
@@ -122,33 +133,63 @@ def _costs(got: DataFrame, blocks: int) -> dict[int, int]:
     return {int(r["price"]): int(r["total"]) for r in got.groupBy("price").agg(F.sum(part).alias("total")).collect()}
 
 
-def _trace(price: int, scale: int) -> Callable:
-    """(nth, back): the place before each of a block's places on its cheapest path."""
+def _backs(places: pd.DataFrame, taken: str, price: int, scale: int) -> tuple[int, dict[int, int]]:
+    """A block's first place, and the place before each of its places on its cheapest path."""
+    path: list[tuple[int, int]] = []
+    _advance(_listed(places), json.loads(taken), scale, price, path)
+    return int(places.nth.min()), dict(path)
 
-    def run(places: pd.DataFrame, handed: pd.DataFrame) -> pd.DataFrame:
-        path: list[tuple[int, int]] = []
-        _advance(_listed(places), json.loads(handed.taken.iloc[0]), scale, price, path)
-        return pd.DataFrame(path, columns=["nth", "back"])
+
+def _leg(at: int, first: int, back: dict[int, int]) -> list[int]:
+    """The places from `at` back to the last one outside the block, or to 0."""
+    out = [at]
+    while at >= first and at:
+        at = back[at]
+        out.append(at)
+    return out
+
+
+def _legs(price: int, scale: int) -> Callable:
+    """(entry, outside, links): where the path leaves a block, for each of its places that a later block may go back to."""
+
+    def run(places: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        first, back = _backs(places, got.taken.iloc[0], price, scale)
+        legs = [_leg(nth, first, back) for _, _, nth in json.loads(got.lines.iloc[0]) if nth >= first]
+        return pd.DataFrame([(leg[0], leg[-1], len(leg) - 1) for leg in legs], columns=["entry", "outside", "links"])
 
     return run
 
 
-def _path(nodes: DataFrame, got: DataFrame, price: int, scale: int, n: int) -> DataFrame:
+def _places(price: int, scale: int, most: int) -> Callable:
+    """(link, nth): the places of the legs from given entries, whose steps count from the path's end."""
+
+    def run(places: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        rows: list[tuple[int, int]] = []
+        if len(got):
+            first, back = _backs(places, got.taken.iloc[0], price, scale)
+            for entry, steps in zip(got.entry.tolist(), got.steps.tolist(), strict=True):
+                leg = _leg(entry, first, back)
+                rows += [(most - steps - k, nth) for k, nth in enumerate(leg[:-1] if entry else leg)]
+        return pd.DataFrame(rows, columns=["link", "nth"], dtype="int64")
+
+    return run
+
+
+def _path(nodes: DataFrame, got: DataFrame, price: int, scale: int, size: int, n: int) -> DataFrame:
     """(link, nth): the places of the cheapest path for a price, from 0; the end has the last link.
 
-    Steps back are doubled: after r rounds every place on the path up to 2^r links from the end is known."""
-    back = stored(nodes.groupBy("block").cogroup(got.where(F.col("price") == str(price)).groupBy("block")).applyInPandas(_trace(price, scale), "nth long, back long"), "steps")
-    reached = nodes.sparkSession.createDataFrame([(n - 1, 0)], "nth long, steps long")
-    far, width = back, 1
-    while True:
-        ahead = reached.join(far, "nth").select(F.col("back").alias("nth"), (F.col("steps") + width).alias("steps"))
-        reached = stored(reached.unionByName(ahead), "path")
-        if not reached.where("nth = 0").isEmpty():
-            break
-        far = stored(far.join(far.select(F.col("nth").alias("back"), F.col("back").alias("farther")), "back").select("nth", F.col("farther").alias("back")), "steps")
-        width *= 2
-    most = reached.agg(F.max("steps")).first()[0]
-    return stored(reached.select((most - F.col("steps")).alias("link"), "nth"), "path")
+    Only the legs' ends are put together, a few rows a block."""
+    own, got = nodes.groupBy("block"), got.where(F.col("price") == str(price)).select("block", "taken", "lines")
+    legs = own.cogroup(got.groupBy("block")).applyInPandas(_legs(price, scale), "entry long, outside long, links long")
+    ends = {r["entry"]: (r["outside"], r["links"]) for r in legs.collect()}
+    at, steps = n - 1, 0
+    starts = [(at // size, at, 0)]
+    while at:
+        at, links = ends[at]
+        steps += links
+        starts.append((at // size, at, steps))
+    begun = got.join(F.broadcast(nodes.sparkSession.createDataFrame(starts, "block long, entry long, steps long")), "block")
+    return stored(own.cogroup(begun.groupBy("block")).applyInPandas(_places(price, scale, steps), "link long, nth long"), "path")
 
 
 def _between(low: int, high: int) -> list[int]:
@@ -173,24 +214,22 @@ def optimal_samples(rows: DataFrame, rate: int, block: int = BLOCK_PLACES) -> Da
     # costs count in units of `scale`, and a link costs one unit less or more: ties go to the longest, the shortest path
     scale = 2 * n
     total = nodes.agg(F.max("upto")).first()[0]
-    low, high = 0, total * (size + 1) + 1  # prices with too many or enough links, with too few or enough
+    low, high = 1, total * (size + 1) + 1  # prices with enough links on the longest path, with too few
     if links == n - 1:
         return nodes.where(F.col("nth") < n - 1).select("pos")
     tried = sorted({max(1, total * rate * rate * k // (16 * (size + 1))) for k in range(1, PRICES + 1)})  # around the price if all weighed the same
-    while True:
-        signed = [scale * p + s for p in tried for s in (-1, 1)]
-        got = _settled(nodes, signed, scale)
-        cost = _costs(got, blocks)
+    # links change only at whole prices, so the greatest price whose longest path has enough links has a shortest one with too few
+    # or as many: the search needs the longest paths alone
+    while high - low > 1:
+        tried = [p for p in tried if low < p < high] or _between(low, high)
+        cost = _costs(_settled(nodes, [scale * p - 1 for p in tried], scale, block, blocks), blocks)
         longest = {p: -cost[scale * p - 1] % scale for p in tried}
-        shortest = {p: cost[scale * p + 1] % scale for p in tried}
-        fits = [p for p in tried if shortest[p] <= links <= longest[p]]
-        if fits:
-            break
-        low = max([low, *(p for p in tried if shortest[p] > links)])
+        low = max([low, *(p for p in tried if longest[p] >= links)])
         high = min([high, *(p for p in tried if longest[p] < links)])
-        tried = _between(low, high)
-    long, short = (_path(nodes, got, scale * fits[0] + s, scale, n) for s in (-1, 1))
-    extra = longest[fits[0]] - links
+        tried = []
+    got = _settled(nodes, [scale * low - 1, scale * low + 1], scale, block, blocks)
+    long, short = (_path(nodes, got, scale * low + s, scale, block, n) for s in (-1, 1))
+    extra = -_costs(got, blocks)[scale * low - 1] % scale - links
     # where a link of the shorter path spans one of the longer path, the beginning of one goes on as the end of the other
     a = long.select((F.col("link") - extra).alias("link"), F.col("nth").alias("a")).join(long.select((F.col("link") - extra - 1).alias("link"), F.col("nth").alias("a2")), "link")
     b = short.select("link", F.col("nth").alias("b")).join(short.select((F.col("link") - 1).alias("link"), F.col("nth").alias("b2")), "link")

@@ -39,3 +39,14 @@ def test_samples_of_few_and_no_places(spark):
     assert chosen([(0, 0), (1, 0), (2, 0)]) == [0]
     assert chosen([(1, 4), (9, 2)]) == [0, 1, 9]
     assert chosen([(0, 5), (1, 1), (2, 9), (3, 1)]) == [0, 2]
+
+
+def test_paths_are_put_together_in_few_steps(spark, monkeypatch):
+    rng = random.Random(5)
+    weights = {p: rng.randint(1, 50) for p in range(90)}
+    names = []
+    monkeypatch.setattr(sampling, "stored", lambda df, what, keep=sampling.stored: names.append(what) or keep(df, what))
+    got = sorted(r["pos"] for r in sampling.optimal_samples(spark.createDataFrame(list(weights.items()), "pos long, weight long"), 3, 20).collect())
+    assert len(got) == 30
+    assert sum(w * (p - max(s for s in got if s <= p)) for p, w in weights.items()) == least_cost(weights, 90, 30)
+    assert names.count("path") == 2 and "steps" not in names  # one for each of two paths, however many links they have
