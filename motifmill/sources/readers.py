@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import stored, with_running
@@ -129,12 +134,32 @@ def strain_texts(lines: DataFrame, order: list[str], column: str, chunk: int = 1
     """(strain, chunk, text): the columns of an alignment, whose line has strain k's character at place 2 k.
 
     Characters are upper-cased and gaps left out; each strain's text comes in chunks, so no task holds a whole one."""
-    places = F.sequence(F.lit(0), F.floor(F.length(column) / 2 + F.lit(0.5)).cast("int") - 1)
-    at = lines.where((F.length(column) > 0) & ~F.col(column).startswith(">")).select(*order, F.explode(places).alias("strain"), column)
-    base = F.upper(F.substring(column, 2 * F.col("strain") + 1, F.lit(1)))
-    kept = at.select("strain", *order, base.alias("base")).where(~F.col("base").isin(*GAPS))
-    placed = stored(with_running(kept, ["strain", *order], "nth"), "strains")
-    first = placed.groupBy("strain").agg(F.min("nth").alias("first"))
-    own = placed.join(F.broadcast(first), "strain").withColumn("pos", F.col("nth") - F.col("first"))  # one row a strain
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"]), "")
-    return own.groupBy("strain", F.floor(F.col("pos") / chunk).alias("chunk")).agg(text.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, upto = TaskContext.get().partitionId(), defaultdict(int)
+        for batch in batches:
+            rows = batch.column(0).to_pylist()
+            widths, joined = {len(x) for x in rows}, "".join(rows)
+            width, found = max(widths, default=0), []
+            for strain, k in enumerate(range(0, width, 2)):
+                text = joined[k::width] if len(widths) == 1 else "".join([x[k] for x in rows if len(x) > k])
+                for gap in GAPS:
+                    text = text.replace(gap, "")
+                if text:
+                    found.append((strain, upto[strain], text))
+                    upto[strain] += len(text)
+            strain, at, text = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(strain, pa.int32()), pa.array([part] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array(text, pa.string())], ["strain", "part", "at", "text"])
+
+    # lines are sorted once, as they are; each range writes every strain's characters as pieces, counted within the range
+    kept = lines.where((F.length(column) > 0) & ~F.col(column).startswith(">")).select(*order, column)
+    ordered = kept.repartitionByRange(*order).sortWithinPartitions(*order).select(column)
+    pieces = stored(ordered.mapInArrow(run, "strain int, part int, at long, text string"), "strains").withColumn("n", F.length("text"))
+    before = Window.partitionBy("strain").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a strain and range
+    shift = pieces.groupBy("strain", "part").agg(F.sum("n").alias("n")).select("strain", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    own = pieces.join(shift, ["strain", "part"]).withColumn("first", F.col("at") + F.col("shift"))
+    own = own.select("strain", "first", "text", F.explode(F.sequence(F.floor(F.col("first") / chunk), F.floor((F.col("first") + F.col("n") - 1) / chunk))).alias("chunk"))
+    start = F.greatest(F.col("first"), F.col("chunk") * chunk)
+    cut = F.substring("text", (start - F.col("first") + 1).cast("int"), ((F.col("chunk") + 1) * chunk - start).cast("int"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(start.alias("start"), cut.alias("cut")))), lambda x: x["cut"]), "")
+    return own.groupBy("strain", "chunk").agg(F.upper(whole).alias("text"))

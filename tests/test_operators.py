@@ -220,6 +220,17 @@ def test_strain_texts(spark):
     assert got == {0: "ACT", 1: "CT", 2: "GT"}
 
 
+def test_strain_texts_over_many_ranges(spark, monkeypatch):
+    rnd, kept = random.Random(2), []
+    monkeypatch.setattr(readers, "stored", lambda df, what, keep=readers.stored: kept.append(keep(df, what)) or kept[-1])
+    rows = [(i, " ".join(rnd.choice("acgß-") for _ in range(rnd.randint(1, 4)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "at int, line string").repartition(5)
+    want = ["".join(line[2 * k] for _, line in rows if len(line) > 2 * k).replace("-", "") for k in range(4)]
+    out = readers.strain_texts(df, ["at"], "line", 7)
+    assert {(r["strain"], r["chunk"]): r["text"] for r in out.collect()} == {(k, c // 7): t[c : c + 7].upper() for k, t in enumerate(want) for c in range(0, len(t), 7)}
+    assert kept[0].count() < 300  # pieces of ranges, not rows of one character
+
+
 def test_running_sums_over_many_ranges(spark):
     rows = [(i, i % 3) for i in random.Random(1).sample(range(500), 500)]
     got = with_running(spark.createDataFrame(rows, "k int, v int").repartition(7), ["k"], "pos", {"s": F.col("v")}).orderBy("k").collect()
