@@ -62,6 +62,20 @@ def test_long_patterns_among_near_misses(spark):
     assert {r["pattern"]: r["n"] for r in found.bounds.where("n > 0").collect()} == Counter(p for p, _, _ in want)
 
 
+def test_patterns_of_whole_grams_before_anything(spark):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    pats = [word(n) for n in (32, 64, 96, 256)]
+    pats += [pats[1] + word(32), pats[3][:32] + word(9)]
+    after = ["", "q" * 70, "\0", "\U0010ffff", "\U0010ffffq", word(50)]
+    rows = list(enumerate(before + p + a for before in ("", "xyz") for p in pats for a in after))
+    want = sorted((p, k, i) for p in pats for k, t in rows for i in range(len(t)) if t.startswith(p, i))
+    texts = spark.createDataFrame(rows, "k long, text string")
+    for some in (pats, pats[:1], pats[5:]):  # with ends of patterns among the suffixes that are sorted, with one, without any
+        found = suffixes.find(texts, spark.createDataFrame([(p,) for p in some], "pattern string"), ["k"])
+        assert sorted(tuple(r) for r in found.occurrences().collect()) == [w for w in want if w[0] in some]
+
+
 def test_equal_runs_are_ordered_once(spark, monkeypatch):
     seen = []
     whole = intervals.suffix_rows
