@@ -23,7 +23,7 @@ def select_next(ranked: DataFrame, bit: int = 1) -> DataFrame:
     """(pos, next): the first one (or zero) at or after each position, null if there is none: a join on its number."""
     there = select_bits(ranked, bit).withColumnRenamed("pos", "next")
     own = (F.col("bit") == bit).cast("int")
-    return ranked.select("pos", (F.col(f"rank{bit}") - own + 1).alias("k")).join(there, "k", "left").select("pos", "next")
+    return ranked.select("pos", (F.col(f"rank{bit}") - own + 1).alias("k")).hint("merge").join(there, "k", "left").select("pos", "next")
 
 
 def symbol_ranks(rows: DataFrame, order: list[str], symbol: str) -> DataFrame:
@@ -39,7 +39,7 @@ def symbol_ranks(rows: DataFrame, order: list[str], symbol: str) -> DataFrame:
 def symbol_next(ranked: DataFrame, symbol: str) -> DataFrame:
     """(pos, next): from each place the next one with the same symbol, null for its last."""
     after = ranked.select(symbol, (F.col("sym_rank") - 1).alias("sym_rank"), F.col("pos").alias("next"))
-    return ranked.select("pos", symbol, "sym_rank").join(after, [symbol, "sym_rank"], "left").select("pos", "next")
+    return ranked.select("pos", symbol, "sym_rank").hint("merge").join(after, [symbol, "sym_rank"], "left").select("pos", "next")
 
 
 def prefix_ranks(rows: DataFrame, order: list[str], symbol: str, symbols: list) -> DataFrame:
@@ -61,13 +61,16 @@ def largest_up_to(rows: DataFrame, order: list[str], symbol: str, most: int, sym
 
 
 def run_lengths(ranked: DataFrame, symbol: str) -> DataFrame:
-    """(run, symbol, first, length): the stretches of equal neighbours of a whole sequence (pos, symbol), numbered from 1."""
+    """(run, symbol, first, length): the stretches of equal neighbours of a whole sequence (pos, symbol), numbered from 1.
+
+    Sides of joins with a row for each place are shuffled here and elsewhere: written tables are far smaller as files than in
+    memory, and would be judged small enough to go to all through the driver."""
     last = ranked.select((F.col("pos") + 1).alias("pos"), F.col(symbol).alias("last"))
-    heads = ranked.select("pos", symbol).join(last, "pos", "left").where(F.col("last").isNull() | (F.col("last") != F.col(symbol))).select(F.col("pos").alias("first"), symbol)
+    heads = ranked.select("pos", symbol).hint("merge").join(last, "pos", "left").where(F.col("last").isNull() | (F.col("last") != F.col(symbol))).select(F.col("pos").alias("first"), symbol)
     numbered = stored(with_running(heads, ["first"], "run").withColumn("run", F.col("run") + 1), "runs")
     end = ranked.agg(F.max("pos") + 1).first()[0]
     after = numbered.select((F.col("run") - 1).alias("run"), F.col("first").alias("end"))
-    return numbered.join(after, "run", "left").select("run", symbol, "first", (F.coalesce("end", F.lit(end)) - F.col("first")).alias("length"))
+    return numbered.hint("merge").join(after, "run", "left").select("run", symbol, "first", (F.coalesce("end", F.lit(end)) - F.col("first")).alias("length"))
 
 
 def in_range(rows: DataFrame, pos: str, low: int, high: int, symbol: str, least: int, most: int) -> DataFrame:
@@ -149,7 +152,7 @@ def greedy_samples(rows: DataFrame, rate: int, share: float) -> DataFrame:
 def value_before(ranked: DataFrame) -> DataFrame:
     """(pos, last_one): the last one at or before each position, null if there is none: a join on the one's number."""
     ones = select_bits(ranked).withColumnRenamed("pos", "last_one")
-    return ranked.select("pos", F.col("rank1").alias("k")).join(ones, "k", "left").select("pos", "last_one")
+    return ranked.select("pos", F.col("rank1").alias("k")).hint("merge").join(ones, "k", "left").select("pos", "last_one")
 
 
 def inverse(permutation: DataFrame, index: str, value: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from motifmill.jobs.oracle import BUCKETS
 from motifmill.operators import alignment, intervals, matrices, mining, ranks, suffixes, text
+from motifmill.operators.ordering import stored
 from motifmill.sources import formats
 
 
@@ -208,3 +209,15 @@ def test_corners_are_counted_by_the_order_alone(spark, monkeypatch):
     assert got == {i: sum(lo <= p <= hi and a <= c <= b for p, c in enumerate(symbols)) for i, lo, hi, a, b in sides}
     assert not any(sums for _, sums in seen)  # no second shuffle for sums over all rows
     assert seen[1][0] == seen[0][0] - 4 * 500  # which the corners alone are numbered for
+
+
+def test_places_are_not_sent_to_all(spark):
+    symbols = "aabbbacaabb"
+    placed = stored(spark.createDataFrame(list(enumerate(symbols)), "pos long, c string"), "sequence")
+    bits = stored(ranks.bit_ranks(placed.select(F.col("pos").alias("at"), "c"), ["at"], F.col("c") == "b").select("pos", "bit", "rank1"), "bits")
+    held = stored(ranks.symbol_ranks(placed.select(F.col("pos").alias("at"), "c"), ["at"], "c").select("pos", "c", "sym_rank"), "symbols")
+    runs = ranks.run_lengths(placed, "c")
+    for got in (runs, ranks.select_next(bits), ranks.value_before(bits), ranks.symbol_next(held, "c")):
+        assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in runs.orderBy("run").collect()] == [(1, "a", 0, 2), (2, "b", 2, 3), (3, "a", 5, 1), (4, "c", 6, 1), (5, "a", 7, 2), (6, "b", 9, 2)]
+    assert [r["next"] for r in ranks.select_next(bits).orderBy("pos").collect()] == [2, 2, 2, 3, 4, 9, 9, 9, 9, 9, 10]
