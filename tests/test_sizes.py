@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import tracemalloc
 from collections import Counter
 from types import SimpleNamespace
@@ -12,7 +13,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from motifmill.jobs.oracle import BUCKETS
-from motifmill.operators import alignment, intervals, matrices, mining, ranks, suffixes, text
+from motifmill.operators import alignment, intervals, matrices, mining, ordering, ranks, suffixes, text
 from motifmill.operators.ordering import stored
 from motifmill.sources import formats
 
@@ -221,3 +222,26 @@ def test_places_are_not_sent_to_all(spark):
         assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in runs.orderBy("run").collect()] == [(1, "a", 0, 2), (2, "b", 2, 3), (3, "a", 5, 1), (4, "c", 6, 1), (5, "a", 7, 2), (6, "b", 9, 2)]
     assert [r["next"] for r in ranks.select_next(bits).orderBy("pos").collect()] == [2, 2, 2, 3, 4, 9, 9, 9, 9, 9, 10]
+
+
+def test_common_prefixes_and_nodes_are_not_sent_to_all(spark, monkeypatch):
+    joined = set()
+
+    def seen(df):
+        joined.update(re.findall(r"BroadcastHashJoin \[(?:cast\()?(\w+)#", df._jdf.queryExecution().executedPlan().toString()))
+        return df
+
+    for module in (suffixes, intervals, ordering):
+        monkeypatch.setattr(module, "stored", lambda df, what, whole=module.stored: whole(seen(df), what))
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    long = word(500)
+    texts = [(k, word(50)) for k in range(9)] + [(9, long), (10, "c" + long), (11, long[20:] + "d")]
+    frame = spark.createDataFrame(texts, "k long, text string")
+    got = seen(suffixes.common_prefixes(*suffixes.named_order(frame, ["k"], common=True)).select("sa_rank", "lcp"))
+    order = sorted((t[i:], k) for k, t in texts for i in range(len(t) + 1))
+    shared = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert [r["lcp"] for r in got.orderBy("sa_rank").collect()] == [0, *(shared(a[0], b[0]) for a, b in zip(order, order[1:]))]
+    found, edges = map(seen, intervals.document_graph(frame, ["k"], 5))
+    assert edges.count() == sum(r["n_docs"] for r in found.collect())
+    assert joined <= {"part", "word", "__part"}  # a row for a partition or for 64 bits of a field
